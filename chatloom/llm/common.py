@@ -48,6 +48,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
