@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import table, vocabulary
+from chatloom.llm.common import new_dir, table, vocabulary
 from chatloom.llm.packing import pack
+from chatloom.llm.sharding import shard
+from chatloom.llm.tokenfile import read_documents, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +26,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 4096 ids, by minimum bin slack."""
     packed = pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=2)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 7, counts at most one apart."""
+    dealt = shard(table(spark, sf_dir, "documents"), shards=8)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids, read back from the Arrow files."""
+    folder = new_dir(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=1)
+    return read_documents(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
