@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import langid
+from chatloom.llm import langid, reputation
 from chatloom.llm.common import new_dir, table, vocabulary
 from chatloom.llm.packing import pack
 from chatloom.llm.sharding import shard
@@ -51,3 +51,54 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     found = langid.predict(docs.select("doc_id", "text"), model, ["doc_id"])
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; a page's outcome is the label of the document whose number is in its path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(reputation.host_and_path(F.col("url"))[1], r"^/[a-z]+/([0-9]+)", 1)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_key"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
+    return reputation.judge(pages.withColumn("page_key", number.try_cast("long")), labels)
+
+
+def _level(name: str, above: str | None) -> str:
+    """SQL of one level of shrinking: the groups with their parent's rate m, the strength s, and the shrunk rate."""
+    groups = f"select {name}, {f'any_value({above}) as {above},' if above else ''} sum(n) as n, sum(bad) as bad from hosts group by {name}"
+    parent = f"select g.*, p.rate as m from g_{name} g join r_{above} p using ({above})" if above else f"select g.*, t.rate as m from g_{name} g, total t"
+    return f"""
+g_{name} as ({groups}),
+m_{name} as ({parent}),
+s_{name} as (select case when y > 0 then (1 - rho) / rho else 999.0 end as s from (
+  select y, least(greatest(x / nullif(y, 0), 0.001), 0.5) as rho from (
+    select sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) as x, sum(n * (n - 1) * m * (1 - m)) as y from m_{name} where n > 1))),
+r_{name} as (select a.*, (bad + s * m) / (n + s) as rate, n + s as weight from m_{name} a, s_{name})"""
+
+
+ORACLES["op9_url_filter"] = f"""
+with urls as (
+  select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+rows as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from urls),
+known as (select doc_id, max(case when toxic = 1 or quality = 0 then 1 else 0 end) as bad from labels where doc_id is not null and (toxic is not null or quality is not null) group by doc_id),
+seen as (
+  select host, bad from rows left join known on doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') as bigint)),
+hosts as (
+  select host, count(bad)::double as n, coalesce(sum(bad), 0)::double as bad,
+    array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain, array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') as suffix
+  from seen group by host),
+total as (select (sum(bad) + 0.5) / (sum(n) + 1) as rate from hosts),{_level("suffix", None)},{_level("domain", "suffix")},{_level("host", "domain")},
+blocked as (select host from r_host where rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) >= 0.5),
+ruled as (
+  select *, case
+    when (host = 'example.com' or host like '%.example.com') and path like '/en/7%' then 'example.com/en/7'
+    when (host = 'example.net' or host like '%.example.net') and path like '/de/8%' then 'example.net/de/8'
+    when (host = 'com' or host like '%.com') and path like '/en/%' then 'com/en/'
+    when (host = 'net' or host like '%.net') and path like '/de/%' then 'net/de/'
+    when (host = 'org' or host like '%.org') and path like '/es/%' then 'org/es/' end as rule
+  from rows)
+select page_id, host, path, rule, case
+    when rule in ('example.com/en/7', 'net/de/') then 'allow' when rule is not null then 'block'
+    when host in (select host from blocked) then 'block' else 'allow' end as verdict
+from ruled"""
