@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import langid, reputation
+from chatloom.llm import langid, quality, reputation
 from chatloom.llm.common import new_dir, table, vocabulary
 from chatloom.llm.packing import pack
 from chatloom.llm.sharding import shard
@@ -102,3 +102,38 @@ select page_id, host, path, rule, case
     when rule in ('example.com/en/7', 'net/de/') then 'allow' when rule is not null then 'block'
     when host in (select host from blocked) then 'block' else 'allow' end as verdict
 from ruled"""
+
+
+@query
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_line_quality"] = r"""
+with docs as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),
+worded as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from docs),
+windows as (select doc_id, p, words[p : p + 7] as w from worded, unnest(range(1, len(words) - 6)) as u(p) where len(words) >= 8),
+twice as (select doc_id, p from windows where true qualify count(*) over (partition by doc_id, w) > 1),
+covered as (select doc_id, count(distinct p + k) as n from twice, unnest(range(8)) as u(k) group by doc_id),
+base as (
+  select doc_id, len(words) as n_words, list_sum(list_transform(words, lambda w: length(w))) as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines from worded),
+counted as (
+  select doc_id, n_words::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars, n_symbols::bigint as n_symbols,
+    n_dup_lines::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words from base left join covered using (doc_id)),
+line as (
+  select doc_id, host, text, trim(regexp_replace(regexp_replace(lower(l), '\p{Nd}+', '0', 'g'), '[^\p{L}\p{Nd}]+', ' ', 'g')) as norm,
+    len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')) as n
+  from docs, unnest(string_split(text, chr(10))) as u(l)),
+held as (select * from line where n > 0),
+host_docs as (select host, count(distinct text) as host_docs from held group by host),
+frequent as (
+  select host, norm from held join host_docs using (host) group by host, norm, host_docs
+  having count(distinct text) > greatest(25, 0.0005 * host_docs)),
+gone as (select doc_id, sum(n)::bigint as n_line_words from held join frequent using (host, norm) group by doc_id),
+judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, coalesce(n_line_words, 0) as lost from counted left join gone using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and n_words - lost >= 0.3 * n_words and n_words - lost >= 20 as kept, lost as n_line_words
+from judged"""
