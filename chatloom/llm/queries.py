@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import langid, quality, reputation
+from chatloom.llm import decontaminate, langid, quality, reputation
 from chatloom.llm.common import new_dir, table, vocabulary
 from chatloom.llm.packing import pack
 from chatloom.llm.sharding import shard
@@ -137,3 +137,29 @@ judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and n_words - lost >= 0.3 * n_words and n_words - lost >= 20 as kept, lost as n_line_words
 from judged"""
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item, the window's first word and its similarity."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op8_decontamination"] = r"""
+with docs as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda w: w <> '') as w from documents where text is not null),
+items as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda w: w <> '') as v from benchmark where text is not null),
+di as (select doc_id, len(w) as n, p - 1 as pos, array_to_string(w[p : p + 4], ' ') as s from docs, unnest(range(1, greatest(len(w) - 3, 2))) as u(p) where len(w) > 0),
+ii as (select item_id, len(v) as size, array_to_string(v[p : p + 4], ' ') as s from items, unnest(range(1, greatest(len(v) - 3, 2))) as u(p) where len(v) > 0),
+ig as (select item_id, size, s, count(*) as c from ii group by item_id, size, s),
+ic as (select *, sum(c) over (partition by item_id) as m from ig),
+hits as (select distinct doc_id, n, item_id, size, m, pos from di join ic using (s)),
+starts as (select distinct doc_id, item_id, size, m, greatest(0, least(pos, n - size)) as start from hits),
+bag as (
+  select doc_id, item_id, start, m, s, count(*) as c from starts join di using (doc_id)
+  where pos >= start and pos < start + greatest(size - 4, 1) group by all),
+scored as (
+  select b.doc_id, b.item_id, b.start, sum(least(b.c, coalesce(ic.c, 0))) as shared, sum(b.c) as w, any_value(b.m) as m
+  from bag b left join ic on ic.item_id = b.item_id and ic.s = b.s group by all),
+good as (select doc_id, item_id, start::int as start, (shared / (w + m - shared))::double as similarity from scored)
+select doc_id, item_id, start, similarity from good where similarity >= 0.75
+qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1"""
