@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import decontaminate, langid, quality, reputation
+from chatloom.llm import decontaminate, langid, linededup, quality, reputation
 from chatloom.llm.common import new_dir, table, vocabulary
 from chatloom.llm.packing import pack
 from chatloom.llm.sharding import shard
@@ -163,3 +163,30 @@ scored as (
 good as (select doc_id, item_id, start::int as start, (shared / (w + m - shared))::double as similarity from scored)
 select doc_id, item_id, start, similarity from good where similarity >= 0.75
 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1"""
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document its lines of five words or more, those equal to an earlier line, and those one word from one."""
+    return linededup.count_lines(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_line_dedup"] = r"""
+with line as (
+  select doc_id, i - 1 as line_no, list_filter(regexp_split_to_array(lower(string_split(text, chr(10))[i]), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as u(i)),
+long as (select *, row_number() over (partition by w order by doc_id, line_no) > 1 as is_repeat from line where len(w) >= 5),
+firsts as (select row_number() over (order by doc_id, line_no) as f, w from long where not is_repeat),
+keys as (
+  select f, len(w) - 1 as n, i, array_to_string(list_slice(w, 1, i), ' ') as a, array_to_string(list_slice(w, i + 2, len(w)), ' ') as b
+  from firsts, unnest(range(len(w))) as u(i)
+  union all
+  select f, len(w), i, array_to_string(list_slice(w, 1, i), ' '), array_to_string(list_slice(w, i + 1, len(w)), ' ')
+  from firsts, unnest(range(len(w) + 1)) as u(i)),
+close as (select f from keys qualify f > min(f) over (partition by n, i, a, b)),
+near as (select w from firsts where f in (select f from close)),
+counted as (
+  select doc_id, count(*) as n_lines, count(*) filter (is_repeat) as n_repeats, count(*) filter (not is_repeat and w in (select w from near)) as n_near
+  from long group by doc_id)
+select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_repeats, 0)::bigint as n_repeats, coalesce(n_near, 0)::bigint as n_near
+from documents left join counted using (doc_id)"""
