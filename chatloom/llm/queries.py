@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import decontaminate, langid, linededup, quality, reputation
+from chatloom.llm import decontaminate, langid, linededup, quality, reputation, toolcalls
 from chatloom.llm.common import new_dir, table, vocabulary
 from chatloom.llm.packing import pack
 from chatloom.llm.sharding import shard
@@ -190,3 +190,40 @@ counted as (
   from long group by doc_id)
 select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_repeats, 0)::bigint as n_repeats, coalesce(n_near, 0)::bigint as n_near
 from documents left join counted using (doc_id)"""
+
+
+@query
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations in canonical form: a user's turn is a call of the tool ``reply``, identified by
+    conversation and turn, and an assistant's turn is the result of the call of the turn before."""
+    chats = table(spark, sf_dir, "conversations")
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    events = chats.select(
+        F.col("conv_id").alias("conv"), "turn", "role",
+        F.when(user, "call").when(assistant, "result").otherwise("message").alias("kind"),
+        F.when(user | assistant, F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - F.when(assistant, 1).otherwise(0)).cast("string"))).alias("id"),
+        F.when(user, "reply").alias("name"),
+        F.when(user, F.to_json(F.struct("turn", F.col("text").alias("prompt")))).alias("arguments"),
+        F.when(~user, F.col("text")).alias("text"),
+        F.array().cast("array<string>").alias("after"),
+    )
+    schemas = {"reply": toolcalls.Schema({"prompt": "string", "turn": "integer"}, ("prompt", "turn"))}
+    return toolcalls.format_chats(events, schemas).select(F.col("conv").alias("conv_id"), "turn", "role", "kind", "id", "status", "fault", "place", "json")
+
+
+ORACLES["op6_tool_calls"] = r"""
+with rows as (
+  select conv_id, turn, role, text, case role when 'user' then 'call' when 'assistant' then 'result' else 'message' end as kind,
+    case role when 'user' then conv_id || ':' || turn when 'assistant' then conv_id || ':' || (turn - 1) end as id from conversations),
+linked as (
+  select r.*, case kind
+    when 'call' then case when exists (select 1 from rows x where x.kind = 'result' and x.id = r.id) then 'answered' else 'open' end
+    when 'result' then case when exists (select 1 from rows x where x.kind = 'call' and x.id = r.id) then 'linked' else 'no call' end end as status
+  from rows r)
+select conv_id, turn, role, kind, id, status,
+  case when kind = 'call' and text is null then 'missing prompt' end as fault,
+  row_number() over (partition by conv_id order by turn, (status = 'linked')::int, role, kind, id, text) - 1 as place,
+  '{' || case kind when 'call' then '"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || '},"id":' || to_json(id) || ',"kind":"call","name":"reply"'
+    when 'result' then '"content":' || to_json(text) || ',"id":' || to_json(id) || ',"kind":"result"'
+    else '"content":' || to_json(text) || ',"kind":"message"' end || ',"role":' || to_json(role) || '}' as json
+from linked"""
