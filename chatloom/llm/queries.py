@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import decontaminate, langid, linededup, quality, reputation, toolcalls
+from chatloom.llm import decontaminate, langid, linededup, ngramjoin, quality, reputation, toolcalls
 from chatloom.llm.common import new_dir, table, vocabulary
 from chatloom.llm.packing import pack
 from chatloom.llm.sharding import shard
@@ -227,3 +227,25 @@ select conv_id, turn, role, kind, id, status,
     when 'result' then '"content":' || to_json(text) || ',"id":' || to_json(id) || ',"kind":"result"'
     else '"content":' || to_json(text) || ',"kind":"message"' end || ',"role":' || to_json(role) || '}' as json
 from linked"""
+
+
+@query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of 5-word shingles and its component at a Jaccard similarity of 0.75."""
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_ngram_join"] = r"""
+with recursive worded as (
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents where text is not null),
+grams as (
+  select distinct doc_id, array_to_string(w[p : p + 4], ' ') as g from worded, unnest(range(1, greatest(len(w) - 3, 2))) as u(p) where len(w) > 0),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+joint as (select a.doc_id as a, b.doc_id as b, count(*) as x from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+  select a, b from joint join sizes s on s.doc_id = a join sizes t on t.doc_id = b where 100 * x >= 75 * (s.n + t.n - x)),
+reach as (select doc_id as a, doc_id as b from sizes union select r.a, l.b from reach r join links l on l.a = r.b),
+named as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, doc_id) as component_id
+from documents left join sizes using (doc_id) left join named using (doc_id)"""
