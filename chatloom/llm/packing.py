@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.wordids import WordIds
+from chatloom.llm.wordids import word_ids
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
@@ -114,7 +114,7 @@ def _powers(pieces: list[tuple[int, int, int]], total: int) -> Iterator[list[tup
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, group_ids: int) -> Iterator[pa.RecordBatch]:
-    ids, end, sequence = WordIds(path), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId() << 32
+    ids, end, sequence = word_ids(path), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId() << 32
 
     def group(names: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         nonlocal sequence

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.wordids import WordIds
+from chatloom.llm.wordids import word_ids
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "part int, tokens_file string, index_file string, n_docs long, n_tokens long, n_sequences long"
@@ -76,7 +76,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             if words is None:
-                words = WordIds(vocabulary)
+                words = word_ids(vocabulary)
                 dtype = np.dtype("<u2" if max(words.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "<u4")
                 schema = layout(pa.from_numpy_dtype(dtype), length)
                 store.create_dir(root, recursive=True)
