@@ -5,7 +5,10 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(HERE))
+# Python workers import the library, and the tests' own providers.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(HERE), HERE, os.environ.get("PYTHONPATH")]))
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
