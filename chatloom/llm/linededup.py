@@ -22,7 +22,7 @@ from chatloom.llm.common import cut, words_of
 MIN_WORDS = 5
 #: Keys of documents are broadcast while there are at most this many; beyond that the join shuffles the texts.
 BROADCAST_ROWS = 1_000_000
-_SMALL = F.lit(1 << 40)
+_SMALL = 1 << 40
 
 
 def line_words(line: Column) -> Column:
@@ -59,8 +59,8 @@ def variants(lines: DataFrame) -> DataFrame:
     and not with its square.
     """
     placed = lines.select("h", "n", "doc", "line_no", F.posexplode("words").alias("i", "word"))
-    before = F.pmod(F.xxhash64(F.lit(2), "i", "word"), _SMALL)
-    after = F.pmod(F.xxhash64(F.lit(3), F.col("n") - F.col("i"), "word"), _SMALL)
+    before = F.pmod(F.xxhash64(F.lit(2), "i", "word"), F.lit(_SMALL))
+    after = F.pmod(F.xxhash64(F.lit(3), F.col("n") - F.col("i"), "word"), F.lit(_SMALL))
     line = Window.partitionBy("h", "n").orderBy("i")
     run = placed.select("h", "n", "doc", "line_no", "i", before.alias("b"), after.alias("a"))
     run = run.withColumns({"before": F.sum("b").over(line) - F.col("b"), "after": F.sum("a").over(line.orderBy(F.col("i").desc())) - F.col("a")})
