@@ -130,9 +130,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS
 
     Other columns are as they were. Rows whose text had no word before stay as they are.
     """
-    gone = cut(judged_lines(docs, key, min_words).where("repeat or near").groupBy("doc").agg(F.collect_set("line_no").alias("_gone")), "gone-lines")
+    gone = judged_lines(docs, key, min_words).where("repeat or near").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = cut(gone, "gone-lines")
     pick = F.broadcast if gone.count() <= BROADCAST_ROWS // 4 else (lambda x: x)
-    rows = docs.join(pick(gone), F.col(key).eqNullSafe(F.col("doc")), "left")
+    rows = docs.join(pick(gone), F.col(key).eqNullSafe(F.col("_doc")), "left")
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
     kept = rows.withColumn("text", text).where(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

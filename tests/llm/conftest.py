@@ -7,6 +7,6 @@ def docs(spark):
 
     def make(rows):
         full = [(*r, *("en", "src0")[len(r) - 2 :]) if len(r) < 4 else r for r in rows]
-        return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 7, "x") for r in full], "doc_id long, text string, lang string, source string, n_chars long, n long, key string")
+        return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 7, "x", "y", 8) for r in full], "doc_id long, text string, lang string, source string, n_chars long, n long, key string, doc string, h int")
 
     return make
