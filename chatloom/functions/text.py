@@ -25,6 +25,12 @@ def utf16_length(x: Column) -> Column:
     return (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
 
 
+def preview(x: Column, units: int = 200) -> Column:
+    """The first UTF-16 units of a text, with an ellipsis where there are more."""
+    start = F.decode(F.substring(F.encode(x, "UTF-16BE"), 1, 2 * units), "UTF-16BE")
+    return F.when(utf16_length(x) > units, F.concat(start, F.lit("…"))).otherwise(x)
+
+
 def lines(x: Column) -> Column:
     """Trimmed lines that are not empty."""
     return F.filter(F.transform(F.split(x, r"\r?\n"), trim), lambda v: v != "")

@@ -60,6 +60,17 @@ class HttpProvider:
         return json.loads(reply)["choices"][0]["message"]["content"] or ""
 
 
+@dataclass
+class HttpVisionProvider(HttpProvider):
+    """The same interface with a picture in the message."""
+
+    timeout: float = 90.0
+    temperature: float = 0.1
+
+    def see(self, prompt: str, data_uri: str) -> str:
+        return self.chat(prompt, [{"type": "image_url", "image_url": {"url": data_uri}}])
+
+
 #: The variables of the environment that name a provider, in order: prefix, default endpoint and model, and
 #: whether the environment may change these two.
 ENV = (

@@ -120,3 +120,12 @@ def structure_stats(messages: DataFrame, by: tuple[str, ...] = ("source_id",)) -
     by_role = F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "n")))).alias("by_role")
     return counts.groupBy(*by).agg(F.sum("n").alias("total"), by_role, F.sum("p").alias("pending_label"), F.sum("l").alias("llm_assisted"))
 
+
+def source_stats(raw: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """(source_id, total, by_role, pending_label, llm_assisted, skipped) of what an adapter read."""
+    stats = structure_stats(raw)
+    if skipped is None:
+        return stats.withColumn("skipped", F.lit(0).cast("bigint"))
+    joined = stats.join(skipped, "source_id", "full")
+    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("total", "pending_label", "llm_assisted", "skipped")}
+    return joined.withColumns({**zero, "by_role": F.coalesce("by_role", F.create_map().cast("map<string,bigint>"))})

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import XML_ENTITIES
@@ -48,7 +48,12 @@ def entries(files: DataFrame) -> DataFrame:
     return files.select("source_id", "content").mapInPandas(read, "source_id string, name string, content binary")
 
 
-def is_archive(column: str = "content") -> object:
+def text_entries(files: DataFrame) -> DataFrame:
+    """(source_id, name, text): archives as bundles of named texts."""
+    return entries(files).select("source_id", "name", F.decode(F.col("content"), "UTF-8").alias("text"))
+
+
+def is_archive(column: str = "content") -> Column:
     head = F.substring(column, 1, 4)
     return head.isin(*(F.lit(bytearray(m)) for m in MAGIC))
 

@@ -131,6 +131,11 @@ def sniff_bundles(files: DataFrame) -> DataFrame:
     return known.select("source_id", F.when(F.col("k"), "characterai").alias("name"), F.when(F.col("k"), "high").alias("confidence"))
 
 
+def sniffed_or(sniffed: DataFrame, chosen: str) -> DataFrame:
+    """(source_id, name): what was recognised, else what the caller chose."""
+    return sniffed.select("source_id", F.coalesce("name", F.lit(chosen)).alias("name"))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Files as (source_id, path, text), one row each."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), T.without_bom(F.col("value")).alias("text"))

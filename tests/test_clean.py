@@ -150,6 +150,7 @@ def test_text_functions(spark):
     assert one(spark, T.trim(F.lit(" 　 x y ﻿\n"))) == "x y"
     assert one(spark, T.utf16_length(F.lit("a😀"))) == 3
     assert one(spark, T.decode_entities(F.lit("&#x4F60;&#22909; &lt;b&gt; &amp;lt; &#38;lt; &#x110000;|&nbsp;&copy;"))) == "你好 <b> &lt; < | &copy;"
+    assert one(spark, T.preview(F.lit("ab😀cd"), 4)) == "ab😀…" and one(spark, T.preview(F.lit("ab"), 2)) == "ab"
     page = "<html><head><title> A &amp;\n B </title><style>p{}</style></head><!-- <p>no</p> --><body><p>one<b> two</b></p>three<br>four<SCRIPT>x()</SCRIPT ><ul><li>five&#160; six</ul></body>"
     assert one(spark, T.html_title(F.lit(page))) == "A & B" and one(spark, T.html_title(F.lit("<p>x"))) is None
     assert one(spark, T.html_blocks(F.lit(page))) == ["one two", "three", "four", "five six"]

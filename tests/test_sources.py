@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatloom.operators import distill as D
 from chatloom.operators import pack as P
+from chatloom.operators.structure import source_stats
 from chatloom.plans import queries as Q
 from chatloom.plans.pipeline import run_from_source, run_pipeline
 from chatloom.schemas import RAW
@@ -254,3 +255,34 @@ def test_weekly_counts_on_a_stream(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("weeks").collect())) == sorted(map(tuple, weekly_counts(table).collect()))
+
+
+def test_a_bundle_in_an_archive_and_its_statistics(spark):
+    data = make_zip({"u/data/message.json": json.dumps([{"raw_content": "x", "is_human": True}, {"raw_content": " "}])})
+    found, skipped = J.characterai(archives.text_entries(binaries(spark, b_zip=data)))
+    stats = source_stats(found, skipped).first()
+    assert (stats.total, stats.by_role, stats.pending_label, stats.skipped) == (1, {"user": 1}, 0, 1)
+    chosen = registry.sniffed_or(registry.sniff_texts(docs(spark, "plain", "<p>")), "txt-docx")
+    assert {r.source_id: r.name for r in chosen.collect()} == {"s0": "txt-docx", "s1": "local-web"}
+
+
+def test_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\ufeffone\ntwo")
+    assert registry.read_texts(spark, str(tmp_path)).first().text == "one\ntwo"
+    assert bytes(registry.read_binaries(spark, str(tmp_path)).first().content).endswith(b"two")
+
+
+def test_a_picture_goes_into_the_message():
+    def post(url, headers, body, timeout):
+        assert timeout == 90 and json.loads(body)["messages"][1]["content"][0]["image_url"]["url"] == "data:x"
+        return b'{"choices":[{"message":{"content":"[]"}}]}'
+
+    assert D.HttpVisionProvider("http://h", "k", "m", post=post).see("p", "data:x") == "[]"
+
+
+def test_the_public_names():
+    import chatloom
+
+    assert all(getattr(chatloom, name) for name in chatloom.__all__)
+    with pytest.raises(AttributeError):
+        chatloom.nothing
