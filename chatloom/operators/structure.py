@@ -23,15 +23,22 @@ def normal_role(role: Column) -> Column:
     return one_of(role, ROLES)
 
 
-def match_alias(speaker: Column, aliases: Mapping[str, str]) -> Column:
-    """The role of the longest alias that the speaker's name contains; of equally long ones the first declared; else null.
+def longest_alias(speaker: Column, aliases: Mapping[str, str]) -> Column:
+    """The longest alias that the speaker's name contains; of equally long ones the first declared; else null.
 
     Aliases are a small set of the caller's, so they are one chain of conditions and no join.
     """
     out = F.lit(None).cast("string")
-    for alias, role in sorted(reversed(aliases.items()), key=lambda a: len(a[0].encode("utf-16-le"))):
-        if alias:
-            out = F.when(F.contains(speaker, F.lit(alias)), F.lit(role)).otherwise(out)
+    for alias in sorted(reversed(aliases), key=lambda a: len(a.encode("utf-16-le"))):
+        out = F.when(F.contains(speaker, F.lit(alias)), F.lit(alias)).otherwise(out)
+    return out
+
+
+def match_alias(speaker: Column, aliases: Mapping[str, str]) -> Column:
+    """The role of the longest alias in a name, or null."""
+    found, out = longest_alias(speaker, aliases), F.lit(None).cast("string")
+    for alias, role in aliases.items():
+        out = F.when(found == alias, F.lit(role)).otherwise(out)
     return out
 
 
@@ -40,8 +47,8 @@ def parse_header(header: Column, year: Column) -> tuple[Column, Column, Column]:
     h = T.trim(header)
     ok, part = h.rlike(HEADER), lambda i: F.regexp_extract(h, HEADER, i)
     number = lambda i: F.when(ok, F.when(part(i) == "", "0").otherwise(part(i)).cast("int"))
-    raw = F.trim(F.regexp_replace(h, r"\A[^:：]*[:：]", ""))
-    return F.when(ok, part(1)), times.header_ms(year, number(2), number(3), number(4), number(5), number(6)), F.when(ok, T.trim(raw))
+    raw = F.concat(part(2), F.lit("-"), part(3), F.lit(" "), part(4), F.lit(":"), part(5), F.when(part(6) != "", F.concat(F.lit(":"), part(6))).otherwise(""))
+    return F.when(ok, part(1)), times.header_ms(year, number(2), number(3), number(4), number(5), number(6)), F.when(ok, raw)
 
 
 def structure_raw(raw: DataFrame, default_role: str = "unlabeled") -> DataFrame:
@@ -59,13 +66,12 @@ def structure_segments(segments: DataFrame, aliases: Mapping[str, str] | None =
     """
     year = F.lit(base_year) if base_year else F.year(F.current_timestamp())
     speaker, ts, raw_time = parse_header(F.col("header"), year)
-    speaker = F.coalesce(speaker, T.trim(F.col("header")))
-    matched = match_alias(speaker, aliases or {})
+    alias, matched = longest_alias(speaker, aliases or {}), match_alias(speaker, aliases or {})
     headed = F.col("header").isNotNull()
     has_ref = F.col("has_ref") if "has_ref" in segments.columns else F.lit(False)
     ref_role, ref_ts, ref_meta = (F.col(c) if c in segments.columns else F.lit(None).cast(t) for c, t in (("role", "string"), ("ts_ms", "bigint"), ("meta", META)))
     pending = ~has_ref & (~headed | matched.isNull())
-    own = meta(source=F.lit("segments"), speaker=F.when(headed, speaker), raw_time=F.when(headed, raw_time), role_matched=F.when(headed, F.when(matched.isNotNull(), "alias").otherwise("none")), pending_label=F.when(pending, True))
+    own = meta(source=F.lit("segment"), speaker=speaker, raw_time=raw_time, role_matched=alias, pending_label=F.when(pending, True))
     known = normal_role(ref_role)
     kept = meta_with(ref_meta, source=F.lit("structured"), original_role=F.coalesce(ref_meta["original_role"], F.when(known.isNull(), ref_role)))
     role = F.when(has_ref, F.coalesce(known, F.lit(default_role))).when(headed, F.coalesce(matched, F.lit(default_role))).otherwise(F.lit(default_role))
@@ -97,7 +103,7 @@ def structure_lines(docs: DataFrame, provider=None) -> DataFrame:
         reply = provider().chat(ROLE_PROMPT, "\n".join(f"{i + 1}. {t}" for i, t in enumerate(texts)))
         found = extract_json(reply)
         if isinstance(found, list):
-            rows = [(x.get("role"), x["text"].strip(), True) for x in found if isinstance(x, dict) and isinstance(x.get("text"), str) and x["text"].strip()]
+            rows = [(x.get("role"), x["text"], True) for x in found if isinstance(x, dict) and isinstance(x.get("text"), str) and x["text"]]
         else:
             rows = [(None, t, False) for t in texts]
         out = pd.DataFrame(rows, columns=["role", "text", "labelled"])
@@ -105,10 +111,10 @@ def structure_lines(docs: DataFrame, provider=None) -> DataFrame:
 
     batches = lines.withColumn("batch", F.floor(F.col("pos") / LINE_BATCH)).groupBy("source_id", "batch").applyInPandas(label, "source_id string, batch long, k long, role string, text string, labelled boolean")
     role = F.coalesce(normal_role(F.col("role")), F.lit("unlabeled"))
-    pending = role == "unlabeled"
+    pending = ~F.col("labelled")
     # A reply may have more messages than the batch had lines, so places are counted from the replies.
     numbered = dense_positions(batches.withColumn("_p", F.col("batch") * 1_000_000 + F.col("k")), "source_id", "_p", 1_000_000)
-    labelled = meta(source=F.lit("plaintext"), llm_role_label=F.when(F.col("labelled"), True), line_batch=F.when(F.col("labelled"), F.col("batch")), pending_label=F.when(pending, True))
+    labelled = meta(source=F.lit("plaintext"), llm_role_label=F.when(F.col("labelled"), True), line_batch=F.col("batch"), pending_label=F.when(pending, True))
     return numbered.select("source_id", F.col("_i").alias("pos"), F.lit(None).cast("bigint").alias("ts_ms"), role.alias("role"), "text", labelled.alias("meta"), pending.alias("pending"))
 
 

@@ -96,6 +96,7 @@ def test_headers_and_aliases(spark):
     assert [(r.role, r.ts_ms, r.meta.speaker, r.pending) for r in got] == [
         ("user", 1780308005000, "Ada", False), ("assistant", 1772530200000, "dia_image1.jpeg)Nova", False), ("unlabeled", None, "Stranger", True), ("unlabeled", None, None, True),
     ]
+    assert [(r.meta.role_matched, r.meta.raw_time, r.meta.pending_label) for r in got] == [("Ada", "06-01 10:00:05", None), ("Nova", "02-31 09:30", None), (None, "13-32 99:99:99", True), (None, None, True)]
     stats = S.structure_stats(S.structure_segments(rows)).first()
     assert (stats.total, stats.by_role, stats.pending_label) == (4, {"unlabeled": 4}, 4)
 
@@ -122,7 +123,7 @@ def test_plain_lines_with_and_without_a_provider(spark):
     plain = S.structure_lines(docs).orderBy("source_id", "pos").collect()
     assert [(r.source_id, r.text, r.role, r.pending) for r in plain] == [("a", "l1", "unlabeled", True), ("a", "l2", "unlabeled", True), ("b", "zap", "unlabeled", True), ("b", "x", "unlabeled", True)]
     told = S.structure_lines(docs, Labels).orderBy("source_id", "pos").collect()
-    assert [(r.source_id, r.pos, r.text, r.role, r.pending) for r in told] == [("a", 0, "one", "user", False), ("a", 1, "two", "unlabeled", True), ("b", 0, "zap", "unlabeled", True), ("b", 1, "x", "unlabeled", True)]
+    assert [(r.source_id, r.pos, r.text, r.role, r.pending) for r in told] == [("a", 0, "one", "user", False), ("a", 1, " two ", "unlabeled", False), ("b", 0, "zap", "unlabeled", True), ("b", 1, "x", "unlabeled", True)]
 
 
 def one(spark, column):
