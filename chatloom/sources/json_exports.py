@@ -126,20 +126,21 @@ def characterai(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     they stay as they are. An export without ``message.json`` stops the query.
     """
     named = files.select("source_id", F.lower(F.regexp_extract(F.replace(F.col("name"), F.lit("\\"), F.lit("/")), r"([^/]*)\z", 1)).alias("file"), strict_json("text").alias("j"))
-    text_of = lambda name: named.where(F.col("file") == name).groupBy("source_id").agg(F.first("j", ignorenulls=True).alias("j"))
+    text_of = lambda *names: named.where(F.col("file").isin(*names)).groupBy("source_id").agg(F.first("j", ignorenulls=True).alias("j"))
     get = lambda key: F.get_json_object("j", f"$.{key}")
-    user = text_of("user.json").select("source_id", _first_text(*(get(k) for k in ("first_name", "name", "username"))).alias("user"))
-    character = text_of("character.json").select("source_id", _first_text(*(get(k) for k in ("name", "title"))).alias("character"))
-    messages = text_of("message.json")
+    user = text_of("user.json", "user").select("source_id", _first_text(*(get(k) for k in ("first_name", "username", "user_name", "name"))).alias("user"))
+    character = text_of("character.json", "character").select("source_id", _first_text(*(get(k) for k in ("name", "title"))).alias("character"))
+    messages = text_of("message.json", "message", "messages.json", "messages")
     wanting = named.select("source_id").distinct().join(messages, "source_id", "left")
     checked = wanting.withColumn("j", F.when(F.col("j").isNull(), F.raise_error(F.lit("the bundle has no message.json")).cast("string")).otherwise(F.col("j")))
-    item = "array<struct<src: struct<name: string, is_human: variant, raw_content: string>, raw_content: string, is_human: variant, name: string, created: string, created_at: string, timestamp: string, create_time: string>>"
+    item = "array<struct<src: struct<name: string, is_human: variant, raw_content: string, created_at: string>, raw_content: string, is_human: variant, name: string, created: string, created_at: string, timestamp: string, create_time: string>>"
     rows = checked.select("source_id", F.posexplode(F.from_json("j", item)).alias("node", "m"))
     rows = rows.join(user, "source_id", "left").join(character, "source_id", "left")
     told = rows.withColumn("text", _first_text(F.col("m.src.raw_content"), F.col("m.raw_content"))).withColumn("speaker", _first_text(F.col("m.src.name"), F.col("m.name")))
     human = F.coalesce(F.try_variant_get("m.src.is_human", "$", "boolean"), F.try_variant_get("m.is_human", "$", "boolean"))
     role = F.when(human, "user").when(~human, "assistant").when(F.col("speaker") == F.col("user"), "user").when(F.col("speaker") == F.col("character"), "assistant").otherwise("unlabeled")
-    stamp = F.coalesce(*(F.coalesce(times.parse_iso_ms(F.col(f"m.{c}")), times.epoch_to_ms(F.col(f"m.{c}"))) for c in ("created_at", "created", "timestamp", "create_time")))
+    dated = (_first_text(F.col("m.created_at"), F.col("m.src.created_at")), _first_text(F.col("m.created"), F.col("m.timestamp")))
+    stamp = F.coalesce(*map(times.parse_iso_ms, dated), times.epoch_to_ms(F.col("m.create_time")))
     kept = told.where(F.col("text").isNotNull()).withColumns({"role": role, "ts_ms": stamp})
     all_timed = kept.groupBy("source_id").agg((F.bool_and(F.col("ts_ms").isNotNull()) & (F.count(F.lit(1)) > 1)).alias("timed"))
     by_time = Window.partitionBy("source_id").orderBy(F.when(F.col("timed"), F.col("ts_ms")), "node")
@@ -149,17 +150,17 @@ def characterai(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def sillytavern(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JSON Lines with ``mes``: other lines are skipped and counted, a header line with names is neither."""
+    """JSON Lines with ``mes``: other lines are skipped and counted, lines that only name user or character are neither."""
     lines = docs.select("source_id", F.posexplode(T.lines(T.without_bom(F.col("text")))).alias("node", "line"))
     item = "struct<mes: variant, is_user: variant, is_system: variant, name: string, send_date: string, user_name: variant, character_name: variant>"
     rows = lines.withColumn("m", F.from_json(strict_json("line"), item))
     text = F.when(F.schema_of_variant("m.mes") == "STRING", T.trim(F.try_variant_get("m.mes", "$", "string")))
     told = rows.withColumn("text", F.coalesce(text, F.lit("")))
-    header = (F.col("node") == 0) & F.col("m.mes").isNull() & (F.col("m.user_name").isNotNull() | F.col("m.character_name").isNotNull())
+    header = F.col("m.mes").isNull() & (F.col("m.user_name").isNotNull() | F.col("m.character_name").isNotNull())
     told = told.where(~F.coalesce(header, F.lit(False)))
     true = lambda c: F.coalesce(F.try_variant_get(c, "$", "boolean"), F.lit(False))
     role = F.when(true("m.is_system"), "system").when(true("m.is_user"), "user").otherwise("assistant")
-    known = meta(source=F.lit("st-chatlog"), speaker=F.nullif(T.trim(F.col("m.name")), F.lit("")), raw_time=F.col("m.send_date"))
+    known = meta(source=F.lit("st-chatlog"), speaker=F.nullif(F.col("m.name"), F.lit("")), raw_time=F.col("m.send_date"))
     kept = told.where(F.col("text") != "").select("source_id", "node", role.alias("role"), "text", times.parse_send_date(F.col("m.send_date")).alias("ts_ms"), known.alias("meta"))
     return _raw(_number(kept, "node")), _skipped(told, F.col("text") != "")
 

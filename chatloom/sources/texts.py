@@ -73,7 +73,7 @@ SEE_PROMPT = 'Transcribe the chat in this picture, from top to bottom, as a JSON
 def screenshots(files: DataFrame, provider: Callable[[], object] | None) -> DataFrame:
     """Pictures (source_id, path, content) as messages, through a provider with ``see(prompt, data_uri)``.
 
-    A reply that is no JSON array, or an empty one, becomes one message whose role is pending; a blank reply stops the query.
+    A reply without a JSON array of texts becomes one message whose role is pending; a blank reply stops the query.
     """
     if provider is None:
         raise ValueError("screenshots need a provider that takes pictures")
@@ -87,13 +87,12 @@ def screenshots(files: DataFrame, provider: Callable[[], object] | None) -> Data
                 if not (reply or "").strip():
                     raise ValueError(f"{source}: the provider returned nothing")
                 found = extract_json(reply)
-                if isinstance(found, list) and found:
-                    rows = [(x.get("role"), x["text"].strip(), False) for x in found if isinstance(x, dict) and isinstance(x.get("text"), str) and x["text"].strip()]
-                else:
-                    rows = [(None, reply.strip(), True)]
+                items = found if isinstance(found, list) else []
+                rows = [(x.get("role"), x["text"].strip(), False) for x in items if isinstance(x, dict) and isinstance(x.get("text"), str) and x["text"].strip()]
+                rows = rows or [(None, reply.strip(), True)]
                 yield pd.DataFrame({"source_id": source, "mime": kind, "pos": range(len(rows)), "role": [r for r, *_ in rows], "text": [t for _, t, _ in rows], "raw": [x for *_, x in rows]})
 
     seen = files.select("source_id", mime.alias("mime"), "content").mapInPandas(ask, "source_id string, mime string, pos long, role string, text string, raw boolean")
     role = F.coalesce(normal_role(F.col("role")), F.lit("unlabeled"))
-    known = meta(source=F.lit("screenshot"), mime_type=F.col("mime"), llm_role_label=F.when(~F.col("raw"), True), pending_label=F.when(F.col("raw") | (role == "unlabeled"), True))
+    known = meta(source=F.lit("screenshot"), mime_type=F.col("mime"), llm_role_label=F.when(~F.col("raw"), True), pending_label=F.when(F.col("raw"), True))
     return seen.select("source_id", "pos", role.alias("role"), "text", F.lit(None).cast("bigint").alias("ts_ms"), known.alias("meta"))

@@ -78,7 +78,7 @@ def bundle(spark, messages, with_messages=True):
 def test_bundles(spark):
     messages = [
         {"src": {"name": "Bot", "is_human": False, "raw_content": "second", "text": "decoy"}, "created_at": "2025-01-01T00:02:00Z"},
-        {"raw_content": "first", "name": "Ada", "created": "2025-01-01T00:01:00Z"}, {"src": {"name": "Who", "raw_content": "third"}, "created_at": "1735689900"}, {"text": "no raw content"},
+        {"raw_content": "first", "name": "Ada", "created": "2025-01-01T00:01:00Z"}, {"src": {"name": "Who", "raw_content": "third"}, "create_time": 1735689900}, {"text": "no raw content"},
     ]
     found, skipped = J.characterai(bundle(spark, messages))
     assert said(found) == [("user", "first", 1735689660000), ("assistant", "second", 1735689720000), ("unlabeled", "third", 1735689900000)]
