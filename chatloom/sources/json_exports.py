@@ -22,11 +22,15 @@ TREE = "struct<title: string, current_node: string, mapping: map<string, struct<
 FLAT = "struct<uuid: string, name: string, chat_messages: array<struct<sender: string, text: string, created_at: string, content: variant>>>"
 
 
-def conversations(docs: DataFrame) -> DataFrame:
-    """(source_id, conv, body): the JSON texts of an array, of the array ``conversations`` of an object, or of one object."""
+def conversations(docs: DataFrame, field: str, opens: str) -> DataFrame:
+    """(source_id, conv, body): the JSON texts of an array, of the array ``conversations`` of an object, or of one object.
+
+    Only objects whose ``field`` is an object or array (as ``opens`` says) are conversations, and only they are numbered.
+    """
     clean = docs.select("source_id", strict_json("text").alias("_j"))
     wrapped = F.from_json("_j", "struct<conversations: array<string>>")["conversations"]
     items = F.when(F.col("_j").startswith("["), F.from_json("_j", "array<string>")).otherwise(F.coalesce(wrapped, F.array("_j")))
+    items = F.filter(items, lambda x: F.coalesce(F.get_json_object(x, f"$.{field}").startswith(opens), F.lit(False)))
     return clean.where(F.col("_j").isNotNull()).select("source_id", F.posexplode(items).alias("conv", "body"))
 
 
@@ -83,7 +87,7 @@ def chatgpt(docs: DataFrame, current_path: bool = False) -> tuple[DataFrame, Dat
 
     Tool messages and messages without text are skipped and counted. Nodes of which no root is known do not count at all.
     """
-    trees = conversations(docs).withColumn("c", F.from_json("body", TREE)).where(F.col("c.mapping").isNotNull())
+    trees = conversations(docs, "mapping", "{").withColumn("c", F.from_json("body", TREE))
     nodes = F.transform(F.map_entries("c.mapping"), lambda e: F.struct(e["key"].alias("id"), e["value"]["parent"].alias("parent"), e["value"]["children"].alias("children")))
     order = _path_order(nodes, F.col("c.current_node")) if current_path else _tree_order(nodes)
     walked = trees.select("source_id", "conv", "c", F.posexplode(order).alias("node", "id")).select("source_id", "conv", "node", F.col("c.title").alias("title"), F.try_element_at("c.mapping", F.col("id"))["message"].alias("m"))
@@ -101,7 +105,7 @@ def chatgpt(docs: DataFrame, current_path: bool = False) -> tuple[DataFrame, Dat
 
 def claude(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flat conversations: the text, or else the text blocks of the content; messages without text are skipped."""
-    chats = conversations(docs).withColumn("c", F.from_json("body", FLAT)).where(F.col("c.chat_messages").isNotNull())
+    chats = conversations(docs, "chat_messages", "[").withColumn("c", F.from_json("body", FLAT))
     rows = chats.select("source_id", "conv", F.col("c.name").alias("name"), F.posexplode("c.chat_messages").alias("node", "m"))
     blocks = F.coalesce(F.try_variant_get("m.content", "$", "array<variant>"), F.array().cast("array<variant>"))
     blocks = F.filter(blocks, lambda v: F.try_variant_get(v, "$.type", "string") == "text")

@@ -48,6 +48,8 @@ def test_message_trees(spark):
     assert said(found) == tree * 3
     assert {r.source_id: r.skipped for r in skipped.collect()} == {"s0": 2, "s1": 2, "s2": 2}
     assert found.where("role = 'unlabeled'").first().meta.original_role == "critic"
+    mixed = J.chatgpt(docs(spark, json.dumps([1, None, {"mapping": 5}, "x", TREE[0]])))[0]
+    assert said(mixed) == tree and mixed.first().meta.conversation_index == 0
     path = J.chatgpt(docs(spark, json.dumps(TREE)), current_path=True)[0]
     assert said(path) == [tree[0], tree[2], tree[3]]
 
