@@ -48,6 +48,11 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, label: str = "rows") -> DataFrame:
+    """``df`` written out with ``_row``, a number of its own for each row: a doc_id may repeat, be null or have two texts."""
+    return cut(df.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
 def vocabulary(name: str) -> str:
     """Where the installed package of public tokenizers keeps a vocabulary file."""
     import public_tokenizers

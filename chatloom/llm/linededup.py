@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import cut, words_of
+from chatloom.llm.common import cut, with_row_key, words_of
 
 #: Lines with fewer words are not compared: one changed word leaves too little in common.
 MIN_WORDS = 5
@@ -128,12 +128,15 @@ def count_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS
 def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated and similar lines taken out of ``text``, the earliest kept; rows left without a word go.
 
-    Other columns are as they were. Rows whose text had no word before stay as they are.
+    Other columns are as they were. Rows whose text had no word before stay as they are. Each row is a text of its own,
+    also where keys repeat or are null: of rows with one key any may count as the earlier.
     """
-    gone = judged_lines(docs, key, min_words).where("repeat or near").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
+    rows = with_row_key(docs)
+    keyed = rows.select(F.struct(F.col(key).alias("id"), F.col("_row").alias("row")).alias("_key"), "text")
+    gone = judged_lines(keyed, "_key", min_words).where("repeat or near").groupBy(F.col("doc.row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     gone = cut(gone, "gone-lines")
     pick = F.broadcast if gone.count() <= BROADCAST_ROWS // 4 else (lambda x: x)
-    rows = docs.join(pick(gone), F.col(key).eqNullSafe(F.col("_doc")), "left")
+    rows = rows.join(pick(gone), "_row", "left")
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
     kept = rows.withColumn("text", text).where(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import cut, words_of
+from chatloom.llm.common import cut, with_row_key, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Words of a window for ``n_repeat_words``.
@@ -82,22 +82,24 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", floor: int
     """Each document's counts, the words its frequent lines hold (``n_line_words``), ``base_failed`` and ``kept``.
 
     Kept: not failed by its own counts, and at least ``least_left`` of its words, and 20 of them, are outside lines that
-    many documents of its host hold. Null text: no words, so it fails. Null host: the host ``""``. Null key: judged, but
-    line counts of rows with a null key are not joined back. Equal keys: their lines count together. Empty table: no rows.
+    many documents of its host hold. Null text: no words, so it fails. Null host: the host ``""``. Each row is judged by its
+    own lines, also where keys are null or repeat. Empty table: no rows.
     """
-    lines = cut(line_table(docs, key, host), "lines")
+    rows = with_row_key(docs.select(F.col(key).alias("id"), F.col(host).cast("string").alias("host"), "text"))
+    lines = cut(line_table(rows, "_row", "host"), "lines")
     removed = lines.join(frequent_lines(lines, floor, share), ["host", "line_hash"]).groupBy("key").agg(F.sum("n_words").cast("long").alias("n_line_words"))
-    base = base_counts(docs.select(F.col(key).alias("key"), "text"), ["key"])
+    base = base_counts(rows.select(F.col("_row").alias("key"), "id", "text"), ["key", "id"])
     left = F.col("n_words") - F.coalesce("n_line_words", F.lit(0).cast("long"))
     judged = base.join(removed, "key", "left")
     kept = ~F.col("base_failed") & (left >= F.lit(least_left) * F.col("n_words")) & (left >= 20)
-    return judged.select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.coalesce("n_line_words", F.lit(0).cast("long")).alias("n_line_words"))
+    return judged.select(F.col("id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.coalesce("n_line_words", F.lit(0).cast("long")).alias("n_line_words"))
 
 
 def remove_frequent_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", floor: int = 25, share: float = 0.0005) -> DataFrame:
     """``docs`` with frequent lines taken out of ``text``; other columns as they are. Rows keep their lines' order."""
-    lines = cut(line_table(docs, key, host), "lines")
+    keyed = with_row_key(docs)
+    lines = cut(line_table(keyed, "_row", host), "lines")
     gone = lines.join(frequent_lines(lines, floor, share), ["host", "line_hash"]).groupBy("key").agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.join(gone.withColumnRenamed("key", key), key, "left")
+    rows = keyed.join(gone.withColumnRenamed("key", "_row"), "_row", "left")
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm import decontaminate, langid, linededup, ngramjoin, packing
-from chatloom.llm.common import cut, table, vocabulary
+from chatloom.llm.common import cut, table, vocabulary, with_row_key
 
 #: Least posterior probability of the predicted language; texts without a letter have none.
 LEAST_SCORE = 0.5
@@ -31,16 +31,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each component the document with the smallest doc_id stays; null ids stay."""
-    members = ngramjoin.jaccard_components(docs)
-    copies = cut(members.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """N-gram Jaccard join: of each component one row stays, that with the smallest doc_id; null ids come last."""
+    rows = with_row_key(docs)
+    members = ngramjoin.jaccard_components(rows, key="_row").join(rows.select("_row", "doc_id"), "_row")
+    members = cut(members.select("_row", "doc_id", "component_id"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
+    heads = members.groupBy("component_id").agg(first.alias("first")).select("first._row")
+    copies = cut(members.join(heads, "_row", "left_anti").select("_row"), "copies")
+    return rows.join(copies, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark item go."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(cut(leaks.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    """Benchmark decontamination: rows that hold a benchmark item go."""
+    rows = with_row_key(docs)
+    leaks = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), key="_row")
+    return rows.join(cut(leaks.select("_row").distinct(), "leaks"), "_row", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
