@@ -11,7 +11,7 @@ from typing import Any, Protocol
 from urllib.parse import urlparse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
@@ -104,18 +104,33 @@ def transcript_line() -> Column:
     return F.concat(times.plain_text(F.col("ts_ms")), F.lit(" "), "role", F.lit(": "), "text")
 
 
+def may_fit(rows: DataFrame, budget: int, span: int = 4096) -> DataFrame:
+    """Of rows (source_id, week, pos, line, len) those that can be in a transcript, and ``n``, the rows they stand for.
+
+    What is used of the budget never falls; so of a week's lines of one length those that are taken are the first ones, and
+    at most as many as the budget holds. They are picked within blocks of positions, then within blocks of blocks, so that no
+    task sees all lines of a week. Lines that never fit (len is null) are only counted.
+    """
+    out = rows.withColumns({"len": F.when(F.col("len") <= budget, F.col("len")), "line": F.when(F.col("len") <= budget, F.col("line")), "n": F.lit(1).cast("long")})
+    for width in (span, span * span, None):
+        same = Window.partitionBy("source_id", "week", "len", *([F.floor(F.col("pos") / width)] if width else []))
+        placed = out.withColumns({"_at": F.row_number().over(same.orderBy("pos", "line")), "_rows": F.sum("n").over(same)})
+        picked = placed.where((F.col("_at") == 1) | (F.col("_at") * F.col("len") <= budget))
+        out = picked.withColumn("n", F.when(F.col("_at") == 1, F.col("_rows")).otherwise(0)).drop("_at", "_rows")
+    return out
+
+
 def transcripts(messages: DataFrame, budget: int = WEEK_CHARS) -> DataFrame:
     """(source_id, week, transcript, taken, left_out): lines in order while they fit; a line that does not is skipped.
 
-    A line longer than the budget never fits, and of all others none adds less than its own length; so lines are gathered
-    for a week only while the budget can hold them: those whose shorter lines before it do not fill it on their own.
+    Gathered for a week are the lines that ``may_fit``: about budget * ln(budget) at most, however many the week has.
     """
     rows = with_week(messages).select("source_id", "week", "pos", transcript_line().alias("line"))
-    rows = rows.withColumn("len", T.utf16_length(F.col("line")))
-    lines = F.sort_array(F.collect_list(F.when(F.col("len") <= budget, F.struct("pos", "len", "line"))))
+    rows = may_fit(rows.withColumn("len", T.utf16_length(F.col("line"))), budget)
+    lines = F.sort_array(F.collect_list(F.when(F.col("len").isNotNull(), F.struct("pos", "len", "line"))))
     empty = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("lines"))
     fold = F.aggregate(lines, empty, lambda a, x: F.when(a["used"] + x["len"] <= budget, F.struct((a["used"] + x["len"]).alias("used"), F.array_append(a["lines"], x["line"]).alias("lines"))).otherwise(a))
-    week = rows.groupBy("source_id", "week").agg(fold.alias("f"), F.count(F.lit(1)).alias("n"))
+    week = rows.groupBy("source_id", "week").agg(fold.alias("f"), F.sum("n").alias("n"))
     left_out = F.col("n") - F.size("f.lines")
     note = F.when(left_out > 0, F.array(F.concat(F.lit("（另有 "), left_out.cast("string"), F.lit(" 条消息因长度上限未纳入转录）")))).otherwise(F.array().cast("array<string>"))
     return week.select("source_id", "week", F.array_join(F.concat("f.lines", note), "\n").alias("transcript"), F.size("f.lines").cast("long").alias("taken"), left_out.alias("left_out"))
