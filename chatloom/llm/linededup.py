@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.common import cut, with_row_key, words_of
 
-#: Lines with fewer words are not compared: one changed word leaves too little in common.
+#: Lines with fewer words are not compared for similarity: one changed word leaves too little in common.
 MIN_WORDS = 5
 #: Keys of documents are broadcast while there are at most this many; beyond that the join shuffles the texts.
 BROADCAST_ROWS = 1_000_000
@@ -100,17 +100,18 @@ def near_lines(docs: DataFrame, distinct: DataFrame, key: str) -> DataFrame:
     return checked.where(within_one_edit(F.col("words"), F.col("other"))).select("h", "n").distinct()
 
 
-def judged_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """Every line of ``min_words`` words or more: doc, line_no, repeat (an equal line came before), near (a similar one did).
+def judged_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
+    """Every line of ``equal_words`` words or more (``min_words`` unless given): doc, line_no, repeat (an equal line came
+    before), near (a similar one did, both of ``min_words`` words or more). With ``equal_words`` 1 no line with a word is left out.
 
     Before means: a smaller doc, then a smaller line number. Null text: no lines. Null doc_id: comes first. Equal doc_ids:
     their lines count as those of one document; an equal line at the same place in both is kept in both. Empty table: no
     rows. Lines of any length are compared whole.
     """
-    lines = cut(line_table(docs, key, min_words), "lines")
+    lines = cut(line_table(docs, key, min_words if equal_words is None else equal_words), "lines")
     distinct = lines.groupBy("h", "n").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.first("halves").alias("halves"))
     distinct = cut(distinct, "distinct-lines")
-    near = cut(near_lines(docs, distinct, key).withColumn("near", F.lit(True)), "near-lines")
+    near = cut(near_lines(docs, distinct.where(F.col("n") >= min_words), key).withColumn("near", F.lit(True)), "near-lines")
     known = distinct.select("h", "n", "first").join(near, ["h", "n"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
     joined = lines.select("doc", "line_no", "h", "n").join(known, ["h", "n"])
     same = F.struct("doc", "line_no").eqNullSafe(F.col("first"))
@@ -125,7 +126,7 @@ def count_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS
     return counts.select(F.col("k").alias(key), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_repeats", "n_near")))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
     """``docs`` with repeated and similar lines taken out of ``text``, the earliest kept; rows left without a word go.
 
     Other columns are as they were. Rows whose text had no word before stay as they are. Each row is a text of its own,
@@ -133,7 +134,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS
     """
     rows = with_row_key(docs)
     keyed = rows.select(F.struct(F.col(key).alias("id"), F.col("_row").alias("row")).alias("_key"), "text")
-    gone = judged_lines(keyed, "_key", min_words).where("repeat or near").groupBy(F.col("doc.row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = judged_lines(keyed, "_key", min_words, equal_words).where("repeat or near").groupBy(F.col("doc.row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     gone = cut(gone, "gone-lines")
     pick = F.broadcast if gone.count() <= BROADCAST_ROWS // 4 else (lambda x: x)
     rows = rows.join(pick(gone), "_row", "left")

@@ -39,3 +39,10 @@ def test_frequent_lines_count_for_their_row(spark, docs):
     assert got == sorted([(50, 21, 16, False), (50, 40, 0, True), (None, 46, 16, True), (None, 40, 0, True)], key=repr)
     left = kept(quality.remove_frequent_lines(docs(rows)).where("doc_id is null or doc_id = 50"))
     assert left == sorted([(50, text("u", 5)), (50, text("own", 40)), (None, text("n", 30)), (None, text("m", 40))], key=repr)
+
+
+def test_short_lines_are_compared_for_equality(spark, docs):
+    rows = docs([(1, "Read more\n" + text("a", 8)), (2, "read  more\nRead less\n" + text("b", 8)), (3, "Read more"), (4, "x y z w"), (5, "x y z w v")])
+    got = {(r.doc, r.line_no): (r.repeat, r.near) for r in linededup.judged_lines(rows, equal_words=1).collect()}
+    assert got == {(d, k): ((d, k) in {(2, 0), (3, 0)}, False) for d, k in [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 0), (4, 0), (5, 0)]}
+    assert kept(linededup.dedup_lines(rows, equal_words=1)) == [(1, "Read more\n" + text("a", 8)), (2, "Read less\n" + text("b", 8)), (4, "x y z w"), (5, "x y z w v")]
