@@ -7,9 +7,12 @@ import re
 from typing import Any
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from chatloom.functions.text import let, trim, without_bom
+
 
 def _no_constant(name: str) -> None:
     raise ValueError(name)
@@ -39,19 +42,23 @@ def extract_json(reply: str | None) -> Any:
     return None
 
 
-@F.pandas_udf(StringType())
-def strict_json(texts: pd.Series) -> pd.Series:
-    """The text (without byte order mark and outer space) where it is JSON and nothing else, else null."""
+#: What JSON itself does not allow, though parsers do.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "allowUnquotedFieldNames": "false", "allowNumericLeadingZeros": "false", "allowUnquotedControlChars": "false", "mode": "PERMISSIVE"}
 
-    def one(text: str | None) -> str | None:
-        try:
-            text = (text or "").lstrip("﻿").strip()
-            strict(text)
-            return text
-        except ValueError:
-            return None
 
-    return texts.map(one)
+def strict_json(text: Column) -> Column:
+    """The text (without byte order mark and outer space) where it is one JSON value and nothing else, else null.
+
+    Parsers stop behind the first value. Behind ``[`` and before ``]`` only a value followed by nothing, or by a bracket, comes
+    out as an array of one; as a field of an object, followed by another one, what is behind a bracket is an error.
+    """
+
+    def check(t: Column) -> Column:
+        alone = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>", STRICT)
+        field = F.from_json(F.concat(F.lit('{"v":'), t, F.lit(',"end":1}')), "struct<v: string, end: int>", STRICT)
+        return F.when((t != "") & (F.size(alone) == 1) & (field["end"] == 1), t)
+
+    return let(trim(without_bom(text)), check)
 
 
 @F.pandas_udf(StringType())

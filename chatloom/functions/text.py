@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The characters that count as white space (tab to carriage return, the Unicode spaces and line ends, U+FEFF).
-SPACES = r"\t-\r    -     　﻿"
+SPACES = r"\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 #: Control and invisible characters that cleaning strips; tab, line feed and carriage return stay.
-CONTROLS = r"[\u0000-\u0008\u000B\u000C\u000E-\u001F\u007F​-‏  ﻿]"
+CONTROLS = r"[\u0000-\u0008\u000B\u000C\u000E-\u001F\u007F\u200B-\u200F\u2028\u2029\uFEFF]"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a plain expression would be computed wherever it is named."""
+    return F.transform(F.array(value), body)[0]
 
 
 def trim(x: Column) -> Column:
@@ -41,6 +48,11 @@ def fingerprint(x: Column) -> Column:
     return F.substring(F.sha2(F.lower(F.regexp_replace(x, f"[{SPACES}]+", "")), 256), 1, 16)
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8 text: what is malformed becomes U+FFFD, a byte order mark goes."""
+    return without_bom(F.make_valid_utf8(content.cast("string")))
+
+
 def without_bom(x: Column) -> Column:
     return F.regexp_replace(x, r"\A\uFEFF", "")
 
@@ -52,14 +64,17 @@ def literal(replacement: str) -> str:
 
 def replace_first(x: Column, pattern: str, replacement: str) -> Column:
     """Replace the first hit of a pattern only."""
-    at = F.regexp_instr(x, F.lit(pattern))
-    hit = F.regexp_substr(x, F.lit(pattern))
-    end = F.substring(x, at + F.length(hit), F.length(x))
-    return F.when(at > 0, F.concat(F.substring(x, F.lit(1), at - 1), F.lit(replacement), end)).otherwise(x)
+
+    def put(v: Column) -> Column:
+        at, hit = F.regexp_instr(v, F.lit(pattern)), F.regexp_substr(v, F.lit(pattern))
+        rest = F.substring(v, at + F.length(hit), F.length(v))
+        return F.when(at > 0, F.concat(F.substring(v, F.lit(1), at - 1), F.lit(replacement), rest)).otherwise(v)
+
+    return let(x, put)
 
 
 #: Named entities and what they stand for, in the order of replacement; ``amp`` comes last.
-XML_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+XML_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 HTML_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "hellip": "…"}
 
 
@@ -85,23 +100,23 @@ def decode_entities(x: Column, named: dict[str, str] | None = None) -> Column:
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
-#: Elements whose content is dropped, and elements that end a line.
+#: Elements whose content is dropped, elements that end a line, and the patterns of titles, tags and comments.
 DROPPED = "script|style|noscript|template|svg|head"
 BLOCKS = "p|div|li|tr|h[1-6]|blockquote|section|article|ul|ol|table|pre|td|th|dt|dd|hr"
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+TITLE, TAG, COMMENT, BREAK = r"(?is)<title[^>]*>(.*?)</title>", "<[^>]+>", r"(?s)<!--.*?-->", r"(?i)<br\s*/?>"
 
 
 def html_title(x: Column) -> Column:
     """The text of the first title element, or null."""
-    inner = decode_entities(F.regexp_replace(F.regexp_extract(x, TITLE, 1), "<[^>]+>", ""))
+    inner = decode_entities(F.regexp_replace(F.regexp_extract(x, TITLE, 1), TAG, ""))
     return F.when(x.rlike(TITLE), trim(F.regexp_replace(inner, f"[{SPACES}]+", " ")))
 
 
 def html_blocks(x: Column) -> Column:
     """The text of a page as lines: comments and invisible elements out, entities decoded, spaces collapsed."""
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
+    x = F.regexp_replace(x, COMMENT, " ")
     x = F.regexp_replace(x, rf"(?is)<({DROPPED})\b[^>]*>.*?</\1\s*>", " ")
-    x = F.regexp_replace(x, r"(?i)<br\s*/?>", "\n")
+    x = F.regexp_replace(x, BREAK, "\n")
     x = F.regexp_replace(x, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    x = decode_entities(F.regexp_replace(x, "<[^>]+>", " "))
-    return F.filter(F.transform(F.split(x, r"\n+"), lambda v: trim(F.regexp_replace(v, r"[ \t ]+", " "))), lambda v: v != "")
+    x = decode_entities(F.regexp_replace(x, TAG, " "))
+    return F.filter(F.transform(F.split(x, r"\n+"), lambda v: trim(F.regexp_replace(v, r"[ \t\u00A0]+", " "))), lambda v: v != "")

@@ -42,20 +42,19 @@ def parse_ts(x: Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double").try_cast("long")).otherwise(parse_iso_ms(text))
 
 
-#: Month names by their first three letters.
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-_SPOKEN = r"(?i)\A([a-z]{3,})\.?\s+(\d{1,2}),?\s+(\d{4})\s+(?:at\s+)?(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([ap]m)?"
+#: Month names, and the form of a spoken date.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+SPOKEN = r"(?i)\A([a-z]+)\s+(\d{1,2}),\s+(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([ap])\.?m\.?\z"
 
 
 def parse_spoken_ms(x: Column) -> Column:
-    """``May 19, 2023 10:07[:30]pm``: month by its first letters, 12-hour clock, UTC."""
+    """``May 19, 2023 10:07[:30]pm`` or ``p.m.``: the first month that begins with the letters, 12-hour clock, UTC."""
     text = trim(x)
-    part = lambda i: F.regexp_extract(text, _SPOKEN, i)
+    part = lambda i: F.regexp_extract(text, SPOKEN, i)
     number = lambda i: F.coalesce(F.when(part(i) != "", part(i).try_cast("int")), F.lit(0))
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(part(1), 1, 3))).cast("int")
-    half = F.lower(part(7))
-    hour = F.when((half == "pm") & (number(4) < 12), number(4) + 12).when((half == "am") & (number(4) == 12), 0).otherwise(number(4))
-    return F.when(text.rlike(_SPOKEN) & (month > 0), _millis(number(3), month, number(2), hour, number(5), number(6)))
+    month = F.coalesce(*(F.when(F.lit(m).startswith(F.lower(part(1))), F.lit(i + 1)) for i, m in enumerate(MONTHS)))
+    hour = number(4) % 12 + F.when(F.lower(part(7)) == "p", 12).otherwise(0)
+    return F.when(text.rlike(SPOKEN) & month.isNotNull(), _millis(number(3), month, number(2), hour, number(5), number(6)))
 
 
 def parse_send_date(x: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
-from chatloom.functions.rows import dense_positions
+from chatloom.storage import broadcast_if_small, written
 
 
 @dataclass(frozen=True)
@@ -156,17 +156,20 @@ def split_lines(lines: DataFrame, config: CleanConfig = CleanConfig()) -> DataFr
 
 def is_noise(text: Column, rules: Sequence[NoiseRule]) -> Column:
     """Whether a text is empty or any rule applies to it (trimmed)."""
-    t = T.trim(F.coalesce(text, F.lit("")))
-    out = t == ""
     exact = [r.pattern for r in rules if r.type == "exact"]
-    if exact:
-        out = out | t.isin(exact)
-    for r in rules:
-        if r.type == "contains":
-            out = out | F.contains(t, F.lit(r.pattern))
-        elif r.type == "regex":
-            out = out | t.rlike(java_regex(r.pattern, r.flags))
-    return out
+
+    def noisy(t: Column) -> Column:
+        out = t == ""
+        if exact:
+            out = out | t.isin(exact)
+        for r in rules:
+            if r.type == "contains":
+                out = out | F.contains(t, F.lit(r.pattern))
+            elif r.type == "regex":
+                out = out | t.rlike(java_regex(r.pattern, r.flags))
+        return out
+
+    return T.let(T.trim(F.coalesce(text, F.lit(""))), noisy)
 
 
 def drop_noise(segments: DataFrame, rules: Sequence[NoiseRule] = DEFAULT_NOISE) -> DataFrame:
@@ -177,43 +180,68 @@ def drop_noise(segments: DataFrame, rules: Sequence[NoiseRule] = DEFAULT_NOISE)
 SPAN = 4096
 
 
-def dedupe(segments: DataFrame, window_size: int = 5, min_length: int = 4, span: int = SPAN, pos_span: int | None = None) -> DataFrame:
-    """Segments without those in a window of ``window_size`` whose fingerprints came before in the same source.
+def repeated_rows(segments: DataFrame, window_size: int = 5, min_length: int = 4, pos_span: int = SPAN) -> DataFrame:
+    """(source_id, pos) of the segments in a window of ``window_size`` whose fingerprints came before in the same source.
 
     A window counts unless all its texts are shorter than ``min_length`` UTF-16 units; sources with fewer than two windows'
-    rows stay whole. Rows are numbered in blocks of ``pos_span`` positions and windows formed in blocks of ``span`` rows, so a
-    long source is many tasks' work.
+    rows have none. Windows are formed in blocks of ``pos_span`` positions, and those that reach over a block's end from the
+    first and last rows of all blocks, so a long source is many tasks' work. The segments are read once; of their texts only
+    fingerprints are written and shuffled.
     """
-    if window_size < 2:
-        return segments
     w = window_size
-    dense = dense_positions(segments, "source_id", "pos", pos_span or span)
     short = T.utf16_length(T.trim(F.coalesce("text", F.lit("")))) < min_length
-    prints = dense.where(F.col("_n") >= 2 * w).select("source_id", "_i", T.fingerprint(F.coalesce("text", F.lit(""))).alias("fp"), short.alias("short"))
-    # The first rows of a block close the last windows of the block before.
-    block = F.floor(F.col("_i") / span)
-    spread = prints.withColumn("_b", F.explode(F.when((F.col("_i") % span < w - 1) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))))
-    ahead = Window.partitionBy("source_id", "_b").orderBy("_i")
-    frame = ahead.rowsBetween(0, w - 1)
-    windows = spread.select("source_id", "_b", "_i", F.count("fp").over(frame).alias("n"), F.min("short").over(frame).alias("all_short"), F.concat(*(F.coalesce(F.lead("fp", k).over(ahead), F.lit("")) for k in range(w))).alias("window"))
-    windows = windows.where((F.col("n") == w) & ~F.col("all_short") & (F.floor(F.col("_i") / span) == F.col("_b"))).select("source_id", "_i", "window")
-    first = windows.groupBy("source_id", "window").agg(F.min("_i").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    again = windows.join(first, ["source_id", "window"]).where(F.col("_i") > F.col("first"))
-    gone = again.select("source_id", F.explode(F.sequence(F.col("_i"), F.col("_i") + w - 1)).alias("_i")).distinct()
-    return dense.join(gone, ["source_id", "_i"], "left_anti").select(*segments.columns)
+    # A fingerprint is 8 bytes, a window's key those of its rows.
+    prints = segments.select("source_id", "pos", F.unhex(T.fingerprint(F.coalesce("text", F.lit("")))).alias("fp"), short.alias("short"), F.floor(F.col("pos") / pos_span).alias("b"))
+    block = Window.partitionBy("source_id", "b").orderBy("pos")
+
+    def window(over) -> list[Column]:
+        ahead = lambda c: [F.lead(c, k).over(over) if k else F.col(c) for k in range(w)]
+        return [F.concat(*ahead("fp")).alias("key"), F.min("short").over(over.rowsBetween(0, w - 1)).alias("all_short"), F.array(*ahead("pos")).alias("places")]
+
+    placed = written(prints.select("*", (F.row_number().over(block) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("source_id", "b")).alias("n"), *window(block)))
+    counts = placed.where("i = 0").select("source_id", "b", "n")
+    total = counts.groupBy("source_id").agg(F.sum("n").alias("total"))
+    # The last rows of a block and the first of the next; a window is one if its rows follow each other.
+    order = Window.partitionBy("source_id").orderBy("b")
+    before = counts.select("source_id", "b", (F.sum("n").over(order) - F.col("n")).alias("before"))
+    edges = placed.where((F.col("i") < w - 1) | (F.col("i") >= F.col("n") - (w - 1))).drop("key", "all_short", "places").join(before, ["source_id", "b"])
+    edges = edges.withColumn("at", F.col("before") + F.col("i"))
+    source = Window.partitionBy("source_id").orderBy("at")
+    over_end = edges.select("source_id", "pos", *window(source), (F.lead("at", w - 1).over(source) - F.col("at")).alias("reach"), (F.col("i") + w > F.col("n")).alias("over")).where(F.col("over") & (F.col("reach") == w - 1))
+    windows = placed.select("source_id", "pos", "key", "all_short", "places").where("key is not null").unionByName(over_end.drop("reach", "over")).where("not all_short")
+    again = windows.groupBy("source_id", "key").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("source_id", "key", "first")
+    found = windows.join(broadcast_if_small(written(again), 160), ["source_id", "key"]).where(F.col("pos") > F.col("first")).join(total, "source_id").where(F.col("total") >= 2 * w)
+    return written(found.select("source_id", F.explode("places").alias("pos")).distinct())
+
+
+def dedupe(segments: DataFrame, window_size: int = 5, min_length: int = 4, span: int = SPAN, pos_span: int | None = None) -> DataFrame:
+    """Segments without those in a window that came before in the same source; see ``repeated_rows``. What goes is found when
+    this is called; the segments themselves are one plan, which reads them once more."""
+    if window_size < 2:
+        return segments
+    return without_rows(segments, repeated_rows(segments, window_size, min_length, pos_span or span))
+
+
+def without_rows(segments: DataFrame, gone: DataFrame) -> DataFrame:
+    """Segments but those at the places (source_id, pos) of a written table."""
+    places = broadcast_if_small(gone, F.length("source_id") + 56).withColumnsRenamed({"source_id": "_source", "pos": "_pos"})
+    return segments.join(places, (F.col("source_id") == F.col("_source")) & (F.col("pos") == F.col("_pos")), "left_anti")
 
 
 def redact(segments: DataFrame, rules: Sequence[RedactionRule] = DEFAULT_REDACTIONS) -> DataFrame:
     """Texts with each rule's hits replaced, rule after rule, and ``hits``: an array of counts in the rules' order."""
-    text, hits = F.col("text"), []
-    for r in rules:
+    counts = [f"_hits{i}" for i in range(len(rules))]
+    out = segments.drop("hits")
+    for r, name in zip(rules, counts, strict=True):
+        # Each rule is a projection of its own, so a text is computed once however many rules follow.
         pattern = java_regex(r.pattern, r.flags)
-        count = F.regexp_count(text, F.lit(pattern)).cast("long")
-        hits.append(count if "g" in r.flags else F.least(count, F.lit(1).cast("long")))
-        text = F.regexp_replace(text, pattern, T.literal(r.replacement)) if "g" in r.flags else T.replace_first(text, pattern, r.replacement)
-    counted = F.array(*hits) if hits else F.array().cast("array<bigint>")
+        count = F.regexp_count("text", F.lit(pattern)).cast("long")
+        if "g" in r.flags:
+            out = out.withColumns({name: count, "text": F.regexp_replace("text", pattern, T.literal(r.replacement))})
+        else:
+            out = out.withColumns({name: F.least(count, F.lit(1).cast("long")), "text": T.replace_first(F.col("text"), pattern, r.replacement)})
     others = [c for c in segments.columns if c not in ("text", "hits")]
-    return segments.select(*others, text.alias("text"), counted.alias("hits"))
+    return out.select(*others, "text", (F.array(*counts) if counts else F.array().cast("array<bigint>")).alias("hits"))
 
 
 def redaction_hits(redacted: DataFrame, rules: Sequence[RedactionRule], by: Sequence[str] = ()) -> DataFrame:
@@ -226,30 +254,45 @@ def redaction_hits(redacted: DataFrame, rules: Sequence[RedactionRule], by: Sequ
 
 @dataclass(frozen=True)
 class Cleaned:
-    """Segments after cleaning (with ``hits``) and the parts from which the statistics are counted."""
+    """Segments after cleaning (with ``hits``), before it, and the places that de-duplication took out (or None)."""
 
     segments: DataFrame
     split: DataFrame
-    quiet: DataFrame
-    unique: DataFrame
+    gone: DataFrame | None
     config: CleanConfig
 
     def stats(self, by: Sequence[str] = ("source_id",)) -> DataFrame:
-        """(…by, input_segments, noise_removed, dedup_removed, output_segments, redaction_hits as a map)."""
-        n = F.count(F.lit(1)).alias("n")
-        marked = None
-        for step, df in enumerate((self.split, self.quiet, self.unique)):
-            part = df.groupBy(*by).agg(n).withColumn("step", F.lit(step))
-            marked = part if marked is None else marked.unionByName(part)
-        of = lambda k: F.coalesce(F.sum(F.when(F.col("step") == k, F.col("n"))), F.lit(0).cast("long"))
-        counts = marked.groupBy(*by).agg(of(0).alias("input_segments"), (of(0) - of(1)).alias("noise_removed"), (of(1) - of(2)).alias("dedup_removed"), of(2).alias("output_segments"))
-        hits = redaction_hits(self.segments, self.config.redaction_rules, by).groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule", "hits")))).alias("redaction_hits"))
-        joined = counts.join(hits, list(by), "left") if by else counts.crossJoin(hits)
-        return joined.withColumn("redaction_hits", F.coalesce("redaction_hits", F.create_map().cast("map<string,bigint>")))
+        """(…by, input_segments, noise_removed, dedup_removed, output_segments, redaction_hits as a map), in one pass."""
+        rules = self.config.redaction_rules
+        rows = self.split.withColumn("_noise", is_noise(F.col("text"), self.config.noise_rules))
+        if self.gone is None:
+            rows = rows.withColumn("_gone", F.lit(False))
+        else:
+            places = broadcast_if_small(self.gone, F.length("source_id") + 56).select(F.col("source_id").alias("_source"), F.col("pos").alias("_pos"), F.lit(True).alias("_gone"))
+            rows = rows.join(places, (F.col("source_id") == F.col("_source")) & (F.col("pos") == F.col("_pos")), "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+        kept = ~F.col("_noise") & ~F.col("_gone")
+        marked = redact(rows, rules)
+        n = lambda c: F.count_if(c)
+        hits = [F.coalesce(F.sum(F.when(kept, F.get("hits", F.lit(i)))), F.lit(0).cast("long")) for i in range(len(rules))]
+        counts = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("input_segments"), n(F.col("_noise")).alias("noise_removed"), n(~F.col("_noise") & F.col("_gone")).alias("dedup_removed"), n(kept).alias("output_segments"), *(h.alias(f"_h{i}") for i, h in enumerate(hits)))
+        by_rule = _summed([r.name for r in rules])
+        return counts.select(*by, "input_segments", "noise_removed", "dedup_removed", "output_segments", by_rule.alias("redaction_hits"))
+
+
+def _summed(names: Sequence[str]) -> Column:
+    """Columns _h0, _h1, ... as a map by name, those of one name summed, without zeros, in the order of names."""
+    by_name: dict[str, Column] = {}
+    for i, name in enumerate(names):
+        by_name[name] = by_name[name] + F.col(f"_h{i}") if name in by_name else F.col(f"_h{i}")
+    if not by_name:
+        return F.create_map().cast("map<string,bigint>")
+    return F.map_filter(F.create_map(*(x for name in sorted(by_name) for x in (F.lit(name), by_name[name]))), lambda _, v: v > 0)
 
 
 def clean(segments: DataFrame, config: CleanConfig = CleanConfig(), pos_span: int | None = None) -> Cleaned:
-    """Noise filter, de-duplication, redaction, in this order. ``pos_span``: see ``dedupe``, for positions with gaps."""
+    """Noise filter, de-duplication, redaction, in this order. ``pos_span``: positions of a block, for positions with gaps."""
     quiet = drop_noise(segments, config.noise_rules)
-    unique = dedupe(quiet, config.dedup.window_size, config.dedup.min_segment_length, pos_span=pos_span) if config.dedup.enabled else quiet
-    return Cleaned(redact(unique, config.redaction_rules), segments, quiet, unique, config)
+    d = config.dedup
+    gone = repeated_rows(quiet, d.window_size, d.min_segment_length, pos_span or SPAN) if d.enabled and d.window_size >= 2 else None
+    unique = quiet if gone is None else without_rows(quiet, gone)
+    return Cleaned(redact(unique, config.redaction_rules), segments, gone, config)

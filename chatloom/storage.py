@@ -6,21 +6,25 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+@cache
+def _own_folder() -> str:
+    made = tempfile.mkdtemp(prefix="chatloom-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"file://{made}"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset on one machine a temporary folder takes its place, on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not found and not spark.sparkContext.master.partition("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="chatloom-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    return found.rstrip("/") if found else _own_folder()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -28,3 +32,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int = 32 << 20) -> DataFrame:
+    """``df`` (a written table) to be broadcast if its rows, of so many bytes each, are within the limit; else as it is."""
+    size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
