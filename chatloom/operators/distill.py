@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import text as T
 from chatloom.functions import times
 from chatloom.functions.jsonx import extract_json
+from chatloom.functions.rows import dense_positions
 from chatloom.storage import written
 
 #: UTF-16 units of a week's transcript, lines of a review batch, and what stands for no time.
@@ -100,6 +101,11 @@ def week_batches(messages: DataFrame) -> DataFrame:
     return found.withColumns({c: F.coalesce(c, F.lit(UNKNOWN_TIME)) for c in ("start", "end")})
 
 
+def in_week_order(rows: DataFrame) -> DataFrame:
+    """Rows (source_id, week, ...) by source and week, ``unknown`` last."""
+    return rows.orderBy("source_id", F.col("week") == "unknown", "week")
+
+
 def transcript_line() -> Column:
     return F.concat(times.plain_text(F.col("ts_ms")), F.lit(" "), "role", F.lit(": "), "text")
 
@@ -249,19 +255,22 @@ def _json_text(reply: str) -> str | None:
 
 
 def review_redaction(segments: DataFrame, provider: Callable[[], Provider] | None) -> DataFrame:
-    """Segments after a provider looked over batches of 40; only lines of a batch with a non-empty text are replaced."""
+    """Segments after a provider looked over batches of 40 of a source's segments in order, numbered through the source; only
+    lines of a batch with a text that is not blank are replaced. The provider is called when this is called, once a batch."""
     if provider is None:
         return segments
 
     def review(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        at = dict(enumerate(group["pos"].tolist()))
-        shown = "\n".join(f"#{i}|{h or ''}{t}" for i, (h, t) in enumerate(zip(group["header"], group["text"], strict=True)))
+        group = group.sort_values("_i")
+        at = dict(zip(group["_i"].tolist(), group["pos"].tolist(), strict=True))
+        shown = "\n".join(f"#{i}|{h or ''}{t}" for i, h, t in zip(group["_i"], group["header"], group["text"], strict=True))
         found = extract_json(provider().chat(REVIEW_PROMPT, shown))
         hits = found.get("hits") if isinstance(found, dict) else None
-        new = {at[h["index"]]: h["text"] for h in hits or [] if isinstance(h, dict) and h.get("index") in at and isinstance(h.get("text"), str) and h["text"].strip()}
-        return pd.DataFrame({"source_id": [group["source_id"].iloc[0]] * len(new), "pos": list(new), "new_text": list(new.values())})
+        new = {at[h["index"]]: h["text"] for h in hits if isinstance(h, dict) and type(h.get("index")) is int and h["index"] in at and isinstance(h.get("text"), str) and h["text"].strip()} if isinstance(hits, list) else {}
+        # Columns with their types, also where nothing was hit.
+        return pd.DataFrame({"source_id": pd.Series([group["source_id"].iloc[0]] * len(new), dtype=object), "pos": pd.Series(list(new), dtype="int64"), "new_text": pd.Series(list(new.values()), dtype=object)})
 
-    asked = segments.select("source_id", "pos", "header", "text", F.floor(F.col("pos") / REVIEW_BATCH).alias("_batch"))
-    new = asked.groupBy("source_id", "_batch").applyInPandas(review, "source_id string, pos long, new_text string")
+    numbered = dense_positions(segments.select("source_id", "pos", "header", "text"), "source_id", "pos")
+    asked = numbered.withColumn("_batch", F.floor(F.col("_i") / REVIEW_BATCH)).groupBy("source_id", "_batch")
+    new = written(asked.applyInPandas(review, "source_id string, pos long, new_text string"))
     return segments.join(new, ["source_id", "pos"], "left").withColumn("text", F.coalesce("new_text", "text")).select(*segments.columns)

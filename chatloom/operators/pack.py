@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import times
 from chatloom.functions.rows import dense_positions
-from chatloom.schemas import META_FIELDS
+from chatloom.schemas import META_FIELDS, camel
 
 #: Fixed value: the version of the pack's format. The generator is this library.
 SCHEMA_VERSION = "1.0"
@@ -34,7 +34,6 @@ def pack_stats(messages: DataFrame, by: str = "source_id") -> DataFrame:
 
 def _meta_json(meta: Column) -> Column:
     """The meta struct as JSON without nulls, its keys in camel case."""
-    camel = lambda k: k.split("_")[0] + "".join(p.title() for p in k.split("_")[1:])
     return F.to_json(F.struct(*(meta[k].alias(camel(k)) for k in META_FIELDS)))
 
 

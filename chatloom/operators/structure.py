@@ -12,9 +12,10 @@ from chatloom.functions import text as T
 from chatloom.functions import times
 from chatloom.functions.jsonx import extract_json
 from chatloom.functions.rows import dense_positions, one_of
-from chatloom.schemas import META, ROLES, meta, meta_with
+from chatloom.schemas import META, META_FIELDS, ROLES, camel, meta, meta_with
+from chatloom.storage import written
 
-#: A segment's header: name, month-day, time; the seconds may be missing.
+#: Fixed value: a segment's header: name, month-day, time; the seconds may be missing.
 HEADER = rf"\A([^\s:：][^\s:：]{{0,19}})[{T.SPACES}]*[:：][{T.SPACES}]*(\d{{1,2}})-(\d{{1,2}})[{T.SPACES}]+(\d{{1,2}}):(\d{{2}})(?::(\d{{2}}))?[{T.SPACES}]*\z"
 
 
@@ -51,8 +52,35 @@ def parse_header(header: Column, year: Column) -> tuple[Column, Column, Column]:
     return F.when(ok, part(1)), times.header_ms(year, number(2), number(3), number(4), number(5), number(6)), F.when(ok, raw)
 
 
+def raw_messages(rows: DataFrame) -> DataFrame:
+    """Messages of a caller's own (source_id, pos, role, text; ts_ms or ts, and meta, if there are any) as the raw schema.
+
+    A time is a number or text of epoch milliseconds, or a date. ``meta`` may be a map of strings, JSON text or VARIANT; its
+    fields are known by their names in snake or camel case, and all others are kept as JSON text in ``extra``. A meta struct
+    of the schema stays.
+    """
+    types = dict(rows.dtypes)
+    at = next((c for c in ("ts_ms", "ts") if c in types), None)
+    ts = F.lit(None).cast("bigint") if at is None else times.parse_ts(F.col(at)) if types[at] == "string" else F.col(at).cast("bigint")
+    role = F.col("role") if "role" in types else F.lit(None).cast("string")
+    if "meta" not in types:
+        known = meta()
+    elif types["meta"].startswith("struct"):
+        held = {f.name for f in rows.schema["meta"].dataType}
+        known = meta(**{c: F.col("meta")[c] for c in META_FIELDS if c in held})
+    else:
+        value = {"variant": F.col("meta"), "string": F.try_parse_json("meta")}.get(types["meta"], F.to_variant_object("meta"))
+        named = lambda c: F.coalesce(*(F.try_variant_get(value, f"$.{n}", META_FIELDS[c]) for n in dict.fromkeys((c, camel(c)))))
+        fields = F.try_variant_get(value, "$", "map<string,variant>")
+        others = F.map_filter(fields, lambda k, _: ~k.isin(sorted({n for c in META_FIELDS for n in (c, camel(c))})))
+        known = meta(**{c: named(c) for c in META_FIELDS if c != "extra"}, extra=F.coalesce(named("extra"), F.when(F.size(others) > 0, F.to_json(others))))
+    return rows.select("source_id", F.col("pos").cast("bigint").alias("pos"), role.alias("role"), "text", ts.alias("ts_ms"), known.alias("meta"))
+
+
 def structure_raw(raw: DataFrame, default_role: str = "unlabeled") -> DataFrame:
-    """Raw messages (role, text, ts_ms, meta) with one of the four roles; another role is kept as ``original_role``."""
+    """Raw messages (role, text, a time, meta: see ``raw_messages``) with one of the four roles; another role is kept as
+    ``original_role``."""
+    raw = raw_messages(raw)
     known = normal_role(F.col("role"))
     old = F.coalesce("meta.original_role", F.when(known.isNull(), F.col("role")))
     return raw.select("source_id", "pos", "ts_ms", F.coalesce(known, F.lit(default_role)).alias("role"), "text", meta_with(F.col("meta"), source=F.lit("structured"), original_role=old).alias("meta"))
@@ -90,7 +118,8 @@ def structure_lines(docs: DataFrame, provider=None) -> DataFrame:
     """Plain texts (source_id, text) as messages, one for each line that is not empty, all of unknown role.
 
     With a provider (a function that makes an object with ``chat(system, user)``), batches of 60 lines are sent to it, and
-    its JSON array of (role, text) takes the lines' place; a reply without an array leaves the batch as lines.
+    its JSON array of (role, text) takes the lines' place; a reply without an array leaves the batch as lines. The provider is
+    called when this is called.
     """
     lines = docs.select("source_id", F.posexplode(T.lines(F.coalesce("text", F.lit("")))).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
     if provider is None:
@@ -106,10 +135,14 @@ def structure_lines(docs: DataFrame, provider=None) -> DataFrame:
             rows = [(x.get("role"), x["text"], True) for x in found if isinstance(x, dict) and isinstance(x.get("text"), str) and x["text"]]
         else:
             rows = [(None, t, False) for t in texts]
-        out = pd.DataFrame(rows, columns=["role", "text", "labelled"])
+        # Columns with their types, also where a reply has no rows.
+        columns = {"role": [r for r, *_ in rows], "text": [t for _, t, _ in rows], "labelled": [x for *_, x in rows]}
+        out = pd.DataFrame({c: pd.Series(v, dtype=bool if c == "labelled" else object) for c, v in columns.items()})
         return out.assign(source_id=group["source_id"].iloc[0], batch=group["batch"].iloc[0], k=range(len(out)))[["source_id", "batch", "k", "role", "text", "labelled"]]
 
-    batches = lines.withColumn("batch", F.floor(F.col("pos") / LINE_BATCH)).groupBy("source_id", "batch").applyInPandas(label, "source_id string, batch long, k long, role string, text string, labelled boolean")
+    asked = lines.withColumn("batch", F.floor(F.col("pos") / LINE_BATCH)).groupBy("source_id", "batch")
+    # Written, so that a batch is asked about once whatever reads the messages.
+    batches = written(asked.applyInPandas(label, "source_id string, batch long, k long, role string, text string, labelled boolean"))
     role = F.coalesce(normal_role(F.col("role")), F.lit("unlabeled"))
     pending = ~F.col("labelled")
     # A reply may have more messages than the batch had lines, so places are counted from the replies.

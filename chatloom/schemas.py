@@ -16,6 +16,12 @@ RAW = f"source_id string, pos bigint, role string, text string, ts_ms bigint, me
 ROLES = ("user", "assistant", "system", "unlabeled")
 
 
+def camel(name: str) -> str:
+    """A field's name in camel case, as JSON has it."""
+    first, *rest = name.split("_")
+    return first + "".join(p.title() for p in rest)
+
+
 def meta(**known: Column) -> Column:
     """The meta struct with these fields, the others null."""
     return F.struct(*(known.get(k, F.lit(None)).cast(t).alias(k) for k, t in META_FIELDS.items()))
