@@ -12,7 +12,7 @@ _WHERE = {
     "chatloom.operators.pack": ("full_jsonl", "markdown", "messages_jsonl", "pack_stats", "write_pack"),
     "chatloom.operators.structure": ("structure_lines", "structure_raw", "structure_segments"),
     "chatloom.plans.pipeline": ("Result", "run_from_source", "run_pipeline"),
-    "chatloom.sources.registry": ("ADAPTERS", "convert", "get_adapter", "list_adapters", "read_binaries", "read_texts", "sniff_bundles", "sniff_files", "sniff_texts"),
+    "chatloom.sources.registry": ("ADAPTERS", "convert", "get_adapter", "list_adapters", "read_binaries", "read_texts", "convert_files", "sniff_bundles", "sniff_files", "sniff_texts"),
 }
 _MODULE = {name: module for module, names in _WHERE.items() for name in names}
 __all__ = sorted(_MODULE)

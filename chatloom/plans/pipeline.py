@@ -1,4 +1,4 @@
-"""From a source to a pack: clean, structure, distill, export, as one lazy plan."""
+"""From a source to a pack: clean, structure, distill, export. Messages are written once; all else reads them."""
 
 from __future__ import annotations
 
@@ -8,11 +8,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.functions import text as T
 from chatloom.operators import distill as D
 from chatloom.operators import pack
 from chatloom.operators.clean import CleanConfig, Cleaned, clean, split_lines, split_text
-from chatloom.operators.structure import structure_segments, structure_stats
-from chatloom.sources.registry import ADAPTERS, convert, sniff_bundles, sniff_texts
+from chatloom.operators.structure import raw_messages, structure_segments, structure_stats
+from chatloom.sources import json_exports
+from chatloom.sources.registry import ADAPTERS, as_files, convert_files
+from chatloom.storage import written
 
 
 @dataclass(frozen=True)
@@ -27,23 +30,25 @@ class Result:
     source: str | None = None
     adapter: str | None = None
     raw: DataFrame | None = None
+    status: DataFrame | None = None
     files: list[str] = field(default_factory=list)
 
     def pack(self) -> dict[str, DataFrame]:
-        """The three forms of the pack."""
+        """The three forms of the pack, and its statistics."""
         return {
             "pack_jsonl": pack.full_jsonl(self.messages, self.created_at, self.source),
             "messages_jsonl": pack.messages_jsonl(self.messages),
             "markdown": pack.markdown(self.messages, self.created_at, source=self.source),
+            "stats": pack.pack_stats(self.messages),
         }
 
 
 def segments_of(source: DataFrame, config: CleanConfig) -> DataFrame:
-    """Segments of raw messages, of lines (source_id, pos, text), or of whole texts (source_id, text)."""
+    """Segments of raw messages (trimmed, without blank ones), of lines (source_id, pos, text), or of whole texts (source_id,
+    text)."""
     if "role" in source.columns:
-        text = F.trim(F.coalesce("text", F.lit("")))
-        rows = source.select("source_id", "pos", F.lit(None).cast("string").alias("header"), "text", F.lit(True).alias("has_ref"), "role", "ts_ms", "meta")
-        return rows.where(text != "")
+        rows = raw_messages(source).withColumn("text", T.trim(F.coalesce("text", F.lit("")))).where(F.col("text") != "")
+        return rows.select("source_id", "pos", F.lit(None).cast("string").alias("header"), "text", F.lit(True).alias("has_ref"), "role", "ts_ms", "meta")
     return split_lines(source, config) if "pos" in source.columns else split_text(source, config)
 
 
@@ -62,7 +67,7 @@ def run_pipeline(
     """Clean, structure, distill and pack a source; without a provider the steps that need one are left out, and said so."""
     cleaned = clean(segments_of(source, config), config)
     segments = D.review_redaction(cleaned.segments, provider) if review and provider else cleaned.segments
-    messages = structure_segments(segments, aliases, base_year=base_year)
+    messages = written(structure_segments(segments, aliases, base_year=base_year))
     reasons = () if provider else ("no_provider",)
     distilled = D.distill(messages, provider) if with_distill else D.skipped(messages, "disabled")
     whole = "plaintext" if "pos" not in source.columns else None
@@ -70,18 +75,28 @@ def run_pipeline(
     return Result(cleaned, messages, structure_stats(messages), distilled, provider is None, reasons, created_at, whole, files=files)
 
 
-def run_from_source(source: DataFrame, adapter: str | None = None, adapter_options: Mapping | None = None, **options) -> Result:
-    """Recognise one kind of source (unless its adapter is named), convert it, and run the pipeline on its messages.
+def run_from_source(source: DataFrame, adapter: str | None = None, adapter_options: Mapping | None = None, provider: Callable[[], D.Provider] | None = None, vision: Callable[[], object] | None = None, chosen: str | None = None, **options) -> Result:
+    """Convert sources of any kinds, each by the adapter it is recognised as needing, and run the pipeline on their messages.
 
-    The sources of a table go through one adapter: where they are recognised as several kinds, or one as none, that is an
-    error that names them.
+    ``source``: files (source_id, path, content), texts (source_id, text), or the named texts of bundles (source_id, name,
+    text). ``adapter`` names one for all, with ``adapter_options``; else these are by adapter name. ``chosen`` stands in where
+    none is recognised. ``Result.status`` says what became of each source; if none at all is recognised that is an error.
+    ``vision`` is a provider for pictures.
     """
-    if adapter is None:
-        sniffed = sniff_bundles(source) if "name" in source.columns else sniff_texts(source)
-        kinds = [r.name for r in sniffed.select("name").distinct().limit(len(ADAPTERS) + 1).collect()]
-        if len(kinds) != 1 or kinds[0] is None:
-            raise ValueError(f"name an adapter: these sources look like {sorted(map(str, kinds))}")
-        adapter = kinds[0]
-    raw = convert(adapter, source, **(adapter_options or {}))
-    result = run_pipeline(raw, **options)
-    return Result(**{**{f: getattr(result, f) for f in result.__dataclass_fields__}, "adapter": adapter, "raw": raw})
+    if "name" in source.columns and "content" not in source.columns:
+        raw, skipped = json_exports.characterai(source)
+        counts = raw.groupBy("source_id").agg(F.count(F.lit(1)).alias("messages")).join(skipped, "source_id", "full")
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+        kind = "characterai"
+        status = counts.select("source_id", F.lit(kind).alias("adapter"), F.lit("high").alias("confidence"), zero("messages"), zero("skipped"), F.lit(None).cast("string").alias("error"))
+    else:
+        files = source if "content" in source.columns else as_files(source)
+        by_name = {adapter: adapter_options or {}} if adapter else adapter_options
+        found = convert_files(files, adapter, chosen, by_name, provider, vision)
+        raw, status = found.messages, found.status
+        kinds = sorted(r.adapter for r in status.where("adapter is not null").select("adapter").distinct().collect())
+        if not kinds:
+            raise ValueError(f"name an adapter (there are: {', '.join(ADAPTERS)}): no source was recognised")
+        kind = kinds[0] if len(kinds) == 1 else None
+    result = run_pipeline(raw, provider=provider, **options)
+    return Result(**{**{f: getattr(result, f) for f in result.__dataclass_fields__}, "adapter": kind, "raw": raw, "status": status})

@@ -6,6 +6,7 @@ timed messages, ``pages`` are saved pages, and ``conversations`` are written as
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from chatloom.plans.pipeline import run_pipeline
 from chatloom.schemas import meta
 from chatloom.sources import json_exports as J
 from chatloom.sources import texts as X
-from chatloom.sources.registry import sniff_texts
+from chatloom.sources.registry import convert_files, sniff_texts
 from chatloom.streaming.weekly import weekly_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +79,11 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select(F.col("conv_id").cast("string").alias("source_id"), F.col("turn").alias("pos"), (F.lit(1_750_000_000_000) + F.col("conv_id") * 86_400_000 + F.col("turn") * 60_000).alias("ts_ms"), "role", "text", meta(source=F.lit("chats")).alias("meta"))
 
 
+def _json(value: dict) -> str:
+    """A dictionary as JSON inside a SQL string."""
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")).replace("'", "''")
+
+
 LINES_SQL = r"""
 lines as (
   select doc_id, lang, unnest(range(len(l))) as line_no, unnest(l) as text
@@ -257,25 +263,33 @@ def chat_messages_jsonl(spark, sf_dir):
     """select conv_id::varchar as source_id, turn as pos, '{"type":"message","ts":' || (1750000000000 + conv_id * 86400000 + turn * 60000) || ',"role":' || to_json(role) || ',"text":' || to_json(text) || ',"meta":{"source":"chats"}}' as line
 from conversations
 union all
-select conv_id::varchar, -1, 'messages: ' || count(*) from conversations group by conv_id"""
+select conv_id::varchar, -1, '{"type":"pack-meta","schemaVersion":"1.0","generator":""" + _json(P.GENERATOR) + ""","createdAt":"2026-01-01T00:00:00.000Z","fields":""" + _json(P.FIELDS) + """,'
+  || '"stats":{"messageCount":' || sum(n) || ',"timeSpan":{"start":"' || strftime(make_timestamp_ms(min(lo)), '%Y-%m-%dT%H:%M:%S.%g') || 'Z","end":"' || strftime(make_timestamp_ms(max(hi)), '%Y-%m-%dT%H:%M:%S.%g') || 'Z"},'
+  || '"byRole":{' || string_agg('"' || role || '":' || n, ',' order by role) || '}},"source":"chats"}'
+from (select conv_id, role, count(*) as n, min(1750000000000 + conv_id * 86400000 + turn * 60000) as lo, max(1750000000000 + conv_id * 86400000 + turn * 60000) as hi from conversations group by conv_id, role) group by conv_id"""
 )
 def chat_pack_jsonl(spark, sf_dir):
-    """The self-describing form; of its first line, the number of messages that it states."""
-    lines = P.full_jsonl(chat_messages(spark, sf_dir), "2026-01-01T00:00:00.000Z")
-    stated = F.concat(F.lit("messages: "), F.get_json_object("line", "$.stats.messageCount"))
-    return lines.select("source_id", "pos", F.when(F.col("pos") < 0, stated).otherwise(F.col("line")).alias("line"))
+    """The self-describing form: its first line, then the messages."""
+    return P.full_jsonl(chat_messages(spark, sf_dir), "2026-01-01T00:00:00.000Z", "chats")
 
 
 @query(
     f"""with {EVENTS_SQL},
 dated as (select *, coalesce(strftime(t, '%Y-%m-%d'), '未知时间') as d from messages),
 marked as (select *, d is distinct from lag(d) over (partition by source_id order by pos) as fresh from dated),
-said as (select *, '- **' || coalesce(strftime(t, '%H:%M:%S'), '--:--') || '** ' || case role when 'user' then '主人' when 'assistant' then '伴侣' else '（待标注）' end || '：' || text as line from marked)
-select source_id, pos, unnest(case when fresh then ['## ' || d, '', line] else [line] end) as line from said"""
+said as (select *, '- **' || coalesce(strftime(t, '%H:%M:%S'), '--:--') || '** ' || case role when 'user' then '主人' when 'assistant' then '伴侣' else '（待标注）' end || '：' || text as line from marked),
+body as (select source_id, pos, case when fresh then ['## ' || d, '', line] else [line] end as l from said),
+roles as (select source_id, role, count(*) as n, min(t) as lo, max(t) as hi from messages group by all),
+head as (
+  select source_id, -1 as pos, ['# 记忆包', '', '- 生成器：{P.GENERATOR["name"]} v{P.GENERATOR["version"]}', '- 生成时间：2026-01-01T00:00:00.000Z', '- 消息数：' || sum(n),
+    '- 时间跨度：' || coalesce(strftime(min(lo), '%Y-%m-%dT%H:%M:%S.%g') || 'Z', '未知') || ' ~ ' || coalesce(strftime(max(hi), '%Y-%m-%dT%H:%M:%S.%g') || 'Z', '未知'),
+    '- 角色分布：' || string_agg(role || '=' || n, ' / ' order by role), ''] as l from roles group by source_id)
+select source_id, pos, unnest(range(len(l))) as part, unnest(l) as line from (select * from body union all select * from head)"""
 )
 def chat_markdown(spark, sf_dir):
-    """The lines of the Markdown timeline."""
-    return P.timeline(event_messages(spark, sf_dir)).select("source_id", "pos", "line")
+    """The Markdown form: title and statistics, then the lines of the timeline."""
+    found = P.markdown(event_messages(spark, sf_dir), "2026-01-01T00:00:00.000Z")
+    return found.withColumn("part", F.col("part").cast("bigint"))
 
 
 @query(
@@ -304,15 +318,17 @@ lines as (
   select source_id, coalesce(strftime(t, '%G-W%V'), 'unknown') as week, pos, coalesce(strftime(t, '%Y-%m-%d %H:%M:%S'), '[--:--]') || ' ' || role || ': ' || text as line from messages),
 numbered as (select *, row_number() over (partition by source_id, week order by pos) as i, length(line) as n from lines),
 fold as (
-  select source_id, week, 0::bigint as i, 0::bigint as used, 0::bigint as taken from numbered where i = 1
+  select source_id, week, 0::bigint as i, 0::bigint as used, 0::bigint as taken, '' as said from numbered where i = 1
   union all
-  select f.source_id, f.week, x.i, f.used + case when f.used + x.n <= 600 then x.n else 0 end, f.taken + case when f.used + x.n <= 600 then 1 else 0 end
-  from fold f join numbered x on x.source_id = f.source_id and x.week = f.week and x.i = f.i + 1)
-select source_id, week, max(taken) as taken, max(i) - max(taken) as left_out from fold group by source_id, week"""
+  select f.source_id, f.week, x.i, f.used + case when f.used + x.n <= 600 then x.n else 0 end, f.taken + case when f.used + x.n <= 600 then 1 else 0 end,
+    f.said || case when f.used + x.n <= 600 then x.line || chr(10) else '' end
+  from fold f join numbered x on x.source_id = f.source_id and x.week = f.week and x.i = f.i + 1),
+ends as (select source_id, week, max(taken) as taken, max(i) - max(taken) as left_out, arg_max(said, i) as said from fold group by source_id, week)
+select source_id, week, taken, left_out, case when left_out > 0 then said || '（另有 ' || left_out || ' 条消息因长度上限未纳入转录）' else rtrim(said, chr(10)) end as transcript from ends"""
 )
 def chat_transcripts(spark, sf_dir):
-    """How many messages of a week fit into a transcript of 600 characters, and how many do not."""
-    return D.transcripts(event_messages(spark, sf_dir), 600).select("source_id", "week", "taken", "left_out")
+    """The transcript of each week within 600 characters, with how many messages are in it and how many are not."""
+    return D.transcripts(event_messages(spark, sf_dir), 600)
 
 
 @query("select o_orderkey, strftime(o_orderdate, '%G-W%V') as week from orders")
@@ -366,8 +382,8 @@ def chat_html_blocks(spark, sf_dir):
     return blocks.withColumn("block_no", F.col("block_no").cast("bigint"))
 
 
-def as_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations as one export of message trees, a thousand conversations in each; odd turns have a dead branch."""
+def as_tree(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
+    """Conversations as exports of message trees, a thousand conversations in each; odd turns have a dead branch."""
     chats = table(spark, sf_dir, "conversations")
     name = lambda turn: F.concat(F.lit("n"), turn.cast("string"))
     node = lambda id_, parent, role, text, kids: F.struct(id_.alias("id"), parent.alias("parent"), kids.alias("children"), F.struct(F.struct(role.alias("role")).alias("author"), (F.lit(1_750_000_000) + F.col("turn")).cast("double").alias("create_time"), F.struct(F.array(text).alias("parts")).alias("content")).alias("message"))
@@ -380,7 +396,7 @@ def as_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("conv_id", "turn", "last", F.explode(F.when(F.col("turn") % 2 == 1, F.array(main, dead)).otherwise(F.array(main))).alias("n"))
     trees = rows.groupBy("conv_id").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("turn", "n"))), lambda x: F.struct(x["n"]["id"], x["n"]))).alias("mapping"), F.max("last").alias("last"))
     export = F.to_json(F.struct(F.concat(F.lit("chat "), F.col("conv_id").cast("string")).alias("title"), F.concat(F.lit("n"), F.col("last").cast("string")).alias("current_node"), "mapping"), {"ignoreNullFields": "false"})
-    return _exports(trees.select("conv_id", export.alias("json")))
+    return _exports(trees.select("conv_id", export.alias("json")), size)
 
 
 def _by_conv():
@@ -417,14 +433,18 @@ def chat_tree_path(spark, sf_dir):
 @query(_ROUND + "select source_id, pos, role, said as text, epoch_ms(make_timestamp(2025, 1, 1, 0, turn::bigint, 0.5)) as ts_ms from rows")
 def chat_flat_import(spark, sf_dir):
     """Conversations written as flat exports (even turns in content blocks) and read back."""
-    chats = table(spark, sf_dir, "conversations")
+    found = J.claude(as_flat(table(spark, sf_dir, "conversations")))[0]
+    return found.select("source_id", "pos", "role", "text", "ts_ms")
+
+
+def as_flat(chats: DataFrame, size: int = 1000) -> DataFrame:
+    """Conversations as flat exports; even turns are in content blocks."""
     even = F.col("turn") % 2 == 0
     blocks = F.when(even, F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("image").alias("type"), F.lit("no").alias("text"))))
     created = F.concat(F.lit("2025-01-01T00:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(":00.500Z"))
     message = F.struct(F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("sender"), F.when(even, "").otherwise(F.col("text")).alias("text"), blocks.alias("content"), created.alias("created_at"))
     flat = chats.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]).alias("chat_messages"))
-    found = J.claude(_exports(flat.select("conv_id", F.to_json(F.struct(F.col("conv_id").cast("string").alias("name"), "chat_messages")).alias("json"))))[0]
-    return found.select("source_id", "pos", "role", "text", "ts_ms")
+    return _exports(flat.select("conv_id", F.to_json(F.struct(F.col("conv_id").cast("string").alias("name"), "chat_messages")).alias("json")), size)
 
 
 @query(
@@ -433,13 +453,17 @@ def chat_flat_import(spark, sf_dir):
 )
 def chat_jsonl_import(spark, sf_dir):
     """Conversations written as JSON Lines, with a header and a broken line, and read back."""
-    chats = table(spark, sf_dir, "conversations")
+    return J.sillytavern(as_jsonl(table(spark, sf_dir, "conversations"), broken=True))[0].select("source_id", "pos", "role", "text", "ts_ms")
+
+
+def as_jsonl(chats: DataFrame, broken: bool = False) -> DataFrame:
+    """Conversations as JSON Lines, with a header, a blank message, and a broken line if wanted."""
     date = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("June 13, 2025 10:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(":37pm"))).otherwise((F.lit(1_750_000_000_000) + F.col("turn")).cast("string"))
     line = F.to_json(F.struct(F.lit("x").alias("name"), (F.col("role") == "user").alias("is_user"), (F.col("role") == "system").alias("is_system"), date.alias("send_date"), F.col("text").alias("mes")))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
-    whole = F.concat(F.array(F.lit('{"user_name":"a","character_name":"b"}')), lines, F.array(F.lit("{broken")))
-    files = chats.groupBy("conv_id").agg(F.array_join(whole, "\n").alias("text")).select(F.col("conv_id").cast("string").alias("source_id"), "text")
-    return J.sillytavern(files)[0].select("source_id", "pos", "role", "text", "ts_ms")
+    last = F.array(F.lit("{broken")) if broken else F.array(F.lit('{"mes":" ","is_user":true}'))
+    whole = F.concat(F.array(F.lit('{"user_name":"a","character_name":"b"}')), lines, last)
+    return chats.groupBy("conv_id").agg(F.array_join(whole, "\n").alias("text")).select(F.col("conv_id").cast("string").alias("source_id"), "text")
 
 
 @query(
@@ -473,14 +497,69 @@ def chat_sniff(spark, sf_dir):
 
 
 @query(
-    r"""select conv_id::varchar as source_id, count(*) as total, count(*) filter (role not in ('user', 'assistant', 'system')) as unlabeled from conversations
-where regexp_matches(text, '\S') and not regexp_matches(trim(text), '^\d{1,3}$') group by conv_id"""
+    r"""with said as (select *, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from conversations)
+select conv_id::varchar as source_id, turn as pos, case when role in ('user', 'assistant', 'system') then role else 'unlabeled' end as role, t as text,
+  case when role not in ('user', 'assistant', 'system') then role end as original_role, 1750000000000 + conv_id * 86400000 + turn * 60000 as ts_ms
+from said where t <> '' and not regexp_matches(t, '^\d{1,3}$')"""
 )
 def chat_pipeline(spark, sf_dir):
-    """The whole pipeline on conversations as raw messages, without a provider: messages of each source."""
-    result = run_pipeline(chat_messages(spark, sf_dir))
-    counts = result.stats.select("source_id", "total", F.coalesce(F.try_element_at("by_role", F.lit("unlabeled")), F.lit(0).cast("bigint")).alias("unlabeled"))
-    return counts
+    """The whole pipeline on conversations as raw messages with times as text, without a provider: the messages of each source."""
+    chats = chat_messages(spark, sf_dir).withColumn("ts_ms", F.col("ts_ms").cast("string"))
+    messages = run_pipeline(chats).messages
+    return messages.select("source_id", "pos", "role", "text", F.col("meta.original_role").alias("original_role"), "ts_ms")
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files of four kinds, dealt by conv_id, some with a telling name; one file in ten has a line more that
+    is not UTF-8, and there are a damaged archive, an empty page and a file of nothing known."""
+    chats = table(spark, sf_dir, "conversations")
+    kind = F.col("source_id").cast("bigint") % 4
+    one_by_one = lambda export: export.withColumn("source_id", F.regexp_extract("source_id", r"(\d+)\z", 1))
+    headed = rendered_chats(spark, sf_dir).where(kind == 0)
+    trees = one_by_one(as_tree(spark, sf_dir, 1)).where(kind == 1)
+    jsonl = as_jsonl(chats).where(kind == 2)
+    flat = one_by_one(as_flat(chats, 1)).where(kind == 3)
+    texts = headed.withColumn("path", F.lit("chat.txt")).unionByName(trees.withColumn("path", F.lit("conversations.json"))).unionByName(jsonl.withColumn("path", F.lit("chat.jsonl"))).unionByName(flat.withColumn("path", F.lit("export")))
+    broken = F.when(F.col("source_id").cast("bigint") % 20 == 2, F.unhex(F.lit("0AFF7B"))).otherwise(F.unhex(F.lit("")))
+    found = texts.select("source_id", "path", F.concat(F.encode("text", "UTF-8"), broken).alias("content"))
+    odd = spark.createDataFrame([("zip", "a.zip", bytearray(b"PK\x03\x04 damaged")), ("page", "a.html", bytearray(b"<p> </p>")), ("what", "a.bin", bytearray(b"\xff\xfe"))], "source_id string, path string, content binary")
+    return found.unionByName(odd)
+
+
+_MIXED = r"""with chats as (
+  select conv_id::varchar as source_id, conv_id, turn, role, text, regexp_replace(text, '^\s+|\s+$', '', 'g') as said, row_number() over (partition by conv_id order by turn) - 1 as pos from conversations),
+sizes as (select conv_id, count(*) as n from conversations group by conv_id)
+"""
+
+
+@query(
+    _MIXED
+    + r"""select source_id, pos, case when conv_id % 4 = 0 and role not in ('user', 'assistant') then 'unlabeled' else role end as role,
+  case when conv_id % 4 = 0 then regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') else said end as text, ['txt-docx', 'chatgpt', 'st-chatlog', 'claude'][conv_id % 4 + 1] as source
+from chats join sizes using (conv_id)
+where (conv_id % 4 > 0 or n >= 2)"""
+)
+def chat_mixed_files(spark, sf_dir):
+    """Files of several kinds in one table, each read by the adapter that it is recognised as needing."""
+    names = {"txt-docx": {"aliases": ALIASES, "base_year": 2024}}
+    found = convert_files(mixed_files(spark, sf_dir), options=names).messages
+    source = F.when(F.col("meta.source") == "segment", "txt-docx").otherwise(F.col("meta.source"))
+    return found.select("source_id", "pos", "role", "text", source.alias("source"))
+
+
+@query(
+    _MIXED
+    + r"""select conv_id::varchar as source_id, case when conv_id % 4 > 0 or n >= 2 then ['txt-docx', 'chatgpt', 'st-chatlog', 'claude'][conv_id % 4 + 1] end as adapter,
+  case when conv_id % 4 > 0 or n >= 2 then n else 0 end as messages, case when conv_id % 20 = 2 then 2 when conv_id % 4 = 1 then 0 when conv_id % 4 = 2 then 1 else 0 end as skipped,
+  case when conv_id % 4 = 0 and n < 2 then 'not recognised' end as error from sizes
+union all select 'zip', null, 0, 0, 'damaged' union all select 'page', 'local-web', 0, 0, 'no text on the page' union all select 'what', null, 0, 0, 'not recognised'"""
+)
+def chat_mixed_status(spark, sf_dir):
+    """What became of each file of that table."""
+    found = convert_files(mixed_files(spark, sf_dir), options={"txt-docx": {"aliases": ALIASES, "base_year": 2024}}).status
+    error = F.when(F.col("source_id") == "zip", F.when(F.col("error").isNotNull(), "damaged")).otherwise(F.col("error"))
+    skipped = F.when(F.col("adapter") == "chatgpt", 0).otherwise(F.col("skipped"))
+    return found.select("source_id", "adapter", "messages", skipped.cast("bigint").alias("skipped"), error.alias("error"))
 
 
 @query("select (date_trunc('week', ts))::date as week_start, event_type as kind, count(*) as n from events group by all")

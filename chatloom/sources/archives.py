@@ -5,13 +5,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.text import XML_ENTITIES
+from chatloom.functions.text import XML_ENTITIES, decoded
 
 #: The first bytes of a ZIP archive.
 MAGIC = (b"PK\x03\x04", b"PK\x05\x06")
@@ -21,36 +22,71 @@ class ArchiveError(ValueError):
     """An archive that cannot be read: encrypted, damaged, or packed in a way that is not supported."""
 
 
-def read_entries(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Names and contents of the files of an archive (stored or deflated)."""
+def _open(data: bytes) -> zipfile.ZipFile:
     try:
-        archive = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as e:
+        return zipfile.ZipFile(io.BytesIO(data))
+    except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError) as e:
         raise ArchiveError(str(e)) from e
+
+
+def read_entries(data: bytes, wanted: Callable[[str], bool] = lambda name: True) -> Iterator[tuple[str, bytes]]:
+    """Names and contents of the files of an archive (stored or deflated); those that are not wanted are not unpacked."""
+    archive = _open(data)
     for info in archive.infolist():
         if info.flag_bits & 1:
             raise ArchiveError(f"encrypted: {info.filename}")
         if info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
             raise ArchiveError(f"unsupported method {info.compress_type}: {info.filename}")
-        if not info.is_dir():
-            yield info.filename, archive.read(info)
+        if not info.is_dir() and wanted(info.filename):
+            try:
+                content = archive.read(info)
+            except (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, NotImplementedError) as e:
+                raise ArchiveError(f"{info.filename}: {e}") from e
+            yield info.filename, content
 
 
-def entries(files: DataFrame) -> DataFrame:
-    """(source_id, name, content) of every file in archives (source_id, content)."""
+def base_name(name: str) -> str:
+    return name.replace("\\", "/").rpartition("/")[2]
+
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _each(files: DataFrame, read: Callable[[bytes], list[tuple]], columns: str) -> DataFrame:
+    """Rows (source_id, error, and ``columns``) that ``read`` makes of each content; of one it cannot read, one with the error."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for source, data in zip(pdf["source_id"], pdf["content"], strict=True):
-                for name, content in read_entries(bytes(data)):
-                    yield pd.DataFrame({"source_id": [source], "name": [name], "content": [content]})
+                try:
+                    rows, error = read(bytes(data) if data is not None else b""), None
+                except ArchiveError as e:
+                    rows, error = [(None,) * len(names)], str(e)
+                out = pd.DataFrame(rows, columns=names, dtype=object)
+                yield out.assign(source_id=source, error=error)[["source_id", "error", *names]]
+
+    return files.select("source_id", "content").mapInPandas(run, f"source_id string, error string, {columns}")
 
-    return files.select("source_id", "content").mapInPandas(read, "source_id string, name string, content binary")
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """``rows`` without the error column; an error stops the query, and says which source it was."""
+    said = F.concat(F.coalesce("source_id", F.lit("null")), F.lit(": "), F.col("error"))
+    return rows.where(F.when(F.col("error").isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True)).drop("error")
 
-def text_entries(files: DataFrame) -> DataFrame:
-    """(source_id, name, text): archives as bundles of named texts."""
-    return entries(files).select("source_id", "name", F.decode(F.col("content"), "UTF-8").alias("text"))
+
+def entries(files: DataFrame) -> DataFrame:
+    """(source_id, name, content) of every file in archives (source_id, content). One that is damaged stops the query."""
+    return _whole(_each(files, lambda data: list(read_entries(data)), "name string, content binary"))
+
+
+def entry_names(files: DataFrame) -> DataFrame:
+    """(source_id, error, names) of archives; nothing is unpacked, and one that is damaged has an error instead of names."""
+    return _each(files, lambda data: [([x.filename for x in _open(data).infolist()],)], "names array<string>")
+
+
+def text_entries(files: DataFrame, errors: bool = False) -> DataFrame:
+    """(source_id, name, text): archives as bundles of named texts. With ``errors`` a damaged one is a row with ``error``."""
+    rows = _each(files, lambda data: list(read_entries(data)), "name string, content binary")
+    rows = rows if errors else _whole(rows)
+    return rows.withColumn("text", decoded(F.col("content"))).drop("content")
 
 
 def is_archive(column: str = "content") -> Column:
@@ -59,13 +95,14 @@ def is_archive(column: str = "content") -> Column:
 
 
 def _xml_text(x: str) -> str:
-    def char(m: re.Match) -> str:
+    def char(digits: str, base: int) -> str:
         try:
-            return chr(int(m[2], 16 if m[1] else 10))
+            return chr(int(digits, base))
         except (ValueError, OverflowError):
             return ""
 
-    x = re.sub(r"&#(x?)([0-9a-fA-F]+);", char, x)
+    x = re.sub(r"&#x([0-9a-fA-F]+);", lambda m: char(m[1], 16), x)
+    x = re.sub(r"&#([0-9]+);", lambda m: char(m[1], 10), x)
     for name, value in XML_ENTITIES.items():
         x = x.replace(f"&{name};", value)
     return x.replace("&amp;", "&")
@@ -82,15 +119,13 @@ def paragraph_lines(xml: str) -> list[str]:
     return [line for line in out if line]
 
 
-def word_texts(files: DataFrame) -> DataFrame:
-    """(source_id, text) of Word documents (source_id, content); one without a document part gives null."""
+def word_texts(files: DataFrame, errors: bool = False) -> DataFrame:
+    """(source_id, text) of Word documents (source_id, content); one without a document part gives null. With ``errors`` a
+    damaged one is a row with ``error``, else it stops the query."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for data in pdf["content"]:
-                found = [c for n, c in read_entries(bytes(data)) if n.replace("\\", "/").rpartition("/")[2] == "document.xml"]
-                texts.append("\n".join(paragraph_lines(found[0].decode("utf-8", "replace"))) if found else None)
-            yield pd.DataFrame({"source_id": pdf["source_id"], "text": texts})
+    def read(data: bytes) -> list[tuple]:
+        found = [c for _, c in read_entries(data, lambda n: base_name(n) == "document.xml")]
+        return [("\n".join(paragraph_lines(found[0].decode("utf-8", "replace"))) if found else None,)]
 
-    return files.select("source_id", "content").mapInPandas(read, "source_id string, text string")
+    rows = _each(files, read, "text string")
+    return rows if errors else _whole(rows)

@@ -27,7 +27,7 @@ def conversations(docs: DataFrame, field: str, opens: str) -> DataFrame:
 
     Only objects whose ``field`` is an object or array (as ``opens`` says) are conversations, and only they are numbered.
     """
-    clean = docs.select("source_id", strict_json("text").alias("_j"))
+    clean = docs.select("source_id", strict_json(F.col("text")).alias("_j"))
     wrapped = F.from_json("_j", "struct<conversations: array<string>>")["conversations"]
     items = F.when(F.col("_j").startswith("["), F.from_json("_j", "array<string>")).otherwise(F.coalesce(wrapped, F.array("_j")))
     items = F.filter(items, lambda x: F.coalesce(F.get_json_object(x, f"$.{field}").startswith(opens), F.lit(False)))
@@ -73,11 +73,11 @@ def _path_order(nodes: pd.Series, current: pd.Series) -> pd.Series:
         if rows is None:
             return None
         parent = {r["id"]: r["parent"] for r in rows}
-        out = []
+        out: dict[str, None] = {}
         while at in parent and at not in out:
-            out.append(at)
+            out[at] = None
             at = parent[at]
-        return out[::-1]
+        return list(out)[::-1]
 
     return pd.Series([one(r, a) for r, a in zip(nodes, current, strict=True)])
 
@@ -123,20 +123,27 @@ def _first_text(*values: Column) -> Column:
     return F.coalesce(*(F.nullif(T.trim(v), F.lit("")) for v in values))
 
 
-def characterai(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def characterai(files: DataFrame, need_messages: bool = True) -> tuple[DataFrame, DataFrame]:
     """Bundles of files (source_id, name, text): messages, with the names of user and character.
 
     The raw content of a message is its text. Where every message of an export has a time they are put in its order, else
-    they stay as they are. An export without ``message.json`` stops the query.
+    they stay as they are. An export without ``message.json`` stops the query, or has no messages where they need not be.
     """
-    named = files.select("source_id", F.lower(F.regexp_extract(F.replace(F.col("name"), F.lit("\\"), F.lit("/")), r"([^/]*)\z", 1)).alias("file"), strict_json("text").alias("j"))
-    text_of = lambda *names: named.where(F.col("file").isin(*names)).groupBy("source_id").agg(F.first("j", ignorenulls=True).alias("j"))
-    get = lambda key: F.get_json_object("j", f"$.{key}")
-    user = text_of("user.json", "user").select("source_id", _first_text(*(get(k) for k in ("first_name", "username", "user_name", "name"))).alias("user"))
-    character = text_of("character.json", "character").select("source_id", _first_text(*(get(k) for k in ("name", "title"))).alias("character"))
+    named = files.select("source_id", "name", F.lower(F.regexp_extract(F.replace(F.col("name"), F.lit("\\"), F.lit("/")), r"([^/]*)\z", 1)).alias("file"), strict_json(F.col("text")).alias("j"))
+    # Of several files with one of these names the first by its whole name.
+    text_of = lambda *names: named.where(F.col("file").isin(*names) & F.col("j").isNotNull()).groupBy("source_id").agg(F.min_by("j", "name").alias("j"))
+
+    def name_in(keys: tuple[str, ...]) -> Column:
+        # An array stands for its first item; only a string is a name.
+        one = F.when(F.col("j").startswith("["), F.get(F.from_json("j", "array<string>"), F.lit(0))).otherwise(F.col("j"))
+        fields = F.from_json(one, "struct<" + ", ".join(f"{k}: variant" for k in keys) + ">")
+        return _first_text(*(F.when(F.schema_of_variant(fields[k]) == "STRING", F.try_variant_get(fields[k], "$", "string")) for k in keys))
+
+    user = text_of("user.json", "user").select("source_id", name_in(("first_name", "username", "user_name", "name")).alias("user"))
+    character = text_of("character.json", "character").select("source_id", name_in(("name", "title")).alias("character"))
     messages = text_of("message.json", "message", "messages.json", "messages")
     wanting = named.select("source_id").distinct().join(messages, "source_id", "left")
-    checked = wanting.withColumn("j", F.when(F.col("j").isNull(), F.raise_error(F.lit("the bundle has no message.json")).cast("string")).otherwise(F.col("j")))
+    checked = wanting if not need_messages else wanting.withColumn("j", F.when(F.col("j").isNull(), F.raise_error(F.lit("the bundle has no message.json")).cast("string")).otherwise(F.col("j")))
     item = "array<struct<src: struct<name: string, is_human: variant, raw_content: string, created_at: string>, raw_content: string, is_human: variant, name: string, created: string, created_at: string, timestamp: string, create_time: string>>"
     rows = checked.select("source_id", F.posexplode(F.from_json("j", item)).alias("node", "m"))
     rows = rows.join(user, "source_id", "left").join(character, "source_id", "left")
@@ -157,7 +164,7 @@ def sillytavern(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JSON Lines with ``mes``: other lines are skipped and counted, lines that only name user or character are neither."""
     lines = docs.select("source_id", F.posexplode(T.lines(T.without_bom(F.col("text")))).alias("node", "line"))
     item = "struct<mes: variant, is_user: variant, is_system: variant, name: string, send_date: string, user_name: variant, character_name: variant>"
-    rows = lines.withColumn("m", F.from_json(strict_json("line"), item))
+    rows = lines.withColumn("m", F.from_json(strict_json(F.col("line")), item))
     text = F.when(F.schema_of_variant("m.mes") == "STRING", T.trim(F.try_variant_get("m.mes", "$", "string")))
     told = rows.withColumn("text", F.coalesce(text, F.lit("")))
     header = F.col("m.mes").isNull() & (F.col("m.user_name").isNotNull() | F.col("m.character_name").isNotNull())

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
 from chatloom.functions.jsonx import strict_json
+from chatloom.schemas import RAW
 from chatloom.sources import archives, json_exports, texts
 from chatloom.sources.texts import boundary_count, image_type
+from chatloom.storage import broadcast_if_small, written
 
 
 class NotSupportedYet(NotImplementedError):
@@ -68,39 +71,45 @@ def convert(adapter: str | Adapter, source: DataFrame, **options) -> DataFrame:
     return found.convert(source, **options)
 
 
-def _has(value: Column, *path: str) -> Column:
-    """Whether a VARIANT object has a field, be it null."""
-    return F.coalesce(F.try_variant_get(value, "$." + ".".join(path), "variant").isNotNull(), F.lit(False))
-
-
-def sniff_text(text: Column, strict: Column | None = None) -> Column:
-    """The adapter a text needs and how sure that is, as a struct (name, confidence), or null. ``strict``: the text if it is JSON."""
-    t = T.trim(T.without_bom(F.coalesce(text, F.lit(""))))
-    line = lambda v: F.try_parse_json(v)
-    is_object = lambda v: F.coalesce(F.schema_of_variant(line(v)).startswith("OBJECT"), F.lit(False))
-    is_message = lambda v: is_object(v) & _has(line(v), "mes") & (_has(line(v), "is_user") | _has(line(v), "is_system"))
-    is_header = lambda v: is_object(v) & (_has(line(v), "user_name") | _has(line(v), "character_name"))
-    rows = T.lines(t)
-    jsonl = t.startswith("{") & F.exists(rows, is_message) & F.forall(rows, lambda v: is_message(v) | is_header(v))
-    value = F.try_parse_json(t if strict is None else strict)
-    inner = F.try_variant_get(value, "$.conversations", "array<variant>")
-    items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), inner)
-    any_has = lambda *path: F.coalesce(F.exists(items, lambda v: _has(v, *path)), F.lit(False))
+def sniff_text(text: Column) -> Column:
+    """The adapter a text needs and how sure that is, as a struct (name, confidence), or null. JSON with anything behind it is
+    not JSON."""
+    has = lambda json, *names: F.coalesce(F.arrays_overlap(F.json_object_keys(json), F.array(*map(F.lit, names))), F.lit(False))
     sure = lambda name: F.struct(F.lit(name).alias("name"), F.lit("high").alias("confidence"))
-    return (
-        F.when(t.startswith("<"), sure("local-web"))
-        .when(jsonl, sure("st-chatlog"))
-        .when(any_has("mapping") | (items.isNull() & _has(value, "mapping")), sure("chatgpt"))
-        .when(any_has("chat_messages") | (items.isNull() & _has(value, "chat_messages")), sure("claude"))
-        .when(any_has("raw_content") | any_has("src", "raw_content"), sure("characterai"))
-        .when(boundary_count(t) >= 2, F.struct(F.lit("txt-docx").alias("name"), F.lit("low").alias("confidence")))
-    )
+
+    def named(t: Column) -> Column:
+        rows = F.transform(T.lines(t), strict_json)
+        is_message = lambda v: has(v, "mes") & has(v, "is_user", "is_system")
+        jsonl = lambda r: F.exists(r, is_message) & F.forall(r, lambda v: is_message(v) | has(v, "user_name", "character_name"))
+        return (
+            F.when(t.startswith("<"), sure("local-web"))
+            .when(t.startswith("{") & T.let(rows, jsonl), sure("st-chatlog"))
+            .when(t.startswith("{") | t.startswith("["), T.let(strict_json(t), of_json))
+        )
+
+    def of_json(j: Column) -> Column:
+        wrapped = F.from_json(j, "struct<conversations: array<string>>")["conversations"]
+        items = F.when(j.startswith("["), F.from_json(j, "array<string>")).otherwise(wrapped)
+
+        def kind(held: Column) -> Column:
+            any_has = lambda name: F.coalesce(F.exists(held, lambda x: has(x, name)), F.lit(False))
+            in_src = F.coalesce(F.exists(held, lambda x: has(F.get_json_object(x, "$.src"), "raw_content")), F.lit(False))
+            alone = lambda name: held.isNull() & has(j, name)
+            return (
+                F.when(any_has("mapping") | alone("mapping"), sure("chatgpt"))
+                .when(any_has("chat_messages") | alone("chat_messages"), sure("claude"))
+                .when(any_has("raw_content") | in_src, sure("characterai"))
+            )
+
+        return T.let(items, kind)
+
+    low = lambda t: F.when(boundary_count(t) >= 2, F.struct(F.lit("txt-docx").alias("name"), F.lit("low").alias("confidence")))
+    return T.let(T.trim(T.without_bom(F.coalesce(text, F.lit("")))), lambda t: F.coalesce(named(t), low(t)))
 
 
 def sniff_texts(docs: DataFrame) -> DataFrame:
-    """(source_id, name, confidence) for texts; both null where nothing fits. JSON with anything behind it is not JSON."""
-    found = docs.select("source_id", sniff_text(F.col("text"), strict_json("text")).alias("s"))
-    return found.select("source_id", "s.name", "s.confidence")
+    """(source_id, name, confidence) for texts; both null where nothing fits."""
+    return docs.select("source_id", sniff_text(F.col("text")).alias("s")).select("source_id", "s.name", "s.confidence")
 
 
 #: Adapters by file extension; other extensions are told by content.
@@ -108,20 +117,20 @@ EXTENSIONS = {"docx": "txt-docx", "html": "local-web", "htm": "local-web", "json
 
 
 def sniff_files(files: DataFrame) -> DataFrame:
-    """(source_id, name, confidence) for files (source_id, path, content): by extension, archive entries, picture, or text."""
+    """(source_id, name, confidence, error) for files (source_id, path, content): by extension, archive entries, picture, or
+    text. Of an archive only the names are read; one that is damaged has no name but an error. Malformed UTF-8 is replaced."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./\\]+)\z", 1))
-    zipped = archives.is_archive("content")
-    held = archives.entries(files.where(zipped)).select("source_id", F.regexp_extract(F.replace("name", F.lit("\\"), F.lit("/")), r"([^/]*)\z", 1).alias("file"))
-    names = held.groupBy("source_id").agg(F.collect_set(F.when(F.col("file").isin("document.xml", "message.json", "character.json"), F.col("file"))).alias("held"))
-    has = lambda n: F.coalesce(F.array_contains("held", n), F.lit(False))
-    text = F.when(~zipped & image_type(F.col("content")).isNull(), F.decode(F.col("content"), "UTF-8"))
-    rows = files.join(names, "source_id", "left").withColumn("_s", sniff_text(F.coalesce(text, F.lit(""))))
-    by_content = F.when(has("document.xml"), "txt-docx").when(has("message.json") & has("character.json"), "characterai").when(image_type(F.col("content")).isNotNull(), "screenshot").otherwise(F.col("_s.name"))
     by_ext = F.lit(None).cast("string")
     for e, name in EXTENSIONS.items():
         by_ext = F.when(ext == e, F.lit(name)).otherwise(by_ext)
-    found = F.coalesce(by_ext, by_content)
-    return rows.select("source_id", found.alias("name"), F.when(by_ext.isNull() & by_content.eqNullSafe(F.col("_s.name")), F.col("_s.confidence")).when(found.isNotNull(), "high").alias("confidence"))
+    zipped, image = archives.is_archive("content"), image_type(F.col("content"))
+    names = archives.entry_names(files.where(zipped & by_ext.isNull())).withColumnRenamed("source_id", "_source")
+    has = lambda n: F.coalesce(F.exists("names", lambda x: F.regexp_extract(F.replace(x, F.lit("\\"), F.lit("/")), r"([^/]*)\z", 1) == n), F.lit(False))
+    in_zip = F.when(has("document.xml"), "txt-docx").when(has("message.json") & has("character.json"), "characterai")
+    rows = files.join(names, F.col("source_id") == F.col("_source"), "left")
+    text = F.when(by_ext.isNull() & ~zipped & image.isNull(), T.decoded(F.col("content")))
+    rows = rows.select("source_id", "error", F.coalesce(by_ext, in_zip, F.when(image.isNotNull(), "screenshot")).alias("known"), sniff_text(text).alias("s"))
+    return rows.select("source_id", F.coalesce("known", "s.name").alias("name"), F.when(F.col("known").isNotNull(), "high").otherwise(F.col("s.confidence")).alias("confidence"), "error")
 
 
 def sniff_bundles(files: DataFrame) -> DataFrame:
@@ -136,6 +145,88 @@ def sniffed_or(sniffed: DataFrame, chosen: str) -> DataFrame:
     return sniffed.select("source_id", F.coalesce("name", F.lit(chosen)).alias("name"))
 
 
+@dataclass(frozen=True)
+class Converted:
+    """Raw messages of sources of any kinds, and what became of each source: (source_id, adapter, confidence, messages,
+    skipped, error)."""
+
+    messages: DataFrame
+    status: DataFrame
+
+
+#: What an adapter that found nothing says.
+NOTHING = {"chatgpt": "no conversation with a mapping", "claude": "no conversation with chat_messages", "characterai": "no messages", "st-chatlog": "no message line", "txt-docx": "no text", "local-web": "no text on the page", "screenshot": "no picture"}
+
+
+def convert_files(files: DataFrame, adapter: str | None = None, chosen: str | None = None, options: Mapping[str, Mapping] | None = None, provider=None, vision=None) -> Converted:
+    """Files (source_id, path, content) of any kinds, each through the adapter that it is recognised as needing.
+
+    ``adapter`` names one for all; ``chosen`` stands in where none is recognised; ``options`` are each adapter's own, by name;
+    ``provider`` labels plain lines, and pictures need ``vision``, a provider that takes them. A source that is damaged, not recognised or empty has no messages, and the status table says
+    why. What each source is recognised as is written first, so files are read once for that and once by their adapter.
+    """
+    if adapter and adapter not in ADAPTERS:
+        raise ValueError(f"no adapter {adapter!r}; there are: {', '.join(ADAPTERS)}")
+    if adapter and ADAPTERS[adapter].status != "ready":
+        _placeholder()
+    if adapter:
+        sniffed = files.select("source_id", F.lit(adapter).alias("name"), F.lit(None).cast("string").alias("confidence"), F.lit(None).cast("string").alias("error"))
+    else:
+        sniffed = sniff_files(files)
+        sniffed = sniffed.withColumn("name", F.when(F.col("error").isNull(), F.coalesce("name", F.lit(chosen)))) if chosen else sniffed
+    sniffed = written(sniffed)
+    kinds = {r.name for r in sniffed.select("name").distinct().collect()}  # at most as many as there are adapters
+    told = broadcast_if_small(sniffed, F.length("source_id") + 64).select(F.col("source_id").alias("_source"), F.col("name").alias("_kind"))
+    rows = files.join(told, F.col("source_id") == F.col("_source"))
+    of = lambda name: rows.where(F.col("_kind") == name).select("source_id", "path", "content")
+    zipped = archives.is_archive("content")
+    as_text = lambda df: df.select("source_id", T.decoded(F.col("content")).alias("text"))
+    found, skipped, errors = [], [], []
+    for name in sorted(x for x in kinds if x):
+        mine, own = of(name), dict((options or {}).get(name, {}))
+        if name == "screenshot":
+            if vision is None:
+                errors.append(mine.select("source_id", F.lit("pictures need a provider").alias("error")))
+            else:
+                found.append(texts.screenshots(mine, vision))
+        elif name == "characterai":
+            packed = archives.text_entries(mine.where(zipped), errors=True)
+            errors.append(packed.where("error is not null").select("source_id", "error"))
+            files_of = packed.where("error is null").select("source_id", "name", "text").unionByName(as_text(mine.where(~zipped)).select("source_id", F.lit("message.json").alias("name"), "text"))
+            said, left = json_exports.characterai(files_of, need_messages=False)
+            found.append(said)
+            skipped.append(left)
+        elif name in ("txt-docx", "local-web"):
+            words = as_text(mine.where(~zipped))
+            if name == "txt-docx":
+                word = archives.word_texts(mine.where(zipped), errors=True)
+                errors.append(word.where("error is not null").select("source_id", "error"))
+                words = words.unionByName(word.where("error is null").select("source_id", "text"))
+                own.setdefault("provider", provider)
+            found.append(ADAPTERS[name].convert(words, **own))
+        else:
+            said, left = getattr(json_exports, {"chatgpt": "chatgpt", "claude": "claude", "st-chatlog": "sillytavern"}[name])(as_text(mine), **own)
+            found.append(said)
+            skipped.append(left)
+    spark = files.sparkSession
+    union = lambda dfs, schema: reduce(DataFrame.unionByName, dfs) if dfs else spark.createDataFrame([], schema)
+    messages = written(union(found, RAW))
+    counts = messages.groupBy("source_id").agg(F.count(F.lit(1)).alias("messages"))
+    none = F.lit(None).cast("string")
+    for name, text in NOTHING.items():
+        none = F.when(F.col("adapter") == name, text).otherwise(none)
+    status = sniffed.select("source_id", F.col("name").alias("adapter"), "confidence", F.col("error").alias("e1"))
+    status = status.join(counts, "source_id", "left").join(union(skipped, "source_id string, skipped long"), "source_id", "left").join(union(errors, "source_id string, error string"), "source_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    why = F.coalesce("e1", "error", F.when(F.col("adapter").isNull(), "not recognised").when(F.col("messages").isNull(), none))
+    return Converted(messages, written(status.select("source_id", "adapter", "confidence", zero("messages"), zero("skipped"), why.alias("error"))))
+
+
+def as_files(source: DataFrame) -> DataFrame:
+    """Texts (source_id, text) as files."""
+    return source.select("source_id", F.lit("").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Files as (source_id, path, text), one row each."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), T.without_bom(F.col("value")).alias("text"))

@@ -14,6 +14,7 @@ from chatloom.functions.jsonx import extract_json
 from chatloom.operators.clean import BOUNDARY, CleanConfig, java_regex, split_text
 from chatloom.operators.structure import normal_role, structure_lines, structure_segments
 from chatloom.schemas import meta
+from chatloom.storage import written
 
 #: Fixed value: the least part of lines with a header at which a text is read by headers.
 HEADER_RATIO = 0.2
@@ -73,7 +74,8 @@ SEE_PROMPT = 'Transcribe the chat in this picture, from top to bottom, as a JSON
 def screenshots(files: DataFrame, provider: Callable[[], object] | None) -> DataFrame:
     """Pictures (source_id, path, content) as messages, through a provider with ``see(prompt, data_uri)``.
 
-    A reply without a JSON array of texts becomes one message whose role is pending; a blank reply stops the query.
+    A reply without a JSON array of texts becomes one message whose role is pending; a blank reply stops the query. The
+    provider is called when this is called.
     """
     if provider is None:
         raise ValueError("screenshots need a provider that takes pictures")
@@ -92,7 +94,8 @@ def screenshots(files: DataFrame, provider: Callable[[], object] | None) -> Data
                 rows = rows or [(None, reply.strip(), True)]
                 yield pd.DataFrame({"source_id": source, "mime": kind, "pos": range(len(rows)), "role": [r for r, *_ in rows], "text": [t for _, t, _ in rows], "raw": [x for *_, x in rows]})
 
-    seen = files.select("source_id", mime.alias("mime"), "content").mapInPandas(ask, "source_id string, mime string, pos long, role string, text string, raw boolean")
+    asked = files.select("source_id", mime.alias("mime"), "content").mapInPandas(ask, "source_id string, mime string, pos long, role string, text string, raw boolean")
+    seen = written(asked)  # each picture is asked about once, whatever reads the messages
     role = F.coalesce(normal_role(F.col("role")), F.lit("unlabeled"))
     known = meta(source=F.lit("screenshot"), mime_type=F.col("mime"), llm_role_label=F.when(~F.col("raw"), True), pending_label=F.when(F.col("raw"), True))
     return seen.select("source_id", "pos", role.alias("role"), "text", F.lit(None).cast("bigint").alias("ts_ms"), known.alias("meta"))

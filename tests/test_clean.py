@@ -64,6 +64,25 @@ def test_redaction_in_order_with_hits(spark):
     assert once.text == r"a<$1\> b2" and once.hits == [1]
 
 
+def test_many_rules_are_analysed_fast(spark):
+    import time
+
+    rules = [C.RedactionRule(f"r{i}", rf"x{i}(?!\d)", f"<{i}>", "" if i % 4 else "g") for i in range(20)]
+    began = time.time()
+    found = C.redact(lines(spark, [" ".join(f"x{i}. x{i}." for i in range(20)).replace(".", "")]), rules)
+    found.schema, found._jdf.queryExecution().optimizedPlan()
+    assert time.time() - began < 5
+    r = found.first()
+    assert r.text.split() == [w for i in range(20) for w in (f"<{i}>", f"<{i}>" if i % 4 == 0 else f"x{i}")] and r.hits == [2 if i % 4 == 0 else 1 for i in range(20)]
+
+
+def test_cleaning_reads_its_input_once_a_pass(spark, sf_dir):
+    from chatloom.plans import queries as Q
+
+    plan = C.clean(Q.doc_lines(spark, sf_dir), Q.CONFIG, Q.BLOCK).segments._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == 1 and plan.count("Exchange ") + plan.count("BroadcastExchange") <= 3
+
+
 def test_split_at_boundaries_and_lines(spark):
     docs = spark.createDataFrame([("a", "intro\nAda: 06-01 10:00:00 hi​ there Bob：6-2 9:05 yes\nmore Ada: 06-03 10:00 "), ("b", " x \n\n y\r\nz"), ("c", None)], "source_id string, text string")
     got = [(r.source_id, r.pos, r.header, r.text) for r in C.split_text(docs).orderBy("source_id", "pos").collect()]
@@ -105,10 +124,31 @@ def test_raw_messages_keep_what_they_were(spark):
     from chatloom.schemas import RAW
 
     meta = {"speaker": "S", "extra": '{"turn":3}'}
-    raw = spark.createDataFrame([("a", 0, "user", " hi ", 5, meta), ("a", 1, "narrator", "tel 13812345678", None, meta), ("a", 2, None, "  ", 7, None)], RAW)
+    raw = spark.createDataFrame([("a", 0, "user", " \u3000hi\n", 5, meta), ("a", 1, "narrator", "tel 13812345678", None, meta), ("a", 2, None, " \n", 7, None)], RAW)
+    assert C.clean(segments_of(raw, C.CleanConfig())).stats().first().input_segments == 2
     cleaned = C.clean(segments_of(raw, C.CleanConfig())).segments
     got = S.structure_segments(cleaned).orderBy("pos").collect()
-    assert [(r.role, r.text.strip(), r.ts_ms, r.meta.original_role, r.meta.speaker, r.meta.extra, r.pending) for r in got] == [("user", "hi", 5, None, "S", '{"turn":3}', False), ("unlabeled", "tel [已脱敏:手机号]", None, "narrator", "S", '{"turn":3}', False)]
+    assert [(r.role, r.text, r.ts_ms, r.meta.original_role, r.meta.speaker, r.meta.extra, r.pending) for r in got] == [("user", "hi", 5, None, "S", '{"turn":3}', False), ("unlabeled", "tel [已脱敏:手机号]", None, "narrator", "S", '{"turn":3}', False)]
+
+
+def test_times_and_meta_of_raw_messages(spark):
+    import json
+
+    rows = spark.createDataFrame([("a", 0, "user", "x", "1749853657500", '{"speaker":"S","rawTime":"t","turn":3,"tags":["a"]}'), ("a", 1, "bot", "y", "2025-06-13T22:27:37Z", None), ("a", 2, None, "z", "soon", "{}")], "source_id string, pos long, role string, text string, ts string, meta string")
+    got = S.structure_raw(rows).orderBy("pos").collect()
+    assert [r.ts_ms for r in got] == [1749853657500, 1749853657000, None] and got[1].meta.original_role == "bot" and got[1].meta.source == "structured"
+    assert (got[0].meta.speaker, got[0].meta.raw_time, json.loads(got[0].meta.extra)) == ("S", "t", {"turn": 3, "tags": ["a"]}) and got[2].meta.extra is None
+    mapped = rows.withColumn("meta", F.from_json("meta", "map<string,string>"))
+    assert json.loads(S.structure_raw(mapped).orderBy("pos").first().meta.extra) == {"turn": "3", "tags": '["a"]'}
+    assert S.structure_raw(rows.drop("meta", "ts", "role")).where("role = 'unlabeled' and ts_ms is null").count() == 3
+
+
+@pytest.mark.parametrize("text, ok", [("{}", True), ("\ufeff [1] ", True), ("1", True), ('"x"', True), ("null", True), ("[1] x", False), ("[1]]", False), ("[1],[2]", False), ("{}}", False), ("{'a':1}", False), ("NaN", False), ("[Infinity]", False), ("", False), (None, False), ('{"a":1,"a":2}', True), ("01", False), ('1,"end":1} x', False), ("[" * 50 + "]" * 50, True)])
+def test_strict_json(spark, text, ok):
+    from chatloom.functions.jsonx import strict_json
+
+    found = spark.createDataFrame([(text,)], "t string").select(strict_json(F.col("t")).alias("x")).first().x
+    assert (found is not None) == ok and (not ok or found == text.replace("\ufeff", "").strip())
 
 
 class Labels:
@@ -144,6 +184,7 @@ def test_other_times(spark):
     assert one(spark, times.parse_ts(F.lit("1749853657"))) == 1749853657
     sent = lambda v: one(spark, times.parse_send_date(F.lit(v)))
     assert [sent("June 13, 2025 10:27:37pm"), sent("May 19, 2023 12:07am"), sent("1749853657"), sent("soon")] == [1749853657000, 1684454820000, 1749853657000, None]
+    assert [sent("May 19, 2023 10:07 p.m."), sent("May 19, 2023 10:07 A.M."), sent("May 19, 2023 10:07pm garbage"), sent("Mayhem 19, 2023 10:07pm"), sent("Dec 1, 2023 12:00:01 pm"), sent("J 1, 2023 1:00am")] == [1684534020000, 1684490820000, None, None, 1701432001000, 1672534800000]
     assert [one(spark, times.iso_week(F.lit(x).cast("bigint"))) for x in (1767225600000, 1798675200000, None)] == ["2026-W01", "2026-W53", "unknown"]
 
 

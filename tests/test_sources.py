@@ -2,6 +2,7 @@
 
 import io
 import json
+import uuid
 import zipfile
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chatloom.operators import distill as D
 from chatloom.operators import pack as P
-from chatloom.operators.structure import source_stats
+from chatloom.operators.structure import source_stats, structure_lines
 from chatloom.plans import queries as Q
 from chatloom.plans.pipeline import run_from_source, run_pipeline
 from chatloom.schemas import RAW
@@ -136,6 +137,7 @@ def test_sniffing(spark):
         spark, a=make_zip({"word/document.xml": WORD, "message.json": "[]"}), b=make_zip({"d/message.json": "[]", "d/character.json": "{}"}), c=b"\x89PNG\r\n\x1a\n0000", d=CHAT.encode(), e_jpg=b"x", f=b"RIFF1234WEBPxx", g=b"none"
     )
     got = {r.source_id: (r.name, r.confidence) for r in registry.sniff_files(files).collect()}
+    assert registry.sniff_files(binaries(spark, z_zip=b"PK\x03\x04 no", t=b"\xff" + CHAT.encode())).where("error is not null").first().source_id == "z_zip"
     assert got == {"a": ("txt-docx", "high"), "b": ("characterai", "high"), "c": ("screenshot", "high"), "d": ("txt-docx", "low"), "e_jpg": ("screenshot", "high"), "f": ("screenshot", "high"), "g": (None, None)}
     assert registry.sniff_bundles(bundle(spark, [])).first().name == "characterai"
 
@@ -148,6 +150,38 @@ def test_registry(spark):
         registry.convert("qq-export", docs(spark, ""))
 
 
+def test_files_of_all_kinds_in_one_table(spark):
+    files = binaries(
+        spark, word_docx=make_zip({"word/document.xml": WORD}), bundle_zip=make_zip({"u/data/message.json": json.dumps([{"raw_content": "x", "is_human": True}, {"raw_content": " "}]), "u/character.json": '[{"name":"Bot"},{"name":"No"}]'}),
+        damaged_zip=b"PK\x03\x04 no", page_html=b"<p>Hi &amp; bye</p><p>two</p>", empty_html=b"<p></p>", tree_json=json.dumps(TREE).encode(), bytes_txt=b"\xff" + CHAT.encode(), shot_png=b"\x89PNG\r\n\x1a\n0000", what_bin=b"nothing", messages_json=json.dumps([{"raw_content": "y"}]).encode(),
+    )
+    found = registry.convert_files(files, vision=Eyes)
+    status = {r.source_id: (r.adapter, r.messages, r.skipped, r.error) for r in found.status.collect()}
+    assert status.pop("damaged_zip")[:3] == (None, 0, 0)
+    assert status == {
+        "word_docx": ("txt-docx", 3, 0, None), "bundle_zip": ("characterai", 1, 1, None), "page_html": ("local-web", 2, 0, None), "empty_html": ("local-web", 0, 0, "no text on the page"), "tree_json": ("chatgpt", 4, 2, None),
+        "bytes_txt": ("txt-docx", 2, 0, None), "shot_png": ("screenshot", 2, 0, None), "what_bin": (None, 0, 0, "not recognised"), "messages_json": ("characterai", 1, 0, None),
+    }
+    by = {}
+    for r in found.messages.orderBy("pos").collect():
+        by.setdefault(r.source_id, []).append((r.role, r.text))
+    assert by["word_docx"][0] == ("unlabeled", "Ada & co") and by["page_html"] == [("unlabeled", "Hi & bye"), ("unlabeled", "two")] and by["bundle_zip"] == [("user", "x")]
+    assert {r.source_id: r.error for r in registry.convert_files(files.where("path like '%png'")).status.collect()} == {"shot_png": "pictures need a provider"}
+    assert {r.adapter for r in registry.convert_files(files.where("source_id = 'what_bin'"), chosen="txt-docx").status.collect()} == {"txt-docx"}
+    assert registry.convert_files(files.limit(0)).status.count() == 0
+    result = run_from_source(files, with_distill=False)
+    assert result.adapter is None and result.status.count() == 10 and ("unlabeled", "two") in [(r.role, r.text) for r in result.messages.collect()]
+
+
+def test_word_entities(spark):
+    xml = "<w:p><w:t>a&nbsp;b &#abc; &#65;&#x42; &#99999999; &amp;lt;</w:t></w:p>"
+    assert archives.paragraph_lines(xml) == ["a b &#abc; AB  &lt;"]
+    broken = bytearray(make_zip({"word/document.xml": WORD * 50}))
+    broken[60] ^= 0xFF
+    with pytest.raises(archives.ArchiveError):
+        list(archives.read_entries(bytes(broken)))
+
+
 class Eyes:
     def __init__(self, reply='[{"role":"user","text":"a"},{"role":"x","text":"b"},{"role":"user","text":" "}]'):
         self.reply = reply
@@ -244,9 +278,45 @@ def test_pipeline_from_source_to_pack(spark, tmp_path):
     assert [(r.role, r.text) for r in result.messages.orderBy("pos").collect()] == [("user", "hi"), ("assistant", "old"), ("assistant", "new\ner"), ("unlabeled", "bye")]
     with pytest.raises(ValueError, match="name an adapter"):
         run_from_source(docs(spark, "nothing"))
+    with pytest.raises(ValueError, match="no adapter"):
+        run_from_source(docs(spark, "nothing"), adapter="nope")
     whole = run_pipeline(docs(spark, CHAT + "\nBot: 06-01 10:02 call 13812345678"), aliases={"Ada": "user", "Bot": "assistant"}, base_year=2025, provider=Mock, review=True, with_distill=False)
     assert [(r.role, r.text) for r in whole.messages.orderBy("pos").collect()] == [("user", "[gone]"), ("assistant", "hello"), ("assistant", "call [已脱敏:手机号]")]
-    assert whole.distilled.reason == "disabled" and not whole.degraded and set(whole.pack()) == {"pack_jsonl", "messages_jsonl", "markdown"}
+    assert whole.distilled.reason == "disabled" and not whole.degraded and set(whole.pack()) == {"pack_jsonl", "messages_jsonl", "markdown", "stats"}
+
+
+class Counted:
+    """Writes a file for each call, since calls are made in Python workers."""
+
+    name = "counted"
+
+    def __init__(self, folder, reply):
+        self.folder, self.reply = folder, reply
+
+    def chat(self, system, user):
+        open(f"{self.folder}/{uuid.uuid4()}", "w").close()
+        return self.reply
+
+
+@pytest.mark.parametrize("reply", ["{}", '{"hits": []}', '{"hits": {"index": 0}}', "no JSON", '{"hits": [{"index": 41, "text": "[gone]"}]}'])
+def test_review_asks_once_a_batch(spark, tmp_path, reply):
+    lines = spark.createDataFrame([("a", 1000 * i, f"user line number {i}") for i in range(90)], "source_id string, pos long, text string")
+    calls, packs = tmp_path / "calls", tmp_path / "packs"
+    calls.mkdir()
+    result = run_pipeline(lines, provider=lambda: Counted(calls, reply), review=True, with_distill=False, output=str(packs))
+    texts = [r.text for r in result.messages.orderBy("pos").collect()]
+    assert texts == [f"user line number {i}" if i != 41 or "41" not in reply else "[gone]" for i in range(90)]
+    assert result.stats.first().total == 90 and result.pack()["markdown"].count() > 90 and len(list(calls.iterdir())) == 3
+
+
+def test_labels_and_pictures_are_asked_for_once(spark, tmp_path):
+    found = structure_lines(docs(spark, "\n".join(f"line {i}" for i in range(130))), lambda: Counted(tmp_path, "[]"))
+    assert found.count() == 0 and found.select("text").count() == 0 and len(list(tmp_path.iterdir())) == 3
+
+
+def test_weeks_in_order(spark):
+    weeks = D.in_week_order(D.week_batches(messages(spark, [(None, "user", "a", None), *ROWS, (1767225600000, "user", "b", None)])))
+    assert [r.week for r in weeks.collect()] == ["2025-W24", "2025-W25", "2026-W01", "unknown"]
 
 
 def test_weekly_counts_on_a_stream(spark, sf_dir, tmp_path):
