@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.common import cut
 from chatloom.llm.components import components
+from chatloom.llm.workers import Recent, give_back, held, in_small_batches, slices
 
 WORDS, PERCENT = 5, 75
-#: Fragments of the n-gram order: at least so many, and more so that one holds about this many n-grams.
-FRAGMENTS, FRAGMENT_GRAMS = 64, 16_000_000
+#: Fragments of the n-gram order: at least so many, and more so that one holds about this many n-grams (some 40 bytes each
+#: in the task that has it).
+FRAGMENTS, FRAGMENT_GRAMS = 32, 2_000_000
 #: Fragments in which a pair's overlap is counted.
 PARTS = 4
 SIGNATURE_BITS = 4096
@@ -42,16 +44,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh64_intdigest(word)
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = found
-        return found
-
-
-_HASHES = _WordHashes()
+def _word_hashes() -> Recent:
+    return held("word hashes", lambda: Recent(xxhash.xxh64_intdigest))
 
 
 def grams_of(text: bytes | None, n: int = WORDS) -> np.ndarray:
@@ -59,7 +53,7 @@ def grams_of(text: bytes | None, n: int = WORDS) -> np.ndarray:
     words = text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    hashed = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
     k = min(n, len(words))
     out = np.full(len(words) - k + 1, np.uint64(k))
     for i in range(k):
@@ -73,47 +67,48 @@ def set_key(grams: np.ndarray) -> int:
     return int(_mix(total[:1] + _ODD[2] * total[1:]).view(np.int64)[0])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            yield part, part.column(column).cast(pa.binary()).to_pylist()
+def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for part, texts in slices(batches, 1):
+        sizes, names = [], []
+        for text in texts:
+            grams = grams_of(text, words)
+            sizes.append(len(grams))
+            names.append(set_key(grams) if len(grams) else None)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n", "key"])
 
 
-def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for part, texts in _texts(batches, 1):
-        sets = [grams_of(t, words) for t in texts]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "key"])
+SEGMENTS = "f int, keys binary, counts binary, tokens binary"
+_SEGMENTS = pa.schema([("f", pa.int32()), *((c, pa.binary()) for c in ("keys", "counts", "tokens"))])
 
 
-SEGMENTS = "f int, keys binary, sizes binary, counts binary, tokens binary"
-_SEGMENTS = pa.schema([("f", pa.int32()), *((c, pa.binary()) for c in ("keys", "sizes", "counts", "tokens"))])
+def _rows(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
 
 
 def _cut_sets(batches: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Segments of sets by fragment (the first ``bits`` bits of a hash); of the rest of a hash 32 bits are kept."""
-    for _, texts in _texts(batches, 0):
+    for _, texts in slices(batches, 0):
         sets = {set_key(s): s for s in (grams_of(t, words) for t in texts) if len(s)}
         if not sets:
             continue
-        names, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(s) for s in sets.values()], np.uint32)
-        grams, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets)), sizes)
-        f = (grams >> np.uint64(64 - bits)).astype(np.int64)
+        names, sizes = np.fromiter(sets, np.int64, len(sets)), [len(s) for s in sets.values()]
+        grams, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+        f = (grams >> np.uint64(64 - bits)).astype(np.int32)
         order = np.argsort(f, kind="stable")  # sets stay in order within a fragment
         tokens, owner, f = ((grams >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype("<u4")[order], owner[order], f[order]
         edges = np.flatnonzero(np.diff(f, prepend=-1, append=-2))
         rows = []
         for lo, hi in zip(edges, edges[1:], strict=False):
             who, counts = np.unique(owner[lo:hi], return_counts=True)
-            rows.append((int(f[lo]), names[who].tobytes(), sizes[who].tobytes(), counts.astype("<u4").tobytes(), tokens[lo:hi].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SEGMENTS.types, strict=True)], schema=_SEGMENTS)
+            rows.append((int(f[lo]), names[who].tobytes(), counts.astype("<u4").tobytes(), tokens[lo:hi].tobytes()))
+        yield pa.RecordBatch.from_arrays(_rows(rows, _SEGMENTS), schema=_SEGMENTS)
 
 
 def _joined(table: pa.Table, column: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype)
 
 
-SHARED = "bucket int, f int, keys binary, sizes binary, counts binary, tokens binary, uses binary"
+SHARED = "bucket int, f int, keys binary, counts binary, tokens binary, uses binary"
 _SHARED = pa.schema([("bucket", pa.int32()), *_SEGMENTS, ("uses", pa.binary())])
 
 
@@ -122,43 +117,58 @@ def _find_shared(table: pa.Table, buckets: int) -> pa.Table:
     if not table.num_rows:
         return pa.Table.from_batches([], _SHARED)
     fragment = table.column("f")[0].as_py()
-    keys, sizes, counts, tokens = (_joined(table, c, t) for c, t in (("keys", "<i8"), ("sizes", "<u4"), ("counts", "<u4"), ("tokens", "<u4")))
-    _, once = np.unique(keys, return_index=True)  # equal sets come from several tasks
-    first = np.zeros(len(keys), bool)
-    first[once] = True
-    owner = np.repeat(np.arange(len(keys)), counts)
-    keep = first[owner]
-    owner, tokens = owner[keep], tokens[keep]
-    order = np.argsort(tokens, kind="stable")
-    sorted_tokens, sorted_owner = tokens[order], owner[order]
-    edges = np.flatnonzero(np.concatenate([[True], sorted_tokens[1:] != sorted_tokens[:-1], [True]]))
-    uses = np.repeat(np.diff(edges), np.diff(edges))
-    shared = uses > 1
-    sorted_tokens, sorted_owner, uses = sorted_tokens[shared], sorted_owner[shared], uses[shared]
-    back = np.lexsort((sorted_tokens, sorted_owner, keys[sorted_owner] % buckets))
-    own, tok, use = sorted_owner[back], sorted_tokens[back], uses[back]
-    bucket = keys[own] % buckets
+    keys, counts, tokens = (_joined(table, c, t) for c, t in (("keys", "<i8"), ("counts", "<u4"), ("tokens", "<u4")))
+    _, once = np.unique(keys, return_index=True)
+    if len(once) < len(keys):  # equal sets come from several tasks
+        first = np.zeros(len(keys), bool)
+        first[once] = True
+        tokens, keys, counts = tokens[np.repeat(first, counts)], keys[first], counts[first]
+    # Sets are numbered bucket by bucket, and one sort of (token, number) brings equal tokens together.
+    by_bucket = np.argsort(keys % buckets, kind="stable")
+    keys, number = keys[by_bucket], np.empty(len(keys), np.uint32)
+    number[by_bucket] = np.arange(len(keys), dtype=np.uint32)
+    both = tokens.astype(np.uint64) << np.uint64(32)
+    both |= np.repeat(number, counts)
+    del tokens, number
+    both.sort()
+    token = both.view("<u4")[1::2]
+    same = token[1:] == token[:-1]
+    shared = np.zeros(len(both), bool)
+    shared[1:] = same
+    shared[:-1] |= same
+    both = both[shared]
+    del token, same, shared
+    token, own = (both >> np.uint64(32)).astype("<u4"), both.astype(np.uint32)
+    runs = np.diff(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))) if len(token) else np.zeros(0, np.int64)
+    uses = np.repeat(runs, runs).astype("<u4")
+    order = np.argsort(own, kind="stable")  # tokens stay in order within a set
+    own, token, uses = own[order], token[order], uses[order]
+    bucket = (keys % buckets)[own]
     rows = []
     edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2))
     for lo, hi in zip(edges, edges[1:], strict=False):
         who, n = np.unique(own[lo:hi], return_counts=True)
-        rows.append((int(bucket[lo]), fragment, keys[who].tobytes(), sizes[who].tobytes(), n.astype("<u4").tobytes(), tok[lo:hi].tobytes(), use[lo:hi].astype("<u4").tobytes()))
+        rows.append((int(bucket[lo]), fragment, keys[who].tobytes(), n.astype("<u4").tobytes(), token[lo:hi].tobytes(), uses[lo:hi].tobytes()))
+    del both, own, token, uses, order, bucket
+    give_back()
     if not rows:
         return pa.Table.from_batches([], _SHARED)
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SHARED.types, strict=True)], schema=_SHARED)
+    return pa.Table.from_arrays(_rows(rows, _SHARED), schema=_SHARED)
 
 
 HEADS = "key long, n long, central long, signature binary, prefix array<long>, parts array<array<long>>"
 _HEADS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("central", pa.int64()), ("signature", pa.binary()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.list_(pa.int64())))])
 
 
-def _choose(table: pa.Table, percent: int) -> pa.Table:
-    """One bucket of sets, over all fragments: the sets of which ``percent`` per cent is shared, with their n-grams."""
-    keys, sizes, counts, tokens, uses = (_joined(table, c, t) for c, t in (("keys", "<i8"), ("sizes", "<u4"), ("counts", "<u4"), ("tokens", "<u4"), ("uses", "<u4")))
+def _choose(classes: pa.Table, table: pa.Table, percent: int) -> pa.Table:
+    """One bucket of sets (key, n), over all fragments: those of which ``percent`` per cent is shared, with their n-grams."""
+    keys, counts, tokens, uses = (_joined(table, c, t) for c, t in (("keys", "<i8"), ("counts", "<u4"), ("tokens", "<u4"), ("uses", "<u4")))
     fragments = np.repeat(table.column("f").to_numpy().astype(np.int64), [len(x.as_py()) // 8 for x in table.column("keys")])
-    names, at = np.unique(keys, return_inverse=True)
-    total, size = np.bincount(at, counts, len(names)).astype(np.int64), np.zeros(len(names), np.int64)
-    size[at] = sizes
+    names, size = classes.column("key").to_numpy(), classes.column("n").to_numpy()
+    in_order = np.argsort(names)
+    names, size = names[in_order], size[in_order]
+    at = np.searchsorted(names, keys)
+    total = np.bincount(at, counts, len(names)).astype(np.int64)
     wanted = 100 * total >= percent * size
     owner = np.repeat(at, counts)
     keep = wanted[owner]
@@ -255,7 +265,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", words: int = WORDS,
     table: no rows. Texts count whole; sets of equal hash (64 bits) are taken as equal.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     described = cut(rows.mapInArrow(lambda b: _describe(b, words), "doc_id long, n long, key long"), "sets")
     classes = cut(described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
     grams = classes.agg(F.sum("n")).first()[0] or 0
@@ -263,7 +273,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", words: int = WORDS,
     buckets = 1 << bits
     segments = rows.select("text").mapInArrow(lambda b: _cut_sets(b, words, bits), SEGMENTS)
     shared = segments.groupBy("f").applyInArrow(lambda t: _find_shared(t, buckets), SHARED)
-    heads = cut(shared.groupBy("bucket").applyInArrow(lambda t: _choose(t, percent), HEADS), "heads")
+    by_bucket = classes.select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key", "n").groupBy("bucket")
+    heads = cut(by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(lambda c, t: _choose(c, t, percent), HEADS), "heads")
 
     prefixes = heads.select("key", "n", "central", F.explode("prefix").alias("gram"))
     central = prefixes.groupBy("gram").agg(F.max(F.struct("central", "key", "n")).alias("c"), F.count(F.lit(1)).alias("held")).where("held > 1").select("gram", "c")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.wordids import word_ids
+from chatloom.llm.workers import in_small_batches, slices
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
@@ -136,8 +137,8 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: i
     names: list = []
     texts: list[bytes] = []
     held = 0
-    for batch in batches:
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+    for part, whole in slices(batches, 1):
+        for name, text in zip(part.column(0).to_pylist(), whole, strict=True):
             names.append(name)
             texts.append(ids.encode(text) + end)
             held += len(texts[-1]) // 4
@@ -158,5 +159,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     Null or empty text: the end id alone. Null doc_id: packed, doc_id stays null. Repeated rows: each is packed. Empty
     table: no rows. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return rows.mapInArrow(lambda b: _pack(b, tokenizer_path, capacity, end_id, group_ids), SCHEMA)

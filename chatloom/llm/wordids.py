@@ -1,9 +1,9 @@
-"""Exact token ids of whole texts, one ASCII-white-space-separated word at a time.
+"""Exact token ids of whole texts, one ASCII-white-space-separated word at a time where the vocabulary allows that.
 
-The vocabulary files used here drop white space and never let a token cross it, so a text's ids are those of its words
-in order. Words recur, so each Python worker keeps the ids of those it has met, as little-endian unsigned 32-bit bytes.
+Vocabulary files of one known shape drop white space and never let a token cross it, so a text's ids are those of its words
+in order. Words recur, so each Python worker keeps the ids of those it met lately, as little-endian unsigned 32-bit bytes.
 Words of Latin letters, digits and signs are cut by the file's own pattern here and only the pieces go to its model; any
-other word goes through the whole tokenizer.
+other word goes through the whole tokenizer. With a vocabulary file of any other shape whole texts go through the tokenizer.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from __future__ import annotations
 import json
 import sys
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import regex
 
+from chatloom.llm.workers import Recent, held
+
 #: Characters that are their own composed form and whose lower case is one character: what a word may hold to be cut here.
 _PLAIN = regex.compile(r"[\x21-\x7E\xA1-įı-ɏ]+")
+_PROBE = "The quick  brown\tfox's 12 \n\njumps\r\nover-\x0bit\x0c ÉTÉ é <|endoftext|>x don't 'll ###"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -27,77 +29,60 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in printable else next(others)) for b in range(256)}
 
 
-class _Pieces(dict):
-    """piece (UTF-8 bytes, lower case) -> ids (bytes), from the model alone."""
-
-    def __init__(self, model, most: int):
-        super().__init__()
-        self.tokenize, self.letters, self.most = model.tokenize, _byte_letters(), most
+def _state(part) -> dict:
+    return json.loads(part.__getstate__()) if part else {}
 
-    def __missing__(self, piece: bytes) -> bytes:
-        letters = piece.decode() if piece.isascii() else "".join(map(self.letters.__getitem__, piece))
-        ids = array("I", [x.id for x in self.tokenize(letters)]).tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = ids
-        return ids
 
+class WordIds:
+    """``encode`` of whole texts by a vocabulary file; ``by_word`` says whether words are encoded one by one."""
 
-class WordIds(dict):
-    """word (UTF-8 bytes) -> ids (bytes). ``most`` bounds the memory: a full table starts anew."""
-
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.pieces = _Pieces(self.tokenizer.model, most)
-        self.pattern, self.special = None, ()
-        rules = json.loads(self.tokenizer.to_str())
-        steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = tuple(x.content for x in added)
+        steps = _state(self.tokenizer.pre_tokenizer).get("pretokenizers", [])
         shape = [(x["type"], x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in steps]
-        folds = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
-        if sys.byteorder == "little" and shape == [("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)] and folds == ["NFC", "Replace", "Lowercase"]:
+        folds = [x["type"] for x in _state(self.tokenizer.normalizer).get("normalizers", [])]
+        known = shape == [("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)] and folds == ["NFC", "Replace", "Lowercase"]
+        loose = any(x.lstrip or x.rstrip or x.content.split() != [x.content] for x in added)
+        self.by_word = sys.byteorder == "little" and known and not loose
+        if self.by_word:
             self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
-            self.special = tuple(x["content"] for x in rules["added_tokens"])
+            self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+            self.pieces, self.words = Recent(self._piece), Recent(self._word)
+            self.by_word = self.encode(_PROBE.encode()) == self._whole(_PROBE)
+
+    def _piece(self, piece: bytes) -> bytes:
+        """The ids of a piece (UTF-8, lower case), from the model alone."""
+        letters = piece.decode() if piece.isascii() else "".join(map(self.letters.__getitem__, piece))
+        return array("I", [x.id for x in self.tokenize(letters)]).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
+    def _word(self, word: bytes) -> bytes:
         low = word.lower()
-        if self.pattern and low.isalpha():  # bytes: ASCII letters only, so one piece
-            ids = self.pieces[low]
-        elif self.pattern and low[-1:] in b".," and low[:-1].isalpha():
-            ids = self.pieces[low[:-1]] + self.pieces[low[-1:]]
-        else:
-            ids = self._cut(word.decode("utf-8", "replace"))
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def _cut(self, text: str) -> bytes:
-        if self.pattern and len(text) <= 256 and _PLAIN.fullmatch(text):
+        if low.isalpha():  # bytes: ASCII letters only, so one piece
+            return self.pieces[low]
+        if low[-1:] in b".," and low[:-1].isalpha():
+            return self.pieces[low[:-1]] + self.pieces[low[-1:]]
+        text = word.decode("utf-8", "replace")
+        if len(text) <= 256 and _PLAIN.fullmatch(text):
             if text.isalpha():
                 return self.pieces[text.lower().encode()]
             if not any(x in text for x in self.special):
                 return b"".join([self.pieces[x.encode()] for x in self.pattern.findall(text.lower())])
+        return self._whole(text)
+
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: bytes | None) -> bytes:
         """All ids of a text, 4 bytes each; a null text has none."""
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+        if not text:
+            return b""
+        return b"".join(map(self.words.__getitem__, text.split())) if self.by_word else self._whole(text.decode("utf-8", "replace"))
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """The table of a vocabulary file in this Python worker, kept from task to task."""
-    return WordIds(path)
-
-
-def splits_at_space(path: str) -> bool:
-    """Whether the file's normalizer and pre-tokenizer make words independent (checked on a probe, ids against ids)."""
-    from tokenizers import Tokenizer
-
-    probe = "The quick  brown\tfox's 12 \n\njumps\r\nover-\x0bit\x0c ÉTÉ é <|endoftext|>x don't 'll ###"
-    whole = Tokenizer.from_file(path).encode(probe, add_special_tokens=False).ids
-    return np.frombuffer(WordIds(path).encode(probe.encode()), "<u4").tolist() == whole
+    """The tables of a vocabulary file in this Python worker."""
+    return held(f"ids of {path}", lambda: WordIds(path))

@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -15,7 +16,8 @@ from chatloom.llm.common import new_dir, table, vocabulary
 from chatloom.llm.packing import best_fill, pack, pack_lengths
 from chatloom.llm.sharding import ROUNDS, grid, shard
 from chatloom.llm.tokenfile import TokenFile, read_documents, read_manifest, write_token_files
-from chatloom.llm.wordids import WordIds, splits_at_space
+from chatloom.llm.wordids import WordIds
+from chatloom.llm.workers import Recent, slices
 
 PATH = vocabulary("word_bpe_49k.json")
 TEXTS = [(3, "a b"), (1, None), (2, ""), (None, "x y z"), (3, "a b"), (5, "word " * 3000), (9, "  Été ²\n<|endoftext|> \"quoted\" ")]
@@ -39,8 +41,32 @@ def test_word_ids_are_those_of_the_whole_text(text):
     assert np.frombuffer(WORDS.encode(text.encode()), "<u4").tolist() == whole_ids(text, 0)[:-1]
 
 
-def test_the_vocabulary_never_crosses_a_space():
-    assert splits_at_space(PATH)
+def test_a_vocabulary_whose_tokens_take_in_blanks(spark, docs):
+    path = vocabulary("byte_bpe_50k.json")
+    assert WORDS.by_word and not WordIds(path).by_word
+    whole = Tokenizer.from_file(path)
+    want = sorted(((d, [*whole.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in [*TEXTS, (7, "Hello big world again")]), key=repr)
+    ids = lambda x: np.frombuffer(x, "<u4").tolist()
+    folder = new_dir(spark, "t")
+    write_token_files(docs([*TEXTS, (7, "Hello big world again")]), folder, path, end_id=2, length=64)
+    assert sorted(((r.doc_id, ids(r.ids)) for r in read_documents(spark, folder).collect()), key=repr) == want
+    pieces = {}
+    for r in sorted(pack(docs([(7, "Hello big world again")]), path, capacity=64).collect(), key=lambda r: r.start):
+        pieces.setdefault(r.doc_id, []).extend(ids(r.ids))
+    assert pieces == {7: [15496, 1263, 995, 757, 2]}
+
+
+def test_worker_tables_are_bounded():
+    made = []
+    table = Recent(lambda k: made.append(k) or len(k), entries=3)
+    assert [table[b"%d" % i] for i in range(10)] == [1] * 10 and table[b"8"] == 1 and len(made) == 10
+    assert table[b"x" * 65] == table[b"x" * 65] == 65 and len(made) == 12 and len(table) <= 3 and len(table.older) <= 3
+
+
+def test_slices_hold_all_rows_in_order():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(6)), "t": ["a" * 4, None, "b" * 9, "", "c" * 4, "d" * 5]})
+    got = [(part.column(0).to_pylist(), texts) for part, texts in slices(iter([batch, batch.slice(0, 0)]), 1, most=8)]
+    assert got == [([0, 1], [b"aaaa", None]), ([2], [b"b" * 9]), ([3, 4], [b"", b"cccc"]), ([5], [b"ddddd"])]
 
 
 def test_token_files_round_trip(spark, docs):
@@ -58,6 +84,12 @@ def test_token_files_round_trip(spark, docs):
         assert len(f) == m.n_sequences and f.reader.schema.field("ids").type.value_type == "uint16"
         assert sum(sum(f.sequence(i, "mask").to_pylist()) for i in range(len(f))) == m.n_tokens
         assert sum(sum(f.sequence(i, "ends").to_pylist()) for i in range(len(f))) == m.n_docs
+        batches = [f.reader.get_batch(b).num_rows for b in range(f.batches)]
+        assert set(batches[:-1]) <= {4}
+        runs = np.concatenate([f.reader.get_batch(b).column("ids").values.to_numpy() for b in range(f.batches)])
+        assert all(f.sequence(i).to_numpy().tolist() == runs[64 * i : 64 * i + 64].tolist() for i in range(len(f)))
+        with pytest.raises(IndexError):
+            f.sequence(len(f))
 
 
 def test_token_files_of_an_empty_table(spark, docs):
