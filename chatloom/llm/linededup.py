@@ -16,33 +16,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import cut, with_row_key, words_of
+from chatloom.llm.common import broadcast_if_small, cut, let, unused, with_row_key
 
-#: Lines with fewer words are not compared for similarity: one changed word leaves too little in common.
+#: Lines with fewer words are compared for equality alone: one changed word leaves too little in common.
 MIN_WORDS = 5
-#: Keys of documents are broadcast while there are at most this many; beyond that the join shuffles the texts.
-BROADCAST_ROWS = 1_000_000
 _SMALL = 1 << 40
 
 
-def line_words(line: Column) -> Column:
-    """The words that are compared."""
-    return words_of(F.lower(line))
+def lines_of(text: Column) -> Column:
+    """The lines of a text in lower case, with spaces for other white space; null text has one empty line."""
+    spaced = lambda low: F.when(low.rlike(r"[\x09\x0B-\x0D]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.split(spaced(low), "\n"))
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+def line_words(line: Column) -> Column:
+    """The words of such a line."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def line_table(docs: DataFrame, key: str, min_words: int) -> DataFrame:
-    """Lines to compare: doc, line_no, h (hash of the words), n (words) and the keys of their halves."""
-    lines = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    hashed = lines.select("doc", "line_no", _hashes(line_words(F.col("line"))).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
+    """Lines to compare: doc, line_no, h (hash of the words), n (words) and, for similarity, the keys of their halves."""
+    words = F.transform(lines_of(F.col("text")), line_words)
+    hashed = docs.select(F.col(key).alias("doc"), F.posexplode(words).alias("line_no", "w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
     # Lines of n and of n + 1 words share a half of (n + 1) div 2 words, lines of n words one of n div 2.
     half = lambda k: F.array(F.xxhash64(F.lit(0), k, F.slice("w", 1, k)), F.xxhash64(F.lit(1), k, F.slice("w", F.col("n") - k + 1, k)))
     low, high = F.expr("n div 2").cast("int"), F.expr("(n + 1) div 2").cast("int")
     halves = F.when(low == high, half(low)).otherwise(F.concat(half(low), half(high)))
-    return hashed.select("doc", "line_no", F.xxhash64("n", "w").alias("h"), "n", halves.alias("halves"))
+    return hashed.select("doc", "line_no", F.xxhash64("n", "w").alias("h"), "n", F.when(F.col("n") >= min_words, halves).alias("halves"))
 
 
 def with_a_shared_half(distinct: DataFrame) -> DataFrame:
@@ -83,62 +83,100 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, key: str) -> DataFrame:
-    """(h, n) of distinct lines that are within one edit of an earlier one."""
+    """(h, n, like) of distinct lines that are within one edit of an earlier one; ``like`` is the place of the earliest."""
     candidates = cut(distinct.select("h", "n", "first.*").join(with_a_shared_half(distinct), ["h", "n"], "left_semi"), "candidates")
-    holders = cut(candidates.groupBy("doc").agg(F.collect_set("line_no").alias("at")), "holders")
-    pick = F.broadcast if holders.count() <= BROADCAST_ROWS else (lambda x: x)
-    rows = docs.select(F.col(key).alias("k"), "text").join(pick(holders), F.col("k").eqNullSafe(F.col("doc")))
-    # The lines of the documents that hold candidates first; a repeated doc_id may bring other lines, which the join drops.
-    lines = rows.select(F.explode("at").alias("line_no"), F.split("text", "\n").alias("lines")).select(line_words(F.get("lines", F.col("line_no"))).alias("words"))
-    lines = lines.select("words", F.size("words").alias("n")).select("words", "n", F.xxhash64("n", _hashes(F.col("words"))).alias("h")).dropDuplicates(["h", "n"])
-    lines = cut(lines.join(candidates, ["h", "n"]), "candidate-lines")
+    # A document's own lines: as many at most as its text has.
+    holders = cut(candidates.groupBy("doc").agg(F.collect_list("line_no").alias("at")), "holders")
+    rows = docs.select(F.col(key).alias("k"), "text").join(broadcast_if_small(holders, F.size("at") * 4 + 64), F.col("k") == F.col("doc"))
+    picked = let(lines_of(F.col("text")), lambda x: F.transform("at", lambda i: F.struct(i.alias("line_no"), line_words(F.get(x, i)).alias("words"))))
+    lines = rows.select("doc", F.inline(picked)).withColumn("n", F.size("words"))
+    lines = cut(lines.select(F.xxhash64("n", "words").alias("h"), "n", "doc", "line_no", "words"), "candidate-lines")
     keyed = variants(lines)
     earliest = keyed.groupBy("variant").agg(F.min(F.struct("doc", "line_no", "h", "n")).alias("e"), F.max("h").alias("hi"), F.min("h").alias("lo")).where("lo <> hi")
-    pairs = keyed.join(earliest.select("variant", "e"), "variant").where("h <> e.h or n <> e.n").select("h", "n", F.col("e.h").alias("eh"), F.col("e.n").alias("en")).distinct()
+    pairs = keyed.join(earliest.select("variant", "e"), "variant").where("h <> e.h or n <> e.n").select("h", "n", "e").distinct()
     other = lines.select(F.col("h").alias("eh"), F.col("n").alias("en"), F.col("words").alias("other"))
-    checked = pairs.join(lines.select("h", "n", "words"), ["h", "n"]).join(other, ["eh", "en"])
-    return checked.where(within_one_edit(F.col("words"), F.col("other"))).select("h", "n").distinct()
+    checked = pairs.withColumns({"eh": F.col("e.h"), "en": F.col("e.n")}).join(lines.select("h", "n", "words"), ["h", "n"]).join(other, ["eh", "en"])
+    return checked.where(within_one_edit(F.col("words"), F.col("other"))).groupBy("h", "n").agg(F.min(F.struct("e.doc", "e.line_no")).alias("like"))
 
 
-def judged_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
-    """Every line of ``equal_words`` words or more (``min_words`` unless given): doc, line_no, repeat (an equal line came
-    before), near (a similar one did, both of ``min_words`` words or more). With ``equal_words`` 1 no line with a word is left out.
-
-    Before means: a smaller doc, then a smaller line number. Null text: no lines. Null doc_id: comes first. Equal doc_ids:
-    their lines count as those of one document; an equal line at the same place in both is kept in both. Empty table: no
-    rows. Lines of any length are compared whole.
-    """
-    lines = cut(line_table(docs, key, min_words if equal_words is None else equal_words), "lines")
-    distinct = lines.groupBy("h", "n").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.first("halves").alias("halves"))
+def _removed(docs: DataFrame, key: str, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """For documents with a key of their own: all compared lines (doc, line_no), and those that an earlier one stands for
+    (doc, line_no, repeat, near, kept: its place)."""
+    lines = cut(line_table(docs, key, min_words), "lines")
+    distinct = lines.groupBy("h", "n").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("times"))
     distinct = cut(distinct, "distinct-lines")
-    near = cut(near_lines(docs, distinct.where(F.col("n") >= min_words), key).withColumn("near", F.lit(True)), "near-lines")
-    known = distinct.select("h", "n", "first").join(near, ["h", "n"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    joined = lines.select("doc", "line_no", "h", "n").join(known, ["h", "n"])
-    same = F.struct("doc", "line_no").eqNullSafe(F.col("first"))
-    return joined.select("doc", "line_no", (~same).alias("repeat"), "near")
-
-
-def count_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """For each document the number of its compared lines, of repeats, and of lines similar to an earlier one."""
-    count = lambda x: F.sum(x.cast("long"))
-    judged = judged_lines(docs, key, min_words).groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines"), count(F.col("repeat")).alias("n_repeats"), count(F.col("near") & ~F.col("repeat")).alias("n_near"))
-    counts = docs.select(F.col(key).alias("k")).join(judged, F.col("k").eqNullSafe(F.col("doc")), "left")
-    return counts.select(F.col("k").alias(key), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_repeats", "n_near")))
+    near = near_lines(docs, distinct.where(F.col("n") >= min_words), key)
+    known = distinct.select("h", "n", "first", "times").join(near, ["h", "n"], "left").where("times > 1 or like is not null").select("h", "n", "first", "like")
+    joined = lines.select("doc", "line_no", "h", "n").join(broadcast_if_small(cut(known, "known-lines"), 128), ["h", "n"])
+    repeat = F.struct("doc", "line_no") != F.col("first")
+    gone = joined.select("doc", "line_no", repeat.alias("repeat"), F.col("like").isNotNull().alias("near"), F.coalesce("like", "first").alias("kept"))
+    return lines.select("doc", "line_no"), gone.where("repeat or near")
+
+
+def _keyed(docs: DataFrame, key: str, numbered: bool = True) -> tuple[DataFrame, DataFrame, Column]:
+    """``docs`` with a column that tells rows with one key apart, the same as (key, text) where the key orders by ``key``, then
+    by that column, and this key. Rows are numbered, which writes them out, or told apart by a hash of the text alone."""
+    if numbered:
+        rows, row = with_row_key(docs)
+    else:
+        (row,) = unused(docs, "row")
+        rows = docs.withColumn(row, F.xxhash64(F.col("text").cast("string")))
+    own = F.struct(F.col(key).alias("id"), F.col(row).alias("row"))
+    return rows, rows.select(own.alias("key"), F.col("text").cast("string").alias("text")), own
+
+
+def judged_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """Every line with a word: doc, line_no, repeat (an equal line came before), near (a similar one did, both of
+    ``min_words`` words or more), and the place (kept_doc, kept_line) of the earliest line that stands for it, or nulls.
+
+    Before means: a smaller doc, then an earlier row, then a smaller line number. Null text: no lines. Null doc: comes
+    first. Rows with equal or null docs, and repeated rows, are texts of their own. Empty table: no rows. Lines of any length
+    are compared whole. Other columns are not read, whatever their names.
+    """
+    lines, gone = _removed(_keyed(docs, key)[1], "key", min_words)
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    joined = lines.join(gone, ["doc", "line_no"], "left")
+    return joined.select(F.col("doc.id").alias("doc"), "line_no", no("repeat"), no("near"), F.col("kept.doc.id").alias("kept_doc"), F.col("kept.line_no").alias("kept_line"))
+
+
+def _has_word(text: Column) -> Column:
+    return text.rlike(r"[^\x20\x09-\x0D]")
+
+
+def _linked(docs: DataFrame, key: str, min_words: int, numbered: bool) -> tuple[DataFrame, Column, Column]:
+    """``docs`` with an array of the lines that go, ordered by line number (null where none goes); its column; and the text
+    that is left."""
+    rows, keyed, own = _keyed(docs, key, numbered)
+    gone = _removed(keyed, "key", min_words)[1]
+    link = F.struct("line_no", F.col("kept.doc.id").alias("doc"), F.col("kept.line_no").alias("line"), "repeat")
+    r, links = unused(rows, "r", "links")
+    found = gone.groupBy(F.col("doc").alias(r)).agg(F.sort_array(F.collect_set(link)).alias(links))  # a document's own lines
+    joined = rows.join(broadcast_if_small(cut(found, "gone-lines"), F.size(links) * 40 + 64), own == F.col(r), "left")
+    at, text = F.transform(links, lambda x: x["line_no"]), F.col("text").cast("string")
+    rest = let(F.split(text, "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), at), lambda i: F.get(x, i)))
+    return joined, F.col(links), F.when(F.col(links).isNull(), text).otherwise(F.array_join(rest, "\n"))
+
+
+def report(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """What the operator finds in every row and leaves of it: the key, n_lines (lines with a word), n_repeats, n_near
+    (similar to an earlier line, equal to none), links (for each line that goes its line_no, the place doc and line of the
+    line that stands for it, and whether it is equal to one; null where none goes), text (what is left) and kept (whether a
+    word is left, or there was none). Edge cases are those of ``judged_lines``, but rows with one key and one text are told
+    what the first of them is told: nothing is written out to number them.
+    """
+    joined, links, rest = _linked(docs, key, min_words, numbered=False)
+    count = lambda found: F.when(links.isNull(), 0).otherwise(F.size(found)).cast("long")
+    n_lines = F.size(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), _has_word)).cast("long")
+    told = joined.select(F.col(key), n_lines.alias("n_lines"), count(F.filter(links, lambda x: x["repeat"])).alias("n_repeats"), count(F.filter(links, lambda x: ~x["repeat"])).alias("n_near"), links.alias("links"), rest.alias("text"))
+    return told.withColumn("kept", F.col("links").isNull() | _has_word(F.col("text")))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated and similar lines taken out of ``text``, the earliest kept; rows left without a word go.
 
-    Other columns are as they were. Rows whose text had no word before stay as they are. Each row is a text of its own,
-    also where keys repeat or are null: of rows with one key any may count as the earlier.
+    Other columns are as they were. Rows whose text had no word before stay as they are. Edge cases: see ``judged_lines``.
     """
-    rows = with_row_key(docs)
-    keyed = rows.select(F.struct(F.col(key).alias("id"), F.col("_row").alias("row")).alias("_key"), "text")
-    gone = judged_lines(keyed, "_key", min_words, equal_words).where("repeat or near").groupBy(F.col("doc.row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
-    gone = cut(gone, "gone-lines")
-    pick = F.broadcast if gone.count() <= BROADCAST_ROWS // 4 else (lambda x: x)
-    rows = rows.join(pick(gone), "_row", "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
-    kept = rows.withColumn("text", text).where(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.select(*docs.columns)
+    joined, links, rest = _linked(docs, key, min_words, numbered=True)
+    (text,) = unused(joined, "rest")
+    kept = joined.withColumn(text, rest).where(links.isNull() | _has_word(F.col(text)))
+    return kept.select(*(F.col(text).alias(c) if c == "text" else F.col(c) for c in docs.columns))

@@ -84,10 +84,13 @@ rows as (
 known as (select doc_id, max(case when toxic = 1 or quality = 0 then 1 else 0 end) as bad from labels where doc_id is not null and (toxic is not null or quality is not null) group by doc_id),
 seen as (
   select host, bad from rows left join known on doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') as bigint)),
+bare as (select host, count(bad)::double as n, coalesce(sum(bad), 0)::double as bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$|\\.$', '') as name from seen group by host),
+cut as (
+  select *, regexp_matches(name, '^\\[|^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') as address, string_split(name, '.') as l,
+    case when array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') in ({", ".join(f"'{x}'" for x in reputation.SUFFIXES)}) then 2 else 1 end as k from bare),
 hosts as (
-  select host, count(bad)::double as n, coalesce(sum(bad), 0)::double as bad,
-    array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain, array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') as suffix
-  from seen group by host),
+  select host, n, bad, case when address then name else array_to_string(list_slice(l, -k - 1, -1), '.') end as domain, case when address then name else array_to_string(list_slice(l, -k, -1), '.') end as suffix
+  from cut),
 total as (select (sum(bad) + 0.5) / (sum(n) + 1) as rate from hosts),{_level("suffix", None)},{_level("domain", "suffix")},{_level("host", "domain")},
 blocked as (select host from r_host where rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) >= 0.5),
 ruled as (
@@ -167,29 +170,38 @@ qualify row_number() over (partition by doc_id, item_id order by similarity desc
 
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every document its lines of five words or more, those equal to an earlier line, and those one word from one."""
-    return linededup.count_lines(table(spark, sf_dir, "documents"))
+    """For every document its lines with a word, those equal to an earlier line, those one word from one (of five words or
+    more), which line stands for each that goes (line:document.line), and what is left of the text."""
+    told = linededup.report(table(spark, sf_dir, "documents"))
+    links = F.transform("links", lambda x: F.concat(x["line_no"], F.lit(":"), x["doc"], F.lit("."), x["line"]))
+    return told.select("doc_id", "n_lines", "n_repeats", "n_near", F.coalesce(F.array_join(links, " "), F.lit("")).alias("links"), F.md5("text").alias("text_md5"), "kept")
 
 
 ORACLES["op1_line_dedup"] = r"""
 with line as (
-  select doc_id, i - 1 as line_no, list_filter(regexp_split_to_array(lower(string_split(text, chr(10))[i]), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  select doc_id, i - 1 as line_no, string_split(text, chr(10))[i] as raw, list_filter(regexp_split_to_array(lower(string_split(text, chr(10))[i]), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
   from documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as u(i)),
-long as (select *, row_number() over (partition by w order by doc_id, line_no) > 1 as is_repeat from line where len(w) >= 5),
-firsts as (select row_number() over (order by doc_id, line_no) as f, w from long where not is_repeat),
+worded as (select * from line where len(w) > 0),
+firsts as (select row_number() over (order by doc_id, line_no) as f, * from (select w, doc_id, line_no from worded qualify row_number() over (partition by w order by doc_id, line_no) = 1)),
 keys as (
   select f, len(w) - 1 as n, i, array_to_string(list_slice(w, 1, i), ' ') as a, array_to_string(list_slice(w, i + 2, len(w)), ' ') as b
-  from firsts, unnest(range(len(w))) as u(i)
+  from firsts, unnest(range(len(w))) as u(i) where len(w) >= 5
   union all
   select f, len(w), i, array_to_string(list_slice(w, 1, i), ' '), array_to_string(list_slice(w, i + 1, len(w)), ' ')
-  from firsts, unnest(range(len(w) + 1)) as u(i)),
-close as (select f from keys qualify f > min(f) over (partition by n, i, a, b)),
-near as (select w from firsts where f in (select f from close)),
-counted as (
-  select doc_id, count(*) as n_lines, count(*) filter (is_repeat) as n_repeats, count(*) filter (not is_repeat and w in (select w from near)) as n_near
-  from long group by doc_id)
-select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_repeats, 0)::bigint as n_repeats, coalesce(n_near, 0)::bigint as n_near
-from documents left join counted using (doc_id)"""
+  from firsts, unnest(range(len(w) + 1)) as u(i) where len(w) >= 5),
+close as (select f, min(m) as m from (select f, min(f) over (partition by n, i, a, b) as m from keys) where f > m group by f),
+judged as (
+  select l.doc_id, l.line_no, l.raw, f.f is null as wordless, l.doc_id <> f.doc_id or l.line_no <> f.line_no as is_repeat, m is not null as is_near,
+    coalesce(m, f.f) as stand from line l left join firsts f using (w) left join close c on c.f = f.f),
+placed as (select j.*, p.doc_id as kept_doc, p.line_no as kept_line, not wordless and (is_repeat or is_near) as gone from judged j left join firsts p on p.f = stand),
+told as (
+  select doc_id, count(*) filter (not wordless) as n_lines, count(*) filter (gone and is_repeat) as n_repeats, count(*) filter (gone and not is_repeat) as n_near,
+    string_agg(line_no || ':' || kept_doc || '.' || kept_line, ' ' order by line_no) filter (gone) as links,
+    string_agg(raw, chr(10) order by line_no) filter (not gone) as rest, count(*) filter (gone) > 0 as cut
+  from placed group by doc_id)
+select doc_id, n_lines::bigint as n_lines, n_repeats::bigint as n_repeats, n_near::bigint as n_near, coalesce(links, '') as links,
+  case when text is null then null when cut then md5(coalesce(rest, '')) else md5(text) end as text_md5, not cut or regexp_matches(coalesce(rest, ''), '[^\x20\x09-\x0D]') as kept
+from documents join told using (doc_id)"""
 
 
 @query

@@ -33,6 +33,14 @@ class Rule:
         return self.host + self.path
 
 
+#: Public suffixes of two labels (the last label is one anyway); a longer list may be given.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk",
+    "com.mx", "com.my", "com.ng", "com.pe", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "edu.in", "go.jp", "gob.mx", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk",
+    "ltd.uk", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "net.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za", "plc.uk", "sch.uk",
+)
+
+
 #: The rules that the registered query applies.
 RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 
@@ -45,15 +53,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def domain_and_suffix(host: Column, suffixes: Sequence[str] = ()) -> tuple[Column, Column]:
-    """Registered domain and suffix: the last label, or one of ``suffixes`` (such as ``co.uk``), and one label more."""
-    labels = F.split(host, r"\.")
-    long = [(s, s.count(".") + 1) for s in sorted(suffixes, key=len, reverse=True)]
-    n = F.lit(1)
-    for s, k in reversed(long):
-        n = F.when((host == s) | host.endswith("." + s), F.lit(k)).otherwise(n)
+def domain_and_suffix(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, without user and port.
+
+    The suffix is the last label, or one of ``suffixes``, the domain one label more. An IP address is its own domain and
+    suffix, so it is shrunk to the rate of all pages alone.
+    """
+    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$|\.$", "")
+    address = bare.rlike(r"^\[|^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    labels = F.split(bare, r"\.")
     part = lambda k: F.array_join(F.slice(labels, -F.least(k, F.size(labels)), F.least(k, F.size(labels))), ".")
-    return part(n + 1), part(n)
+    n = F.lit(1)
+    for k in sorted({x.count(".") + 1 for x in suffixes}):
+        n = F.when(part(F.lit(k)).isin([x for x in suffixes if x.count(".") + 1 == k]), F.lit(k)).otherwise(n)
+    return F.when(address, bare).otherwise(part(n + 1)), F.when(address, bare).otherwise(part(n))
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -74,11 +87,12 @@ def _strength(groups: DataFrame) -> float:
     return (1 - rho) / rho
 
 
-def reputation(outcomes: DataFrame, z: float = 1.645, suffixes: Sequence[str] = ()) -> DataFrame:
+def reputation(outcomes: DataFrame, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Posterior of each host from rows (host, bad: 0, 1 or null): host, n, bad, rate, lower, upper.
 
     What comes to the driver is one row of sums for each level. Null host: the host ``""``. Without any outcome every rate
-    is one half with the widest prior.
+    is one half with the widest prior. ``lower`` and ``upper`` are bounds by the normal approximation of the beta posterior.
+    Hosts that differ in user or port alone are hosts of their own, of one domain.
     """
     rows = outcomes.select(F.coalesce("host", F.lit("")).alias("host"), F.col("bad").cast("long").alias("bad"))
     hosts = rows.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
@@ -99,7 +113,7 @@ def reputation(outcomes: DataFrame, z: float = 1.645, suffixes: Sequence[str] =
     return groups.select("host", "n", "bad", "rate", (F.col("rate") - half).alias("lower"), (F.col("rate") + half).alias("upper"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = RULES, limit: float = 0.5, z: float = 1.645, suffixes: Sequence[str] = ()) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = RULES, limit: float = 0.5, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Every page's page_id, host, path, rule and verdict.
 
     ``outcomes`` has rows (page_key, bad), joined to ``pages.page_key``; a page may have none. Repeated outcomes of a key
