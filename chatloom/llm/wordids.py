@@ -15,10 +15,12 @@ from array import array
 import numpy as np
 import regex
 
-from chatloom.llm.workers import Recent, held
+from chatloom.llm.workers import held
 
 #: Characters that are their own composed form and whose lower case is one character: what a word may hold to be cut here.
 _PLAIN = regex.compile(r"[\x21-\x7E\xA1-įı-ɏ]+")
+#: Words of a worker's table, and the longest that is kept, in bytes: 32 MB with words of the usual length, 60 MB at most.
+ENTRIES, LONGEST = 200_000, 32
 _PROBE = "The quick  brown\tfox's 12 \n\njumps\r\nover-\x0bit\x0c ÉTÉ é <|endoftext|>x don't 'll ###"
 
 
@@ -33,6 +35,39 @@ def _state(part) -> dict:
     return json.loads(part.__getstate__()) if part else {}
 
 
+class _Words(dict):
+    """word (UTF-8) -> ids. A piece is a word too, with the same ids, so one table has both. A full table starts anew."""
+
+    def __init__(self, tokenizer, pattern: str, special: tuple[str, ...], whole):
+        super().__init__()
+        self.tokenize, self.letters, self.pieces = tokenizer.model.tokenize, _byte_letters(), regex.compile(pattern).findall
+        self.special, self.whole = special, whole
+
+    def __missing__(self, word: bytes) -> bytes:
+        low = word.lower()
+        if low.isalpha():  # bytes: ASCII letters only, so one piece
+            ids = array("I", [x.id for x in self.tokenize(word.decode())]).tobytes() if low == word else self[low]
+        elif low[-1:] in b".," and low[:-1].isalpha():
+            ids = self[low[:-1]] + self[low[-1:]]
+        else:
+            ids = self._cut(word)
+        if len(word) <= LONGEST:
+            if len(self) >= ENTRIES:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _cut(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if len(text) > 256 or not _PLAIN.fullmatch(text) or any(x in text for x in self.special):
+            return self.whole(text)
+        pieces = [x.encode() for x in self.pieces(text.lower())]
+        if pieces != [word]:
+            return b"".join(map(self.__getitem__, pieces))
+        letters = text if word.isascii() else "".join(map(self.letters.__getitem__, word))
+        return array("I", [x.id for x in self.tokenize(letters)]).tobytes()
+
+
 class WordIds:
     """``encode`` of whole texts by a vocabulary file; ``by_word`` says whether words are encoded one by one."""
 
@@ -41,7 +76,6 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = tuple(x.content for x in added)
         steps = _state(self.tokenizer.pre_tokenizer).get("pretokenizers", [])
         shape = [(x["type"], x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in steps]
         folds = [x["type"] for x in _state(self.tokenizer.normalizer).get("normalizers", [])]
@@ -49,30 +83,9 @@ class WordIds:
         loose = any(x.lstrip or x.rstrip or x.content.split() != [x.content] for x in added)
         self.by_word = sys.byteorder == "little" and known and not loose
         if self.by_word:
-            self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
-            self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
-            self.pieces, self.words = Recent(self._piece), Recent(self._word)
+            self.words = _Words(self.tokenizer, steps[0]["pattern"]["Regex"], tuple(x.content for x in added), self._whole)
             self.by_word = self.encode(_PROBE.encode()) == self._whole(_PROBE)
 
-    def _piece(self, piece: bytes) -> bytes:
-        """The ids of a piece (UTF-8, lower case), from the model alone."""
-        letters = piece.decode() if piece.isascii() else "".join(map(self.letters.__getitem__, piece))
-        return array("I", [x.id for x in self.tokenize(letters)]).tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        low = word.lower()
-        if low.isalpha():  # bytes: ASCII letters only, so one piece
-            return self.pieces[low]
-        if low[-1:] in b".," and low[:-1].isalpha():
-            return self.pieces[low[:-1]] + self.pieces[low[-1:]]
-        text = word.decode("utf-8", "replace")
-        if len(text) <= 256 and _PLAIN.fullmatch(text):
-            if text.isalpha():
-                return self.pieces[text.lower().encode()]
-            if not any(x in text for x in self.special):
-                return b"".join([self.pieces[x.encode()] for x in self.pattern.findall(text.lower())])
-        return self._whole(text)
-
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

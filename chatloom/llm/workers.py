@@ -9,8 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Entries of one generation of a table, and the longest key that is kept: at most about 2 * 50,000 * (64 + 256 + 200)
-#: bytes for words and their ids, 52 MB, and 20 MB for words of the usual length.
+#: Entries of one generation of a table unless it is said otherwise, and the longest key that is kept.
 ENTRIES, LONGEST = 50_000, 64
 #: Text that is worked on at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
