@@ -1,11 +1,13 @@
 """Benchmark decontamination by SimHash of item-sized windows (operator 8).
 
-A document is contaminated by an item when a window of as many words as the item has is similar to it. Windows are sought
-where the document shares a word shingle with an item of that size: the similarity of a window can only rise while its
-start moves right to the first shared shingle, so the best window starts at one. Each such window and each item gets a
-64-bit SimHash; both are cut into one block more than the radius, so two fingerprints within the radius agree on a block
-(pigeonhole), and an equi-join on item size and block finds all of them. Candidates within the radius are verified by the
-exact weighted-shingle similarity: shared weight over the weight of both, where a shingle weighs as often as it occurs.
+A document is contaminated by an item when a window of as many words as the item has is similar to it. The similarity of a
+window can only rise while its start moves right to the first shingle it shares with the item, so windows are formed where a
+document has any shingle of any item of that size, and nothing else is asked of them. Each such window and each item gets a
+64-bit SimHash. Both are cut into one block more than the radius, so two fingerprints within the radius agree on a block
+(pigeonhole); the index holds the blocks of each item under its size and each of its shingles, and a window looks its blocks
+up under its size and the shingle it begins with. That finds all items within the radius that have this shingle, and never
+all items of a size. Candidates within the radius are verified by the exact weighted-shingle similarity: shared weight over the weight of both, where a
+shingle weighs as often as it occurs.
 """
 
 from __future__ import annotations
@@ -13,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import cut
-from chatloom.llm.quality import _let
+from chatloom.llm.common import broadcast_if_small, cut, let
 
 #: Words of a shingle, bits of a fingerprint, and how many bits may differ. Windows at similarity 0.75 share six shingles
 #: of seven, so their fingerprints differ in 11 bits on average; 24 is four standard deviations more.
 WIDTH, BITS, RADIUS = 5, 64, 24
-#: Items are broadcast while they are at most this many shingle rows; beyond that the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Votes for four bits are counted in one number, in lanes of 16 bits, for windows of so many shingles at most; the votes of
+#: a longer one are counted bit by bit.
+LANES, LANE_ONES, LANE_TOPS, MOST = 16, 0x0001000100010001, 0x4000400040004000, 0x3FFF
 
 
 def words(text: Column) -> Column:
@@ -31,23 +33,46 @@ def words(text: Column) -> Column:
 def shingles(found: Column, width: int = WIDTH) -> Column:
     """The hashes of all runs of ``width`` words, in order; with fewer words, of all words as one; without words, none."""
     hashed = F.transform(found, lambda w: F.xxhash64(w))
-    runs = _let(hashed, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width)))))
+    runs = let(hashed, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width)))))
     return F.when(F.size(found) >= width, runs).when(F.size(found) > 0, F.array(F.xxhash64(hashed))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _bit_by_bit(found: Column) -> Column:
+    def bit(b: int) -> Column:
+        votes = F.aggregate(found, F.lit(0), lambda a, h: a + F.getbit(h, F.lit(b)).cast("int"))
+        return F.when(F.lit(2) * votes > F.size(found), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+
+    out = bit(0)
+    for b in range(1, BITS):
+        out = out.bitwiseOR(bit(b))
+    return out
+
+
 def simhash(found: Column) -> Column:
-    """64-bit SimHash of shingle hashes: bit b is set when most of them have it set."""
-    def bit(s: Column, b: int) -> Column:
-        votes = F.aggregate(s, F.lit(0), lambda a, h: a + F.getbit(h, F.lit(b)).cast("int"))
-        return F.when(F.lit(2) * votes > F.size(s), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+    """64-bit SimHash of shingle hashes: bit b is set when most of them have it set.
+
+    Number k of the struct counts bits k, k + 16, k + 32 and k + 48. Adding 0x3FFF less half the number of
+    shingles to a lane sets its bit 14 just when the votes are more than half.
+    """
+    empty = F.struct(*(F.lit(0).cast("long").alias(f"v{k}") for k in range(LANES)))
+    ones, tops = F.lit(LANE_ONES).cast("long"), F.lit(LANE_TOPS).cast("long")
+
+    def count(a: Column, h: Column) -> Column:
+        return F.struct(*((a[f"v{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(ones)).alias(f"v{k}") for k in range(LANES)))
 
     def bits(s: Column) -> Column:
-        out = bit(s, 0)
-        for b in range(1, BITS):
-            out = out.bitwiseOR(bit(s, b))
-        return out
+        half = (F.lit(0x3FFF) - F.floor(F.size(s) / 2)).cast("long")
+
+        def finish(a: Column) -> Column:
+            out = F.lit(0).cast("long")
+            for k in range(LANES):
+                over = F.shiftrightunsigned((a[f"v{k}"] + half * ones).bitwiseAND(tops), 14)
+                out = out.bitwiseOR(F.shiftleft(over, k))
+            return out
+
+        return F.when(F.size(s) <= MOST, F.aggregate(s, empty, count, finish)).otherwise(_bit_by_bit(s))
 
-    return _let(found, bits)
+    return let(found, bits)
 
 
 def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
@@ -58,12 +83,14 @@ def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard similarity of two bags of shingles: sum of the lesser counts over sum of the greater ones."""
-    def shared(x: Column, y: Column) -> Column:
-        both = F.array_intersect(x, y)
-        count = lambda s, h: F.size(F.filter(s, lambda g: g == h))
-        return F.aggregate(both, F.lit(0), lambda t, h: t + F.least(count(x, h), count(y, h)))
+    def shared(s: Column) -> Column:
+        both = F.array_intersect(s["a"], s["b"])
+        count = lambda x, h: F.size(F.filter(x, lambda g: g == h))
+        once = (F.size(F.array_distinct(s["a"])) == F.size(s["a"])) | (F.size(F.array_distinct(s["b"])) == F.size(s["b"]))
+        return F.when(once, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda t, h: t + F.least(count(s["a"], h), count(s["b"], h))))
 
-    return _let(F.struct(a.alias("a"), b.alias("b"), shared(a, b).alias("n")), lambda s: s["n"] / (F.size(s["a"]) + F.size(s["b"]) - s["n"]))
+    pair = let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(shared(s).alias("n"), (F.size(s["a"]) + F.size(s["b"])).alias("both")))
+    return let(pair, lambda s: s["n"] / (s["both"] - s["n"]))
 
 
 def items_of(benchmark: DataFrame, item: str = "item_id") -> DataFrame:
@@ -78,47 +105,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     Documents' words are hashed in the scan; only documents that share a shingle with an item go further, with their
     shingles. An item of fewer than five words is one shingle of all its words and is found where it is the whole text.
     Null text or a text without a word: no pairs. Null key: found like others. Equal keys are separate texts. Empty
-    tables: no pairs. Repeated items: each is reported.
+    tables: no pairs. Repeated items: each is reported. Very long texts count whole. Other columns are not read.
     """
-    items = cut(items_of(benchmark, item), "items")
-    rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
-    starts = cut(window_starts(rows, items, least), "starts")
-    pick = F.broadcast if starts.count() <= BROADCAST_ROWS else (lambda x: x)
-    with_starts = rows.withColumnRenamed("key", "k").join(pick(starts), F.col("k").eqNullSafe(F.col("key")))
-    windows = with_starts.select("key", "starts", shingles(words(F.col("text"))).alias("s")).select("key", "s", F.explode("starts").alias("at"))
-    windows = windows.select("key", "at.size", "at.start", F.slice("s", F.col("at.start") + 1, F.greatest(F.col("at.size") - WIDTH + 1, F.lit(1))).alias("window"))
-    windows = windows.withColumn("print", simhash(F.col("window")))
-    candidates = within_radius(windows, items, radius)
-    scored = candidates.withColumn("similarity", similarity(F.col("window"), F.col("shingles"))).where(F.col("similarity") >= least)
+    items = cut(items_of(benchmark, item).withColumn("no", F.monotonically_increasing_id()), "items")
+    rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    candidates = within_radius(item_windows(rows, items), items, radius)
+    shingled = items.select("no", "item", "shingles")
+    whole = candidates.join(broadcast_if_small(shingled, F.size("shingles") * 8 + 96), "no")
+    scored = whole.withColumn("similarity", similarity(F.col("window"), F.col("shingles"))).where(F.col("similarity") >= least)
     best = scored.groupBy("key", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item), (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity"))
 
 
-def window_starts(rows: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """For each key the places (size, start) where a window of that size holds enough shared shingles to be similar.
-
-    With c shared shingles of w in the window and m in the item, the similarity is at most c / (w + m - c); so c must reach
-    least * (w + m) / (1 + least), counted from a shared shingle at the window's start.
-    """
-    marks = items.select("item", "size", F.size("shingles").alias("m"), F.explode(F.array_distinct("shingles")).alias("shingle"))
-    pick = F.broadcast if marks.count() <= BROADCAST_ROWS else (lambda x: x)
-    worded = rows.select("key", words(F.col("text")).alias("words"))
-    placed = worded.select("key", F.size("words").alias("n"), F.posexplode(shingles(F.col("words"))).alias("pos", "shingle"))
-    hits = placed.join(pick(marks), "shingle").groupBy("key", "n", "item", "size", "m").agg(F.sort_array(F.collect_set("pos")).alias("p"))
-    w = F.least(F.col("m"), F.greatest(F.col("n") - WIDTH + 1, F.lit(1)))
-    hits = hits.withColumn("need", F.ceil(F.lit(least) * (w + F.col("m")) / F.lit(1 + least) - F.lit(1e-9)).cast("int")).where(F.size("p") >= F.col("need"))
-    enough = F.filter("p", lambda x, i: F.get(F.col("p"), i + F.col("need") - 1) <= x + F.col("m") - 1)
-    first = F.transform(enough, lambda x: F.struct(F.col("size").alias("size"), F.greatest(F.lit(0), F.least(x, F.col("n") - F.col("size"))).alias("start")))
-    return hits.select("key", F.explode(first).alias("at")).groupBy("key").agg(F.collect_set("at").alias("starts"))
+def item_windows(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Windows (key, size, start, anchor, window, print) of texts (key, text, h: a hash of it): one for each place where a
+    text has a shingle (``anchor``) of an item, and each size of such an item. ``window`` has the shingles."""
+    sizes = cut(items.select("size", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.collect_set("size").alias("sizes")), "sizes")
+    placed = rows.select("key", "h", F.posexplode(shingles(words(F.col("text")))).alias("pos", "shingle"))
+    hits = placed.join(broadcast_if_small(sizes, F.size("sizes") * 4 + 48), "shingle")
+    # One text's places, also where keys are null or repeat.
+    held = cut(hits.groupBy("key", "h").agg(F.collect_set(F.struct("pos", "sizes")).alias("at")), "anchors")
+    texts = rows.select(F.col("key").alias("k"), F.col("h").alias("of"), "text")
+    with_hits = texts.join(broadcast_if_small(held, F.size("at") * 48 + 64), (F.col("of") == F.col("h")) & F.col("k").eqNullSafe(F.col("key")))
+    worded = with_hits.select("key", "at", words(F.col("text")).alias("words"))
+    placed = worded.select("key", F.size("words").alias("n"), shingles(F.col("words")).alias("s"), "at").select("key", "n", "s", F.inline("at"))
+    placed = placed.select("key", "n", "s", "pos", F.explode("sizes").alias("size"))
+    start = F.greatest(F.lit(0), F.least("pos", F.col("n") - F.col("size")))
+    windows = placed.select("key", "size", start.alias("start"), F.get("s", F.col("pos")).alias("anchor"), F.slice("s", start + 1, F.greatest(F.col("size") - WIDTH + 1, F.lit(1))).alias("window"))
+    return windows.withColumn("print", simhash(F.col("window")))
 
 
 def within_radius(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Windows (size, print, ...) with every item of the same size whose fingerprint is within the radius, once each."""
-    left = windows.withColumn("block", F.explode(blocks(F.col("print"), radius)))
-    right = items.withColumn("block", F.explode(blocks(F.col("fingerprint"), radius)))
-    if items.count() * (radius + 1) <= BROADCAST_ROWS:
-        right = F.broadcast(right)
-    near = left.join(right, ["size", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= radius)
-    # A pair meets in each block that both share; it counts in the first of them.
-    meet = F.arrays_zip(blocks(F.col("print"), radius).alias("a"), blocks(F.col("fingerprint"), radius).alias("b"))
-    return near.where(F.filter(meet, lambda x: x["a"] == x["b"])[0]["a"] == F.col("block"))
+    """Windows with ``no`` of every item of their size that has their anchor and whose fingerprint is within the radius."""
+    held = items.select("no", "size", "fingerprint", blocks(F.col("fingerprint"), radius).alias("blocks"), F.explode(F.array_distinct("shingles")).alias("anchor"))
+    index = cut(held, "index")
+    near = windows.join(broadcast_if_small(index, 8 * (radius + 1) + 80), ["size", "anchor"])
+    agree = F.arrays_overlap("blocks", blocks(F.col("print"), radius))
+    return near.where(agree & (F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= radius)).drop("blocks", "fingerprint")
