@@ -1,8 +1,9 @@
 """Token ids in Arrow files of fixed-size-list batches (operator 4).
 
 Documents are dealt out by ranges of doc_id; each range becomes one Arrow IPC file. The ids of its documents, each followed
-by an end id, form one run that is cut into sequences of equal length, so a file is a column of fixed-size lists: sequence
-k of batch b is found by arithmetic and can be used from mapped memory without a copy. Two more fixed-size lists of bits go
+by an end id, form one run that is cut into sequences of equal length, so a file is a column of fixed-size lists. All its
+batches but the last have the same number of sequences: a sequence is found by arithmetic and can be used from mapped memory
+without a copy. Two more fixed-size lists of bits go
 with it: ``mask`` (true on ids, false on the padding of a file's last sequence) and ``ends`` (true on each document's last
 id). A second Arrow file lists the documents (doc_id, start in the file, number of ids). Files are written under another
 name and renamed, so a lost or repeated task leaves whole files only; a manifest table names them with their counts.
@@ -21,7 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.llm.wordids import word_ids
+from chatloom.llm.workers import in_small_batches, slices
 
+#: Bytes of text of one file at most, where ranges are even (ids take about half as many bytes).
+FILE_BYTES = 256 << 20
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "part int, tokens_file string, index_file string, n_docs long, n_tokens long, n_sequences long"
 
@@ -67,14 +71,15 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_
         ends = np.zeros(len(run), bool)
         ends[np.cumsum([len(x) for x in held])[bool(len(left)) :] - 1] = True
         ends[: len(left)] = left
-        whole = len(run) - (0 if last else len(run) % length)
-        pad = -whole % length
-        tokens_out.write_batch(_batch(schema, length, run[:whole], ends[:whole], pad))
-        sequences += (whole + pad) // length
+        whole = len(run) if last else len(run) // (rows * length) * (rows * length)
+        for at in range(0, whole, rows * length):
+            part = run[at : min(at + rows * length, whole)]
+            tokens_out.write_batch(_batch(schema, length, part, ends[at : at + len(part)], -len(part) % length))
+            sequences += -(-len(part) // length)
         held, left, n = ([run[whole:]] if whole < len(run) else []), ends[whole:], len(run) - whole
 
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+    for part_rows, texts in slices(batches, 1):
+        for doc_id, text in zip(part_rows.column(0).to_pylist(), texts, strict=True):
             if words is None:
                 words = word_ids(vocabulary)
                 dtype = np.dtype("<u2" if max(words.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "<u4")
@@ -107,15 +112,18 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, length: int = 2048, files: int | None = None, rows: int = 256) -> DataFrame:
     """Encode every whole text and write it in ascending doc_id order below ``folder``; returns the manifest.
 
-    ``files`` (default: the session's shuffle partitions) ranges of doc_id are written side by side, one file each, in
-    batches of ``rows`` sequences of ``length`` ids. Ids are stored in 16 bits where the vocabulary allows, else in 32.
+    ``files`` ranges of doc_id are written side by side, one file each, in batches of ``rows`` sequences of ``length`` ids; by
+    default one for each 256 MB of text, and at least the session's shuffle partitions. Ids are stored in 16 bits where the
+    vocabulary allows, else in 32.
 
     Null or empty text: the end id alone. Null doc_id: first in the order. Equal doc_ids: by crc32 of the text. Repeated
     rows: each is written. Empty table: an empty manifest. Other columns are not read.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows_in = in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    if not files:
+        size = rows_in.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     tie = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     ranges = rows_in.repartitionByRange(files, "doc_id", tie).sortWithinPartitions("doc_id", tie)
     ranges.mapInArrow(lambda b: _write(b, folder, vocabulary, end_id, length, rows), MANIFEST).write.parquet(f"{folder}/manifest")
@@ -148,16 +156,14 @@ class TokenFile:
         return self.held
 
     def __len__(self) -> int:
-        return sum(self.reader.get_batch(i).num_rows for i in range(self.batches))
+        return (self.batches - 1) * self.rows + self._at(self.batches - 1).num_rows if self.batches else 0
 
     def sequence(self, i: int, column: str = "ids") -> pa.Array:
         """Sequence ``i`` of the file: its ids, mask or ends."""
-        for b in range(self.batches):
-            rows = self._at(b).num_rows
-            if i < rows:
-                return self._at(b).column(column).values.slice(i * self.length, self.length)
-            i -= rows
-        raise IndexError(i)
+        batch, row = divmod(i, self.rows or 1)
+        if not 0 <= batch < self.batches or row >= self._at(batch).num_rows:
+            raise IndexError(i)
+        return self._at(batch).column(column).values.slice(row * self.length, self.length)
 
     def runs(self) -> Iterator[np.ndarray]:
         """The ids without padding, batch by batch."""
