@@ -2,8 +2,11 @@
 
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from chatloom.llm import linededup, quality
+from chatloom.llm import common, linededup, quality
 
 
 def text(name, n=40):
@@ -43,6 +46,41 @@ def test_frequent_lines_count_for_their_row(spark, docs):
 
 def test_short_lines_are_compared_for_equality(spark, docs):
     rows = docs([(1, "Read more\n" + text("a", 8)), (2, "read  more\nRead less\n" + text("b", 8)), (3, "Read more"), (4, "x y z w"), (5, "x y z w v")])
-    got = {(r.doc, r.line_no): (r.repeat, r.near) for r in linededup.judged_lines(rows, equal_words=1).collect()}
+    got = {(r.doc, r.line_no): (r.repeat, r.near) for r in linededup.judged_lines(rows).collect()}
     assert got == {(d, k): ((d, k) in {(2, 0), (3, 0)}, False) for d, k in [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 0), (4, 0), (5, 0)]}
-    assert kept(linededup.dedup_lines(rows, equal_words=1)) == [(1, "Read more\n" + text("a", 8)), (2, "Read less\n" + text("b", 8)), (4, "x y z w"), (5, "x y z w v")]
+    assert kept(linededup.dedup_lines(rows)) == [(1, "Read more\n" + text("a", 8)), (2, "Read less\n" + text("b", 8)), (4, "x y z w"), (5, "x y z w v")]
+
+
+EDGES = [(1, None, None, None), (2, "", "en", None), (3, " \n\t ", "en", "s"), (None, None, None, None), (None, "alone here with five words", "en", "s"), (4, "12 34", "en", "s"), (4, "12 34", "en", "s"), (5, "word " * 20_000, "de", "s"), (6, text("k"), None, "s"), (6, text("k"), None, "s"), (7, text("k"), "en", "s")]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, docs, tmp_path, name, stage):
+    """Nulls, empty and very long texts, repeated rows, an empty table, and columns with clashing names."""
+    spark.createDataFrame([(1, text("v", 20)), (None, None)], "item_id long, text string").write.parquet(os.path.join(tmp_path, "benchmark.parquet"))
+    extra = ["row", "r", "of", "links", "rest", "component", "text_hash", "h", "uid", "lang_pred", "score", "_row", "key", "k", "doc", "at"]
+    rows = docs(EDGES).select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(i).alias(c) for i, c in enumerate(extra)))
+    found = stage(spark, rows, str(tmp_path))
+    got = found.collect()
+    assert stage(spark, rows.limit(0), str(tmp_path)).count() == 0
+    if name == "packing":
+        assert sum(r.start == 0 for r in got) == len(EDGES)
+        return
+    assert found.columns == rows.columns and {tuple(r)[5:] for r in got} == {tuple(range(len(extra)))}
+    left = sorted((r.doc_id, r.text) for r in got if r.text and r.doc_id is not None)
+    long, same = (5, "word " * 20_000), text("k")
+    want = {
+        "language ID": [long, (6, same), (6, same), (7, same)],
+        "line dedup": [(3, " \n\t "), (4, "12 34"), long, (6, same)],
+        "n-gram Jaccard join": [(3, " \n\t "), (4, "12 34"), long, (6, same)],
+        "benchmark decontamination": [(3, " \n\t "), (4, "12 34"), (4, "12 34"), long, (6, same), (6, same), (7, same)],
+    }
+    assert left == want[name]
+    blank = sorted(((r.doc_id, r.text) for r in got if not r.text), key=repr)
+    assert blank == ([] if name == "language ID" else sorted([(1, None), (2, ""), (None, None)], key=repr))
+
+
+def test_what_stages_write_is_deleted(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert sorted(x.rpartition("-")[0] for x in os.listdir(tmp_path)) == sorted(f"stage-{n.split()[0].lower()}" for n, _ in corpus_pipeline.STAGES)

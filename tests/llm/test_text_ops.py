@@ -1,9 +1,9 @@
 """Line dedup, quality rules, n-gram join, decontamination, language ID against brute force, and their edge cases."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,19 +33,16 @@ def one_edit(a, b):
 
 
 def judged_by_hand(rows, least=5):
-    seen, out = [], {}
+    """(doc, line_no) of every line with a word: repeat, near, words, and the place of the line that stands for it."""
+    seen, out = {}, {}  # words: first place, in order
     for doc, text in sorted(((d, t) for d, t in rows if t), key=lambda r: (r[0] is not None, r[0] or 0)):
         for k, line in enumerate(text.split("\n")):
-            w = split(line.lower())
-            if len(w) >= least:
-                out[doc, k] = (w in seen, any(x != w and one_edit(x, w) for x in seen), w)
-                if w not in seen:
-                    seen.append(w)
-    # near is a property of the line's first place: an earlier line than that
-    first = {}
-    for place in out:
-        first.setdefault(tuple(out[place][2]), place)
-    return {p: (r, out[first[tuple(w)]][1]) for p, (r, _, w) in out.items()}
+            w = tuple(split(line.lower()))
+            if w:
+                like = next((seen[x] for x in seen if min(len(w), len(x)) >= least and x != w and one_edit(x, w)), None) if w not in seen else out[seen[w]][4]
+                out[doc, k] = [w in seen, like is not None, w, like or (seen[w] if w in seen else None), like]
+                seen.setdefault(w, (doc, k))
+    return {p: tuple(x[:4]) for p, x in out.items()}
 
 
 def test_line_dedup_by_brute_force(spark, docs):
@@ -61,19 +58,31 @@ def test_line_dedup_by_brute_force(spark, docs):
         return rng.choice([" ", "  ", "\t"]).join(w).replace("a", rng.choice("aA"))
 
     rows = [(i, "\n".join(line() for _ in range(rng.randrange(0, 6)))) for i in range(120)]
-    got = {(r.doc, r.line_no): (r.repeat, r.near) for r in linededup.judged_lines(docs(rows)).collect()}
-    want = judged_by_hand(rows)
-    assert got == want and sum(n for _, n in want.values()) > 20
+    got = {(r.doc, r.line_no): (r.repeat, r.near, None if r.kept_line is None else (r.kept_doc, r.kept_line)) for r in linededup.judged_lines(docs(rows)).collect()}
+    want = {p: (repeat, near, stands) for p, (repeat, near, _, stands) in judged_by_hand(rows).items()}
+    assert got == want and sum(n for _, n, _ in want.values()) > 20
+    told = {r.doc_id: r for r in linededup.report(docs(rows)).collect()}
+    for d, text in rows:
+        lines = {k: x for (doc, k), x in judged_by_hand(rows).items() if doc == d}
+        gone = {k: x for k, x in lines.items() if x[0] or x[1]}
+        r = told[d]
+        assert (r.n_lines, r.n_repeats, r.n_near) == (len(lines), sum(x[0] for x in gone.values()), sum(not x[0] for x in gone.values()))
+        assert [(x.line_no, (x.doc, x.line)) for x in r.links or []] == [(k, x[3]) for k, x in gone.items()]
+        assert r.text == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone) and r.kept == (not gone or bool(split(r.text)))
 
 
 def test_line_dedup_edges(spark, docs):
-    got = sorted(((r.doc_id, r.n_lines, r.n_repeats, r.n_near) for r in linededup.count_lines(docs(EDGES)).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_lines, r.n_repeats, r.n_near, r.kept) for r in linededup.report(docs(EDGES)).collect()), key=repr)
     # a line of 20,000 words is one line; the null doc_id comes first, so its line vouches for none here
-    assert got == sorted([(1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (None, 1, 0, 0), (None, 1, 0, 0), (4, 0, 0, 0), (4, 0, 0, 0), (5, 1, 0, 0), (6, 2, 1, 0), (7, 1, 1, 0), (8, 0, 0, 0)], key=repr)
+    want = [(1, 0, 0, 0, True), (2, 0, 0, 0, True), (3, 0, 0, 0, True), (None, 1, 0, 0, True), (None, 0, 0, 0, True), (4, 1, 0, 0, True), (4, 1, 0, 0, True), (5, 1, 0, 0, True), (6, 2, 1, 0, True), (7, 1, 1, 0, False), (8, 1, 0, 0, True)]
+    assert got == sorted(want, key=repr)
     kept = {(r.doc_id, r.text) for r in linededup.dedup_lines(docs(EDGES)).collect()}
     assert (6, "one two three four five\n") in kept and 7 not in {d for d, _ in kept} and (1, None) in kept and (3, " \n\t ") in kept
-    assert linededup.count_lines(docs(EDGES).limit(0)).count() == 0
+    assert linededup.report(docs(EDGES).limit(0)).count() == 0
     assert linededup.dedup_lines(docs(EDGES)).columns == docs(EDGES).columns
+    clash = docs(EDGES).selectExpr("*", "1 as row", "2 as r", "3 as links", "4 as rest", "'5' as _row", "6 as kept")
+    found = linededup.dedup_lines(clash)
+    assert found.columns == clash.columns and {tuple(r)[-6:] for r in found.collect()} == {(1, 2, 3, 4, "5", 6)}
 
 
 # --- quality --------------------------------------------------------------------------------------------------------
@@ -240,6 +249,44 @@ def test_blocks_find_all_within_the_radius(spark):
     assert all(r.met for r in met if r.d <= decontaminate.RADIUS)
 
 
+def prints_by_hand(shingles):
+    out = 0
+    for b in range(64):
+        out |= (2 * sum((h >> b) & 1 for h in shingles) > len(shingles)) << b
+    return out
+
+
+def test_simhash_by_hand(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 7, 64, 65, 500, 501)]
+    df = spark.createDataFrame(rows, "s array<long>")
+    want = [prints_by_hand(s) for (s,) in rows]
+    for most in (decontaminate.MOST, 3):
+        monkeypatch.setattr(decontaminate, "MOST", most)
+        got = df.select(decontaminate.simhash(F.col("s")).alias("p")).collect()
+        assert [r.p & ((1 << 64) - 1) for r in got] == want
+
+
+def test_recall_of_the_radius_on_planted_windows(spark, docs):
+    """Items with edits that leave a window at 0.75 or more: nearly all are within the radius and so found."""
+    rng = random.Random(9)
+    items = [(i, " ".join(f"v{rng.randrange(5000)}" for _ in range(rng.choice([14, 30, 60, 120])))) for i in range(300)]
+    rows, sought = [], set()
+    for d in range(3000):
+        i, words = d % 300, items[d % 300][1].split()
+        for _ in range(rng.randrange(0, 1 + max(1, len(words) // 30))):
+            k = rng.choice([rng.randrange(len(words)), len(words) - 1, 0])
+            words[k : k + 1] = rng.choice([[], [f"n{d}"], [words[k], f"n{d}"]])
+        rows.append((d, " ".join([f"a{d}x{k}" for k in range(8)] + words + [f"b{d}x{k}" for k in range(8)])))
+        v, w = items[i][1].split(), rows[-1][1].split()
+        best = max(sum((bags(w[s : s + len(v)]) & bags(v)).values()) for s in range(len(w) - len(v) + 1))
+        if best / (2 * (len(v) - 4) - best) >= 0.75:
+            sought.add((d, i))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(rows), benchmark).collect()}
+    assert len(sought) > 1500 and got <= sought and len(got) >= 0.999 * len(sought)
+
+
 # --- language ID ----------------------------------------------------------------------------------------------------
 
 
@@ -251,21 +298,47 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert len(out) > 30 and sum(truth[r.doc_id] == r.lang_pred for r in out) >= 0.95 * len(out)
 
 
-def test_scores_are_those_of_naive_bayes(spark, docs, monkeypatch):
-    train = docs([(1, "aab ab", "x"[0:1] or "", "s"), (2, "bcc", "y", "s"), (3, None, "y", "s"), (4, "zz", None, "s")])
-    model = langid.train(train)
-    assert model.langs == ("x", "y")
-    for text in ("abab", "cc b", "é" * 3):
-        total = model.log_prior.copy()
-        for grams in langid._grams(text):
-            total += model.log_prob[grams].sum(axis=0)
-        want = 1 / np.exp(total - total.max()).sum()
-        r = langid.predict(docs([(1, text)]), model, ["doc_id"]).first()
-        assert r.lang_pred == model.langs[int(total.argmax())] and abs(r.score - want) < 1e-6
-    # blocks of a long text give the n-grams of the whole
-    whole = np.concatenate(list(langid._grams("abc d" * 50)))
-    monkeypatch.setattr(langid, "BLOCK", 7)
-    assert Counter(whole.tolist()) == Counter(np.concatenate(list(langid._grams("abc d" * 50))).tolist())
+def grams_by_hand(text):
+    """Buckets of all n-grams of 1 to 3 characters, with whole numbers."""
+    codes, out, top = [ord(c) for c in text.lower()], [], (1 << 64) - 1
+    for n in (1, 2, 3):
+        for i in range(len(codes) - n + 1):
+            key = 0
+            for j in range(n):
+                key = (key * 0x9E3779B97F4A7C15 + codes[i + j] + j + 1) & top
+            out.append((((key ^ (key >> 29)) * 0xBF58476D1CE4E5B9) & top) >> 49)
+    return out
+
+
+def by_bayes(labelled, text, smoothing=0.5):
+    """Language and probability of a text, from labelled texts, counted by hand."""
+    langs = sorted({lang for _, lang in labelled})
+    total = {}
+    for lang in langs:
+        counts = Counter(g for t, l in labelled if l == lang for g in grams_by_hand(t or ""))
+        n = sum(counts.values()) + smoothing * (1 << 15)
+        total[lang] = math.log(sum(l == lang for _, l in labelled) / len(labelled)) + sum(math.log((counts[g] + smoothing) / n) for g in grams_by_hand(text))
+    best = max(langs, key=lambda x: total[x])
+    return best, 1 / sum(math.exp(total[x] - total[best]) for x in langs)
+
+
+@pytest.mark.parametrize("block", [langid.BLOCK, 28])
+def test_scores_are_those_of_naive_bayes(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rng = random.Random(10)
+    labelled = [("".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 5, 30]))), lang) for lang, letters in (("x", "aabé "), ("y", "abcc "), ("z", "zab\u0130 ")) for _ in range(12)] + [(None, "y")]
+    model = langid.train(docs([(i, t, lang, "s") for i, (t, lang) in enumerate(labelled)] + [(99, "zz", None, "s")]))
+    assert model.langs == ("x", "y", "z")
+    texts = ["abab", "cc b", "é" * 3, "a", "Z" * 40, "ab c" * 30, "\u03a3\u03a3 \u0130"] + ["".join(rng.choice("abcéz ") for _ in range(rng.randrange(1, 60))) + "a" for _ in range(40)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs(list(enumerate(texts))), model, ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        lang, score = by_bayes(labelled, text)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-4
+
+
+def test_too_many_languages_are_an_error(spark, docs):
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs([(i, "a", f"l{i}", "s") for i in range(5)]), most_langs=4)
 
 
 def test_language_edges(spark, docs):
