@@ -18,9 +18,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: The same characters one by one.
+SPACE_CHARS = "".join(chr(c) for c in (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
+
+
 def trim(x: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(x, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
+    return F.btrim(x, F.lit(SPACE_CHARS))
 
 
 def strip_controls(x: Column) -> Column:
