@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chatloom.llm import decontaminate, langid, linededup, ngramjoin, quality, reputation, toolcalls
 from chatloom.llm.common import new_dir, table, vocabulary
 from chatloom.llm.packing import pack
+from chatloom.llm.resampling import resample
 from chatloom.llm.sharding import shard
 from chatloom.llm.tokenfile import read_documents, write_token_files
 
@@ -261,3 +262,40 @@ reach as (select doc_id as a, doc_id as b from sizes union select r.a, l.b from
 named as (select a as doc_id, min(b) as component_id from reach group by a)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, doc_id) as component_id
 from documents left join sizes using (doc_id) left join named using (doc_id)"""
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score towards the benchmark's texts, and the rank of the five in a hundred drawn."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
+# CRCs by the usual table, one byte a step, of each distinct feature.
+ORACLES["op13_importance_resampling"] = r"""
+with recursive step(i, k, c) as (
+  select i::bigint, 0, i::bigint from range(256) r(i)
+  union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from step where k < 8),
+crc as (select list(c order by i) as row from step where k = 8),
+texts as (select 'd' as side, doc_id, text from documents union all select 'b', null, text from benchmark),
+worded as (
+  select side, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from texts),
+runs as (
+  select side, doc_id, array_to_string(w[p : p + n - 1], ' ') as f
+  from worded, unnest([1, 2, 3]) as a(n), unnest(range(1, greatest(len(w) - n + 2, 1))) as b(p)),
+counted as (select f, count(*) filter (side = 'd') as s, count(*) filter (side = 'b') as t from runs group by f),
+hexed as (select f, s, t, hex(encode(f)) as h from counted),
+bucketed as (
+  select f, s, t, xor(list_reduce(list_transform(range(0, len(h), 2), lambda i: ('0x' || h[i + 1 : i + 2])::bigint), lambda x, b: xor(x >> 8, crc.row[(xor(x, b) & 255) + 1]), 4294967295), 4294967295) % 10000 as bucket
+  from hexed, crc),
+total as (select sum(s)::double as s_all, sum(t)::double as t_all from bucketed),
+bucket as (select bucket, sum(s)::double as s, sum(t)::double as t from bucketed group by bucket),
+gain as (select bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::bigint as gain from bucket, total),
+feature as (select f, gain from bucketed join gain using (bucket)),
+weighed as (select doc_id, count(*) as n_features, sum(gain)::bigint as weight from runs join feature using (f) where side = 'd' group by doc_id),
+scored as (
+  select d.doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || sha256('42:' || d.doc_id)[1 : 8])::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from worded d left join weighed using (doc_id) where side = 'd'),
+placed as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) filter (n_words >= 20) over () as n from scored)
+select doc_id, n_words::bigint as n_words, n_features, weight, score, case when n_words >= 20 and place <= 5 * n // 100 then place end as rank
+from placed"""
