@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm import decontaminate, langid, linededup, ngramjoin, quality, reputation, toolcalls
 from chatloom.llm.common import new_dir, table, vocabulary
+from chatloom.llm.hardnegatives import mine
 from chatloom.llm.packing import pack
 from chatloom.llm.resampling import resample
 from chatloom.llm.sharding import shard
@@ -264,6 +265,27 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, doc_
 from documents left join sizes using (doc_id) left join named using (doc_id)"""
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every anchor and each of its five positives, the five hardest negatives; one label in seven is set off by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label, positives=5, negatives=5, share=(80, 100), scale=256)
+
+
+ORACLES["op11_hard_negatives"] = """
+with rows as (
+  select distinct vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.id as anchor_id, r.id, r.label = a.label as same, list_dot_product(a.q, r.q)::bigint as score from rows a join rows r on a.id <> r.id where a.id % 100 = 0),
+positive as (
+  select anchor_id, id as positive_id, score as positive_score from scored where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+ranked as (
+  select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, id) as rank, id as negative_id, positive_score, score as negative_score
+  from positive p join scored s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from ranked where rank <= 5"""
+
+
 @query
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight and score towards the benchmark's texts, and the rank of the five in a hundred drawn."""
