@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import decontaminate, langid, linededup, ngramjoin, quality, reputation, toolcalls
+from chatloom.llm import decontaminate, langid, linededup, ngramjoin, pii, quality, reputation, toolcalls
 from chatloom.llm.common import new_dir, table, vocabulary
 from chatloom.llm.hardnegatives import mine
 from chatloom.llm.packing import pack
@@ -286,6 +286,13 @@ ranked as (
 select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from ranked where rank <= 5"""
 
 
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: what the patterns find, and other mentions of it by a field trained on a sample."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.train(pii.sample(docs)))
+
+
 @query
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight and score towards the benchmark's texts, and the rank of the five in a hundred drawn."""
