@@ -3,9 +3,12 @@
 Lines are sequences of lower-cased words, and one edit puts in, takes out or changes one word. A line's neighbourhood is
 the line itself and the line without one of its words; a variant's key hashes what stands before and after the place where
 the word is missing. Two lines within one edit have a key in common, and lines that have a key in common are within one
-edit of each other, all of them: so the earliest line of a key vouches for the rest, and no pairs are listed. The
-edit distance of each line to its earliest neighbour is verified on the words themselves. The earliest of equal or similar
-lines stays, everywhere in the corpus.
+edit of each other, all of them: so lines and keys are joined, and no pairs are listed.
+
+In the order of the corpus, a line stays unless a line that stays is within its bound: a line goes for a line that is there
+to be read, never for one that goes itself. That is settled in rounds over (key, line): a line that is the earliest
+undecided one of all its keys stays, the others of its keys go, and the rest takes part in the next round. The edit distance
+of each line that goes to the line that stands for it is verified on the words themselves.
 
 Before variants are emitted, lines that cannot have a neighbour are set aside: with one edit, either the first half of the
 words or the last half is untouched (pigeonhole), so a line whose halves nobody shares has none.
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.common import broadcast_if_small, cut, let, unused, with_row_key
 
-#: Lines with fewer words are compared for equality alone: one changed word leaves too little in common.
-MIN_WORDS = 5
+#: One edit in ten words: lines with fewer words are compared for equality alone.
+MIN_WORDS = 10
 _SMALL = 1 << 40
 
 
@@ -82,8 +85,29 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (shared(a, b) + shared(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
+def settled(members: DataFrame) -> DataFrame:
+    """Which lines go, of ``members`` (variant, place, h, n: the lines of each key): (h, n, kept: the place of the earliest
+    line that stays and shares a key).
+
+    A round decides every line whose earlier neighbours are decided, so there are as many rounds as the longest chain of
+    neighbours in falling order needs. Only undecided lines take part in the next.
+    """
+    left, told = members, None
+    while True:
+        # Of lines with a key in common at most one stays, and it is the first undecided one of the key.
+        first = broadcast_if_small(cut(left.groupBy("variant").agg(F.min("place").alias("first")), "first-of-key"), 64)
+        marked = left.join(first, "variant")
+        stays = marked.groupBy("place").agg(F.bool_and(F.col("place") == F.col("first")).alias("all")).where("all").select(F.col("place").alias("first"))
+        ruled = cut(marked.join(stays, "first", "left_semi").groupBy("place", "h", "n").agg(F.min("first").alias("kept")), "ruled")
+        gone = ruled.where("place <> kept").select("h", "n", "kept")
+        told = gone if told is None else told.unionByName(gone)
+        left = cut(left.join(broadcast_if_small(ruled.select("place"), 48), "place", "left_anti"), "undecided")
+        if left.isEmpty():
+            return told
+
+
 def near_lines(docs: DataFrame, distinct: DataFrame, key: str) -> DataFrame:
-    """(h, n, like) of distinct lines that are within one edit of an earlier one; ``like`` is the place of the earliest."""
+    """(h, n, like) of distinct lines that are within one edit of an earlier one that stays; ``like`` is its place."""
     candidates = cut(distinct.select("h", "n", "first.*").join(with_a_shared_half(distinct), ["h", "n"], "left_semi"), "candidates")
     # A document's own lines: as many at most as its text has.
     holders = cut(candidates.groupBy("doc").agg(F.collect_list("line_no").alias("at")), "holders")
@@ -92,16 +116,17 @@ def near_lines(docs: DataFrame, distinct: DataFrame, key: str) -> DataFrame:
     lines = rows.select("doc", F.inline(picked)).withColumn("n", F.size("words"))
     lines = cut(lines.select(F.xxhash64("n", "words").alias("h"), "n", "doc", "line_no", "words"), "candidate-lines")
     keyed = variants(lines)
-    earliest = keyed.groupBy("variant").agg(F.min(F.struct("doc", "line_no", "h", "n")).alias("e"), F.max("h").alias("hi"), F.min("h").alias("lo")).where("lo <> hi")
-    pairs = keyed.join(earliest.select("variant", "e"), "variant").where("h <> e.h or n <> e.n").select("h", "n", "e").distinct()
-    other = lines.select(F.col("h").alias("eh"), F.col("n").alias("en"), F.col("words").alias("other"))
-    checked = pairs.withColumns({"eh": F.col("e.h"), "en": F.col("e.n")}).join(lines.select("h", "n", "words"), ["h", "n"]).join(other, ["eh", "en"])
-    return checked.where(within_one_edit(F.col("words"), F.col("other"))).groupBy("h", "n").agg(F.min(F.struct("e.doc", "e.line_no")).alias("like"))
+    shared = keyed.groupBy("variant").agg(F.max("h").alias("hi"), F.min("h").alias("lo")).where("lo <> hi").select("variant")
+    members = keyed.join(shared, "variant", "left_semi").select("variant", F.struct("doc", "line_no").alias("place"), "h", "n")
+    pairs = settled(cut(members, "key-lines"))
+    other = lines.select(F.struct("doc", "line_no").alias("kept"), F.col("words").alias("other"))
+    checked = pairs.join(lines.select("h", "n", "words"), ["h", "n"]).join(other, "kept")
+    return checked.where(within_one_edit(F.col("words"), F.col("other"))).select("h", "n", F.col("kept").alias("like"))
 
 
 def _removed(docs: DataFrame, key: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """For documents with a key of their own: all compared lines (doc, line_no), and those that an earlier one stands for
-    (doc, line_no, repeat, near, kept: its place)."""
+    """For documents with a key of their own: all compared lines (doc, line_no), and those that go (doc, line_no, repeat,
+    near, kept: the place of the line that stands for it)."""
     lines = cut(line_table(docs, key, min_words), "lines")
     distinct = lines.groupBy("h", "n").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("times"))
     distinct = cut(distinct, "distinct-lines")
@@ -126,8 +151,9 @@ def _keyed(docs: DataFrame, key: str, numbered: bool = True) -> tuple[DataFrame,
 
 
 def judged_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """Every line with a word: doc, line_no, repeat (an equal line came before), near (a similar one did, both of
-    ``min_words`` words or more), and the place (kept_doc, kept_line) of the earliest line that stands for it, or nulls.
+    """Every line with a word: doc, line_no, repeat (an equal line came before), near (a similar one that stays did, both of
+    ``min_words`` words or more), and the place (kept_doc, kept_line) of the line that stands for it, or nulls. That line
+    stays itself: a chain of lines, each near the one before, keeps the first, the first that is not near it, and so on.
 
     Before means: a smaller doc, then an earlier row, then a smaller line number. Null text: no lines. Null doc: comes
     first. Rows with equal or null docs, and repeated rows, are texts of their own. Empty table: no rows. Lines of any length

@@ -172,26 +172,32 @@ qualify row_number() over (partition by doc_id, item_id order by similarity desc
 
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every document its lines with a word, those equal to an earlier line, those one word from one (of five words or
-    more), which line stands for each that goes (line:document.line), and what is left of the text."""
+    """For every document its lines with a word, those equal to an earlier line, those one word from an earlier line that
+    stays (of ten words or more), which line stands for each that goes (line:document.line), and what is left of the text."""
     told = linededup.report(table(spark, sf_dir, "documents"))
     links = F.transform("links", lambda x: F.concat(x["line_no"], F.lit(":"), x["doc"], F.lit("."), x["line"]))
     return told.select("doc_id", "n_lines", "n_repeats", "n_near", F.coalesce(F.array_join(links, " "), F.lit("")).alias("links"), F.md5("text").alias("text_md5"), "kept")
 
 
+# Lines with near neighbours are gone through one after the other: each stays unless one that stayed is near.
 ORACLES["op1_line_dedup"] = r"""
-with line as (
+with recursive line as (
   select doc_id, i - 1 as line_no, string_split(text, chr(10))[i] as raw, list_filter(regexp_split_to_array(lower(string_split(text, chr(10))[i]), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
   from documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as u(i)),
 worded as (select * from line where len(w) > 0),
 firsts as (select row_number() over (order by doc_id, line_no) as f, * from (select w, doc_id, line_no from worded qualify row_number() over (partition by w order by doc_id, line_no) = 1)),
 keys as (
   select f, len(w) - 1 as n, i, array_to_string(list_slice(w, 1, i), ' ') as a, array_to_string(list_slice(w, i + 2, len(w)), ' ') as b
-  from firsts, unnest(range(len(w))) as u(i) where len(w) >= 5
+  from firsts, unnest(range(len(w))) as u(i) where len(w) >= 10
   union all
   select f, len(w), i, array_to_string(list_slice(w, 1, i), ' '), array_to_string(list_slice(w, i + 1, len(w)), ' ')
-  from firsts, unnest(range(len(w) + 1)) as u(i) where len(w) >= 5),
-close as (select f, min(m) as m from (select f, min(f) over (partition by n, i, a, b) as m from keys) where f > m group by f),
+  from firsts, unnest(range(len(w) + 1)) as u(i) where len(w) >= 10),
+near as (select y.f, list(distinct x.f) as before from keys x join keys y using (n, i, a, b) where x.f < y.f group by y.f),
+turn as (select row_number() over (order by f) as k, f, coalesce(before, []) as before from (select f from near union select unnest(before) from near) left join near using (f)),
+walk(k, stays) as (
+  select 0::bigint, []::bigint[]
+  union all select turn.k, case when list_has_any(stays, before) then stays else list_append(stays, f) end from walk join turn on turn.k = walk.k + 1),
+close as (select f, list_min(list_intersect(before, stays)) as m from turn, (select stays from walk order by k desc limit 1) where list_has_any(stays, before)),
 judged as (
   select l.doc_id, l.line_no, l.raw, f.f is null as wordless, l.doc_id <> f.doc_id or l.line_no <> f.line_no as is_repeat, m is not null as is_near,
     coalesce(m, f.f) as stand from line l left join firsts f using (w) left join close c on c.f = f.f),

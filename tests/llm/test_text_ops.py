@@ -32,14 +32,15 @@ def one_edit(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def judged_by_hand(rows, least=5):
-    """(doc, line_no) of every line with a word: repeat, near, words, and the place of the line that stands for it."""
+def judged_by_hand(rows, least=10):
+    """(doc, line_no) of every line with a word: repeat, near (to one that stays), words, and the place of the line that
+    stands for it."""
     seen, out = {}, {}  # words: first place, in order
     for doc, text in sorted(((d, t) for d, t in rows if t), key=lambda r: (r[0] is not None, r[0] or 0)):
         for k, line in enumerate(text.split("\n")):
             w = tuple(split(line.lower()))
             if w:
-                like = next((seen[x] for x in seen if min(len(w), len(x)) >= least and x != w and one_edit(x, w)), None) if w not in seen else out[seen[w]][4]
+                like = next((seen[x] for x in seen if min(len(w), len(x)) >= least and x != w and out[seen[x]][4] is None and one_edit(x, w)), None) if w not in seen else out[seen[w]][4]
                 out[doc, k] = [w in seen, like is not None, w, like or (seen[w] if w in seen else None), like]
                 seen.setdefault(w, (doc, k))
     return {p: tuple(x[:4]) for p, x in out.items()}
@@ -47,11 +48,11 @@ def judged_by_hand(rows, least=5):
 
 def test_line_dedup_by_brute_force(spark, docs):
     rng = random.Random(1)
-    base = [[rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(3, 9))] for _ in range(12)]
+    base = [[rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(8, 15))] for _ in range(12)]
 
     def line():
         w = list(rng.choice(base))
-        for _ in range(rng.randrange(0, 3)):
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
             k = rng.randrange(len(w))
             w[k : k + rng.randrange(0, 2)] = rng.choice([[], ["z"], [rng.choice("abcdefgh")]])
             w = w or ["q"]
@@ -71,6 +72,27 @@ def test_line_dedup_by_brute_force(spark, docs):
         assert r.text == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone) and r.kept == (not gone or bool(split(r.text)))
 
 
+def test_no_line_goes_for_a_line_that_goes(spark, docs):
+    # each line is one word away from the one before, the last shares no word with the first: every other one stays
+    words = [f"w{i}" for i in range(10)]
+    rows = [(i + 1, " ".join([f"x{k}" for k in range(i)] + words[i:])) for i in range(11)]
+    rows += [(20 + i, text) for i, (_, text) in enumerate(rows[::-1])]  # repeats, whose first lines may be gone
+    got = {r.doc: r for r in linededup.judged_lines(docs(rows)).collect()}
+    assert [d for d in range(1, 12) if got[d].kept_doc is None] == [1, 3, 5, 7, 9, 11]
+    assert {d: got[d].kept_doc for d in range(2, 11, 2)} == {d: d - 1 for d in range(2, 11, 2)}
+    assert all(got[r.kept_doc].kept_doc is None for r in got.values() if r.kept_doc is not None)
+    assert {r.doc_id for r in linededup.dedup_lines(docs(rows)).collect()} == {1, 3, 5, 7, 9, 11}
+    want = judged_by_hand(rows)
+    assert {(r.doc, r.line_no): (r.repeat, r.near, None if r.kept_line is None else (r.kept_doc, r.kept_line)) for r in got.values()} == {p: (a, b, c) for p, (a, b, _, c) in want.items()}
+
+
+def test_many_lines_of_one_pattern(spark, docs):
+    # all of one key: one round, no pairs, the earliest stays
+    rows = [(i, f"page {i} of the report on trade in the northern lands and isles") for i in range(3000)]
+    left = linededup.dedup_lines(docs(rows)).collect()
+    assert [r.doc_id for r in left] == [0]
+
+
 def test_line_dedup_edges(spark, docs):
     got = sorted(((r.doc_id, r.n_lines, r.n_repeats, r.n_near, r.kept) for r in linededup.report(docs(EDGES)).collect()), key=repr)
     # a line of 20,000 words is one line; the null doc_id comes first, so its line vouches for none here
