@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
+from chatloom.functions.patterns import FEW, any_of
 from chatloom.storage import broadcast_if_small, written
 
 
@@ -155,21 +156,26 @@ def split_lines(lines: DataFrame, config: CleanConfig = CleanConfig()) -> DataFr
 
 
 def is_noise(text: Column, rules: Sequence[NoiseRule]) -> Column:
-    """Whether a text is empty or any rule applies to it (trimmed)."""
+    """Whether a text is empty or any rule applies to it (trimmed). However many fixed texts the rules name, a text is gone
+    through once for all of them."""
     exact = [r.pattern for r in rules if r.type == "exact"]
+    held = [r.pattern for r in rules if r.type == "contains"]
+    trimmed = T.trim(F.coalesce(text, F.lit("")))
+    many = len(held) > FEW
 
     def noisy(t: Column) -> Column:
         out = t == ""
         if exact:
             out = out | t.isin(exact)
+        if held and not many:
+            out = out | any_of(t, held)
         for r in rules:
-            if r.type == "contains":
-                out = out | F.contains(t, F.lit(r.pattern))
-            elif r.type == "regex":
+            if r.type == "regex":
                 out = out | t.rlike(java_regex(r.pattern, r.flags))
         return out
 
-    return T.let(T.trim(F.coalesce(text, F.lit(""))), noisy)
+    rest = T.let(trimmed, noisy)
+    return rest | any_of(trimmed, held) if many else rest
 
 
 def drop_noise(segments: DataFrame, rules: Sequence[NoiseRule] = DEFAULT_NOISE) -> DataFrame:

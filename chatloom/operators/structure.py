@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import text as T
 from chatloom.functions import times
 from chatloom.functions.jsonx import extract_json
+from chatloom.functions.patterns import longest_of
 from chatloom.functions.rows import dense_positions, one_of
 from chatloom.schemas import META, META_FIELDS, ROLES, camel, meta, meta_with
 from chatloom.storage import written
@@ -25,22 +26,13 @@ def normal_role(role: Column) -> Column:
 
 
 def longest_alias(speaker: Column, aliases: Mapping[str, str]) -> Column:
-    """The longest alias that the speaker's name contains; of equally long ones the first declared; else null.
-
-    Aliases are a small set of the caller's, so they are one chain of conditions and no join.
-    """
-    out = F.lit(None).cast("string")
-    for alias in sorted(reversed(aliases), key=lambda a: len(a.encode("utf-16-le"))):
-        out = F.when(F.contains(speaker, F.lit(alias)), F.lit(alias)).otherwise(out)
-    return out
+    """The longest alias that the speaker's name contains; of equally long ones the first declared; else null."""
+    return longest_of(speaker, aliases)["pattern"]
 
 
 def match_alias(speaker: Column, aliases: Mapping[str, str]) -> Column:
     """The role of the longest alias in a name, or null."""
-    found, out = longest_alias(speaker, aliases), F.lit(None).cast("string")
-    for alias, role in aliases.items():
-        out = F.when(found == alias, F.lit(role)).otherwise(out)
-    return out
+    return longest_of(speaker, aliases)["value"]
 
 
 def parse_header(header: Column, year: Column) -> tuple[Column, Column, Column]:
@@ -94,7 +86,8 @@ def structure_segments(segments: DataFrame, aliases: Mapping[str, str] | None =
     """
     year = F.lit(base_year) if base_year else F.year(F.current_timestamp())
     speaker, ts, raw_time = parse_header(F.col("header"), year)
-    alias, matched = longest_alias(speaker, aliases or {}), match_alias(speaker, aliases or {})
+    segments = segments.withColumn("_alias", longest_of(speaker, aliases or {}))  # both of it, found once
+    alias, matched = F.col("_alias.pattern"), F.col("_alias.value")
     headed = F.col("header").isNotNull()
     has_ref = F.col("has_ref") if "has_ref" in segments.columns else F.lit(False)
     ref_role, ref_ts, ref_meta = (F.col(c) if c in segments.columns else F.lit(None).cast(t) for c, t in (("role", "string"), ("ts_ms", "bigint"), ("meta", META)))

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
 from chatloom.functions import times
+from chatloom.functions.patterns import longest_of
 from chatloom.operators import clean as C
 from chatloom.operators import distill as D
 from chatloom.operators import pack as P
@@ -200,6 +202,27 @@ def chat_headers(spark, sf_dir):
     return messages.select("source_id", "pos", "role", "text", "ts_ms", F.col("meta.speaker").alias("speaker"), "pending")
 
 
+#: A thousand and more names, one to three letters of ten; equally long ones are told apart by their order.
+NAMES = {"".join(x): ("user", "assistant", "system")[i % 3] for i, x in enumerate(x for n in (3, 1, 2) for x in product("etaoinshrd", repeat=n))}
+
+
+@query(
+    """with letters as (select unnest(string_split('e t a o i n s h r d', ' ')) as c, unnest(range(10)) as i),
+names as (
+  select x.c || y.c || z.c as name, x.i * 100 + y.i * 10 + z.i as k from letters x, letters y, letters z
+  union all select c, 1000 + i from letters union all select x.c || y.c, 1010 + x.i * 10 + y.i from letters x, letters y),
+hit as (
+  select conv_id, turn, arg_min(struct_pack(name := name, k := k), -length(name) * 10000 + k) as h
+  from conversations join names on contains(regexp_extract(text, '^.{0,20}', 0, 's'), name) group by conv_id, turn)
+select conv_id, turn, h.name as alias, case h.k % 3 when 0 then 'user' when 1 then 'assistant' when 2 then 'system' end as role
+from conversations left join hit using (conv_id, turn)"""
+)
+def chat_alias_many(spark, sf_dir):
+    """The longest of 1,110 names in the first twenty characters of each turn, and its role."""
+    chats = table(spark, sf_dir, "conversations").withColumn("hit", longest_of(F.substring("text", 1, 20), NAMES))
+    return chats.select("conv_id", "turn", F.col("hit.pattern").alias("alias"), F.col("hit.value").alias("role"))
+
+
 @query(
     """select c_custkey, case when c_name like '%9%' and c_name like '%00%' then 'assistant' when c_name like '%77%' then 'system' when c_name like '%00%' then 'assistant' when c_name like '%5%' then 'user' end as role
 from (select c_custkey, c_name from customer)"""
