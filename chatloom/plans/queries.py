@@ -24,7 +24,9 @@ from chatloom.plans.pipeline import run_pipeline
 from chatloom.schemas import meta
 from chatloom.sources import json_exports as J
 from chatloom.sources import texts as X
+from chatloom.sources.ranges import read_items, read_lines
 from chatloom.sources.registry import convert_files, sniff_texts
+from chatloom.storage import new_folder
 from chatloom.streaming.weekly import weekly_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -447,6 +449,29 @@ def chat_tree_import(spark, sf_dir):
     return found.select("source_id", "pos", "role", "text", "ts_ms", F.col("meta.conversation_title").alias("title"))
 
 
+#: Bytes of a range in the queries on large files, so that each file has several.
+RANGE = 1 << 20
+
+
+def _as_files(spark: SparkSession, rows: DataFrame, *order: str) -> str:
+    """Texts or lines (source_id, text) written as one file a source, and the folder."""
+    path = new_folder(spark, "files")
+    rows.repartition("source_id").sortWithinPartitions("source_id", *order).select("source_id", "text").write.partitionBy("source_id").text(path)
+    return path
+
+
+def _source(df: DataFrame) -> DataFrame:
+    return df.withColumn("source_id", F.regexp_extract("source_id", "source_id=([^/]+)", 1))
+
+
+@query(_ROUND + "select source_id, pos, case when role in ('user', 'assistant', 'system') then role else 'unlabeled' end as role, said as text, (1750000000 + turn) * 1000 as ts_ms, 'chat ' || conv_id as title from rows")
+def chat_tree_ranges(spark, sf_dir):
+    """Message trees in files of a thousand conversations, each file read in ranges side by side."""
+    items = read_items(spark, _as_files(spark, as_tree(spark, sf_dir)), range_bytes=RANGE)
+    found = J.tree_messages(J.chosen(_source(items), "mapping", "{"))[0]
+    return found.select("source_id", "pos", "role", "text", "ts_ms", F.col("meta.conversation_title").alias("title"))
+
+
 @query(_ROUND + "select source_id, pos, role, said as text from rows")
 def chat_tree_path(spark, sf_dir):
     """The same by the path to the current node."""
@@ -479,6 +504,19 @@ def chat_jsonl_import(spark, sf_dir):
     return J.sillytavern(as_jsonl(table(spark, sf_dir, "conversations"), broken=True))[0].select("source_id", "pos", "role", "text", "ts_ms")
 
 
+@query(
+    _ROUND
+    + r"""select source_id, pos, role, said as text,
+  case when turn % 3 = 2 then epoch_ms(make_timestamp(2025, 6, 13, 22, turn::bigint, 37.0)) else 1750000000000 + turn end as ts_ms from rows"""
+)
+def chat_jsonl_ranges(spark, sf_dir):
+    """JSON Lines of a thousand conversations a file, with headers and broken lines, each file read in ranges side by side."""
+    texts = as_jsonl(table(spark, sf_dir, "conversations"), broken=True).withColumn("conv", F.col("source_id").cast("long"))
+    lines = texts.select(F.concat(F.lit("export"), F.floor(F.col("conv") / 1000).cast("string")).alias("source_id"), "conv", F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    found = J.line_messages(_source(read_lines(spark, _as_files(spark, lines, "conv", "k"), range_bytes=RANGE)))[0]
+    return found.select("source_id", "pos", "role", "text", "ts_ms")
+
+
 def as_jsonl(chats: DataFrame, broken: bool = False) -> DataFrame:
     """Conversations as JSON Lines, with a header, a blank message, and a broken line if wanted."""
     date = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("June 13, 2025 10:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(":37pm"))).otherwise((F.lit(1_750_000_000_000) + F.col("turn")).cast("string"))

@@ -34,6 +34,12 @@ def conversations(docs: DataFrame, field: str, opens: str) -> DataFrame:
     return clean.where(F.col("_j").isNotNull()).select("source_id", F.posexplode(items).alias("conv", "body"))
 
 
+def chosen(items: DataFrame, field: str, opens: str) -> DataFrame:
+    """The same of objects (source_id, item, body) that were read by range: the conversations among them, numbered."""
+    found = items.where(F.coalesce(F.get_json_object("body", f"$.{field}").startswith(opens), F.lit(False)))
+    return dense_positions(found, "source_id", "item").select("source_id", F.col("_i").cast("int").alias("conv"), "body")
+
+
 def _number(rows: DataFrame, *order: str) -> DataFrame:
     """``pos`` from 0 within each export by integer order columns, the first of which are places in arrays of the export."""
     place = F.lit(0).cast("decimal(38,0)")
@@ -87,7 +93,12 @@ def chatgpt(docs: DataFrame, current_path: bool = False) -> tuple[DataFrame, Dat
 
     Tool messages and messages without text are skipped and counted. Nodes of which no root is known do not count at all.
     """
-    trees = conversations(docs, "mapping", "{").withColumn("c", F.from_json("body", TREE))
+    return tree_messages(conversations(docs, "mapping", "{"), current_path)
+
+
+def tree_messages(chats: DataFrame, current_path: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The same of conversations (source_id, conv, body)."""
+    trees = chats.withColumn("c", F.from_json("body", TREE))
     nodes = F.transform(F.map_entries("c.mapping"), lambda e: F.struct(e["key"].alias("id"), e["value"]["parent"].alias("parent"), e["value"]["children"].alias("children")))
     order = _path_order(nodes, F.col("c.current_node")) if current_path else _tree_order(nodes)
     walked = trees.select("source_id", "conv", "c", F.posexplode(order).alias("node", "id")).select("source_id", "conv", "node", F.col("c.title").alias("title"), F.try_element_at("c.mapping", F.col("id"))["message"].alias("m"))
@@ -105,7 +116,12 @@ def chatgpt(docs: DataFrame, current_path: bool = False) -> tuple[DataFrame, Dat
 
 def claude(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flat conversations: the text, or else the text blocks of the content; messages without text are skipped."""
-    chats = conversations(docs, "chat_messages", "[").withColumn("c", F.from_json("body", FLAT))
+    return flat_messages(conversations(docs, "chat_messages", "["))
+
+
+def flat_messages(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of conversations (source_id, conv, body)."""
+    chats = chats.withColumn("c", F.from_json("body", FLAT))
     rows = chats.select("source_id", "conv", F.col("c.name").alias("name"), F.posexplode("c.chat_messages").alias("node", "m"))
     blocks = F.coalesce(F.try_variant_get("m.content", "$", "array<variant>"), F.array().cast("array<variant>"))
     blocks = F.filter(blocks, lambda v: F.try_variant_get(v, "$.type", "string") == "text")
@@ -162,7 +178,11 @@ def characterai(files: DataFrame, need_messages: bool = True) -> tuple[DataFrame
 
 def sillytavern(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JSON Lines with ``mes``: other lines are skipped and counted, lines that only name user or character are neither."""
-    lines = docs.select("source_id", F.posexplode(T.lines(T.without_bom(F.col("text")))).alias("node", "line"))
+    return line_messages(docs.select("source_id", F.posexplode(T.lines(T.without_bom(F.col("text")))).alias("node", "line")))
+
+
+def line_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of lines (source_id, node, line) that are trimmed and not blank."""
     item = "struct<mes: variant, is_user: variant, is_system: variant, name: string, send_date: string, user_name: variant, character_name: variant>"
     rows = lines.withColumn("m", F.from_json(strict_json(F.col("line")), item))
     text = F.when(F.schema_of_variant("m.mes") == "STRING", T.trim(F.try_variant_get("m.mes", "$", "string")))

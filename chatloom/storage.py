@@ -27,9 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/") if found else _own_folder()
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written out and read back, so that what it cost is not paid again and a lost executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
