@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.storage import written
+
 
 def dense_positions(df: DataFrame, group: str, pos: str, span: int = 4096) -> DataFrame:
     """``df`` with ``_i``, each row's number from 0 within its group in the order of ``pos``, and ``_n``, the group's rows.
@@ -21,6 +23,22 @@ def dense_positions(df: DataFrame, group: str, pos: str, span: int = 4096) -> Da
     return joined.withColumn("_i", F.col("_before") + F.col("_within")).select(*df.columns, "_i", "_n")
 
 
+def ranked_positions(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``df`` with ``_i``, each row's number from 0 within its group in this order, whatever the order's types.
+
+    Rows are sorted by ranges of (group, order), found by sampling, so a large group is many tasks' work; where each range of
+    a group begins is summed over the ranges, of which there are as many as shuffle partitions.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order).withColumn("_m", F.monotonically_increasing_id())
+    ranged = written(ranged.withColumn("_p", F.shiftright("_m", 33)))
+    counts = ranged.groupBy(F.col(group).alias("_g"), F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_q")) - F.col("_n")
+    begins = counts.select("_g", "_q", (before - F.col("_first")).alias("_shift"))
+    joined = ranged.join(begins, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    return joined.select(*df.columns, (F.col("_m") + F.col("_shift")).alias("_i"))
+
+
 def one_of(x: Column, values: tuple[str, ...]) -> Column:
     """The value if it is among these, else null."""
     return F.when(x.isin(*values), x)

@@ -27,6 +27,7 @@ from chatloom.sources import texts as X
 from chatloom.sources.ranges import read_items, read_lines
 from chatloom.sources.registry import convert_files, sniff_texts
 from chatloom.storage import new_folder
+from chatloom.streaming.arrivals import convert_arrivals, converted_arrivals
 from chatloom.streaming.weekly import weekly_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -589,17 +590,20 @@ def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MIXED = r"""with chats as (
   select conv_id::varchar as source_id, conv_id, turn, role, text, regexp_replace(text, '^\s+|\s+$', '', 'g') as said, row_number() over (partition by conv_id order by turn) - 1 as pos from conversations),
-sizes as (select conv_id, count(*) as n from conversations group by conv_id)
+sizes as (select conv_id, count(*) as n, count(*) filter (turn % 2 = 1) as odd from conversations group by conv_id)
 """
 
 
-@query(
+_MIXED_MESSAGES = (
     _MIXED
     + r"""select source_id, pos, case when conv_id % 4 = 0 and role not in ('user', 'assistant') then 'unlabeled' else role end as role,
   case when conv_id % 4 = 0 then regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') else said end as text, ['txt-docx', 'chatgpt', 'st-chatlog', 'claude'][conv_id % 4 + 1] as source
 from chats join sizes using (conv_id)
 where (conv_id % 4 > 0 or n >= 2)"""
 )
+
+
+@query(_MIXED_MESSAGES)
 def chat_mixed_files(spark, sf_dir):
     """Files of several kinds in one table, each read by the adapter that it is recognised as needing."""
     names = {"txt-docx": {"aliases": ALIASES, "base_year": 2024}}
@@ -608,19 +612,28 @@ def chat_mixed_files(spark, sf_dir):
     return found.select("source_id", "pos", "role", "text", source.alias("source"))
 
 
+@query(_MIXED_MESSAGES)
+def chat_mixed_stream(spark, sf_dir):
+    """The same files arriving as a stream, in two batches."""
+    path, out = new_folder(spark, "arriving"), new_folder(spark, "arrived")
+    mixed_files(spark, sf_dir).repartition(4).write.parquet(path)
+    files = spark.readStream.schema("source_id string, path string, content binary").option("maxFilesPerTrigger", 2).parquet(path)
+    convert_arrivals(files, out, new_folder(spark, "offsets"), options={"txt-docx": {"aliases": ALIASES, "base_year": 2024}}).awaitTermination()
+    source = F.when(F.col("meta.source") == "segment", "txt-docx").otherwise(F.col("meta.source"))
+    return converted_arrivals(spark, out).messages.select("source_id", "pos", "role", "text", source.alias("source"))
+
+
 @query(
     _MIXED
     + r"""select conv_id::varchar as source_id, case when conv_id % 4 > 0 or n >= 2 then ['txt-docx', 'chatgpt', 'st-chatlog', 'claude'][conv_id % 4 + 1] end as adapter,
-  case when conv_id % 4 > 0 or n >= 2 then n else 0 end as messages, case when conv_id % 20 = 2 then 2 when conv_id % 4 = 1 then 0 when conv_id % 4 = 2 then 1 else 0 end as skipped,
+  case when conv_id % 4 > 0 or n >= 2 then n else 0 end as messages, case when conv_id % 20 = 2 then 2 when conv_id % 4 = 1 then odd when conv_id % 4 = 2 then 1 else 0 end as skipped,
   case when conv_id % 4 = 0 and n < 2 then 'not recognised' end as error from sizes
-union all select 'zip', null, 0, 0, 'damaged' union all select 'page', 'local-web', 0, 0, 'no text on the page' union all select 'what', null, 0, 0, 'not recognised'"""
+union all select 'zip', null, 0, 0, 'File is not a zip file' union all select 'page', 'local-web', 0, 0, 'no text on the page' union all select 'what', null, 0, 0, 'not recognised'"""
 )
 def chat_mixed_status(spark, sf_dir):
     """What became of each file of that table."""
     found = convert_files(mixed_files(spark, sf_dir), options={"txt-docx": {"aliases": ALIASES, "base_year": 2024}}).status
-    error = F.when(F.col("source_id") == "zip", F.when(F.col("error").isNotNull(), "damaged")).otherwise(F.col("error"))
-    skipped = F.when(F.col("adapter") == "chatgpt", 0).otherwise(F.col("skipped"))
-    return found.select("source_id", "adapter", "messages", skipped.cast("bigint").alias("skipped"), error.alias("error"))
+    return found.select("source_id", "adapter", "messages", "skipped", "error")
 
 
 @query("select (date_trunc('week', ts))::date as week_start, event_type as kind, count(*) as n from events group by all")

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from chatloom.functions.text import XML_ENTITIES, decoded
 
@@ -77,6 +78,40 @@ def entries(files: DataFrame) -> DataFrame:
     return _whole(_each(files, lambda data: list(read_entries(data)), "name string, content binary"))
 
 
+@F.pandas_udf(StructType([StructField("error", StringType()), StructField("names", ArrayType(StringType()))]))
+def archive_names(contents: pd.Series) -> pd.DataFrame:
+    """The names of an archive's files, or why it cannot be read; null content: neither. Nothing is unpacked."""
+    rows = []
+    for data in contents:
+        try:
+            rows.append((None, None if data is None else [x.filename for x in _open(bytes(data)).infolist()]))
+        except ArchiveError as e:
+            rows.append((str(e), None))
+    return pd.DataFrame(rows, columns=["error", "names"], dtype=object)
+
+
+@F.pandas_udf(StructType([StructField("error", StringType()), StructField("text", StringType())]))
+def word_text(contents: pd.Series) -> pd.DataFrame:
+    """The text of a Word document, null without a document part, or why it cannot be read; null content: neither."""
+    rows = []
+    for data in contents:
+        try:
+            rows.append((None, None if data is None else _word(bytes(data))))
+        except ArchiveError as e:
+            rows.append((str(e), None))
+    return pd.DataFrame(rows, columns=["error", "text"], dtype=object)
+
+
+def bundle_texts(files: DataFrame, wanted: Callable[[str], bool]) -> DataFrame:
+    """(source_id, error, name, text) of bundles (source_id, content): of an archive the files that are wanted, which alone are
+    unpacked, and of anything else the whole as ``message.json``. One that cannot be read is a row with its error."""
+
+    def read(data: bytes) -> list[tuple]:
+        return list(read_entries(data, wanted)) if data[:4] in MAGIC else [("message.json", data)]
+
+    return _each(files, read, "name string, content binary").withColumn("text", decoded(F.col("content"))).drop("content")
+
+
 def entry_names(files: DataFrame) -> DataFrame:
     """(source_id, error, names) of archives; nothing is unpacked, and one that is damaged has an error instead of names."""
     return _each(files, lambda data: [([x.filename for x in _open(data).infolist()],)], "names array<string>")
@@ -119,13 +154,14 @@ def paragraph_lines(xml: str) -> list[str]:
     return [line for line in out if line]
 
 
+def _word(data: bytes) -> str | None:
+    found = [c for _, c in read_entries(data, lambda n: base_name(n) == "document.xml")]
+    return "\n".join(paragraph_lines(found[0].decode("utf-8", "replace"))) if found else None
+
+
 def word_texts(files: DataFrame, errors: bool = False) -> DataFrame:
     """(source_id, text) of Word documents (source_id, content); one without a document part gives null. With ``errors`` a
     damaged one is a row with ``error``, else it stops the query."""
 
-    def read(data: bytes) -> list[tuple]:
-        found = [c for _, c in read_entries(data, lambda n: base_name(n) == "document.xml")]
-        return [("\n".join(paragraph_lines(found[0].decode("utf-8", "replace"))) if found else None,)]
-
-    rows = _each(files, read, "text string")
+    rows = _each(files, lambda data: [(_word(data),)], "text string")
     return rows if errors else _whole(rows)

@@ -2,21 +2,25 @@
 
 Every adapter takes texts (source_id, text), one row for each export, and gives (messages, skipped): rows of the raw schema
 in the export's order, and (source_id, skipped) counts. A text that is not such an export gives no messages.
+
+What an adapter finds in one pass is *told* rows: (source_id, place, kept, role, text, ts_ms, meta, info), also for what is
+skipped; ``info`` is what the export says of itself, as JSON text. Messages are the kept ones with their number for a place.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from chatloom.functions import text as T
 from chatloom.functions import times
 from chatloom.functions.jsonx import strict_json
-from chatloom.functions.rows import dense_positions
+from chatloom.functions.rows import dense_positions, ranked_positions
 from chatloom.operators.structure import normal_role
 from chatloom.schemas import meta
+from chatloom.storage import broadcast_if_small, written
 
 TREE = "struct<title: string, current_node: string, mapping: map<string, struct<id: string, parent: string, children: array<string>, message: struct<author: struct<role: string>, create_time: variant, content: struct<parts: variant>>>>>"
 FLAT = "struct<uuid: string, name: string, chat_messages: array<struct<sender: string, text: string, created_at: string, content: variant>>>"
@@ -40,13 +44,38 @@ def chosen(items: DataFrame, field: str, opens: str) -> DataFrame:
     return dense_positions(found, "source_id", "item").select("source_id", F.col("_i").cast("int").alias("conv"), "body")
 
 
-def _number(rows: DataFrame, *order: str) -> DataFrame:
-    """``pos`` from 0 within each export by integer order columns, the first of which are places in arrays of the export."""
+TOLD = ("source_id", "place", "kept", "role", "text", "ts_ms", "meta", "info")
+
+
+def _told(rows: DataFrame, order: tuple[str, ...], kept: Column, role: Column, ts: Column, known: Column, **info: Column) -> DataFrame:
+    """Told rows in the order of integer columns, the first of which are places in arrays of the export."""
     place = F.lit(0).cast("decimal(38,0)")
     for c in order:
         place = place * (1 << 24) + F.col(c)
-    dense = dense_positions(rows.withColumn("_place", place.cast("bigint")), "source_id", "_place", 1 << 30)
-    return dense.withColumn("pos", F.col("_i").cast("bigint"))
+    kept = F.coalesce(kept, F.lit(False))
+    # Of what is skipped only that it was there.
+    own = [F.when(kept, x).alias(c) for c, x in (("role", role), ("text", F.col("text")), ("ts_ms", ts), ("meta", known))]
+    return rows.select("source_id", place.cast("bigint").alias("place"), kept.alias("kept"), *own, F.to_json(F.struct(*(x.alias(n) for n, x in info.items()))).alias("info"))
+
+
+def numbered(told: DataFrame) -> DataFrame:
+    """The messages of told rows, numbered from 0 in each export."""
+    dense = dense_positions(told.where("kept"), "source_id", "place", 1 << 30)
+    return dense.select("source_id", F.col("_i").cast("bigint").alias("pos"), "role", "text", "ts_ms", "meta")
+
+
+def numbered_by_time(told: DataFrame) -> DataFrame:
+    """The same, but in the order of their times where all messages of an export have one. Both orders come from one sort by
+    ranges, so the messages of one export are many tasks' work. ``told`` is a written table."""
+    kept = told.where("kept")
+    timed = written(kept.groupBy("source_id").agg((F.bool_and(F.col("ts_ms").isNotNull()) & (F.count(F.lit(1)) > 1)).alias("timed")))
+    joined = kept.join(broadcast_if_small(timed.select(F.col("source_id").alias("_s"), "timed"), F.length("_s") + 16), F.col("source_id") == F.col("_s"))
+    ranked = ranked_positions(joined.select(*kept.columns, F.when(F.col("timed"), F.col("ts_ms")).alias("_by")), "source_id", [F.col("_by"), F.col("place")])
+    return ranked.select("source_id", F.col("_i").cast("bigint").alias("pos"), "role", "text", "ts_ms", "meta")
+
+
+def skipped_of(told: DataFrame) -> DataFrame:
+    return told.groupBy("source_id").agg(F.count_if(~F.col("kept")).alias("skipped"))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -98,6 +127,11 @@ def chatgpt(docs: DataFrame, current_path: bool = False) -> tuple[DataFrame, Dat
 
 def tree_messages(chats: DataFrame, current_path: bool = False) -> tuple[DataFrame, DataFrame]:
     """The same of conversations (source_id, conv, body)."""
+    told = tree_told(chats, current_path)
+    return numbered(told), skipped_of(told)
+
+
+def tree_told(chats: DataFrame, current_path: bool = False) -> DataFrame:
     trees = chats.withColumn("c", F.from_json("body", TREE))
     nodes = F.transform(F.map_entries("c.mapping"), lambda e: F.struct(e["key"].alias("id"), e["value"]["parent"].alias("parent"), e["value"]["children"].alias("children")))
     order = _path_order(nodes, F.col("c.current_node")) if current_path else _tree_order(nodes)
@@ -110,8 +144,7 @@ def tree_messages(chats: DataFrame, current_path: bool = False) -> tuple[DataFra
     role = F.coalesce(normal_role(F.col("author")), F.lit("unlabeled"))
     known = meta(source=F.lit("chatgpt"), conversation_title=F.col("title"), conversation_index=F.col("conv"), original_role=F.when(normal_role(F.col("author")).isNull(), F.col("author")))
     ts = times.epoch_to_ms(F.try_variant_get("m.create_time", "$", "string"))
-    kept = told.where(keep).select("source_id", "conv", "node", role.alias("role"), "text", ts.alias("ts_ms"), known.alias("meta"))
-    return _raw(_number(kept, "conv", "node")), _skipped(told, keep)
+    return _told(told, ("conv", "node"), keep, role, ts, known, mode=F.lit("current-path" if current_path else "tree"))
 
 
 def claude(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,6 +154,11 @@ def claude(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def flat_messages(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same of conversations (source_id, conv, body)."""
+    told = flat_told(chats)
+    return numbered(told), skipped_of(told)
+
+
+def flat_told(chats: DataFrame) -> DataFrame:
     chats = chats.withColumn("c", F.from_json("body", FLAT))
     rows = chats.select("source_id", "conv", F.col("c.name").alias("name"), F.posexplode("c.chat_messages").alias("node", "m"))
     blocks = F.coalesce(F.try_variant_get("m.content", "$", "array<variant>"), F.array().cast("array<variant>"))
@@ -130,8 +168,7 @@ def flat_messages(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
     sender = F.col("m.sender")
     role = F.when(sender == "human", "user").when(sender.isin("assistant", "system"), sender).otherwise("unlabeled")
     known = meta(source=F.lit("claude"), sender=sender, conversation_name=F.col("name"), conversation_index=F.col("conv"))
-    kept = told.where(F.col("text") != "").select("source_id", "conv", "node", role.alias("role"), "text", times.parse_iso_ms(F.col("m.created_at")).alias("ts_ms"), known.alias("meta"))
-    return _raw(_number(kept, "conv", "node")), _skipped(told, F.col("text") != "")
+    return _told(told, ("conv", "node"), F.col("text") != "", role, times.parse_iso_ms(F.col("m.created_at")), known, format=F.lit("flat"))
 
 
 def _first_text(*values: Column) -> Column:
@@ -139,50 +176,69 @@ def _first_text(*values: Column) -> Column:
     return F.coalesce(*(F.nullif(T.trim(v), F.lit("")) for v in values))
 
 
+#: The files of a bundle by base name, with or without ``.json``, and the fields of one that is one JSON text.
+BUNDLE = {"user": ("user",), "character": ("character",), "message": ("message", "messages")}
+
+
 def characterai(files: DataFrame, need_messages: bool = True) -> tuple[DataFrame, DataFrame]:
     """Bundles of files (source_id, name, text): messages, with the names of user and character.
 
-    The raw content of a message is its text. Where every message of an export has a time they are put in its order, else
-    they stay as they are. An export without ``message.json`` stops the query, or has no messages where they need not be.
+    A bundle may also be one text, an object with the three as its fields. The raw content of a message is its text. Where
+    every message of an export has a time they are put in its order, else they stay as they are. An export without
+    ``message.json`` stops the query, or has no messages where they need not be.
     """
-    named = files.select("source_id", "name", F.lower(F.regexp_extract(F.replace(F.col("name"), F.lit("\\"), F.lit("/")), r"([^/]*)\z", 1)).alias("file"), strict_json(F.col("text")).alias("j"))
-    # Of several files with one of these names the first by its whole name.
-    text_of = lambda *names: named.where(F.col("file").isin(*names) & F.col("j").isNotNull()).groupBy("source_id").agg(F.min_by("j", "name").alias("j"))
-
-    def name_in(keys: tuple[str, ...]) -> Column:
+    told = written(bundle_told(files, need_messages))
+    return numbered_by_time(told), skipped_of(told)
+
+
+def bundle_told(files: DataFrame, need_messages: bool = True) -> DataFrame:
+    file = F.regexp_replace(F.lower(F.regexp_extract(F.replace(F.col("name"), F.lit("\\"), F.lit("/")), r"([^/]*)\z", 1)), r"\.json\z", "")
+    named = files.select("source_id", "name", file.alias("file"), strict_json(F.col("text")).alias("j"))
+    fields = F.from_json("j", "struct<" + ", ".join(f"{x}: string" for names in BUNDLE.values() for x in names) + ">")
+    held = [F.struct(F.lit(kind).alias("file"), F.coalesce(*(fields[x] for x in names)).alias("j")) for kind, names in BUNDLE.items()]
+    one = F.col("file").isin(*BUNDLE["message"]) & F.col("j").startswith("{") & F.coalesce(*(fields[x] for names in BUNDLE.values() for x in names)).isNotNull()
+    named = named.select("source_id", "name", F.inline(F.when(one, F.array(*held)).otherwise(F.array(F.struct("file", "j"))))).withColumn("j", strict_json(F.col("j")))
+    # Of several files with one of these names the first by its whole name; all three in one pass.
+    of = lambda kind: F.col("file").isin(*BUNDLE[kind]) & F.col("j").isNotNull()
+    bundles = named.groupBy("source_id").agg(*(F.min_by(F.when(of(kind), F.col("j")), F.when(of(kind), F.col("name"))).alias(kind) for kind in BUNDLE))
+
+    def name_in(j: Column, keys: tuple[str, ...]) -> Column:
         # An array stands for its first item; only a string is a name.
-        one = F.when(F.col("j").startswith("["), F.get(F.from_json("j", "array<string>"), F.lit(0))).otherwise(F.col("j"))
-        fields = F.from_json(one, "struct<" + ", ".join(f"{k}: variant" for k in keys) + ">")
-        return _first_text(*(F.when(F.schema_of_variant(fields[k]) == "STRING", F.try_variant_get(fields[k], "$", "string")) for k in keys))
-
-    user = text_of("user.json", "user").select("source_id", name_in(("first_name", "username", "user_name", "name")).alias("user"))
-    character = text_of("character.json", "character").select("source_id", name_in(("name", "title")).alias("character"))
-    messages = text_of("message.json", "message", "messages.json", "messages")
-    wanting = named.select("source_id").distinct().join(messages, "source_id", "left")
-    checked = wanting if not need_messages else wanting.withColumn("j", F.when(F.col("j").isNull(), F.raise_error(F.lit("the bundle has no message.json")).cast("string")).otherwise(F.col("j")))
+        first = F.when(j.startswith("["), F.get(F.from_json(j, "array<string>"), F.lit(0))).otherwise(j)
+        found = F.from_json(first, "struct<" + ", ".join(f"{k}: variant" for k in keys) + ">")
+        return _first_text(*(F.when(F.schema_of_variant(found[k]) == "STRING", F.try_variant_get(found[k], "$", "string")) for k in keys))
+
+    if need_messages:
+        bundles = bundles.withColumn("message", F.when(F.col("message").isNull(), F.raise_error(F.lit("the bundle has no message.json")).cast("string")).otherwise(F.col("message")))
     item = "array<struct<src: struct<name: string, is_human: variant, raw_content: string, created_at: string>, raw_content: string, is_human: variant, name: string, created: string, created_at: string, timestamp: string, create_time: string>>"
-    rows = checked.select("source_id", F.posexplode(F.from_json("j", item)).alias("node", "m"))
-    rows = rows.join(user, "source_id", "left").join(character, "source_id", "left")
+    who = (name_in(F.col("user"), ("first_name", "username", "user_name", "name")).alias("user"), name_in(F.col("character"), ("name", "title")).alias("character"))
+    rows = bundles.select("source_id", *who, "message").select("source_id", "user", "character", F.posexplode(F.from_json("message", item)).alias("node", "m"))
     told = rows.withColumn("text", _first_text(F.col("m.src.raw_content"), F.col("m.raw_content"))).withColumn("speaker", _first_text(F.col("m.src.name"), F.col("m.name")))
     human = F.coalesce(F.try_variant_get("m.src.is_human", "$", "boolean"), F.try_variant_get("m.is_human", "$", "boolean"))
     role = F.when(human, "user").when(~human, "assistant").when(F.col("speaker") == F.col("user"), "user").when(F.col("speaker") == F.col("character"), "assistant").otherwise("unlabeled")
     dated = (_first_text(F.col("m.created_at"), F.col("m.src.created_at")), _first_text(F.col("m.created"), F.col("m.timestamp")))
     stamp = F.coalesce(*map(times.parse_iso_ms, dated), times.epoch_to_ms(F.col("m.create_time")))
-    kept = told.where(F.col("text").isNotNull()).withColumns({"role": role, "ts_ms": stamp})
-    all_timed = kept.groupBy("source_id").agg((F.bool_and(F.col("ts_ms").isNotNull()) & (F.count(F.lit(1)) > 1)).alias("timed"))
-    by_time = Window.partitionBy("source_id").orderBy(F.when(F.col("timed"), F.col("ts_ms")), "node")
-    known = meta(source=F.lit("characterai"), speaker=F.col("speaker"), pending_label=F.when(F.col("role") == "unlabeled", True))
-    ordered = kept.join(all_timed, "source_id").withColumn("pos", (F.row_number().over(by_time) - 1).cast("bigint")).withColumn("meta", known)
-    return _raw(ordered), _skipped(told, F.col("text").isNotNull())
+    known = meta(source=F.lit("characterai"), speaker=F.col("speaker"), pending_label=F.when(role == "unlabeled", True))
+    return _told(told, ("node",), F.col("text").isNotNull(), role, stamp, known, user=F.col("user"), character=F.col("character"))
 
 
 def sillytavern(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JSON Lines with ``mes``: other lines are skipped and counted, lines that only name user or character are neither."""
-    return line_messages(docs.select("source_id", F.posexplode(T.lines(T.without_bom(F.col("text")))).alias("node", "line")))
+    return line_messages(lines_of(docs))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(source_id, node, line) of texts."""
+    return docs.select("source_id", F.posexplode(T.lines(T.without_bom(F.col("text")))).alias("node", "line"))
 
 
 def line_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same of lines (source_id, node, line) that are trimmed and not blank."""
+    told = line_told(lines)
+    return numbered(told), skipped_of(told)
+
+
+def line_told(lines: DataFrame) -> DataFrame:
     item = "struct<mes: variant, is_user: variant, is_system: variant, name: string, send_date: string, user_name: variant, character_name: variant>"
     rows = lines.withColumn("m", F.from_json(strict_json(F.col("line")), item))
     text = F.when(F.schema_of_variant("m.mes") == "STRING", T.trim(F.try_variant_get("m.mes", "$", "string")))
@@ -192,13 +248,4 @@ def line_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     true = lambda c: F.coalesce(F.try_variant_get(c, "$", "boolean"), F.lit(False))
     role = F.when(true("m.is_system"), "system").when(true("m.is_user"), "user").otherwise("assistant")
     known = meta(source=F.lit("st-chatlog"), speaker=F.nullif(F.col("m.name"), F.lit("")), raw_time=F.col("m.send_date"))
-    kept = told.where(F.col("text") != "").select("source_id", "node", role.alias("role"), "text", times.parse_send_date(F.col("m.send_date")).alias("ts_ms"), known.alias("meta"))
-    return _raw(_number(kept, "node")), _skipped(told, F.col("text") != "")
-
-
-def _raw(rows: DataFrame) -> DataFrame:
-    return rows.select("source_id", "pos", "role", "text", "ts_ms", "meta")
-
-
-def _skipped(rows: DataFrame, kept: Column) -> DataFrame:
-    return rows.groupBy("source_id").agg(F.count_if(~F.coalesce(kept, F.lit(False))).alias("skipped"))
+    return _told(told, ("node",), F.col("text") != "", role, times.parse_send_date(F.col("m.send_date")), known, format=F.lit("lines"))

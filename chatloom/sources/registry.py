@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
 from chatloom.functions.jsonx import strict_json
-from chatloom.schemas import RAW
+from chatloom.schemas import META, RAW
 from chatloom.sources import archives, json_exports, texts
-from chatloom.sources.texts import boundary_count, image_type
-from chatloom.storage import broadcast_if_small, written
+from chatloom.sources.texts import boundary_count, header_mode, image_type
+from chatloom.storage import broadcast_if_small, new_folder, written
 
 
 class NotSupportedYet(NotImplementedError):
@@ -119,18 +119,23 @@ EXTENSIONS = {"docx": "txt-docx", "html": "local-web", "htm": "local-web", "json
 def sniff_files(files: DataFrame) -> DataFrame:
     """(source_id, name, confidence, error) for files (source_id, path, content): by extension, archive entries, picture, or
     text. Of an archive only the names are read; one that is damaged has no name but an error. Malformed UTF-8 is replaced."""
+    return _sniffed(files).select("source_id", "name", "confidence", "error")
+
+
+def _sniffed(files: DataFrame) -> DataFrame:
+    """The files with name, confidence and error, in one pass."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./\\]+)\z", 1))
     by_ext = F.lit(None).cast("string")
     for e, name in EXTENSIONS.items():
         by_ext = F.when(ext == e, F.lit(name)).otherwise(by_ext)
     zipped, image = archives.is_archive("content"), image_type(F.col("content"))
-    names = archives.entry_names(files.where(zipped & by_ext.isNull())).withColumnRenamed("source_id", "_source")
-    has = lambda n: F.coalesce(F.exists("names", lambda x: F.regexp_extract(F.replace(x, F.lit("\\"), F.lit("/")), r"([^/]*)\z", 1) == n), F.lit(False))
+    rows = files.withColumn("_zip", archives.archive_names(F.when(zipped & by_ext.isNull(), F.col("content"))))
+    has = lambda n: F.coalesce(F.exists("_zip.names", lambda x: F.regexp_extract(F.replace(x, F.lit("\\"), F.lit("/")), r"([^/]*)\z", 1) == n), F.lit(False))
     in_zip = F.when(has("document.xml"), "txt-docx").when(has("message.json") & has("character.json"), "characterai")
-    rows = files.join(names, F.col("source_id") == F.col("_source"), "left")
     text = F.when(by_ext.isNull() & ~zipped & image.isNull(), T.decoded(F.col("content")))
-    rows = rows.select("source_id", "error", F.coalesce(by_ext, in_zip, F.when(image.isNotNull(), "screenshot")).alias("known"), sniff_text(text).alias("s"))
-    return rows.select("source_id", F.coalesce("known", "s.name").alias("name"), F.when(F.col("known").isNotNull(), "high").otherwise(F.col("s.confidence")).alias("confidence"), "error")
+    rows = rows.withColumns({"_known": F.coalesce(by_ext, in_zip, F.when(image.isNotNull(), "screenshot")), "_s": sniff_text(text)})
+    told = {"name": F.coalesce("_known", "_s.name"), "confidence": F.when(F.col("_known").isNotNull(), "high").otherwise(F.col("_s.confidence")), "error": F.col("_zip.error")}
+    return rows.select(*files.columns, *(x.alias(c) for c, x in told.items()))
 
 
 def sniff_bundles(files: DataFrame) -> DataFrame:
@@ -148,7 +153,7 @@ def sniffed_or(sniffed: DataFrame, chosen: str) -> DataFrame:
 @dataclass(frozen=True)
 class Converted:
     """Raw messages of sources of any kinds, and what became of each source: (source_id, adapter, confidence, messages,
-    skipped, error)."""
+    skipped, error, info: what the source says of itself, as JSON text)."""
 
     messages: DataFrame
     status: DataFrame
@@ -156,70 +161,90 @@ class Converted:
 
 #: What an adapter that found nothing says.
 NOTHING = {"chatgpt": "no conversation with a mapping", "claude": "no conversation with chat_messages", "characterai": "no messages", "st-chatlog": "no message line", "txt-docx": "no text", "local-web": "no text on the page", "screenshot": "no picture"}
+_FOUND = "source_id string, place bigint, kept boolean, role string, text string, ts_ms bigint, meta " + META + ", info string, error string"
+
+
+def _told_of(name: str, rows: DataFrame, own: dict, provider, vision) -> DataFrame:
+    """What an adapter finds in its files (source_id, content), in one pass over them: told rows, with an error where one
+    cannot be read."""
+    zipped = archives.is_archive("content")
+    none = F.lit(None)
+    found_error = lambda df: df.select("source_id", none.alias("place"), F.lit(False).alias("kept"), *(none.alias(c) for c in ("role", "text", "ts_ms", "meta", "info")), "error")
+    placed = lambda df, info: df.select("source_id", F.col("pos").alias("place"), F.lit(True).alias("kept"), "role", "text", "ts_ms", "meta", info.alias("info"), none.alias("error"))
+    texts_of = rows.select("source_id", T.decoded(F.col("content")).alias("text"))
+    if name == "screenshot":
+        if vision is None:
+            return found_error(rows.select("source_id", F.lit("pictures need a provider").alias("error")))
+        seen = texts.seen_pictures(rows, vision)
+        info = F.to_json(F.struct(F.col("meta.mime_type").alias("mime_type"), F.when(F.col("meta.pending_label"), "fallback").otherwise("json").alias("parse_mode")))
+        return placed(texts.picture_messages(seen.where("error is null")), info).unionByName(found_error(seen.where("error is not null")))
+    if name in ("txt-docx", "local-web"):
+        if name == "local-web":
+            words = texts.page_texts(texts_of).where("text <> ''").withColumn("error", none.cast("string"))
+        else:
+            read = rows.select("source_id", archives.word_text(F.when(zipped, F.col("content"))).alias("w"), F.when(~zipped, T.decoded(F.col("content"))).alias("t"))
+            words = read.select("source_id", F.coalesce("w.text", "t").alias("text"), F.col("w.error").alias("error"))
+        words = written(words.withColumn("_headed", F.coalesce(header_mode(F.coalesce("text", F.lit("")), mode=own.get("mode")), F.lit(False))))
+        said = texts.chat_text(words.where("error is null"), **({"provider": provider} | own if name == "txt-docx" else own))
+        own_info = {"mode": F.when(F.col("_headed"), "headers").otherwise("lines"), **({c: F.col(c) for c in ("title", "blocks")} if name == "local-web" else {})}
+        info = broadcast_if_small(written(words.select(F.col("source_id").alias("_w"), F.to_json(F.struct(*(x.alias(c) for c, x in own_info.items()))).alias("_info"))), F.length("_w") + F.length("_info") + 16)
+        return placed(said.join(info, F.col("source_id") == F.col("_w"), "left"), F.col("_info")).unionByName(found_error(words.where("error is not null")))
+    if name == "characterai":
+        wanted = {f"{x}{end}" for names in json_exports.BUNDLE.values() for x in names for end in ("", ".json")}
+        files = written(archives.bundle_texts(rows, lambda n: archives.base_name(n).lower() in wanted))
+        told = json_exports.bundle_told(files.where("error is null"), need_messages=False).withColumn("error", none)
+        return told.unionByName(found_error(files.where("error is not null")))
+    if name == "st-chatlog":
+        told = json_exports.line_told(json_exports.lines_of(texts_of))
+    elif name == "chatgpt":
+        told = json_exports.tree_told(json_exports.conversations(texts_of, "mapping", "{"), **own)
+    else:
+        told = json_exports.flat_told(json_exports.conversations(texts_of, "chat_messages", "["))
+    return told.withColumn("error", none)
 
 
 def convert_files(files: DataFrame, adapter: str | None = None, chosen: str | None = None, options: Mapping[str, Mapping] | None = None, provider=None, vision=None) -> Converted:
     """Files (source_id, path, content) of any kinds, each through the adapter that it is recognised as needing.
 
     ``adapter`` names one for all; ``chosen`` stands in where none is recognised; ``options`` are each adapter's own, by name;
-    ``provider`` labels plain lines, and pictures need ``vision``, a provider that takes them. A source that is damaged, not recognised or empty has no messages, and the status table says
-    why. What each source is recognised as is written first, so files are read once for that and once by their adapter.
+    ``provider`` labels plain lines, and pictures need ``vision``, a provider that takes them. A source that is damaged, not
+    recognised or empty, or a picture of which the provider says nothing, has no messages, and the status table says why.
+
+    The files are read once, and written by kind as they are recognised; each adapter reads its own kind once, and writes
+    messages and what it skipped together. All else reads what was written.
     """
     if adapter and adapter not in ADAPTERS:
         raise ValueError(f"no adapter {adapter!r}; there are: {', '.join(ADAPTERS)}")
     if adapter and ADAPTERS[adapter].status != "ready":
         _placeholder()
+    spark, nothing = files.sparkSession, F.lit(None).cast("string")
+    files = files.select("source_id", "path", "content")
     if adapter:
-        sniffed = files.select("source_id", F.lit(adapter).alias("name"), F.lit(None).cast("string").alias("confidence"), F.lit(None).cast("string").alias("error"))
+        sniffed = files.select("*", F.lit(adapter).alias("name"), nothing.alias("confidence"), nothing.alias("error"))
     else:
-        sniffed = sniff_files(files)
+        sniffed = _sniffed(files)
         sniffed = sniffed.withColumn("name", F.when(F.col("error").isNull(), F.coalesce("name", F.lit(chosen)))) if chosen else sniffed
-    sniffed = written(sniffed)
-    kinds = {r.name for r in sniffed.select("name").distinct().collect()}  # at most as many as there are adapters
-    told = broadcast_if_small(sniffed, F.length("source_id") + 64).select(F.col("source_id").alias("_source"), F.col("name").alias("_kind"))
-    rows = files.join(told, F.col("source_id") == F.col("_source"))
-    of = lambda name: rows.where(F.col("_kind") == name).select("source_id", "path", "content")
-    zipped = archives.is_archive("content")
-    as_text = lambda df: df.select("source_id", T.decoded(F.col("content")).alias("text"))
-    found, skipped, errors = [], [], []
-    for name in sorted(x for x in kinds if x):
-        mine, own = of(name), dict((options or {}).get(name, {}))
-        if name == "screenshot":
-            if vision is None:
-                errors.append(mine.select("source_id", F.lit("pictures need a provider").alias("error")))
-            else:
-                found.append(texts.screenshots(mine, vision))
-        elif name == "characterai":
-            packed = archives.text_entries(mine.where(zipped), errors=True)
-            errors.append(packed.where("error is not null").select("source_id", "error"))
-            files_of = packed.where("error is null").select("source_id", "name", "text").unionByName(as_text(mine.where(~zipped)).select("source_id", F.lit("message.json").alias("name"), "text"))
-            said, left = json_exports.characterai(files_of, need_messages=False)
-            found.append(said)
-            skipped.append(left)
-        elif name in ("txt-docx", "local-web"):
-            words = as_text(mine.where(~zipped))
-            if name == "txt-docx":
-                word = archives.word_texts(mine.where(zipped), errors=True)
-                errors.append(word.where("error is not null").select("source_id", "error"))
-                words = words.unionByName(word.where("error is null").select("source_id", "text"))
-                own.setdefault("provider", provider)
-            found.append(ADAPTERS[name].convert(words, **own))
-        else:
-            said, left = getattr(json_exports, {"chatgpt": "chatgpt", "claude": "claude", "st-chatlog": "sillytavern"}[name])(as_text(mine), **own)
-            found.append(said)
-            skipped.append(left)
-    spark = files.sparkSession
+    folder = new_folder(spark, "kinds")
+    kept = F.when(F.col("name").isNotNull(), F.col("content"))
+    sniffed.select("source_id", "path", kept.alias("content"), "confidence", "error", F.coalesce("name", F.lit("-")).alias("kind")).write.partitionBy("kind").parquet(folder)
+    routed = spark.read.schema("source_id string, path string, content binary, confidence string, error string, kind string").parquet(folder)
+    kinds = sorted(r.kind for r in routed.select("kind").distinct().collect() if r.kind in ADAPTERS)  # at most as many as there are adapters
+    empty = spark.createDataFrame([], _FOUND)
+    told = {k: written(empty.unionByName(_told_of(k, routed.where(F.col("kind") == k), dict((options or {}).get(k, {})), provider, vision))) for k in kinds}
     union = lambda dfs, schema: reduce(DataFrame.unionByName, dfs) if dfs else spark.createDataFrame([], schema)
-    messages = written(union(found, RAW))
-    counts = messages.groupBy("source_id").agg(F.count(F.lit(1)).alias("messages"))
-    none = F.lit(None).cast("string")
+    dense = {"characterai": json_exports.numbered_by_time, **dict.fromkeys(("chatgpt", "claude", "st-chatlog"), json_exports.numbered)}
+    as_placed = lambda t: t.where("kept").select("source_id", F.col("place").alias("pos"), "role", "text", "ts_ms", "meta")
+    messages = union([dense.get(k, as_placed)(t) for k, t in told.items()], RAW)
+    seen = union(list(told.values()), _FOUND).groupBy("source_id").agg(
+        F.count_if("kept").alias("messages"), F.count_if(~F.col("kept") & F.col("error").isNull()).alias("skipped"), F.max("error").alias("said"), F.max("info").alias("info")
+    )
+    none = nothing
     for name, text in NOTHING.items():
-        none = F.when(F.col("adapter") == name, text).otherwise(none)
-    status = sniffed.select("source_id", F.col("name").alias("adapter"), "confidence", F.col("error").alias("e1"))
-    status = status.join(counts, "source_id", "left").join(union(skipped, "source_id string, skipped long"), "source_id", "left").join(union(errors, "source_id string, error string"), "source_id", "left")
+        none = F.when(F.col("kind") == name, text).otherwise(none)
+    status = routed.select("source_id", "kind", "confidence", "error").join(seen, "source_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    why = F.coalesce("e1", "error", F.when(F.col("adapter").isNull(), "not recognised").when(F.col("messages").isNull(), none))
-    return Converted(messages, written(status.select("source_id", "adapter", "confidence", zero("messages"), zero("skipped"), why.alias("error"))))
+    why = F.coalesce("error", "said", F.when(F.col("kind") == "-", "not recognised").when(F.coalesce("messages", F.lit(0)) == 0, none))
+    return Converted(messages, written(status.select("source_id", F.nullif("kind", F.lit("-")).alias("adapter"), "confidence", zero("messages"), zero("skipped"), why.alias("error"), "info")))
 
 
 def as_files(source: DataFrame) -> DataFrame:

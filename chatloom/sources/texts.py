@@ -34,7 +34,7 @@ def header_mode(text: Column, ratio: float = HEADER_RATIO, mode: str | None = No
 
 def chat_text(docs: DataFrame, aliases: Mapping[str, str] | None = None, base_year: int | None = None, provider=None, mode: str | None = None, source: str = "txt-docx") -> DataFrame:
     """Texts (source_id, text) as messages: by their headers, or line by line with roles unknown."""
-    rows = docs.select("source_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_headed", header_mode(F.col("text"), mode=mode))
+    rows = docs.select("source_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("_headed") if "_headed" in docs.columns else header_mode(F.col("text"), mode=mode)).alias("_headed"))
     segments = split_text(rows.where("_headed"), CleanConfig(strip_control_chars=False)).where(F.col("text") != "")
     headed = structure_segments(segments, aliases, base_year=base_year)
     plain = structure_lines(rows.where("not _headed"), provider)
@@ -43,12 +43,19 @@ def chat_text(docs: DataFrame, aliases: Mapping[str, str] | None = None, base_ye
 
 def pages(docs: DataFrame, **options) -> DataFrame:
     """Saved pages (source_id, text) as messages, from their text blocks."""
-    blocks = docs.select("source_id", F.array_join(T.html_blocks(F.coalesce("text", F.lit(""))), "\n").alias("text"))
+    blocks = page_texts(docs)
     return chat_text(blocks.where(F.col("text") != ""), **options)
 
 
+def page_texts(docs: DataFrame) -> DataFrame:
+    """(source_id, title, blocks: their number, text: their lines) of saved pages."""
+    html = F.coalesce("text", F.lit(""))
+    found = docs.select("source_id", F.nullif(T.html_title(html), F.lit("")).alias("title"), T.html_blocks(html).alias("b"))
+    return found.select("source_id", "title", F.size("b").alias("blocks"), F.array_join("b", "\n").alias("text"))
+
+
 #: The first bytes of images and the types by file extension.
-IMAGE_MAGIC = {"89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "47494638": "image/gif"}
+IMAGE_MAGIC = {"89504E47": "image/png", "FFD8FF": "image/jpeg", "474946": "image/gif"}
 IMAGE_EXTENSIONS = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp"}
 
 
@@ -77,6 +84,14 @@ def screenshots(files: DataFrame, provider: Callable[[], object] | None) -> Data
     A reply without a JSON array of texts becomes one message whose role is pending; a blank reply stops the query. The
     provider is called when this is called.
     """
+    seen = seen_pictures(files, provider)
+    blank = F.raise_error(F.concat("source_id", F.lit(": "), "error")).cast("boolean")
+    return picture_messages(seen.where(F.when(F.col("error").isNotNull(), blank).otherwise(True)))
+
+
+def seen_pictures(files: DataFrame, provider: Callable[[], object] | None) -> DataFrame:
+    """What the provider saw in each picture, written: (source_id, mime, pos, role, text, raw, error); of one on which it
+    returned nothing, a row with the error."""
     if provider is None:
         raise ValueError("screenshots need a provider that takes pictures")
     mime = F.coalesce(image_type(F.col("content")), type_of_path(F.col("path")), F.lit("image/png"))
@@ -87,15 +102,19 @@ def screenshots(files: DataFrame, provider: Callable[[], object] | None) -> Data
             for source, kind, data in zip(pdf["source_id"], pdf["mime"], pdf["content"], strict=True):
                 reply = model.see(SEE_PROMPT, f"data:{kind};base64,{base64.b64encode(bytes(data)).decode()}")
                 if not (reply or "").strip():
-                    raise ValueError(f"{source}: the provider returned nothing")
+                    yield pd.DataFrame({"source_id": [source], "mime": [kind], "pos": [0], "role": [None], "text": [None], "raw": [True], "error": ["the provider returned nothing"]})
+                    continue
                 found = extract_json(reply)
                 items = found if isinstance(found, list) else []
                 rows = [(x.get("role"), x["text"].strip(), False) for x in items if isinstance(x, dict) and isinstance(x.get("text"), str) and x["text"].strip()]
                 rows = rows or [(None, reply.strip(), True)]
-                yield pd.DataFrame({"source_id": source, "mime": kind, "pos": range(len(rows)), "role": [r for r, *_ in rows], "text": [t for _, t, _ in rows], "raw": [x for *_, x in rows]})
+                yield pd.DataFrame({"source_id": source, "mime": kind, "pos": range(len(rows)), "role": [r for r, *_ in rows], "text": [t for _, t, _ in rows], "raw": [x for *_, x in rows], "error": None})
+
+    asked = files.select("source_id", mime.alias("mime"), "content").mapInPandas(ask, "source_id string, mime string, pos long, role string, text string, raw boolean, error string")
+    return written(asked)  # each picture is asked about once, whatever reads the messages
+
 
-    asked = files.select("source_id", mime.alias("mime"), "content").mapInPandas(ask, "source_id string, mime string, pos long, role string, text string, raw boolean")
-    seen = written(asked)  # each picture is asked about once, whatever reads the messages
+def picture_messages(seen: DataFrame) -> DataFrame:
     role = F.coalesce(normal_role(F.col("role")), F.lit("unlabeled"))
     known = meta(source=F.lit("screenshot"), mime_type=F.col("mime"), llm_role_label=F.when(~F.col("raw"), True), pending_label=F.when(F.col("raw"), True))
     return seen.select("source_id", "pos", role.alias("role"), "text", F.lit(None).cast("bigint").alias("ts_ms"), known.alias("meta"))

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import uuid
 import zipfile
 
@@ -173,6 +174,97 @@ def test_files_of_all_kinds_in_one_table(spark):
     assert result.adapter is None and result.status.count() == 10 and ("unlabeled", "two") in [(r.role, r.text) for r in result.messages.collect()]
 
 
+def test_files_are_read_once(spark):
+    # rows are counted where the files are read; each kind is then read from what was written
+    rows = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            rows.add(len(b))
+            yield b
+
+    files = binaries(
+        spark, word_docx=make_zip({"word/document.xml": WORD}), bundle_zip=make_zip({"message.json": json.dumps([{"raw_content": "x"}]), "character.json": "{}"}), damaged_zip=b"PK\x03\x04 no",
+        page_html=b"<p>Hi</p>", tree_json=json.dumps(TREE).encode(), bytes_txt=CHAT.encode(), shot_png=b"\x89PNG\r\n\x1a\n0000", what_bin=b"nothing", lines_jsonl=b'{"mes":"x"}',
+    )
+    found = registry.convert_files(files.mapInPandas(count, files.schema), vision=Eyes)
+    assert found.messages.count() > 9 and found.status.count() == 9 and rows.value == 9
+    scans = found.messages._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in scans
+
+
+def test_what_sources_say_of_themselves(spark):
+    page = b"<html><title> My chat </title><p>Hi</p><p>two</p></html>"
+    messages = [{"raw_content": "x", "is_human": True}]
+    whole = {"user": {"first_name": "Ada"}, "character": [{"name": "Bot"}], "messages": [*messages, {"raw_content": "y", "name": "Bot"}]}
+    files = binaries(spark, page_html=page, bundle_zip=make_zip({"u/message.json": json.dumps(messages), "u/character.json": '{"name":"Bot"}', "u/user.json": '{"name":"Ada"}'}), one_cai=json.dumps(whole).encode(), tree_json=json.dumps(TREE).encode(), bytes_txt=CHAT.encode(), shot_png=b"\x89PNGxxxx")
+    found = registry.convert_files(files.where("source_id <> 'one_cai'"), vision=Eyes)
+    info = {r.source_id: json.loads(r.info) for r in found.status.collect()}
+    assert info == {
+        "page_html": {"mode": "lines", "title": "My chat", "blocks": 3}, "bundle_zip": {"user": "Ada", "character": "Bot"}, "tree_json": {"mode": "tree"},
+        "bytes_txt": {"mode": "headers"}, "shot_png": {"mime_type": "image/png", "parse_mode": "json"},
+    }
+    one = registry.convert_files(files.where("source_id = 'one_cai'"), "characterai")  # a bundle in one JSON text
+    assert [(r.role, r.text) for r in one.messages.orderBy("pos").collect()] == [("user", "x"), ("assistant", "y")]
+    assert json.loads(one.status.first().info) == {"user": "Ada", "character": "Bot"}
+
+
+def test_a_blank_picture_stops_nothing_else(spark):
+    class Blind:
+        def see(self, prompt, uri):
+            return " " if uri.endswith("AAAA") else '[{"role":"user","text":"a"}]'
+
+    files = binaries(spark, a_png=b"\x89PNG\0\0\0\0\0", b_png=b"\x89PNG\1\1\1\1\1", c_gif=b"GIF99xx", page_html=b"<p>Hi</p>")
+    found = registry.convert_files(files, vision=Blind)
+    assert {r.source_id: (r.messages, r.error) for r in found.status.collect()} == {"a_png": (0, "the provider returned nothing"), "b_png": (1, None), "c_gif": (1, None), "page_html": (1, None)}
+
+
+def test_only_wanted_members_are_unpacked(spark):
+    # the picture is damaged, and nobody looks
+    data = bytearray(make_zip({"u/data/message.json": json.dumps([{"raw_content": "x"}]), "u/character.json": "{}", "u/picture.png": "A" * 5000}))
+    at = data.index(b"u/picture.png") + len(b"u/picture.png")
+    data[at : at + 8] = b"\xff" * 8
+    found = registry.convert_files(binaries(spark, b_zip=bytes(data)))
+    assert [(r.messages, r.error) for r in found.status.collect()] == [(1, None)]
+
+
+def test_one_large_bundle_is_sorted_in_many_tasks(spark):
+    from chatloom.functions.rows import ranked_positions
+
+    rng = random.Random(3)
+    stamps = [rng.randrange(1, 500) for _ in range(3000)]
+    rows = spark.createDataFrame([("a", i, s) for i, s in enumerate(stamps)] + [("b", 1, None), (None, 2, 5), (None, 1, 7)], "source_id string, place long, ts long")
+    got = ranked_positions(rows, "source_id", [F.col("ts"), F.col("place")])
+    want = {p: k for k, p in enumerate(sorted(range(3000), key=lambda p: (stamps[p], p)))}
+    assert {r.place: r._i for r in got.collect() if r.source_id == "a"} == want
+    assert {(r.source_id, r.place): r._i for r in got.collect() if r.source_id != "a"} == {("b", 1): 0, (None, 2): 0, (None, 1): 1}
+    messages = [{"raw_content": str(i), "is_human": True, "create_time": 1735689600 + s} for i, s in enumerate(stamps)]
+    found = J.characterai(bundle(spark, messages))[0].orderBy("pos").collect()
+    assert [int(r.text) for r in found] == sorted(range(3000), key=lambda p: (stamps[p], p)) and [r.pos for r in found] == list(range(3000))
+
+
+def test_arriving_files(spark, tmp_path):
+    from chatloom.streaming.arrivals import arriving_files, convert_arrivals, converted_arrivals
+
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+
+    def run():
+        query = convert_arrivals(arriving_files(spark, str(inbox), most=1), out, str(tmp_path / "offsets"))
+        query.awaitTermination()
+        assert query.exception() is None
+
+    (inbox / "a.html").write_bytes(b"<p>Hi</p><p>two</p>")
+    (inbox / "b.jsonl").write_bytes(b'{"mes":"x","is_user":true}\nbroken')
+    run()
+    (inbox / "c.html").write_bytes(b"<p></p>")
+    run()
+    run()  # nothing new
+    found = converted_arrivals(spark, out)
+    assert sorted((r.role, r.text) for r in found.messages.collect()) == [("unlabeled", "Hi"), ("unlabeled", "two"), ("user", "x")]
+    assert sorted((r.source_id.rpartition("/")[2], r.messages, r.skipped, r.error) for r in found.status.collect()) == [("a.html", 2, 0, None), ("b.jsonl", 1, 1, None), ("c.html", 0, 0, "no text on the page")]
+
+
 def test_word_entities(spark):
     xml = "<w:p><w:t>a&nbsp;b &#abc; &#65;&#x42; &#99999999; &amp;lt;</w:t></w:p>"
     assert archives.paragraph_lines(xml) == ["a b &#abc; AB  &lt;"]
