@@ -2,12 +2,13 @@
 
 A document is contaminated by an item when a window of as many words as the item has is similar to it. The similarity of a
 window can only rise while its start moves right to the first shingle it shares with the item, so windows are formed where a
-document has any shingle of any item of that size, and nothing else is asked of them. Each such window and each item gets a
-64-bit SimHash. Both are cut into one block more than the radius, so two fingerprints within the radius agree on a block
-(pigeonhole); the index holds the blocks of each item under its size and each of its shingles, and a window looks its blocks
-up under its size and the shingle it begins with. That finds all items within the radius that have this shingle, and never
-all items of a size. Candidates within the radius are verified by the exact weighted-shingle similarity: shared weight over the weight of both, where a
-shingle weighs as often as it occurs.
+document has a shingle of an item, in that item's size, and nothing else is asked of them. Each window and each item gets a
+64-bit SimHash; pairs that share the shingle and whose fingerprints are within the radius are verified by the exact
+weighted-shingle similarity: shared weight over the weight of both, where a shingle weighs as often as it occurs.
+
+Hamming blocks do not find the candidates, as the method has it: similarity 0.75 needs a radius of 24 of 64 bits, which
+leaves 25 blocks of two or three bits, and on those nearly every pair of a window and an item agrees. A join on the shingle
+finds the pairs; the fingerprint only spares most of them the exact comparison. The README has the figures.
 """
 
 from __future__ import annotations
@@ -75,12 +76,6 @@ def simhash(found: Column) -> Column:
     return let(found, bits)
 
 
-def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
-    """The fingerprint's radius + 1 blocks, as (number, bits) in one integer each."""
-    edges = [BITS * k // (radius + 1) for k in range(radius + 2)]
-    return F.array(*(F.lit(k << 32) + F.shiftrightunsigned(fingerprint, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
-
-
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard similarity of two bags of shingles: sum of the lesser counts over sum of the greater ones."""
     def shared(s: Column) -> Column:
@@ -103,42 +98,64 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     """Pairs (key, item) with the window's first word and similarity, where that is at least ``least``.
 
     Documents' words are hashed in the scan; only documents that share a shingle with an item go further, with their
-    shingles. An item of fewer than five words is one shingle of all its words and is found where it is the whole text.
-    Null text or a text without a word: no pairs. Null key: found like others. Equal keys are separate texts. Empty
-    tables: no pairs. Repeated items: each is reported. Very long texts count whole. Other columns are not read.
+    shingles. An item of fewer than five words is one shingle, and is found where a text has exactly its words in a row.
+    Null text or a text without a word: no pairs. Null key: found like others. Different texts of one key: each is reported;
+    a repeated row is reported once. Empty tables: no pairs. Repeated items: each is reported. Very long texts count whole.
+    Other columns are not read.
     """
     items = cut(items_of(benchmark, item).withColumn("no", F.monotonically_increasing_id()), "items")
     rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    candidates = within_radius(item_windows(rows, items), items, radius)
-    shingled = items.select("no", "item", "shingles")
+    long = items.where(F.col("size") >= WIDTH)
+    candidates = within_radius(item_windows(rows, long), long, radius)
+    shingled = long.select("no", "item", "shingles")
     whole = candidates.join(broadcast_if_small(shingled, F.size("shingles") * 8 + 96), "no")
     scored = whole.withColumn("similarity", similarity(F.col("window"), F.col("shingles"))).where(F.col("similarity") >= least)
-    best = scored.groupBy("key", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    found = scored.select("key", "h", "item", "start", "similarity").unionByName(short_items(rows, items))
+    best = found.groupBy("key", "h", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item), (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity"))
 
 
+def short_items(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, h, item, start, similarity) of items of fewer than five words, wherever a text has their words in a row."""
+    short = items.where(F.col("size") < WIDTH)
+    sizes = sorted(r["size"] for r in short.select("size").distinct().collect())  # four at most
+    empty = F.array().cast("array<struct<size:int,start:int,shingle:bigint>>")
+    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    run = lambda h, i, n: F.struct(F.lit(n).alias("size"), i.alias("start"), F.xxhash64(F.slice(h, i + 1, n)).alias("shingle"))
+    runs = lambda h, n: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: run(h, i, n))).otherwise(empty)
+    found = let(hashed, lambda h: F.flatten(F.array(*(runs(h, n) for n in sizes)))) if sizes else empty
+    placed = rows.select("key", "h", F.inline(found))
+    held = cut(short.select("item", "size", F.element_at("shingles", 1).alias("shingle")), "short-items")
+    met = placed.join(broadcast_if_small(held, 96), ["size", "shingle"])
+    return met.select("key", "h", "item", "start", F.lit(1.0).alias("similarity"))
+
+
 def item_windows(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Windows (key, size, start, anchor, window, print) of texts (key, text, h: a hash of it): one for each place where a
+    """Windows (key, h, size, start, anchor, window, print) of texts (key, text, h: a hash of it): one for each place where a
     text has a shingle (``anchor``) of an item, and each size of such an item. ``window`` has the shingles."""
     sizes = cut(items.select("size", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.collect_set("size").alias("sizes")), "sizes")
     placed = rows.select("key", "h", F.posexplode(shingles(words(F.col("text")))).alias("pos", "shingle"))
     hits = placed.join(broadcast_if_small(sizes, F.size("sizes") * 4 + 48), "shingle")
     # One text's places, also where keys are null or repeat.
     held = cut(hits.groupBy("key", "h").agg(F.collect_set(F.struct("pos", "sizes")).alias("at")), "anchors")
-    texts = rows.select(F.col("key").alias("k"), F.col("h").alias("of"), "text")
+    texts = rows.select(F.col("key").alias("k"), F.col("h").alias("of"), "text").dropDuplicates(["k", "of"])
     with_hits = texts.join(broadcast_if_small(held, F.size("at") * 48 + 64), (F.col("of") == F.col("h")) & F.col("k").eqNullSafe(F.col("key")))
-    worded = with_hits.select("key", "at", words(F.col("text")).alias("words"))
-    placed = worded.select("key", F.size("words").alias("n"), shingles(F.col("words")).alias("s"), "at").select("key", "n", "s", F.inline("at"))
-    placed = placed.select("key", "n", "s", "pos", F.explode("sizes").alias("size"))
-    start = F.greatest(F.lit(0), F.least("pos", F.col("n") - F.col("size")))
-    windows = placed.select("key", "size", start.alias("start"), F.get("s", F.col("pos")).alias("anchor"), F.slice("s", start + 1, F.greatest(F.col("size") - WIDTH + 1, F.lit(1))).alias("window"))
+    places = F.flatten(F.transform("at", lambda a: F.transform(a["sizes"], lambda n: F.struct(a["pos"].alias("pos"), n.alias("size")))))
+
+    def cut_out(w: Column) -> Column:
+        # Windows are cut from the shingles where these are made: no row carries them besides its own window.
+        def window(s: Column, x: Column) -> Column:
+            start = F.greatest(F.lit(0), F.least(x["pos"], F.size(w) - x["size"]))
+            return F.struct(x["size"].alias("size"), start.alias("start"), F.get(s, x["pos"]).alias("anchor"), F.slice(s, start + 1, F.greatest(x["size"] - WIDTH + 1, F.lit(1))).alias("window"))
+
+        return let(shingles(w), lambda s: F.transform(places, lambda x: window(s, x)))
+
+    windows = with_hits.select("key", "h", F.inline(let(words(F.col("text")), cut_out)))
     return windows.withColumn("print", simhash(F.col("window")))
 
 
 def within_radius(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Windows with ``no`` of every item of their size that has their anchor and whose fingerprint is within the radius."""
-    held = items.select("no", "size", "fingerprint", blocks(F.col("fingerprint"), radius).alias("blocks"), F.explode(F.array_distinct("shingles")).alias("anchor"))
-    index = cut(held, "index")
-    near = windows.join(broadcast_if_small(index, 8 * (radius + 1) + 80), ["size", "anchor"])
-    agree = F.arrays_overlap("blocks", blocks(F.col("print"), radius))
-    return near.where(agree & (F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= radius)).drop("blocks", "fingerprint")
+    index = cut(items.select("no", "size", "fingerprint", F.explode(F.array_distinct("shingles")).alias("anchor")), "index")
+    near = windows.join(broadcast_if_small(index, 80), ["size", "anchor"])
+    return near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= radius).drop("fingerprint")

@@ -166,7 +166,9 @@ scored as (
   select b.doc_id, b.item_id, b.start, sum(least(b.c, coalesce(ic.c, 0))) as shared, sum(b.c) as w, any_value(b.m) as m
   from bag b left join ic on ic.item_id = b.item_id and ic.s = b.s group by all),
 good as (select doc_id, item_id, start::int as start, (shared / (w + m - shared))::double as similarity from scored)
-select doc_id, item_id, start, similarity from good where similarity >= 0.75
+select doc_id, item_id, start, similarity from (
+  select * from good where similarity >= 0.75
+  union all select doc_id, item_id, (p - 1)::int, 1.0 from docs, items, unnest(range(1, len(w) - len(v) + 2)) as u(p) where len(v) between 1 and 4 and w[p : p + len(v) - 1] = v)
 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1"""
 
 

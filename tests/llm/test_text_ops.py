@@ -256,19 +256,19 @@ def test_decontamination_edges(spark, docs):
     assert decontaminate.contaminated(docs(EDGES), benchmark.limit(0)).count() == 0
 
 
-def test_blocks_find_all_within_the_radius(spark):
-    rng = random.Random(6)
-    pairs = []
-    for _ in range(200):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), rng.randrange(0, 40)):
-            b ^= 1 << bit
-        signed = [x - (1 << 64) if x >> 63 else x for x in (a, b)]
-        pairs.append((*signed, bin(a ^ b).count("1")))
-    df = spark.createDataFrame(pairs, "a long, b long, d int")
-    met = df.select("d", F.arrays_overlap(decontaminate.blocks(F.col("a")), decontaminate.blocks(F.col("b"))).alias("met")).collect()
-    assert all(r.met for r in met if r.d <= decontaminate.RADIUS)
+def test_short_items_are_found_inside_longer_texts(spark, docs):
+    items = [(1, "alpha beta gamma"), (2, "delta"), (3, "x y z w"), (4, "one two three four five")]
+    rows = [(1, "x y Alpha, beta gamma z"), (2, "alpha beta"), (3, "delta delta!"), (4, "x y z"), (5, "q x y z w x y z w"), (6, "zero one two three four five six"), (7, None), (8, "alpha beta gamma")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.contaminated(docs(rows), benchmark).collect()}
+    assert got == {(1, 1): (2, 1.0), (3, 2): (0, 1.0), (5, 3): (1, 1.0), (6, 4): (1, 1.0), (8, 1): (0, 1.0)}
+
+
+def test_texts_of_one_key_are_separate(spark, docs):
+    item = " ".join(f"v{i}" for i in range(20))
+    rows = [(1, f"a {item}"), (1, f"b c {item}"), (1, f"b c {item}"), (None, item), (None, f"z {item}"), (1, "clean text of six words here")]
+    got = decontaminate.contaminated(docs(rows), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.start) for r in got) == [(0, 0), (0, 1), (1, 1), (1, 2)]
 
 
 def prints_by_hand(shingles):
