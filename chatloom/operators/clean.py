@@ -126,6 +126,39 @@ def java_regex(pattern: str, flags: str = "") -> str:
     return (f"(?{kept}{'u' if 'i' in kept else ''})" if kept else "") + "".join(out)
 
 
+#: What follows a name in a boundary, and the most characters of a name.
+_AFTER_NAME, _NAME = BOUNDARY[BOUNDARY.index(")") + 1 :].removeprefix(r"\s*"), 20
+
+
+def headed_pieces(text: Column) -> Column:
+    """A text cut at the default boundary: an array of (header, text), the first without a header. Null where a time has no
+    name before it; the pattern itself must say what such a text is.
+
+    The pattern tries a name at each character. Here what follows a name is found first, which begins with a colon, and the
+    name is the last characters before it.
+    """
+    after = java_regex(_AFTER_NAME)
+    name_of = lambda p: F.regexp_extract(F.right(F.rtrim(p, F.lit(T.SPACE_CHARS)), F.lit(_NAME)), rf"[^{T.SPACES}:：]+\z", 0)
+
+    def cut(x: Column) -> Column:
+        n = F.size(x["cores"])
+        named = F.transform(x["pieces"], lambda p, i: F.struct(p.alias("p"), F.when(i < n, name_of(p)).alias("name"), F.when(i > 0, F.get(x["cores"], i - 1)).alias("core")))
+
+        def whole(parts: Column) -> Column:
+            # A piece loses the name of the next header and the space behind it; that name is the next one's.
+            def piece(y: Column, i: Column) -> Column:
+                kept = F.length(F.rtrim(y["p"], F.lit(T.SPACE_CHARS))) - F.length(y["name"])
+                before = F.get(parts, i - 1)
+                gap = F.substring(before["p"], F.length(F.rtrim(before["p"], F.lit(T.SPACE_CHARS))) + 1, F.length(before["p"]))
+                return F.struct(F.when(i > 0, F.concat(before["name"], gap, y["core"])).alias("header"), F.when(i < n, F.substring(y["p"], F.lit(1), kept)).otherwise(y["p"]).alias("text"))
+
+            return F.when(F.forall(parts, lambda y: F.coalesce(y["name"] != "", F.lit(True))), F.transform(parts, piece))
+
+        return T.let(named, whole)
+
+    return T.let(F.struct(F.regexp_extract_all(text, F.lit(after), F.lit(0)).alias("cores"), F.split(text, after).alias("pieces")), cut)
+
+
 def split_text(docs: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
     """Segments of whole texts (source_id, text): at each boundary, or by line where a text has none.
 
@@ -141,8 +174,13 @@ def split_text(docs: DataFrame, config: CleanConfig = CleanConfig()) -> DataFram
         pattern = java_regex(config.boundary)
         heads, bodies = F.regexp_extract_all("_t", F.lit(pattern), F.lit(0)), F.split("_t", pattern)
         cut = F.zip_with(F.concat(F.array(F.lit(None).cast("string")), heads), bodies, lambda h, b: segment(T.trim(h), T.trim(b)))
-        cut = F.filter(cut, lambda s: s["header"].isNotNull() | (s["text"] != ""))
-        found = F.when(F.size(heads) > 0, cut).otherwise(by_line)
+        found = cut
+        if config.boundary == BOUNDARY:
+            rows = rows.withColumn("_p", headed_pieces(F.col("_t")))
+            found = F.when(F.col("_p").isNotNull(), F.transform("_p", lambda p: segment(T.trim(p["header"]), T.trim(p["text"])))).otherwise(cut)
+        found = F.filter(found, lambda s: s["header"].isNotNull() | (s["text"] != ""))
+        rows = rows.withColumn("_f", found)
+        found = F.when(F.exists("_f", lambda s: s["header"].isNotNull()), F.col("_f")).otherwise(by_line)
     return rows.select("source_id", F.posexplode(found).alias("pos", "s")).select("source_id", F.col("pos").cast("long").alias("pos"), "s.header", "s.text")
 
 
@@ -237,15 +275,21 @@ def without_rows(segments: DataFrame, gone: DataFrame) -> DataFrame:
 def redact(segments: DataFrame, rules: Sequence[RedactionRule] = DEFAULT_REDACTIONS) -> DataFrame:
     """Texts with each rule's hits replaced, rule after rule, and ``hits``: an array of counts in the rules' order."""
     counts = [f"_hits{i}" for i in range(len(rules))]
-    out = segments.drop("hits")
-    for r, name in zip(rules, counts, strict=True):
+    patterns = [java_regex(r.pattern, r.flags) for r in rules]
+    # A text that no rule hits as it stands is never changed, so no rule is hit at all; most are such.
+    any_hit = F.lit(False)
+    for p in patterns:
+        any_hit = any_hit | F.col("text").rlike(p)
+    out = segments.drop("hits").withColumn("_any", F.coalesce(any_hit, F.lit(False)))
+    none = F.lit(0).cast("long")
+    for r, name, pattern in zip(rules, counts, patterns, strict=True):
         # Each rule is a projection of its own, so a text is computed once however many rules follow.
-        pattern = java_regex(r.pattern, r.flags)
         count = F.regexp_count("text", F.lit(pattern)).cast("long")
         if "g" in r.flags:
-            out = out.withColumns({name: count, "text": F.regexp_replace("text", pattern, T.literal(r.replacement))})
+            new = F.regexp_replace("text", pattern, T.literal(r.replacement))
         else:
-            out = out.withColumns({name: F.least(count, F.lit(1).cast("long")), "text": T.replace_first(F.col("text"), pattern, r.replacement)})
+            count, new = F.least(count, F.lit(1).cast("long")), T.replace_first(F.col("text"), pattern, r.replacement)
+        out = out.withColumns({name: F.when(F.col("_any"), count).otherwise(F.when(F.col("text").isNotNull(), none)), "text": F.when(F.col("_any"), new).otherwise(F.col("text"))})
     others = [c for c in segments.columns if c not in ("text", "hits")]
     return out.select(*others, "text", (F.array(*counts) if counts else F.array().cast("array<bigint>")).alias("hits"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
 from chatloom.functions.jsonx import extract_json
-from chatloom.operators.clean import BOUNDARY, CleanConfig, java_regex, split_text
+from chatloom.operators.clean import BOUNDARY, CleanConfig, headed_pieces, java_regex, split_text
 from chatloom.operators.structure import normal_role, structure_lines, structure_segments
 from chatloom.schemas import meta
 from chatloom.storage import written
@@ -21,7 +21,7 @@ HEADER_RATIO = 0.2
 
 
 def boundary_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(java_regex(BOUNDARY)))
+    return T.let(headed_pieces(text), lambda p: F.when(p.isNotNull(), F.size(p) - 1).otherwise(F.regexp_count(text, F.lit(java_regex(BOUNDARY)))))
 
 
 def header_mode(text: Column, ratio: float = HEADER_RATIO, mode: str | None = None) -> Column:
