@@ -13,11 +13,13 @@ from urllib.parse import urlparse
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from chatloom.functions import text as T
 from chatloom.functions import times
 from chatloom.functions.jsonx import extract_json
 from chatloom.functions.rows import dense_positions
+from chatloom.operators.ledger import answered
 from chatloom.storage import written
 
 #: UTF-16 units of a week's transcript, lines of a review batch, and what stands for no time.
@@ -186,7 +188,8 @@ REVIEW_PROMPT = 'These lines may still hold personal data. For each that does, r
 
 @dataclass(frozen=True)
 class Distilled:
-    """Tables of what was distilled; all empty where there was no provider."""
+    """Tables of what was distilled; all empty where there was no provider. ``failed``: calls that no try got an answer to
+    (source_id, week, call, error)."""
 
     skipped: bool
     reason: str | None
@@ -196,6 +199,7 @@ class Distilled:
     notebook: DataFrame
     profile: DataFrame
     meta: dict = field(default_factory=dict)
+    failed: DataFrame | None = None
 
 
 TABLES = {
@@ -212,20 +216,22 @@ def skipped(messages: DataFrame, reason: str) -> Distilled:
     return Distilled(True, reason, *(spark.createDataFrame([], s) for s in TABLES.values()), {"llm_calls": 0})
 
 
-def distill(messages: DataFrame, provider: Callable[[], Provider] | None, budget: int = WEEK_CHARS) -> Distilled:
+def distill(messages: DataFrame, provider: Callable[[], Provider] | None, budget: int = WEEK_CHARS, ledger: str | None = None) -> Distilled:
     """Two calls for each week (summary, anchors), one for each source over all its weeks.
 
-    Replies without usable JSON give nothing; items without the right shape are left out. Weeks are called side by side.
+    Replies without usable JSON give nothing; items without the right shape are left out; calls that fail give nothing and are
+    rows of ``failed``. Weeks are called side by side. ``ledger`` is a folder that keeps replies: a later run with the same
+    folder asks only for what has none.
     """
     if provider is None:
         return skipped(messages, "no_provider")
 
-    def ask_week(batches):
-        model = provider()
-        for pdf in batches:
-            yield pdf.assign(summary_reply=[_json_text(model.chat(SUMMARY_PROMPT, t)) for t in pdf["transcript"]], anchor_reply=[_json_text(model.chat(ANCHOR_PROMPT, t)) for t in pdf["transcript"]])[["source_id", "week", "summary_reply", "anchor_reply"]]
-
-    asked = written(transcripts(messages, budget).select("source_id", "week", "transcript").mapInPandas(ask_week, "source_id string, week string, summary_reply string, anchor_reply string"))
+    told = written(transcripts(messages, budget).select("source_id", "week", "transcript"))
+    prompts = F.explode(F.array(*(F.struct(F.lit(n).alias("call"), F.lit(p).alias("system")) for n, p in (("summary", SUMMARY_PROMPT), ("anchors", ANCHOR_PROMPT)))))
+    calls = told.select("source_id", "week", F.col("transcript").alias("user"), prompts.alias("p")).select("source_id", "week", "p.*", "user")
+    by_call = written(answered(calls, provider, ledger))
+    asked = by_call.groupBy("source_id", "week").agg(*(F.max(F.when(F.col("call") == c, F.col("reply"))).alias(c) for c in ("summary", "anchors")))
+    asked = written(asked.select("source_id", "week", _json_text("summary").alias("summary_reply"), _json_text("anchors").alias("anchor_reply")))
     weeks = week_batches(messages)
     summary = F.try_variant_get(F.try_parse_json("summary_reply"), "$.summary", "string")
     summaries = weeks.join(asked, ["source_id", "week"]).select("source_id", "week", "start", "end", "messages", F.coalesce(summary, F.lit("")).alias("summary"))
@@ -236,41 +242,51 @@ def distill(messages: DataFrame, provider: Callable[[], Provider] | None, budget
     told = summaries.groupBy("source_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("week", "summary"))), lambda x: F.concat(x["week"], F.lit(": "), x["summary"])), "\n").alias("told"))
     dated = anchors.groupBy("source_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("date", "event"))), lambda x: F.concat(x["date"], F.lit(" "), x["event"])), "\n").alias("dated"))
 
-    def ask_layers(batches):
-        model = provider()
-        for pdf in batches:
-            yield pdf.assign(reply=[_json_text(model.chat(LAYER_PROMPT, f"{a}\n\n{b or ''}")) for a, b in zip(pdf["told"], pdf["dated"], strict=True)])[["source_id", "reply"]]
-
-    layers = written(told.join(dated, "source_id", "left").mapInPandas(ask_layers, "source_id string, reply string"))
+    whole = told.join(dated, "source_id", "left").select("source_id", F.lit(None).cast("string").alias("week"), F.lit("layers").alias("call"), F.lit(LAYER_PROMPT).alias("system"), F.concat("told", F.lit("\n\n"), F.coalesce("dated", F.lit(""))).alias("user"))
+    by_source = written(answered(whole, provider, ledger))
+    layers = written(by_source.select("source_id", _json_text("reply").alias("reply")))
     of = lambda shape, path: layers.select("source_id", F.explode(items_of_shape(F.col("reply"), shape, path)).alias("v"))
     long_term = of("long_term", "$.longTerm").select("source_id", get("text", "string").alias("text"), get("category", "string").alias("category"))
     notebook = of("notebook", "$.notebook").select("source_id", get("text", "string").alias("text"), get("score", "double").alias("score"), get("category", "string").alias("category"), get("reason", "string").alias("reason"))
     profile = of("profile", "$.profile").select("source_id", *(get(c, "string").alias(c) for c in ("dimension", "key", "value")))
-    return Distilled(False, None, summaries, anchors, long_term, notebook, profile, {"llm_calls": 2 * asked.count() + layers.count()})
+    failed = by_call.unionByName(by_source).where("error is not null").select("source_id", "week", "call", "error")
+    return Distilled(False, None, summaries, anchors, long_term, notebook, profile, {"llm_calls": 2 * asked.count() + layers.count()}, failed)
+
+
+@F.pandas_udf(StringType())
+def _json_text(replies: pd.Series) -> pd.Series:
+    def one(reply: str | None) -> str | None:
+        found = None if reply is None else extract_json(reply)
+        return None if found is None else json.dumps(found, ensure_ascii=False)
+
+    return replies.map(one)
 
 
-def _json_text(reply: str) -> str | None:
-    found = extract_json(reply)
-    return None if found is None else json.dumps(found, ensure_ascii=False)
+@F.pandas_udf(ArrayType(StructType([StructField("index", LongType()), StructField("text", StringType())])))
+def _review_hits(replies: pd.Series) -> pd.Series:
+    """Numbers and new texts of a review's reply that have the right shape; the last one counts."""
+
+    def one(reply: str | None) -> list[dict]:
+        found = None if reply is None else extract_json(reply)
+        hits = found.get("hits") if isinstance(found, dict) else None
+        good = [h for h in hits if isinstance(h, dict) and type(h.get("index")) is int and abs(h["index"]) < 1 << 62 and isinstance(h.get("text"), str) and h["text"].strip()] if isinstance(hits, list) else []
+        return [{"index": i, "text": t} for i, t in {h["index"]: h["text"] for h in good}.items()]
+
+    return replies.map(one)
 
 
-def review_redaction(segments: DataFrame, provider: Callable[[], Provider] | None) -> DataFrame:
+def review_redaction(segments: DataFrame, provider: Callable[[], Provider] | None, ledger: str | None = None) -> DataFrame:
     """Segments after a provider looked over batches of 40 of a source's segments in order, numbered through the source; only
-    lines of a batch with a text that is not blank are replaced. The provider is called when this is called, once a batch."""
+    lines of a batch with a text that is not blank are replaced. The provider is called when this is called, once a batch; a
+    batch whose call fails stays as it is, and a later run with the same ``ledger`` folder asks for it again."""
     if provider is None:
         return segments
-
-    def review(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_i")
-        at = dict(zip(group["_i"].tolist(), group["pos"].tolist(), strict=True))
-        shown = "\n".join(f"#{i}|{h or ''}{t}" for i, h, t in zip(group["_i"], group["header"], group["text"], strict=True))
-        found = extract_json(provider().chat(REVIEW_PROMPT, shown))
-        hits = found.get("hits") if isinstance(found, dict) else None
-        new = {at[h["index"]]: h["text"] for h in hits if isinstance(h, dict) and type(h.get("index")) is int and h["index"] in at and isinstance(h.get("text"), str) and h["text"].strip()} if isinstance(hits, list) else {}
-        # Columns with their types, also where nothing was hit.
-        return pd.DataFrame({"source_id": pd.Series([group["source_id"].iloc[0]] * len(new), dtype=object), "pos": pd.Series(list(new), dtype="int64"), "new_text": pd.Series(list(new.values()), dtype=object)})
-
-    numbered = dense_positions(segments.select("source_id", "pos", "header", "text"), "source_id", "pos")
-    asked = numbered.withColumn("_batch", F.floor(F.col("_i") / REVIEW_BATCH)).groupBy("source_id", "_batch")
-    new = written(asked.applyInPandas(review, "source_id string, pos long, new_text string"))
-    return segments.join(new, ["source_id", "pos"], "left").withColumn("text", F.coalesce("new_text", "text")).select(*segments.columns)
+    numbered = written(dense_positions(segments.select("source_id", "pos", "header", "text"), "source_id", "pos").withColumn("_batch", F.floor(F.col("_i") / REVIEW_BATCH)))
+    line = F.concat(F.lit("#"), F.col("_i").cast("string"), F.lit("|"), F.coalesce("header", F.lit("")), F.coalesce("text", F.lit("")))
+    # Forty lines of a batch.
+    shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", line.alias("line")))), lambda x: x["line"]), "\n")
+    calls = numbered.groupBy("source_id", "_batch").agg(shown.alias("user")).withColumn("system", F.lit(REVIEW_PROMPT))
+    hits = written(answered(calls, provider, ledger).where("reply is not null").select("source_id", "_batch", F.inline(_review_hits("reply"))))
+    new = numbered.join(hits.withColumnsRenamed({"text": "new_text", "source_id": "_s", "_batch": "_b"}), F.col("source_id").eqNullSafe(F.col("_s")) & (F.col("_batch") == F.col("_b")) & (F.col("_i") == F.col("index")))
+    new = new.select(F.col("source_id").alias("_s"), F.col("pos").alias("_p"), "new_text")
+    return segments.join(new, F.col("source_id").eqNullSafe(F.col("_s")) & (F.col("pos") == F.col("_p")), "left").withColumn("text", F.coalesce("new_text", "text")).select(*segments.columns)

@@ -7,12 +7,14 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from chatloom.functions import text as T
 from chatloom.functions import times
 from chatloom.functions.jsonx import extract_json
 from chatloom.functions.patterns import longest_of
 from chatloom.functions.rows import dense_positions, one_of
+from chatloom.operators.ledger import answered
 from chatloom.schemas import META, META_FIELDS, ROLES, camel, meta, meta_with
 from chatloom.storage import written
 
@@ -107,35 +109,41 @@ ROLE_PROMPT = (
 )
 
 
-def structure_lines(docs: DataFrame, provider=None) -> DataFrame:
+@F.pandas_udf(ArrayType(StructType([StructField("role", StringType()), StructField("text", StringType())])))
+def _labelled(replies: pd.Series) -> pd.Series:
+    """The messages of a reply that is a JSON array, those of the right shape; null for any other reply."""
+
+    def one(reply: str | None) -> list[dict] | None:
+        found = None if reply is None else extract_json(reply)
+        if not isinstance(found, list):
+            return None
+        good = [x for x in found if isinstance(x, dict) and isinstance(x.get("text"), str) and x["text"]]
+        return [{"role": x["role"] if isinstance(x.get("role"), str) else None, "text": x["text"]} for x in good]
+
+    return replies.map(one)
+
+
+def structure_lines(docs: DataFrame, provider=None, ledger: str | None = None) -> DataFrame:
     """Plain texts (source_id, text) as messages, one for each line that is not empty, all of unknown role.
 
     With a provider (a function that makes an object with ``chat(system, user)``), batches of 60 lines are sent to it, and
-    its JSON array of (role, text) takes the lines' place; a reply without an array leaves the batch as lines. The provider is
-    called when this is called.
+    its JSON array of (role, text) takes the lines' place; a reply without an array, or a call that fails, leaves the batch as
+    lines. The provider is called when this is called; with a ``ledger`` folder only for what has no reply there.
     """
     lines = docs.select("source_id", F.posexplode(T.lines(F.coalesce("text", F.lit("")))).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
     if provider is None:
         plain = meta(source=F.lit("plaintext"), pending_label=F.lit(True))
         return lines.select("source_id", "pos", F.lit(None).cast("bigint").alias("ts_ms"), F.lit("unlabeled").alias("role"), "text", plain.alias("meta"), F.lit(True).alias("pending"))
 
-    def label(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        texts = group["text"].tolist()
-        reply = provider().chat(ROLE_PROMPT, "\n".join(f"{i + 1}. {t}" for i, t in enumerate(texts)))
-        found = extract_json(reply)
-        if isinstance(found, list):
-            rows = [(x.get("role"), x["text"], True) for x in found if isinstance(x, dict) and isinstance(x.get("text"), str) and x["text"]]
-        else:
-            rows = [(None, t, False) for t in texts]
-        # Columns with their types, also where a reply has no rows.
-        columns = {"role": [r for r, *_ in rows], "text": [t for _, t, _ in rows], "labelled": [x for *_, x in rows]}
-        out = pd.DataFrame({c: pd.Series(v, dtype=bool if c == "labelled" else object) for c, v in columns.items()})
-        return out.assign(source_id=group["source_id"].iloc[0], batch=group["batch"].iloc[0], k=range(len(out)))[["source_id", "batch", "k", "role", "text", "labelled"]]
-
-    asked = lines.withColumn("batch", F.floor(F.col("pos") / LINE_BATCH)).groupBy("source_id", "batch")
-    # Written, so that a batch is asked about once whatever reads the messages.
-    batches = written(asked.applyInPandas(label, "source_id string, batch long, k long, role string, text string, labelled boolean"))
+    # Sixty lines of a batch.
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    calls = lines.groupBy("source_id", F.floor(F.col("pos") / LINE_BATCH).alias("batch")).agg(texts.alias("lines")).withColumn("system", F.lit(ROLE_PROMPT))
+    asked = answered(calls.withColumn("user", F.array_join(F.transform("lines", lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t)), "\n")), provider, ledger)
+    known = asked.withColumn("found", _labelled("reply"))
+    rows = F.when(F.col("found").isNotNull(), F.transform("found", lambda x, k: F.struct(k.cast("long").alias("k"), x["role"].alias("role"), x["text"].alias("text"), F.lit(True).alias("labelled")))).otherwise(
+        F.transform("lines", lambda t, k: F.struct(k.cast("long").alias("k"), F.lit(None).cast("string").alias("role"), t.alias("text"), F.lit(False).alias("labelled")))
+    )
+    batches = written(known.select("source_id", "batch", F.inline(rows)))
     role = F.coalesce(normal_role(F.col("role")), F.lit("unlabeled"))
     pending = ~F.col("labelled")
     # A reply may have more messages than the batch had lines, so places are counted from the replies.

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import base64
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from chatloom.functions import text as T
 from chatloom.functions.jsonx import extract_json
 from chatloom.operators.clean import BOUNDARY, CleanConfig, headed_pieces, java_regex, split_text
+from chatloom.operators.ledger import answered
 from chatloom.operators.structure import normal_role, structure_lines, structure_segments
 from chatloom.schemas import meta
 from chatloom.storage import written
@@ -81,37 +82,40 @@ SEE_PROMPT = 'Transcribe the chat in this picture, from top to bottom, as a JSON
 def screenshots(files: DataFrame, provider: Callable[[], object] | None) -> DataFrame:
     """Pictures (source_id, path, content) as messages, through a provider with ``see(prompt, data_uri)``.
 
-    A reply without a JSON array of texts becomes one message whose role is pending; a blank reply stops the query. The
-    provider is called when this is called.
+    A reply without a JSON array of texts becomes one message whose role is pending; a blank reply, or a call that fails,
+    stops the query. The provider is called when this is called.
     """
     seen = seen_pictures(files, provider)
     blank = F.raise_error(F.concat("source_id", F.lit(": "), "error")).cast("boolean")
     return picture_messages(seen.where(F.when(F.col("error").isNotNull(), blank).otherwise(True)))
 
 
-def seen_pictures(files: DataFrame, provider: Callable[[], object] | None) -> DataFrame:
+@F.pandas_udf(ArrayType(StructType([StructField("role", StringType()), StructField("text", StringType()), StructField("raw", BooleanType())])))
+def _pictured(replies: pd.Series) -> pd.Series:
+    """The messages of a reply, or the whole reply as one."""
+
+    def one(reply: str | None) -> list[dict] | None:
+        if reply is None:
+            return None
+        found = extract_json(reply)
+        good = [x for x in found if isinstance(x, dict) and isinstance(x.get("text"), str) and x["text"].strip()] if isinstance(found, list) else []
+        return [{"role": x["role"] if isinstance(x.get("role"), str) else None, "text": x["text"].strip(), "raw": False} for x in good] or [{"role": None, "text": reply.strip(), "raw": True}]
+
+    return replies.map(one)
+
+
+def seen_pictures(files: DataFrame, provider: Callable[[], object] | None, ledger: str | None = None) -> DataFrame:
     """What the provider saw in each picture, written: (source_id, mime, pos, role, text, raw, error); of one on which it
-    returned nothing, a row with the error."""
+    returned nothing, or failed, a row with the error. With a ``ledger`` folder only pictures without a reply there are sent."""
     if provider is None:
         raise ValueError("screenshots need a provider that takes pictures")
     mime = F.coalesce(image_type(F.col("content")), type_of_path(F.col("path")), F.lit("image/png"))
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = provider()
-        for pdf in batches:
-            for source, kind, data in zip(pdf["source_id"], pdf["mime"], pdf["content"], strict=True):
-                reply = model.see(SEE_PROMPT, f"data:{kind};base64,{base64.b64encode(bytes(data)).decode()}")
-                if not (reply or "").strip():
-                    yield pd.DataFrame({"source_id": [source], "mime": [kind], "pos": [0], "role": [None], "text": [None], "raw": [True], "error": ["the provider returned nothing"]})
-                    continue
-                found = extract_json(reply)
-                items = found if isinstance(found, list) else []
-                rows = [(x.get("role"), x["text"].strip(), False) for x in items if isinstance(x, dict) and isinstance(x.get("text"), str) and x["text"].strip()]
-                rows = rows or [(None, reply.strip(), True)]
-                yield pd.DataFrame({"source_id": source, "mime": kind, "pos": range(len(rows)), "role": [r for r, *_ in rows], "text": [t for _, t, _ in rows], "raw": [x for *_, x in rows], "error": None})
-
-    asked = files.select("source_id", mime.alias("mime"), "content").mapInPandas(ask, "source_id string, mime string, pos long, role string, text string, raw boolean, error string")
-    return written(asked)  # each picture is asked about once, whatever reads the messages
+    uri = F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.coalesce(F.base64("content"), F.lit("")))
+    told = answered(files.select("source_id", mime.alias("mime"), F.lit(SEE_PROMPT).alias("system"), uri.alias("user")), provider, ledger, method="see")
+    blank = F.trim(F.coalesce("reply", F.lit(""))) == ""
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(blank, "the provider returned nothing")
+    rows = told.select("source_id", "mime", error.alias("error"), _pictured(F.when(~blank, F.col("reply"))).alias("found"))
+    return written(rows.select("source_id", "mime", "error", F.posexplode_outer("found").alias("pos", "x")).select("source_id", "mime", F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("pos"), "x.role", "x.text", "x.raw", "error"))
 
 
 def picture_messages(seen: DataFrame) -> DataFrame:
