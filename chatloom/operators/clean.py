@@ -304,27 +304,42 @@ def redaction_hits(redacted: DataFrame, rules: Sequence[RedactionRule], by: Sequ
 
 @dataclass(frozen=True)
 class Cleaned:
-    """Segments after cleaning (with ``hits``), before it, and the places that de-duplication took out (or None)."""
+    """Segments after cleaning (with ``hits``), before it, and the places that de-duplication took out (or None).
+
+    ``marked``, where there is one, is a written table of all segments with what became of each; segments and statistics are
+    then read from it.
+    """
 
     segments: DataFrame
     split: DataFrame
     gone: DataFrame | None
     config: CleanConfig
+    marked: DataFrame | None = None
 
-    def stats(self, by: Sequence[str] = ("source_id",)) -> DataFrame:
-        """(…by, input_segments, noise_removed, dedup_removed, output_segments, redaction_hits as a map), in one pass."""
-        rules = self.config.redaction_rules
+    def _mark(self) -> DataFrame:
+        """All segments, redacted, with ``_noise`` and ``_gone``; of those that go, the text goes too."""
         rows = self.split.withColumn("_noise", is_noise(F.col("text"), self.config.noise_rules))
         if self.gone is None:
             rows = rows.withColumn("_gone", F.lit(False))
         else:
             places = broadcast_if_small(self.gone, F.length("source_id") + 56).select(F.col("source_id").alias("_source"), F.col("pos").alias("_pos"), F.lit(True).alias("_gone"))
-            rows = rows.join(places, (F.col("source_id") == F.col("_source")) & (F.col("pos") == F.col("_pos")), "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
-        kept = ~F.col("_noise") & ~F.col("_gone")
-        marked = redact(rows, rules)
-        n = lambda c: F.count_if(c)
+            rows = rows.join(places, (F.col("source_id") == F.col("_source")) & (F.col("pos") == F.col("_pos")), "left").withColumn("_gone", F.coalesce("_gone", F.lit(False))).drop("_source", "_pos")
+        return redact(rows.withColumn("text", F.when(~F.col("_noise") & ~F.col("_gone"), F.col("text"))), self.config.redaction_rules)
+
+    def written(self) -> Cleaned:
+        """The same, written in one pass: what reads segments and statistics afterwards runs no rule again."""
+        marked = written(self._mark())
+        kept = marked.where(~F.col("_noise") & ~F.col("_gone"))
+        return replace(self, segments=kept.select(*self.segments.columns), marked=marked)
+
+    def stats(self, by: Sequence[str] = ("source_id",)) -> DataFrame:
+        """(…by, input_segments, noise_removed, dedup_removed, output_segments, redaction_hits as a map), in one pass."""
+        rules = self.config.redaction_rules
+        marked = self._mark() if self.marked is None else self.marked
+        noise, gone = F.col("_noise"), F.col("_gone")
+        kept = ~noise & ~gone
         hits = [F.coalesce(F.sum(F.when(kept, F.get("hits", F.lit(i)))), F.lit(0).cast("long")) for i in range(len(rules))]
-        counts = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("input_segments"), n(F.col("_noise")).alias("noise_removed"), n(~F.col("_noise") & F.col("_gone")).alias("dedup_removed"), n(kept).alias("output_segments"), *(h.alias(f"_h{i}") for i, h in enumerate(hits)))
+        counts = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("input_segments"), F.count_if(noise).alias("noise_removed"), F.count_if(~noise & gone).alias("dedup_removed"), F.count_if(kept).alias("output_segments"), *(h.alias(f"_h{i}") for i, h in enumerate(hits)))
         by_rule = _summed([r.name for r in rules])
         return counts.select(*by, "input_segments", "noise_removed", "dedup_removed", "output_segments", by_rule.alias("redaction_hits"))
 

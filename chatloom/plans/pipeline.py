@@ -63,13 +63,15 @@ def run_pipeline(
     created_at: str = "1970-01-01T00:00:00.000Z",
     output: str | None = None,
     prefix: str = "pack",
+    ledger: str | None = None,
 ) -> Result:
-    """Clean, structure, distill and pack a source; without a provider the steps that need one are left out, and said so."""
-    cleaned = clean(segments_of(source, config), config)
-    segments = D.review_redaction(cleaned.segments, provider) if review and provider else cleaned.segments
+    """Clean, structure, distill and pack a source; without a provider the steps that need one are left out, and said so.
+    ``ledger`` is a folder that keeps the provider's replies: a run after one that failed asks only for the rest."""
+    cleaned = clean(segments_of(source, config), config).written()
+    segments = D.review_redaction(cleaned.segments, provider, ledger) if review and provider else cleaned.segments
     messages = written(structure_segments(segments, aliases, base_year=base_year))
     reasons = () if provider else ("no_provider",)
-    distilled = D.distill(messages, provider) if with_distill else D.skipped(messages, "disabled")
+    distilled = D.distill(messages, provider, ledger=ledger) if with_distill else D.skipped(messages, "disabled")
     whole = "plaintext" if "pos" not in source.columns else None
     files = pack.write_pack(messages, output, created_at, prefix, whole) if output else []
     return Result(cleaned, messages, structure_stats(messages), distilled, provider is None, reasons, created_at, whole, files=files)
@@ -92,7 +94,7 @@ def run_from_source(source: DataFrame, adapter: str | None = None, adapter_optio
     else:
         files = source if "content" in source.columns else as_files(source)
         by_name = {adapter: adapter_options or {}} if adapter else adapter_options
-        found = convert_files(files, adapter, chosen, by_name, provider, vision)
+        found = convert_files(files, adapter, chosen, by_name, provider, vision, options.get("ledger"))
         raw, status = found.messages, found.status
         kinds = sorted(r.adapter for r in status.where("adapter is not null").select("adapter").distinct().collect())
         if not kinds:

@@ -159,14 +159,18 @@ def chat_redaction_hits(spark, sf_dir):
 
 
 @query(
-    f"""with {UNIQUE_SQL}
-select lang as source_id, count(*) as input_segments, count(*) - count(q.doc_id) as noise_removed, count(q.doc_id) - count(n.doc_id) as dedup_removed, count(n.doc_id) as output_segments
-from lines l left join quiet q using (doc_id, line_no, lang) left join uniq n using (doc_id, line_no, lang) group by lang"""
+    f"""with {REDACT_SQL},
+hits as (
+  select lang, concat_ws(' ', case when sum(h4) > 0 then 'card=' || sum(h4) end, case when sum(h1) > 0 then 'email=' || sum(h1) end, case when sum(h5) > 0 then 'first_number=' || sum(h5) end,
+    case when sum(h2) > 0 then 'ipv4=' || sum(h2) end, case when sum(h3) > 0 then 'phone=' || sum(h3) end) as redaction_hits from r5 group by lang)
+select lang as source_id, count(*) as input_segments, count(*) - count(q.doc_id) as noise_removed, count(q.doc_id) - count(n.doc_id) as dedup_removed, count(n.doc_id) as output_segments, any_value(h.redaction_hits) as redaction_hits
+from lines l left join quiet q using (doc_id, line_no, lang) left join uniq n using (doc_id, line_no, lang) left join hits h using (lang) group by lang"""
 )
 def chat_clean_stats(spark, sf_dir):
-    """What cleaning took out of each language, step by step."""
-    stats = C.clean(doc_lines(spark, sf_dir), CONFIG, BLOCK).stats()
-    return stats.select("source_id", "input_segments", "noise_removed", "dedup_removed", "output_segments")
+    """What cleaning took out of each language, step by step, and the hits of each rule; read from what cleaning wrote."""
+    stats = C.clean(doc_lines(spark, sf_dir), CONFIG, BLOCK).written().stats()
+    told = F.transform(F.array_sort(F.map_entries("redaction_hits")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return stats.withColumn("redaction_hits", F.array_join(told, " "))
 
 
 @query(f"with {REDACT_SQL} select lang as source_id, count(*) as segments, sum(length(t5))::bigint as chars, sum(h1 + h2 + h3 + h4 + h5)::bigint as hits from r5 group by lang")

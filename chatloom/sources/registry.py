@@ -164,7 +164,7 @@ NOTHING = {"chatgpt": "no conversation with a mapping", "claude": "no conversati
 _FOUND = "source_id string, place bigint, kept boolean, role string, text string, ts_ms bigint, meta " + META + ", info string, error string"
 
 
-def _told_of(name: str, rows: DataFrame, own: dict, provider, vision) -> DataFrame:
+def _told_of(name: str, rows: DataFrame, own: dict, provider, vision, ledger: str | None) -> DataFrame:
     """What an adapter finds in its files (source_id, content), in one pass over them: told rows, with an error where one
     cannot be read."""
     zipped = archives.is_archive("content")
@@ -175,7 +175,7 @@ def _told_of(name: str, rows: DataFrame, own: dict, provider, vision) -> DataFra
     if name == "screenshot":
         if vision is None:
             return found_error(rows.select("source_id", F.lit("pictures need a provider").alias("error")))
-        seen = texts.seen_pictures(rows, vision)
+        seen = texts.seen_pictures(rows, vision, ledger)
         info = F.to_json(F.struct(F.col("meta.mime_type").alias("mime_type"), F.when(F.col("meta.pending_label"), "fallback").otherwise("json").alias("parse_mode")))
         return placed(texts.picture_messages(seen.where("error is null")), info).unionByName(found_error(seen.where("error is not null")))
     if name in ("txt-docx", "local-web"):
@@ -185,7 +185,7 @@ def _told_of(name: str, rows: DataFrame, own: dict, provider, vision) -> DataFra
             read = rows.select("source_id", archives.word_text(F.when(zipped, F.col("content"))).alias("w"), F.when(~zipped, T.decoded(F.col("content"))).alias("t"))
             words = read.select("source_id", F.coalesce("w.text", "t").alias("text"), F.col("w.error").alias("error"))
         words = written(words.withColumn("_headed", F.coalesce(header_mode(F.coalesce("text", F.lit("")), mode=own.get("mode")), F.lit(False))))
-        said = texts.chat_text(words.where("error is null"), **({"provider": provider} | own if name == "txt-docx" else own))
+        said = texts.chat_text(words.where("error is null"), **({"provider": provider, "ledger": ledger} | own if name == "txt-docx" else own))
         own_info = {"mode": F.when(F.col("_headed"), "headers").otherwise("lines"), **({c: F.col(c) for c in ("title", "blocks")} if name == "local-web" else {})}
         info = broadcast_if_small(written(words.select(F.col("source_id").alias("_w"), F.to_json(F.struct(*(x.alias(c) for c, x in own_info.items()))).alias("_info"))), F.length("_w") + F.length("_info") + 16)
         return placed(said.join(info, F.col("source_id") == F.col("_w"), "left"), F.col("_info")).unionByName(found_error(words.where("error is not null")))
@@ -203,13 +203,15 @@ def _told_of(name: str, rows: DataFrame, own: dict, provider, vision) -> DataFra
     return told.withColumn("error", none)
 
 
-def convert_files(files: DataFrame, adapter: str | None = None, chosen: str | None = None, options: Mapping[str, Mapping] | None = None, provider=None, vision=None) -> Converted:
+def convert_files(files: DataFrame, adapter: str | None = None, chosen: str | None = None, options: Mapping[str, Mapping] | None = None, provider=None, vision=None, ledger: str | None = None) -> Converted:
     """Files (source_id, path, content) of any kinds, each through the adapter that it is recognised as needing.
 
     ``adapter`` names one for all; ``chosen`` stands in where none is recognised; ``options`` are each adapter's own, by name;
     ``provider`` labels plain lines, and pictures need ``vision``, a provider that takes them. A source that is damaged, not
     recognised or empty, or a picture of which the provider says nothing, has no messages, and the status table says why.
 
+    ``ledger`` is a folder that keeps providers' replies for later runs.
+
     The files are read once, and written by kind as they are recognised; each adapter reads its own kind once, and writes
     messages and what it skipped together. All else reads what was written.
     """
@@ -230,7 +232,7 @@ def convert_files(files: DataFrame, adapter: str | None = None, chosen: str | No
     routed = spark.read.schema("source_id string, path string, content binary, confidence string, error string, kind string").parquet(folder)
     kinds = sorted(r.kind for r in routed.select("kind").distinct().collect() if r.kind in ADAPTERS)  # at most as many as there are adapters
     empty = spark.createDataFrame([], _FOUND)
-    told = {k: written(empty.unionByName(_told_of(k, routed.where(F.col("kind") == k), dict((options or {}).get(k, {})), provider, vision))) for k in kinds}
+    told = {k: written(empty.unionByName(_told_of(k, routed.where(F.col("kind") == k), dict((options or {}).get(k, {})), provider, vision, ledger))) for k in kinds}
     union = lambda dfs, schema: reduce(DataFrame.unionByName, dfs) if dfs else spark.createDataFrame([], schema)
     dense = {"characterai": json_exports.numbered_by_time, **dict.fromkeys(("chatgpt", "claude", "st-chatlog"), json_exports.numbered)}
     as_placed = lambda t: t.where("kept").select("source_id", F.col("place").alias("pos"), "role", "text", "ts_ms", "meta")

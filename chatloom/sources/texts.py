@@ -33,12 +33,12 @@ def header_mode(text: Column, ratio: float = HEADER_RATIO, mode: str | None = No
     return ((hits >= 2) & (hits / F.greatest(lines, F.lit(1)) >= ratio)) | ((hits == 1) & (lines == 1))
 
 
-def chat_text(docs: DataFrame, aliases: Mapping[str, str] | None = None, base_year: int | None = None, provider=None, mode: str | None = None, source: str = "txt-docx") -> DataFrame:
+def chat_text(docs: DataFrame, aliases: Mapping[str, str] | None = None, base_year: int | None = None, provider=None, mode: str | None = None, source: str = "txt-docx", ledger: str | None = None) -> DataFrame:
     """Texts (source_id, text) as messages: by their headers, or line by line with roles unknown."""
     rows = docs.select("source_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("_headed") if "_headed" in docs.columns else header_mode(F.col("text"), mode=mode)).alias("_headed"))
     segments = split_text(rows.where("_headed"), CleanConfig(strip_control_chars=False)).where(F.col("text") != "")
     headed = structure_segments(segments, aliases, base_year=base_year)
-    plain = structure_lines(rows.where("not _headed"), provider)
+    plain = structure_lines(rows.where("not _headed"), provider, ledger)
     return headed.unionByName(plain).select("source_id", "pos", "role", "text", "ts_ms", "meta")
 
 

@@ -196,3 +196,25 @@ def test_text_functions(spark):
     page = "<html><head><title> A &amp;\n B </title><style>p{}</style></head><!-- <p>no</p> --><body><p>one<b> two</b></p>three<br>four<SCRIPT>x()</SCRIPT ><ul><li>five&#160; six</ul></body>"
     assert one(spark, T.html_title(F.lit(page))) == "A & B" and one(spark, T.html_title(F.lit("<p>x"))) is None
     assert one(spark, T.html_blocks(F.lit(page))) == ["one two", "three", "four", "five six"]
+
+
+def test_written_cleaning_is_read_and_not_run_again(spark):
+    rows = spark.createDataFrame([("a", i, None, t) for i, t in enumerate(["one two", "4G", "tel 13812345678", "x y z", *[f"line {k}" for k in range(6)], *[f"line {k}" for k in range(6)], None, " "])], "source_id string, pos long, header string, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    plain = C.clean(rows)
+    counted = C.clean(rows.mapInPandas(count, rows.schema))
+    before = seen.value  # what de-duplication read
+    written = counted.written()
+    assert seen.value == before + rows.count()
+    as_rows = lambda df: sorted(map(repr, df.collect()))
+    assert as_rows(written.segments.select(*plain.segments.columns)) == as_rows(plain.segments)
+    assert as_rows(written.stats()) == as_rows(plain.stats()) and written.stats().first().redaction_hits == {"phone": 1}
+    assert seen.value == before + rows.count()
+    plan = written.stats()._jdf.queryExecution().executedPlan().toString()
+    assert "text:string" not in plan and "RLIKE" not in plan.upper() and plan.count("FileScan") == 1
