@@ -51,6 +51,32 @@ def strict_value(text: Column) -> Column:
     return F.when((F.size(alone) == 1) & (field == 1), alone[0])
 
 
+#: JSON text as strings, numbers and what is between them.
+_TOKENS = r'"(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
+_NUMBER = r"\A-?[0-9]"
+
+
+def out_of_range(text: Column) -> Column:
+    """Whether a number in a JSON text is beyond what a double holds: it has no value to be written again."""
+    found = F.exists(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), lambda t: t.rlike(_NUMBER) & t.rlike("[eE]|[0-9]{300}") & (F.abs(F.expr("double('Infinity')")) == F.abs(t.try_cast("double"))))
+    return F.coalesce(F.when(text.rlike("[0-9][eE]|[0-9]{300}"), found), F.lit(False))
+
+
+def _one_form(number: Column) -> Column:
+    """A number that is not written as an integer: all digits and no exponent, without zeros at the end, where 20 digits
+    before and 18 behind the point, or 38 before it, hold it exactly; else as the shortest double."""
+    double, plain, large = number.try_cast("double"), number.try_cast("decimal(38,18)"), number.try_cast("decimal(38,0)")
+    digits = F.regexp_replace(F.regexp_replace(plain.cast("string"), r"(\.[0-9]*?)0+\z", "$1"), r"\.\z", "")
+    return F.when(plain.cast("double") == double, F.when(plain == 0, "0").otherwise(digits)).when(large.cast("double") == double, large.cast("string")).otherwise(double.cast("string"))
+
+
+def canonical(value: Column) -> Column:
+    """A VARIANT as canonical JSON: sorted keys, no white space, and one form of each number (1e3, 1000.0 and 1000 are 1000)."""
+    whole = F.to_json(value)
+    formed = F.transform(F.regexp_extract_all(whole, F.lit(_TOKENS), F.lit(0)), lambda t: F.when(t.rlike(_NUMBER) & t.rlike("[.eE]"), _one_form(t)).otherwise(t))
+    return F.when(whole.rlike("[0-9][.eE]"), F.array_join(formed, "")).otherwise(whole)
+
+
 def _path(name: str) -> str:
     return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
@@ -66,8 +92,10 @@ def _wrong(value: Column, kind: Value | str, name: str) -> Column:
         items = F.try_variant_get(value, "$", "array<variant>")
         out = F.coalesce(out, F.get(F.filter(F.transform(items, lambda x: _wrong(x, kind.items, f"{name}[]")), lambda x: x.isNotNull()), F.lit(0)))
     if kind.enum:
-        allowed = [json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for x in kind.enum]
-        out = F.coalesce(out, F.when(~F.to_json(value).isin(allowed), F.lit(f"{name} is not one of {', '.join(allowed)}")))
+        # Whole numbers have no point in the canonical form.
+        whole = [int(x) if isinstance(x, float) and x.is_integer() else x for x in kind.enum]
+        allowed = [json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for x in whole]
+        out = F.coalesce(out, F.when(~canonical(value).isin(allowed), F.lit(f"{name} is not one of {', '.join(allowed)}")))
     return F.when(fits, out).otherwise(F.lit(f"{name} is not {kind.kind}"))
 
 
@@ -195,7 +223,7 @@ def format_chats(events: DataFrame, schemas: Mapping[str, Schema]) -> DataFrame:
 
     Null conv: ordered as one conversation, its calls and results not linked. Null turn: first. Null id on a call or result:
     open, or no call. Null text or arguments: left out of the JSON (arguments count as faulty); arguments that are not one
-    JSON value and nothing else are kept as the string ``raw``. Rows of one turn: by depth, role, kind, id, then a hash of
+    JSON value and nothing else, or have a number beyond what a double holds, are kept as the string ``raw``. Rows of one turn: by depth, role, kind, id, then a hash of
     their content, and of calls with one id in one turn the first by that hash is the first; so nothing depends on how rows
     are stored. Repeated rows: all stay, in places next to each other; the first call and the first answer of an id are
     linked. References to unknown ids do not count. Very long texts are kept whole. Empty table: no rows. Other columns are
@@ -210,9 +238,10 @@ def format_chats(events: DataFrame, schemas: Mapping[str, Schema]) -> DataFrame:
     other = linked.select("uid", "conv", F.explode("after").alias("id")).join(calls, ["conv", "id"]).select("uid", "needs")
     placed = linked.join(levels(linked.select("uid", "turn"), own.unionByName(other)), "uid")
     rows = in_order(placed, "conv", ["at", "depth", "turn", "role", "kind", "id", "content", "uid"])
-    valued = rows.withColumn("value", F.when(F.col("kind") == "call", strict_value(F.col("arguments"))))
+    large = out_of_range(F.col("arguments"))
+    valued = rows.withColumn("large", large).withColumn("value", F.when((F.col("kind") == "call") & ~F.col("large"), strict_value(F.col("arguments"))))
     parts = {
-        "arguments": F.when(F.col("kind") == "call", F.coalesce(F.to_json("value"), F.to_json(F.struct(F.col("arguments").alias("raw"))))),
+        "arguments": F.when(F.col("kind") == "call", F.coalesce(canonical(F.col("value")), F.to_json(F.struct(F.col("arguments").alias("raw"))))),
         "content": F.when(F.col("text").isNotNull(), json_text(F.col("text"))),
         "id": F.when(F.col("id").isNotNull() & (F.col("kind") != "message"), json_text(F.col("id"))),
         "kind": json_text(F.col("kind")),
@@ -221,7 +250,7 @@ def format_chats(events: DataFrame, schemas: Mapping[str, Schema]) -> DataFrame:
     }
     # concat_ws leaves out what is null
     whole = F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items())), F.lit("}"))
-    wrong = F.when(F.col("kind") == "call", fault(F.col("name"), F.col("value"), schemas))
+    wrong = F.when(F.col("kind") == "call", F.when(F.col("large"), "a number is out of range").otherwise(fault(F.col("name"), F.col("value"), schemas)))
     return valued.select("conv", "turn", "role", "kind", "id", "status", wrong.alias("fault"), "cyclic", "place", whole.alias("json"))
 
 

@@ -50,6 +50,22 @@ def test_linking_and_order(spark):
         assert mine == list(range(len(mine)))
 
 
+def test_numbers_have_one_form(spark):
+    forms = {
+        '{"k":1e3}': '{"k":1000}', '{"k":1000.0}': '{"k":1000}', '{"k":1000}': '{"k":1000}', '{"k":-0.50}': '{"k":-0.5}', '{"k":-0.0}': '{"k":0}', '{"k":[1E-2,0.01,10e-3]}': '{"k":[0.01,0.01,0.01]}',
+        '{"k":"1.0, 2.50,1e3\\\\"}': '{"k":"1.0, 2.50,1e3\\\\"}', '{"k":"a\\"1.0,"}': '{"k":"a\\"1.0,"}', '{"k":1e25}': '{"k":10000000000000000000000000}', '{"k":10000000000000000000000000.0}': '{"k":10000000000000000000000000}', '{"k":1e40}': '{"k":1.0E40}', '{"k":1e-30}': '{"k":1.0E-30}', '{"b":2.0,"a":{"x":1.10}}': '{"a":{"x":1.1},"b":2}', "2.0": "2",
+    }
+    df = spark.createDataFrame([(x,) for x in forms], "t string")
+    got = {r.t: r.c for r in df.select("t", toolcalls.canonical(toolcalls.strict_value(F.col("t"))).alias("c")).collect()}
+    assert got == forms
+    rows = [call("c", i, f"c{i}", t, name="f") for i, t in enumerate(['{"k":1E400}', '{"k":"1E400"}', '{"k":-1e999}', '{"k":2.0}', '{"k":3}', '{"k":4}', '{"k":"' + "\\n" * 20_000 + '1.0","l":1.0}'])]
+    schemas = {"f": toolcalls.Schema({"k": toolcalls.Value("number", enum=(2.0, 3.0))}, ("k",))}
+    rows = {r.turn: (r.fault, json.loads(r.json)["arguments"]) for r in toolcalls.format_chats(events(spark, rows), schemas).collect()}
+    assert rows[5][0].startswith("k is not one of 2, 3") and rows[6][1]["k"].endswith("\n1.0") and rows[6][1]["l"] == 1
+    assert rows[0] == ("a number is out of range", {"raw": '{"k":1E400}'}) and rows[2][0] == "a number is out of range"
+    assert rows[1] == ("k is not number", {"k": "1E400"}) and rows[3] == (None, {"k": 2}) and rows[4] == (None, {"k": 3})
+
+
 def test_arguments_and_canonical_json(spark):
     texts = ['{"b":2.5, "a":1 , "o":{"z":1,"y":[1,{"d":1,"c":null}]}}', '{"a":"1"}', "{}", '{"a":1,"x":2}', "[1]", "no", None, '{"a":null}', '{"a":1,"o":[]}']
     rows = [call("c", i, str(i), t) for i, t in enumerate(texts)] + [call("c", 20, "f", '{"any":"é\\n\\""}', name="free"), call("c", 21, "g", name="nope")]
