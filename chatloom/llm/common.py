@@ -105,6 +105,15 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int = 32 <
     return F.broadcast(df) if (df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0) <= limit else df
 
 
+def thinned(df: DataFrame, most: int, *keys: str | Column) -> DataFrame:
+    """``df`` thinned out to about ``most`` rows by a hash of ``keys``, the same whatever the partitions; all of a smaller one.
+
+    A sort with a limit takes that many rows from each task, so it follows this where there may be many tasks.
+    """
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 32)) < int(most / n * (1 << 32)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once: a plain expression would be computed wherever it is named."""
     return F.transform(F.array(value), body)[0]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import cut
+from chatloom.llm.common import cut, thinned
 from chatloom.llm.workers import give_back, in_small_batches
 
 #: Cells of a dimension, and the rows whose quantiles place them (those with the smallest hashes of their ids).
@@ -72,7 +72,7 @@ def cells(rows: DataFrame, n: int = CELLS, sample: int = SAMPLE) -> Cells:
     """Cells between quantiles of a bounded sample; the outermost reach to the least and the greatest value of all rows."""
     span = rows.select(F.posexplode("q").alias("d", "x")).groupBy("d").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     span = {r.d: (r.lo, r.hi) for r in span.collect()}  # one row a dimension
-    taken = [r.q for r in rows.select("q").orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
+    taken = [r.q for r in thinned(rows, 2 * sample, "id").orderBy(F.xxhash64("id"), "id").limit(sample).select("q").collect()]
     low, high = np.zeros((len(span), n), np.int64), np.zeros((len(span), n), np.int64)
     for d, (lo, hi) in span.items():
         values = np.array([q[d] for q in taken if len(q) > d] or [lo], np.int64)

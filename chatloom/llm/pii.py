@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.llm.common import thinned
 from chatloom.llm.workers import in_small_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents of the training sample, and the longest of them in characters.
-SAMPLE, SAMPLE_CHARS = 1000, 20_000
+#: Documents of the training sample, the longest of them in characters, and documents among which they are sought.
+SAMPLE, SAMPLE_CHARS, POOL = 1000, 20_000, 50_000
 #: A unit is data where its marginal is at least this.
 THRESHOLD = 0.5
 #: Rounds of message passing at most, and the change in a message that ends them.
@@ -368,11 +369,13 @@ def _run(batches: Iterator[pa.RecordBatch], model, schema: pa.Schema) -> Iterato
         yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(digest), pa.array([_told(a) for _, a in found])], schema=schema)
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Texts for training: of those up to ``chars`` characters that may hold a span, ``rows`` by smallest hash of id and text."""
+def sample(docs: DataFrame, rows: int = SAMPLE, chars: int = SAMPLE_CHARS, pool: int = POOL) -> list[str]:
+    """Texts for training: of about ``pool`` documents by hash of id and text those up to ``chars`` characters that may hold a
+    span, and of these ``rows`` by smallest hash."""
     may = F.col("text").rlike(r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){15}")
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(may & (F.length("text") <= chars))
-    return [r.text for r in texts.orderBy(F.xxhash64("doc_id", "text"), "text").limit(rows).collect()]
+    texts = thinned(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), pool, "doc_id", "text")
+    found = texts.where(may & (F.length("text") <= chars))
+    return [r.text for r in found.orderBy(F.xxhash64("text", "doc_id"), "text").limit(rows).collect()]
 
 
 def personal_data(docs: DataFrame, model: Field | None) -> DataFrame:

@@ -92,6 +92,16 @@ def test_bounds_hold_and_leave_few_candidates(spark):
         assert set(sorted(range(len(q)), key=lambda r: (-exact[r, a], r))[:5]) <= set(row[key == a].tolist())
 
 
+def test_cells_of_a_thinned_sample(spark):
+    # fewer sampled rows than rows: looser cells, which still cover all values, and the same result
+    rows = vectors(random.Random(12), 500, 8)
+    whole = integer_rows(table(spark, rows), "vec_id", F.col("label"), "embedding", 256)
+    found = cells(whole, 16, sample=20)
+    q = np.array([r.q for r in whole.collect()])
+    codes = found.encode(q)
+    assert (found.low[np.arange(8), codes] <= q).all() and (q <= found.high[np.arange(8), codes]).all()
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     rows = [(r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert got(queries.QUERIES["op11_hard_negatives"](spark, sf_dir)) == mined_by_hand(rows, 100)

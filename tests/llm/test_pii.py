@@ -151,6 +151,8 @@ def test_personal_data_edges(spark, docs, model):
             assert got == sorted(want, key=repr)
     assert pii.personal_data(docs(rows).limit(0), model).collect() == [] and pii.train([]) is None and pii.train(["nothing", ""]) is None
     assert pii.sample(docs(rows), rows=3) == pii.sample(docs(rows[::-1]), rows=3)
+    many = [(i, f"{i}@x.yz") for i in range(500)]
+    assert 20 < len(pii.sample(docs(many), pool=50)) < 100 and pii.sample(docs(many), pool=50) == pii.sample(docs(many[::-1]), pool=50)
 
 
 def test_query_equals_the_contract(spark, sf_dir):
