@@ -24,6 +24,8 @@ from chatloom.storage import written
 
 #: UTF-16 units of a week's transcript, lines of a review batch, and what stands for no time.
 WEEK_CHARS, REVIEW_BATCH, UNKNOWN_TIME = 12_000, 40, "未知时间"
+#: What stands before and behind the number of messages that a transcript leaves out.
+LEFT_OUT = ("（另有 ", " 条消息因长度上限未纳入转录）")
 
 
 class Provider(Protocol):
@@ -140,7 +142,7 @@ def transcripts(messages: DataFrame, budget: int = WEEK_CHARS) -> DataFrame:
     fold = F.aggregate(lines, empty, lambda a, x: F.when(a["used"] + x["len"] <= budget, F.struct((a["used"] + x["len"]).alias("used"), F.array_append(a["lines"], x["line"]).alias("lines"))).otherwise(a))
     week = rows.groupBy("source_id", "week").agg(fold.alias("f"), F.sum("n").alias("n"))
     left_out = F.col("n") - F.size("f.lines")
-    note = F.when(left_out > 0, F.array(F.concat(F.lit("（另有 "), left_out.cast("string"), F.lit(" 条消息因长度上限未纳入转录）")))).otherwise(F.array().cast("array<string>"))
+    note = F.when(left_out > 0, F.array(F.concat(F.lit(LEFT_OUT[0]), left_out.cast("string"), F.lit(LEFT_OUT[1])))).otherwise(F.array().cast("array<string>"))
     return week.select("source_id", "week", F.array_join(F.concat("f.lines", note), "\n").alias("transcript"), F.size("f.lines").cast("long").alias("taken"), left_out.alias("left_out"))
 
 

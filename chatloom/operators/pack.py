@@ -95,14 +95,18 @@ def timeline(messages: DataFrame, span: int = 4096) -> DataFrame:
     return dated.select("source_id", "pos", F.posexplode(lines).alias("part", "line"))
 
 
+#: The labels of the Markdown head.
+HEAD = {"generator": "- 生成器：", "created": "- 生成时间：", "messages": "- 消息数：", "span": "- 时间跨度：", "roles": "- 角色分布：", "source": "- 来源："}
+
+
 def markdown(messages: DataFrame, created_at: str, title: str = "记忆包", source: str | None = None) -> DataFrame:
     """(source_id, pos, part, line): title and statistics at -1, then the timeline."""
     roles = F.array_join(F.transform(F.map_entries("by_role"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " / ")
     head = [
-        F.lit(f"# {title}"), F.lit(""), F.lit(f"- 生成器：{GENERATOR['name']} v{GENERATOR['version']}"), F.lit(f"- 生成时间：{created_at}"),
-        F.concat(F.lit("- 消息数："), F.col("message_count").cast("string")),
-        F.concat(F.lit("- 时间跨度："), F.coalesce("start", F.lit(UNKNOWN)), F.lit(" ~ "), F.coalesce("end", F.lit(UNKNOWN))),
-        F.concat(F.lit("- 角色分布："), roles), *([F.lit(f"- 来源：{source}")] if source else []), F.lit(""),
+        F.lit(f"# {title}"), F.lit(""), F.lit(f"{HEAD['generator']}{GENERATOR['name']} v{GENERATOR['version']}"), F.lit(f"{HEAD['created']}{created_at}"),
+        F.concat(F.lit(HEAD["messages"]), F.col("message_count").cast("string")),
+        F.concat(F.lit(HEAD["span"]), F.coalesce("start", F.lit(UNKNOWN)), F.lit(" ~ "), F.coalesce("end", F.lit(UNKNOWN))),
+        F.concat(F.lit(HEAD["roles"]), roles), *([F.lit(f"{HEAD['source']}{source}")] if source else []), F.lit(""),
     ]
     top = pack_stats(messages).select("source_id", F.lit(-1).cast("bigint").alias("pos"), F.posexplode(F.array(*head)).alias("part", "line"))
     return top.unionByName(timeline(messages))

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +31,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+_made: list[str] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder inside the block is deleted at its end, so write what is to stay before that.
+
+    A result reads what was written on its way: run the pipeline inside the block, and write its tables or packs in it too.
+    """
+    begin = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[begin:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _made[begin:]
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -430,6 +430,17 @@ def test_a_bundle_in_an_archive_and_its_statistics(spark):
     assert {r.source_id: r.name for r in chosen.collect()} == {"s0": "txt-docx", "s1": "local-web"}
 
 
+def test_nothing_is_left_of_what_was_temporary(spark, tmp_path, monkeypatch):
+    import chatloom.storage as storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    with storage.temporary(spark):
+        found = registry.convert_files(binaries(spark, page_html=b"<p>Hi</p>", tree_json=json.dumps(TREE).encode()))
+        found.messages.write.parquet(str(tmp_path / "kept"))
+        assert len(list((tmp_path / "shared").iterdir())) > 3
+    assert list((tmp_path / "shared").iterdir()) == [] and spark.read.parquet(str(tmp_path / "kept")).count() == 5
+
+
 def test_files_are_read_whole(spark, tmp_path):
     (tmp_path / "a.txt").write_text("\ufeffone\ntwo")
     assert registry.read_texts(spark, str(tmp_path)).first().text == "one\ntwo"
