@@ -66,19 +66,17 @@ def line_table(docs: DataFrame, key: str, host: str) -> DataFrame:
     return lines.select("key", "host", "text_hash", "line_no", "l.*").where("n_words > 0")
 
 
-def frequent_lines(lines: DataFrame, floor: int, share: float) -> DataFrame:
-    """(host, line_hash) of lines that are in more distinct documents of their host than the limit allows.
+def frequent_lines(lines: DataFrame, most: int) -> DataFrame:
+    """(host, line_hash) of lines that are in more than ``most`` distinct documents of their host, whatever its size.
 
-    The limit is ``floor`` documents or the part ``share`` of the host's documents, whichever is more; equal texts count as
-    one document, as copies are another operator's business.
+    Documents with equal texts are one document, as copies are another operator's business: else every line of a page that is
+    there in ``most`` copies would be frequent, and no copy of it would be left.
     """
     held = lines.select("host", "line_hash", "text_hash").distinct()
-    counts = held.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > floor)
-    hosts = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    return counts.join(hosts, "host").where(F.col("n_docs") > F.greatest(F.lit(floor), F.lit(share) * F.col("host_docs"))).select("host", "line_hash")
+    return held.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > most).select("host", "line_hash")
 
 
-def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", floor: int = 25, share: float = 0.0005, least_left: float = 0.3) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", most: int = 25, least_left: float = 0.3) -> DataFrame:
     """Each document's counts, the words its frequent lines hold (``n_line_words``), ``base_failed`` and ``kept``.
 
     Kept: not failed by its own counts, and at least ``least_left`` of its words, and 20 of them, are outside lines that
@@ -91,14 +89,14 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", floor: int
     # One pass over the texts; only counts and hashes are written, with a number for each row.
     rows = cut(base_counts(rows, ["id", "host", "text_hash", "lines"]).withColumn("key", F.monotonically_increasing_id()), "rows")
     lines = rows.select("key", "host", "text_hash", F.inline("lines"))
-    removed = lines.join(frequent_lines(lines, floor, share), ["host", "line_hash"]).groupBy("key").agg(F.sum("n_words").cast("long").alias("n_line_words"))
+    removed = lines.join(frequent_lines(lines, most), ["host", "line_hash"]).groupBy("key").agg(F.sum("n_words").cast("long").alias("n_line_words"))
     judged = rows.drop("lines").join(removed, "key", "left").withColumn("lost", F.coalesce("n_line_words", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("lost")
     kept = ~F.col("base_failed") & (left >= F.lit(least_left) * F.col("n_words")) & (left >= 20)
     return judged.select(F.col("id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("lost").alias("n_line_words"))
 
 
-def remove_frequent_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", floor: int = 25, share: float = 0.0005) -> DataFrame:
+def remove_frequent_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", most: int = 25) -> DataFrame:
     """``docs`` with frequent lines taken out of ``text``; other columns as they are. Rows keep their lines' order.
 
     Null text stays null; a text may become empty. Null host: the host ``""``. Repeated rows and null or equal keys: each row
@@ -107,7 +105,7 @@ def remove_frequent_lines(docs: DataFrame, key: str = "doc_id", host: str = "sou
     keyed, row = with_row_key(docs)
     lines = cut(line_table(keyed, row, host), "lines")
     of, gone = unused(keyed, "of", "gone")
-    held = lines.join(frequent_lines(lines, floor, share), ["host", "line_hash"]).groupBy(F.col("key").alias(of)).agg(F.collect_list("line_no").alias(gone))  # a document's own lines
+    held = lines.join(frequent_lines(lines, most), ["host", "line_hash"]).groupBy(F.col("key").alias(of)).agg(F.collect_list("line_no").alias(gone))  # a document's own lines
     rows = keyed.join(held, F.col(row) == F.col(of), "left")
     rest = F.array_join(let(F.split("text", "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.sort_array(F.col(gone))), lambda i: F.get(x, i))), "\n")
     return rows.select(*(F.when(F.col(gone).isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in docs.columns))

@@ -133,10 +133,7 @@ line as (
     len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')) as n
   from docs, unnest(string_split(text, chr(10))) as u(l)),
 held as (select * from line where n > 0),
-host_docs as (select host, count(distinct text) as host_docs from held group by host),
-frequent as (
-  select host, norm from held join host_docs using (host) group by host, norm, host_docs
-  having count(distinct text) > greatest(25, 0.0005 * host_docs)),
+frequent as (select host, norm from held group by host, norm having count(distinct text) > 25),
 gone as (select doc_id, sum(n)::bigint as n_line_words from held join frequent using (host, norm) group by doc_id),
 judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, coalesce(n_line_words, 0) as lost from counted left join gone using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
