@@ -119,7 +119,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = RULES,
     ``outcomes`` has rows (page_key, bad), joined to ``pages.page_key``; a page may have none. Repeated outcomes of a key
     count once, as the worst. Hosts whose posterior rate of bad pages is at least ``limit`` at the lower bound are blocked
     where no rule fits. Null url, or one without ``://``: host and path are empty, and so is the host of its reputation.
-    Null page_id and repeated rows: each row is judged. Empty table: no rows.
+    Null page_id and repeated rows: each row is judged. Empty table: no rows. Very long urls count whole. Other columns, of
+    pages and of outcomes, are not read, whatever their names.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", "page_key", host.alias("host"), path.alias("path"))

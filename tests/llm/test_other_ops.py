@@ -135,6 +135,30 @@ def test_a_chain_takes_few_rounds(spark, monkeypatch):
     assert tuple(got) == (n - 1, n, n, 0) and rounds.count("jumps") <= 15
 
 
+def test_columns_of_the_operators_own_names_and_long_texts(spark):
+    rows = [call("c", 0, "k1", '{"a":1,"b":' + "1" * 300 + "}"), result("c", 1, "k1", "é\n" * 200_000), ("c", 2, "user", "message", None, None, None, "x" * 300_000, None), call("c", 3, "k2", '{"a":"' + "y" * 200_000 + '"}')]
+    plain = events(spark, rows)
+    clash = plain.selectExpr("*", "7 as uid", "'q' as content", "8 as target", "9 as needs", "10 as at", "11 as place", "'z' as value", "true as large", "'s' as status", "12 as depth")
+    of = lambda df: sorted(map(repr, toolcalls.format_chats(df, SCHEMAS).collect()))
+    assert of(plain) == of(clash) and len(of(plain)) == 4
+    told = {r.turn: json.loads(r.json) for r in toolcalls.format_chats(clash, SCHEMAS).collect()}
+    assert told[1]["content"] == "é\n" * 200_000 and told[2]["content"] == "x" * 300_000 and told[3]["arguments"] == {"a": "y" * 200_000}
+
+
+def test_url_filter_edges(spark):
+    urls = ["http://" + "a" * 100_000 + ".com/en/" + "x" * 100_000, "https://www.example.com/en/7" + "9" * 200_000, None, "", "no scheme", "http://", "HTTP://EXAMPLE.NET/de/8?q", "http://example.net/de/8?q"]
+    pages = spark.createDataFrame([(i, i % 3, u) for i, u in enumerate(urls)] * 2 + [(None, None, urls[0])], "page_id long, page_key long, url string")
+    outcomes = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None), (0, 0)], "page_key long, bad int")
+    of = lambda p, o: sorted(map(repr, reputation.judge(p, o).collect()))
+    clash_p = pages.selectExpr("*", "'h' as host", "'p' as path", "'r' as rule", "true as blocked", "5 as bad", "'v' as verdict", "1 as n")
+    clash_o = outcomes.selectExpr("*", "'h' as host", "'u' as url", "3 as page_id")
+    assert of(pages, outcomes) == of(clash_p, clash_o) and len(of(pages, outcomes)) == 17
+    by = {r.page_id: r for r in reputation.judge(clash_p, clash_o).collect()}
+    assert (by[0].host, by[0].rule, by[0].verdict) == ("a" * 100_000 + ".com", "com/en/", "block") and by[1].rule == "example.com/en/7" and len(by[1].path) == 200_005
+    assert all((by[i].host, by[i].path, by[i].rule) == ("", "", None) for i in (2, 3, 4, 5)) and by[6].host == "example.net" and by[7].rule == "example.net/de/8"
+    assert reputation.judge(pages.limit(0), outcomes.limit(0)).count() == 0
+
+
 def test_long_chains_and_places(spark):
     rows = [call("c", 299 - i, str(i), after=[str(i - 1)] if i % 10 else []) for i in range(300)]
     got = sorted(toolcalls.format_chats(events(spark, rows), SCHEMAS).collect(), key=lambda r: r.place)
