@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 import zlib
 
 import pytest
@@ -63,13 +64,17 @@ def test_a_job_that_dies_keeps_what_its_tasks_were_told(spark, notes, tmp_path):
     class Dies(Calls):
         def chat(self, system, user):
             if user == "u77":
+                time.sleep(6)  # meanwhile other tasks end
                 raise KeyboardInterrupt  # not a failing call: the task dies, and with it the job
             return super().chat(system, user)
 
     with pytest.raises(Exception, match="KeyboardInterrupt|crashed|terminated|Job aborted|EOF"):
         answered(requests(spark, 400), lambda: Dies(notes), ledger)
-    told = len(os.listdir(notes))
-    kept = spark.read.parquet(ledger).count()
+    told, kept = -1, 0
+    while told != len(os.listdir(notes)):  # tasks that run on when the job has failed
+        told = len(os.listdir(notes))
+        time.sleep(3)
+        kept = spark.read.parquet(ledger).count()
     got = answered(requests(spark, 400), lambda: Calls(notes), ledger)
     assert got.where("reply is null").count() == 0 and kept > 0 and len(os.listdir(notes)) == told + 200 - kept
 
