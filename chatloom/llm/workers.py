@@ -55,15 +55,15 @@ class Recent(dict):
     not kept, so the table is bounded in bytes.
     """
 
-    def __init__(self, make: Callable[[bytes], object], entries: int = ENTRIES):
+    def __init__(self, make: Callable[[bytes], object], entries: int = ENTRIES, longest: int = LONGEST):
         super().__init__()
-        self.make, self.entries, self.older = make, entries, {}
+        self.make, self.entries, self.longest, self.older = make, entries, longest, {}
 
     def __missing__(self, key: bytes):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) <= LONGEST:
+        if len(key) <= self.longest:
             if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()

@@ -41,6 +41,29 @@ def test_word_ids_are_those_of_the_whole_text(text):
     assert np.frombuffer(WORDS.encode(text.encode()), "<u4").tolist() == whole_ids(text, 0)[:-1]
 
 
+@pytest.mark.parametrize("text", ["H\u0331 T\u0308. h\u0331, I\u0307", "a!, b., c.. d,, \u00d7, \u00f7. \u00e9, \u00c9. 3, 4.\n\u4e2d, x's. I'M, ", "<|EndOfText|>A. B, <|endoftext|>C, d"])
+def test_signs_and_capitals_are_taken_off_words_only_where_ids_stay(text):
+    assert np.frombuffer(WORDS.encode(text.encode()), "<u4").tolist() == whole_ids(text, 0)[:-1]
+
+
+def test_words_are_looked_up_without_capitals_and_signs():
+    words = WordIds(PATH)
+    words.words.clear()
+    words.encode("Zorble zorble, ZORBLE. Z\u00f6rble, z\u00f6rble.\nzorble".encode())
+    assert set(words.words) == {b"zorble", "z\u00f6rble".encode(), b",", b"."}
+
+
+def test_a_full_table_of_words_keeps_those_met_lately(monkeypatch):
+    monkeypatch.setattr("chatloom.llm.wordids.ENTRIES", 40)
+    words, asked = WordIds(PATH), []
+    tokenize = words.words.tokenize
+    words.words.tokenize = lambda x: asked.append(x) or tokenize(x)
+    names = ["q" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(100)]
+    for name in names:
+        words.encode(f"often {name}".encode())
+    assert asked.count("often") <= 1 and len(words.words) <= 40 and len(words.words.older) <= 40
+
+
 def test_a_vocabulary_whose_tokens_take_in_blanks(spark, docs):
     path = vocabulary("byte_bpe_50k.json")
     assert WORDS.by_word and not WordIds(path).by_word
