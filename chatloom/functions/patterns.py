@@ -3,11 +3,14 @@
 A few patterns are a chain of conditions, which stays in generated code. Many are an Aho-Corasick automaton: it finds all of
 them in one pass over a text, whatever their number. The patterns go to the tasks with the function (beyond a megabyte Spark
 broadcasts it), a worker builds the automaton once, and each batch is searched by its distinct texts.
+
+Of regular expressions, the characters that every hit has one of say which texts need not be searched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterable, Mapping, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -84,3 +87,53 @@ def any_of(text: Column, patterns: Sequence[str], few: int = FEW) -> Column:
 
     search.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(search, "boolean")(text)
+
+
+#: What a rule's pattern may hold for ``hit_chars`` to read it: escapes and groups that mean the same wherever they are read.
+_READABLE = re.compile(r"(?:[^\\(\[]|\\[dDwWsSbBtnr!-/:-@\[-`{-~]|\((?:\?(?::|=|!|<=|<!))?(?!\?)|\[(?:[^\\\[\]]|\\[dDwWsStnr!-/:-@\[-`{-~])+\])*")
+#: Sets of more characters than this are no help.
+_MOST = 64
+
+
+def _rarest(sets: Iterable[frozenset[str] | None]) -> frozenset[str] | None:
+    """The set whose characters texts have least, by a rough guess: letters, blanks and common signs weigh more."""
+    return min((x for x in sets if x), key=lambda x: sum(20 if c.isalpha() or c.isspace() or c in ".,'-" else 1 for c in x), default=None)
+
+
+def _chars(op: str, arg) -> frozenset[str] | None:
+    """Characters of which each match of one node of a parsed pattern has one; None where nothing is known."""
+    match op:
+        case "LITERAL":
+            return frozenset(chr(arg))
+        case "RANGE":
+            return frozenset(map(chr, range(arg[0], arg[1] + 1))) if arg[1] - arg[0] < _MOST else None
+        case "CATEGORY":
+            return frozenset("0123456789") if str(arg) == "CATEGORY_DIGIT" else None
+        case "IN" | "BRANCH":
+            parts = [_chars(str(o), a) for o, a in arg] if op == "IN" else [_rarest(_chars(str(o), a) for o, a in x) for x in arg[1]]
+            return frozenset().union(*parts) if all(parts) and sum(map(len, parts)) <= _MOST else None
+        case "SUBPATTERN":
+            return _rarest(_chars(str(o), a) for o, a in arg[3])
+        case "MAX_REPEAT" | "MIN_REPEAT":
+            return _rarest(_chars(str(o), a) for o, a in arg[2]) if arg[0] else None
+    return None
+
+
+def hit_chars(pattern: str, flags: str = "") -> frozenset[str] | None:
+    """Characters of which every hit of a rule's pattern has at least one, or None where that is not known."""
+    if not _READABLE.fullmatch(pattern):
+        return None
+    try:
+        found = _rarest(_chars(str(op), arg) for op, arg in re._parser.parse(pattern))
+    except (re.error, AttributeError, OverflowError, RecursionError):
+        return None
+    folded = "i" in flags and found and any(not c.isascii() or c.isalpha() for c in found)
+    return None if folded else found
+
+
+def may_hit(text: Column, rules: Sequence[tuple[str, str]]) -> Column | None:
+    """Whether a text has a character that some rule (pattern, flags) needs; None where a rule may hit any text."""
+    sets = [hit_chars(*r) for r in rules]
+    if not sets or not all(sets):
+        return None
+    return text.rlike("[" + "".join(rf"\x{{{ord(c):x}}}" for c in sorted(frozenset().union(*sets))) + "]")

@@ -49,7 +49,7 @@ def lines(x: Column) -> Column:
 
 def fingerprint(x: Column) -> Column:
     """The first 16 hex digits of the SHA-256 of the text without white space, in lower case."""
-    return F.substring(F.sha2(F.lower(F.regexp_replace(x, f"[{SPACES}]+", "")), 256), 1, 16)
+    return F.substring(F.sha2(F.lower(F.translate(x, SPACE_CHARS, "")), 256), 1, 16)
 
 
 def decoded(content: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
-from chatloom.functions.patterns import FEW, any_of
+from chatloom.functions.patterns import FEW, any_of, may_hit
 from chatloom.storage import broadcast_if_small, written
 
 
@@ -276,10 +276,13 @@ def redact(segments: DataFrame, rules: Sequence[RedactionRule] = DEFAULT_REDACTI
     """Texts with each rule's hits replaced, rule after rule, and ``hits``: an array of counts in the rules' order."""
     counts = [f"_hits{i}" for i in range(len(rules))]
     patterns = [java_regex(r.pattern, r.flags) for r in rules]
-    # A text that no rule hits as it stands is never changed, so no rule is hit at all; most are such.
+    # A text that no rule hits as it stands is never changed, so no rule is hit at all; most are such. Most of these have no
+    # character that a hit would have, and are searched for that alone.
     any_hit = F.lit(False)
     for p in patterns:
         any_hit = any_hit | F.col("text").rlike(p)
+    may = may_hit(F.col("text"), [(r.pattern, r.flags) for r in rules])
+    any_hit = any_hit if may is None else may & any_hit
     out = segments.drop("hits").withColumn("_any", F.coalesce(any_hit, F.lit(False)))
     none = F.lit(0).cast("long")
     for r, name, pattern in zip(rules, counts, patterns, strict=True):
